@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, runtime, sharding, simhash, substring
+from . import bpe, decontaminate, runtime, sharding, simhash, sstable, substring
 
+#: Where the vocabulary files are; the operators take a path.
+TOKENIZERS = os.environ.get("LOREWRIGHT_TOKENIZERS", "/opt/tokenizers")
+END_ID = 2
 SHARDS = 40
 WINDOW = 13
 
@@ -22,6 +27,19 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = runtime.documents(spark, sf_dir).select("doc_id", "text")
+    folder = runtime.fresh_dir(spark, "tables")
+    manifest = sstable.write_tables(docs, f"{TOKENIZERS}/byte_bpe_50k.json", END_ID, folder)
+    out = sstable.read_tables(spark, manifest, folder)
+    return out.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.encode_texts(runtime.documents(spark, sf_dir).select("doc_id", "text"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.coalesce(F.col("text"), F.lit(""))
     rows = runtime.documents(spark, sf_dir).select("doc_id", (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"))
@@ -33,5 +51,5 @@ def op10_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(runtime.documents(spark, sf_dir), words_each=3, bits=3)
 
 
-QUERIES = {f.__name__: f for f in (op4_substring_dedup, op5_benchmark_decontamination, op9_jump_sharding, op10_simhash_pigeonring)}
+QUERIES = {f.__name__: f for f in (op4_substring_dedup, op5_benchmark_decontamination, op6_sorted_string_tables, op7_prefix_bpe, op9_jump_sharding, op10_simhash_pigeonring)}
 ORACLES: dict[str, str] = {}
