@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunks, decontaminate, runtime, sharding, simhash, sstable, substring
+from . import bpe, chunks, decontaminate, runtime, sharding, simhash, sstable, substring, warc
 
 #: Where the vocabulary files are; the operators take a path.
 TOKENIZERS = os.environ.get("LOREWRIGHT_TOKENIZERS", "/opt/tokenizers")
@@ -16,6 +16,12 @@ SHARDS = 40
 WINDOW = 13
 
 
+def op1_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(runtime.documents(spark, sf_dir, "pages"), runtime.fresh_dir(spark, "warc"))
+    out = warc.read_archives(spark, manifest, with_payload=False)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_content_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chunks.edited_and_next(runtime.documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
@@ -56,5 +62,5 @@ def op10_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(runtime.documents(spark, sf_dir), words_each=3, bits=3)
 
 
-QUERIES = {f.__name__: f for f in (op2_content_chunks, op4_substring_dedup, op5_benchmark_decontamination, op6_sorted_string_tables, op7_prefix_bpe, op9_jump_sharding, op10_simhash_pigeonring)}
+QUERIES = {f.__name__: f for f in (op1_warc_capture_index, op2_content_chunks, op4_substring_dedup, op5_benchmark_decontamination, op6_sorted_string_tables, op7_prefix_bpe, op9_jump_sharding, op10_simhash_pigeonring)}
 ORACLES: dict[str, str] = {}
