@@ -327,7 +327,7 @@ def write_tables(docs: DataFrame, tokenizer: str, end_id: int, folder: str, key:
                 writer.add(k[:9] + struct.pack(">I", nth), v)
             uri = f"{folder}/part-{part:06d}-{files.attempt_name()}.sst"
             system, path = files.opened(uri)
-            with system.open_output_stream(path) as f:
+            with system.open_output_stream(path, compression=None) as f:
                 f.write(writer.finish())
             values = (part, uri, key_id(rows[0][0]), key_id(rows[-1][0]), writer.entries, writer.ids)
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, _MANIFEST.types, strict=True)], schema=_MANIFEST)

@@ -104,7 +104,7 @@ def _write_records(folder: str, min_bytes: int):
                 if sink is None:
                     uri = f"{folder}/archive-{files.attempt_name()}-{n:04d}.warc.gz"
                     system, path = files.opened(uri)
-                    sink, at, n = system.open_output_stream(path), 0, n + 1
+                    sink, at, n = system.open_output_stream(path, compression=None), 0, n + 1
                 payload = (html or "").encode()
                 sha1 = digest(payload)
                 revisit = latest is not None and page_id != latest and len(payload) >= min_bytes
@@ -148,7 +148,7 @@ def _write_index(folder: str):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if sink is None:
                     system, path = files.opened(uri)
-                    sink = system.open_output_stream(path)
+                    sink = system.open_output_stream(path, compression=None)
                 lines.append(list(row))
                 last, count = row[0], count + 1
                 if len(lines) == BLOCK_LINES:
