@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunks, decontaminate, runtime, sharding, simhash, sstable, substring, warc
+from . import bpe, chunks, decontaminate, quality, runtime, sharding, simhash, sstable, substring, warc
 
 #: Where the vocabulary files are; the operators take a path.
 TOKENIZERS = os.environ.get("LOREWRIGHT_TOKENIZERS", "/opt/tokenizers")
@@ -51,6 +51,11 @@ def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_hierarchical_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.classify(runtime.documents(spark, sf_dir), runtime.documents(spark, sf_dir, "labels"))
+    return out.select("doc_id", "evidence", "host_rate", "site_rate", "p_bad", "keep")
+
+
 def op9_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.coalesce(F.col("text"), F.lit(""))
     rows = runtime.documents(spark, sf_dir).select("doc_id", (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"))
@@ -62,5 +67,5 @@ def op10_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(runtime.documents(spark, sf_dir), words_each=3, bits=3)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_capture_index, op2_content_chunks, op4_substring_dedup, op5_benchmark_decontamination, op6_sorted_string_tables, op7_prefix_bpe, op9_jump_sharding, op10_simhash_pigeonring)}
+QUERIES = {f.__name__: f for f in (op1_warc_capture_index, op2_content_chunks, op4_substring_dedup, op5_benchmark_decontamination, op6_sorted_string_tables, op7_prefix_bpe, op8_hierarchical_quality, op9_jump_sharding, op10_simhash_pigeonring)}
 ORACLES: dict[str, str] = {}
