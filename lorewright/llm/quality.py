@@ -22,16 +22,18 @@ from pyspark.sql import functions as F
 from . import runtime, textops
 
 #: Labelled rows that the classifier is fitted on, at most.
-MAX_LABELLED = 8000
+MAX_LABELLED = 7000
 #: Words that it may use, at most; documents that a word must be in, and share
 #: of the bad ones.  Near copies count once (so many of so many minima equal).
-MAX_WORDS, WORD_SUPPORT, WORD_SHARE = 128, 8, 0.015
+MAX_WORDS, WORD_SUPPORT, WORD_SHARE = 256, 8, 0.008
 COPY_MINIMA, COPY_EQUAL = 16, 6
+#: Beside whole words, their first so many bytes, where a word has more.
+STEMS = (5, 6, 7)
 #: Sites that are broadcast, at most; more are joined by shuffle.
 MAX_BROADCAST_SITES = 100_000
 BINS = 12
 PENALTY, WORD_PENALTY = 1.0, 0.05
-THRESHOLD = 0.6
+THRESHOLD = 0.65
 SHAPES = ("upper", "letter", "mark", "digit", "repeated_line", "distinct_word", "top_word", "words", "word_length")
 
 _LETTER = textops.byte_class(bytes(range(0x41, 0x5B)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100)))
@@ -57,12 +59,13 @@ def _unique(row: np.ndarray, hashes: np.ndarray):
     return row[edge], hashes[edge], np.diff(edge, append=len(row))
 
 
-def measure(raw: np.ndarray, offsets: np.ndarray):
-    """Shapes of each row, and (row, hash) of its distinct words."""
+def measure(raw: np.ndarray, offsets: np.ndarray, words_only: np.ndarray | None = None):
+    """Shapes of each row, and (row, hash) of its distinct words and stems."""
     n = len(offsets) - 1
     folded = _FOLD[raw]
     starts, ends, first = textops.word_spans(folded, offsets, _LETTER)
-    row, hashes, count = _unique(_rows_of(first), textops.span_hashes(folded, starts, ends))
+    all_rows = _rows_of(first)
+    row, hashes, count = _unique(all_rows, textops.span_hashes(folded, starts, ends))
     tokens_at, tokens_to, first_token = textops.word_spans(raw, offsets, textops.NOT_SPACE)
     lines_at, lines_to, first_line = textops.word_spans(raw, offsets, _LINE)
     line_row = _rows_of(first_line)
@@ -80,9 +83,24 @@ def measure(raw: np.ndarray, offsets: np.ndarray):
         share(_UPPER, size), share(_LETTER, size), share(_MARK, tokens), share(_DIGIT, size), 1 - _per_row(distinct_line, n) / np.maximum(lines, 1),
         _per_row(row, n) / np.maximum(words, 1), top / np.maximum(words, 1), np.log1p(words), size / np.maximum(tokens, 1),
     ], axis=1)
+    stems = [(row, hashes)]
+    for k, length in enumerate(STEMS):
+        more = np.flatnonzero(ends - starts > length)
+        stem = textops.mix(textops.span_hashes(folded, starts[more], starts[more] + length) + np.uint64(k + 1))
+        stems.append((all_rows[more], stem) if words_only is None else _known(all_rows[more], stem, words_only))
+    row, hashes = (np.concatenate(x) for x in zip(*stems, strict=True))
+    if words_only is None:
+        row, hashes, _ = _unique(row, hashes)
     return shapes, row, hashes
 
 
+def _known(row: np.ndarray, hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(words):
+        return row[:0], hashes[:0]
+    ok = words[np.minimum(np.searchsorted(words, hashes), len(words) - 1)] == hashes
+    return row[ok], hashes[ok]
+
+
 @dataclass
 class Model:
     """Bins of the shapes, hashes of the words, weights and the base rate."""
@@ -207,7 +225,7 @@ def _evidence(model: Model, text: str, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in textops.split_chunks(batch, text):
-                made = model.evidence(*measure(*textops.utf8(chunk.column(text))))
+                made = model.evidence(*measure(*textops.utf8(chunk.column(text)), model.words))
                 yield pa.RecordBatch.from_arrays([*(chunk.column(c) for c in columns), pa.array(made, pa.float64())], names=[*columns, "evidence"])
 
     return run
