@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunks, decontaminate, quality, runtime, sharding, simhash, sstable, substring, warc
+from . import bpe, chunks, decontaminate, quality, runtime, sharding, simhash, sstable, substring, toolcalls, warc
 
 #: Where the vocabulary files are; the operators take a path.
 TOKENIZERS = os.environ.get("LOREWRIGHT_TOKENIZERS", "/opt/tokenizers")
@@ -27,6 +27,75 @@ def op2_content_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+TOOLS = {
+    "search": {"properties": {"query": "string", "limit": "integer"}, "required": ["limit", "query"]},
+    "translate": {"properties": {"text": "string", "to": "string"}, "required": ["text", "to"]},
+}
+
+
+def op3_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every assistant turn as a call that the turn after it answers.
+
+    The table has no calls, so tool and arguments follow from conversation and
+    turn: every third call names a tool without a schema, some lack an argument
+    or give it another type, and each needs the call two turns before.
+    """
+    turns = runtime.documents(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    call_id = lambda turn: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
+    kind, case = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(3)), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(5))
+    body = toolcalls.json_string(F.col("text"))
+    limit = F.when(case == 0, F.lit('"9"')).otherwise(F.col("turn").cast("string"))
+    arguments = (
+        F.when((kind == 0) & (case == 1), F.concat(F.lit('{"query": '), body, F.lit("}")))
+        .when(kind == 0, F.concat(F.lit('{"query": '), body, F.lit(', "limit": '), limit, F.lit("}")))
+        .when((kind == 1) & (case == 2), F.lit("{broken"))
+        .otherwise(F.concat(F.lit('{"to": "en", "text": '), body, F.lit("}")))
+    )
+    name = F.when(kind == 0, F.lit("search")).when(kind == 1, F.lit("translate")).otherwise(F.lit("run"))
+    needs = F.when(F.col("turn") >= 2, F.array(call_id(F.col("turn") - 2))).otherwise(F.array().cast("array<string>"))
+    calls = turns.where("role = 'assistant'").select("conv_id", call_id(F.col("turn")).alias("call_id"), F.col("turn").alias("seq"), name.alias("name"), arguments.alias("arguments"), needs.alias("needs"))
+    results = turns.where("role <> 'assistant' and turn > 0").select(call_id(F.col("turn") - 1).alias("call_id"), F.col("turn").alias("seq"), F.col("text").alias("content"))
+    out = toolcalls.link_calls(calls, results, TOOLS)
+    return out.select("conv_id", "call_id", "seq", "level", "name", "n_results", F.array_join("errors", ",").alias("errors"), F.sha2("canonical", 256).alias("canonical_sha256"))
+
+
+OP3_SQL = """
+with recursive calls as (
+  select conv_id, turn, 'c' || conv_id || '-' || turn as call_id, text, (conv_id + turn) % 3 as kind, (conv_id + turn) % 5 as kase
+  from conversations where role = 'assistant'
+), lev as (
+  select c.conv_id, c.turn, cast(0 as bigint) as level from calls c
+  where not exists (select 1 from calls p where p.conv_id = c.conv_id and p.turn = c.turn - 2)
+  union all
+  select c.conv_id, c.turn, l.level + 1 from lev l join calls c on c.conv_id = l.conv_id and c.turn = l.turn + 2
+), res as (
+  select conv_id, turn - 1 as turn, count(*) as n_results, min(text) as result from conversations
+  where role <> 'assistant' and turn > 0 group by all
+), met as (
+  select c.*, l.level, coalesce(r.n_results, 0) as n_results, r.result,
+    case kind when 0 then 'search' when 1 then 'translate' else 'run' end as name,
+    case when kind = 0 and kase = 1 then json_object('query', text)
+      when kind = 0 and kase = 0 then json_object('limit', '9', 'query', text)
+      when kind = 0 then json_object('limit', c.turn, 'query', text)
+      when kind = 1 and kase = 2 then null
+      else json_object('text', text, 'to', 'en') end as args,
+    list_sort(list_filter([
+      case when kind = 2 then 'unknown tool: run' end,
+      case when kind = 0 and kase = 1 then 'missing: limit' end,
+      case when kind = 0 and text is null then 'missing: query' end,
+      case when kind = 0 and kase = 0 then 'not integer: limit' end,
+      case when kind = 1 and kase = 2 then 'not JSON' when kind = 1 and text is null then 'missing: text' end,
+      case when r.n_results is null then 'no result' end,
+      case when c.turn >= 2 and l.level = 0 then 'unknown need' end], lambda x: x is not null)) as errors
+  from calls c join lev l using (conv_id, turn) left join res r using (conv_id, turn)
+)
+select conv_id, call_id, turn as seq, level, name, n_results, array_to_string(errors, ',') as errors,
+  sha256('{"arguments":' || coalesce(cast(args as varchar), 'null') || ',"errors":' || cast(to_json(errors) as varchar) || ',"id":"' || call_id
+    || '","level":' || level || ',"name":"' || name || '","result":' || coalesce(cast(to_json(result) as varchar), 'null') || '}') as canonical_sha256
+from met
+"""
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.remove_repeats(runtime.documents(spark, sf_dir).select("doc_id", "text"), WINDOW)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -67,5 +136,5 @@ def op10_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(runtime.documents(spark, sf_dir), words_each=3, bits=3)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_capture_index, op2_content_chunks, op4_substring_dedup, op5_benchmark_decontamination, op6_sorted_string_tables, op7_prefix_bpe, op8_hierarchical_quality, op9_jump_sharding, op10_simhash_pigeonring)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_warc_capture_index, op2_content_chunks, op3_tool_call_linking, op4_substring_dedup, op5_benchmark_decontamination, op6_sorted_string_tables, op7_prefix_bpe, op8_hierarchical_quality, op9_jump_sharding, op10_simhash_pigeonring)}
+ORACLES: dict[str, str] = {op3_tool_call_linking.__name__: OP3_SQL}

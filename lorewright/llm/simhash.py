@@ -275,3 +275,14 @@ def near_duplicates(docs: DataFrame, words_each: int = 3, bits: int = 3, key: st
     of = runtime.cut(joined.join(least, "root").select("fp", "component_id"))
     out = rows.join(of, "fp")
     return out.select(F.col("id").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, words_each: int = 3, bits: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, unchanged, of which one document of each group stays.
+
+    Of what ``near_duplicates`` puts together the least key stays.  Rows of one
+    key stay or go together; rows that have only null keys to go with stay.
+    """
+    found = near_duplicates(docs, words_each, bits, key, text)
+    stay = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("stays")).distinct()
+    return docs.join(stay, docs[key].eqNullSafe(stay["stays"]), "left_semi")
