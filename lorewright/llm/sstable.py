@@ -26,6 +26,7 @@ import re
 import struct
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +42,13 @@ BLOCK_BYTES = 64 << 10
 RESTART = 16
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 _FOOTER = struct.Struct("<QQQQQQQ8s")
-#: Pieces of text that one worker remembers, in each of two generations.
-REMEMBERED = 200_000
-#: Texts of other characters, or with a special token's string, go to the library whole.
-ODD = re.compile("[^\t\n\r -~¡-±´-¸º»¿-ſ]")
-#: Byte-level pieces, for the characters that ODD leaves.
-_PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: Distinct pieces of text that one worker remembers.
+REMEMBERED = 1_500_000
+#: Texts with other bytes, an apostrophe or a special token's string go to the
+#: library whole; what is left is ASCII and Latin letters of two bytes.
+_OTHER = re.compile(rb"[^\t\n\r -&(-~\x80-\xbf\xc3-\xc5]|\xc3[\x97\xb7]")
+_SPACE, _LETTER, _DIGIT, _REST = range(4)
+_CLASS = np.array([_SPACE if b in b"\t\n\r " else _DIGIT if 0x30 <= b <= 0x39 else _LETTER if b >= 0x80 or chr(b).isalpha() else _REST for b in range(256)], np.uint8)
 
 
 def key_bytes(doc_id: int | None, nth: int = 0) -> bytes:
@@ -200,6 +202,76 @@ class Reader:
         return None
 
 
+def piece_starts(raw: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Where the pieces of byte-level pre-tokenisation begin.
+
+    Runs of letters, of digits and of other marks are pieces, each with one
+    space before it if there is one.  Of white space that something follows the
+    last character stands alone or is that space; the rest is one piece.
+    """
+    kind = _CLASS[raw]
+    begins = np.empty(len(raw), bool)
+    begins[0] = True
+    begins[1:] = kind[1:] != kind[:-1]
+    begins[edges] = True
+    at = np.flatnonzero(begins)
+    out = np.zeros(len(raw), bool)
+    out[at[kind[at] == _SPACE]] = True
+    runs = at[kind[at] != _SPACE]
+    first = np.zeros(len(raw), bool)
+    first[0] = first[edges] = True
+    inner = runs[~first[runs]]
+    out[runs[first[runs]]] = True
+    before = kind[inner - 1] == _SPACE
+    out[inner[before] - 1] = True
+    out[inner[raw[inner - 1] != 0x20]] = True
+    return np.flatnonzero(out)
+
+
+class _Memory:
+    """Ids of pieces by the pieces' hashes: two sorted levels over one pool."""
+
+    def __init__(self, kind: str):
+        self.kind = kind
+        self.clear()
+
+    def clear(self) -> None:
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.levels = [none, none]
+        self.pool, self.size = np.zeros(1 << 16, self.kind), 0
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of the ids of each hash; number 0 if not known."""
+        at, n = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        for known, where, count in self.levels:
+            if len(known):
+                k = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                ok = known[k] == hashes
+                at[ok], n[ok] = where[k[ok]], count[k[ok]]
+        return at, n
+
+    def add(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
+        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        total = int(count.sum())
+        while self.size + total > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros(len(self.pool), self.kind)))
+        self.pool[self.size : self.size + total] = np.fromiter(chain.from_iterable(ids), self.kind, total)
+        new = (hashes, self.size + np.cumsum(count) - count, count)
+        self.size += total
+        large, small = self.levels
+        small = self._merged(small, new)
+        self.levels = [large, small] if len(small[0]) < 100_000 else [self._merged(large, small), tuple(x[:0] for x in small)]
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple:
+        both = [np.concatenate(x) for x in zip(a, b, strict=True)]
+        order = np.argsort(both[0])
+        return tuple(x[order] for x in both)
+
+    def __len__(self) -> int:
+        return sum(len(x[0]) for x in self.levels)
+
+
 class Encoder:
     """The tokenizers library, remembering pieces that come again."""
 
@@ -211,36 +283,49 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         said = json.loads(spec)
-        self.special = [x["content"] for x in said["added_tokens"]]
+        self.special = [x["content"].encode() for x in said["added_tokens"]]
         before = said["pre_tokenizer"] or {}
         #: Pieces can be encoded one by one only where this is all that is done.
         self.by_piece = said["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
         self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        odd = [not self.by_piece or ODD.search(t) is not None or any(s in t for s in self.special) for t in texts]
-        whole = iter(self.library.encode_batch_fast([t for t, o in zip(texts, odd, strict=True) if o], add_special_tokens=False))
-        pieces = [[] if o else _PIECE.findall(t) for t, o in zip(texts, odd, strict=True)]
-        if len(self.new) > REMEMBERED:
-            self.new, self.old = {}, self.new
-        new, old = self.new, self.old
-        unknown: set[str] = set()
-        for these in pieces:
-            unknown.update(these)
-        unknown.difference_update(new)
-        if old:
-            for p in unknown & old.keys():
-                new[p] = old[p]
-                unknown.discard(p)
-        ask = list(unknown)
-        for p, e in zip(ask, self.library.encode_batch_fast(ask, add_special_tokens=False), strict=True):
-            new[p] = self._bytes(e.ids)
-        return [self._bytes(next(whole).ids) if o else b"".join([new[p] for p in these]) for o, these in zip(odd, pieces, strict=True)]
+        self.memory = _Memory(self.kind)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text, as little-endian integers of ``kind``."""
+        out = [b""] * len(texts)
+        plain, other = [], []
+        for i, t in enumerate(texts):
+            if t:
+                (plain if self.by_piece and _OTHER.search(t) is None and not any(s in t for s in self.special) else other).append(i)
+        for i, ids in zip(other, self._ids([texts[i].decode() for i in other]), strict=True):
+            out[i] = np.array(ids, self.kind).tobytes()
+        for i, ids in zip(plain, self._by_piece([texts[i] for i in plain]) if plain else [], strict=True):
+            out[i] = ids
+        return out
+
+    def _by_piece(self, texts: list[bytes]) -> list[bytes]:
+        data = b"".join(texts)
+        raw, edges = np.frombuffer(data, np.uint8), np.cumsum([0, *map(len, texts)])
+        starts = piece_starts(raw, edges[:-1])
+        ends = np.append(starts[1:], len(raw))
+        distinct, example, which = np.unique(textops.span_hashes(raw, starts, ends), return_index=True, return_inverse=True)
+        if len(self.memory) > REMEMBERED:
+            self.memory.clear()
+        at, n = self.memory.find(distinct)
+        new = np.flatnonzero(n == 0)
+        if len(new):
+            of = example[new]
+            self.memory.add(distinct[new], self._ids([data[a:b].decode() for a, b in zip(starts[of].tolist(), ends[of].tolist(), strict=True)]))
+            at, n = self.memory.find(distinct)
+        count = n[which]
+        stop = np.cumsum(count)
+        place = np.arange(stop[-1]) + np.repeat(at[which] - stop + count, count)
+        flat, size = self.memory.pool[place].tobytes(), self.memory.pool.itemsize
+        cut = (size * np.append(0, stop)[np.searchsorted(starts, edges)]).tolist()
+        return [flat[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -301,7 +386,9 @@ def write_tables(docs: DataFrame, tokenizer: str, end_id: int, folder: str, key:
         for batch in batches:
             ids: list[bytes] = []
             for chunk in textops.split_chunks(batch, text):
-                ids += [x + end for x in coder.encode([t or "" for t in chunk.column(text).to_pylist()])]
+                raw, offsets = textops.utf8(chunk.column(text))
+                data, cut = raw.tobytes(), offsets.tolist()
+                ids += [x + end for x in coder.encode([data[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)])]
             keys = batch.column(key).to_pylist()
             part = np.array([0 if k is None else 1 + np.searchsorted(at, k, side="right") for k in keys]) if len(keys) else np.zeros(0, np.int64)
             order = np.argsort(part, kind="stable")
