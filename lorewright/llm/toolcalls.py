@@ -3,8 +3,8 @@
 Everything is a DataFrame operation.  Calls meet results in a join on the call's
 identifier after both sides are made unique by pre-aggregation.  The order is
 topological: a call's level is 0 if it needs no other call, else one more than
-the highest level it needs; each round of joins settles one level, so the
-rounds are as many as the longest chain, whatever the number of calls.
+the highest level it needs.  Chains are walked by pointer doubling, so a long
+conversation takes few rounds of joins.
 Arguments are parsed to variants, whose objects keep keys in order, so writing
 them again gives canonical JSON.
 """
@@ -54,22 +54,40 @@ def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
     """(``call_id``, ``level``) of every call; null for one on or after a cycle.
 
     ``calls`` has each ``call_id`` once; ``needs`` has ``call_id`` and ``need``,
-    both of them calls, each pair once.
+    both of them calls, each pair once.  Chains of calls that need one other are
+    walked by pointer doubling, in rounds that grow with the logarithm of their
+    length; what is left are the calls that need several, and a round settles
+    one level of those.
     """
-    left = runtime.cut(needs.groupBy("call_id").agg(F.count(F.lit(1)).alias("open")))
-    last = runtime.cut(calls.join(left, "call_id", "left_anti").select("call_id", F.lit(0).alias("level")))
-    settled = last
-    level = 0
+    counts = runtime.cut(needs.groupBy("call_id").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")))
+    total = calls.count()
+    single = counts.where("n = 1").select("call_id", F.col("need").alias("up"), F.lit(1).cast("long").alias("far"))
+    # ``far`` is 0 where a walk ends: no need, or several.
+    ends = calls.select("call_id").join(single.select("call_id"), "call_id", "left_anti").select("call_id", F.col("call_id").alias("up"), F.lit(0).cast("long").alias("far"))
+    walk = runtime.cut(single.unionByName(ends))
+    for _ in range(max(1, total).bit_length() + 1):
+        ahead = walk.select(F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("far").alias("more"))
+        doubled = runtime.cut(walk.join(ahead, "up").select("call_id", F.col("next").alias("up"), (F.col("far") + F.col("more")).alias("far"), "more"))
+        walk = doubled.drop("more")
+        if doubled.where("more > 0").isEmpty():
+            break
+    # Edges among the ends, each with the steps between.
+    several = counts.where("n > 1").select("call_id")
+    edges = needs.join(several, "call_id").join(walk.select(F.col("call_id").alias("need"), F.col("up").alias("from"), (F.col("far") + 1).alias("steps")), "need")
+    edges = runtime.cut(edges.groupBy("call_id", "from").agg(F.max("steps").alias("steps")))
+    left = runtime.cut(edges.groupBy("call_id").agg(F.count(F.lit(1)).alias("open"), F.lit(0).cast("long").alias("level")))
+    last = settled = runtime.cut(calls.select("call_id").join(counts.select("call_id"), "call_id", "left_anti").select("call_id", F.lit(0).cast("long").alias("level")))
     while not left.isEmpty():
-        level += 1
-        met = needs.join(last.select(F.col("call_id").alias("need")), "need").groupBy("call_id").agg(F.count(F.lit(1)).alias("met"))
-        left = runtime.cut(left.join(met, "call_id", "left").select("call_id", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open")))
-        last = left.where("open = 0").select("call_id", F.lit(level).alias("level"))
+        reached = edges.join(last.select(F.col("call_id").alias("from"), F.col("level").alias("of")), "from")
+        met = reached.groupBy("call_id").agg(F.count(F.lit(1)).alias("met"), F.max(F.col("of") + F.col("steps")).alias("new"))
+        left = runtime.cut(left.join(met, "call_id", "left").select("call_id", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open"), F.greatest("level", F.coalesce("new", F.lit(0))).alias("level")))
+        last = left.where("open = 0").select("call_id", "level")
         if last.isEmpty():
             break
         settled = runtime.cut(settled.unionByName(last))
         left = left.where("open > 0")
-    return calls.select("call_id").join(settled, "call_id", "left")
+    found = walk.join(settled.select(F.col("call_id").alias("up"), "level"), "up").select("call_id", (F.col("level") + F.col("far")).alias("level"))
+    return calls.select("call_id").join(found, "call_id", "left")
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
