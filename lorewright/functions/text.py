@@ -208,7 +208,7 @@ def message_text(content: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, F.concat(F.format_number(n / 1024, "0.0"), F.lit(" KB"))).otherwise(F.concat(F.format_number(n / 1048576, "0.0"), F.lit(" MB")))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, F.concat(F.format_string("%.1f", n / 1024), F.lit(" KB"))).otherwise(F.concat(F.format_string("%.1f", n / 1048576), F.lit(" MB")))
 
 
 def safe_relative(path: Column) -> Column:
@@ -219,8 +219,8 @@ def safe_relative(path: Column) -> Column:
 
 def compiled_flag(text: Column) -> Column:
     """The ``compiled:`` line of the header alone."""
-    header = F.regexp_extract(text, r"^---\r?\n([\s\S]*?)\r?\n---", 1)
-    return F.lower(strip(F.regexp_extract(header, r"(?m)^compiled:(.*)$", 1))) == "true"
+    header = F.concat(F.regexp_extract(text, r"^---\r?\n([\s\S]*?)\r?\n---", 1), F.lit("\n"))
+    return F.lower(strip(F.regexp_extract(header, r"(?:^|\n)compiled:([^\n]*)\n", 1))) == "true"
 
 
 def marked_compiled(text: Column) -> Column:

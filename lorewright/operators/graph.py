@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import budget
-from ..plans.lineage import cut
+from ..plans.lineage import cut_loop
 
 
 def export(nodes: DataFrame, edges: DataFrame, order: str = "seq") -> tuple[DataFrame, DataFrame]:
@@ -72,16 +72,16 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     and edges are rewritten; the rounds grow with the logarithm of the width.
     """
     both = edges.select(F.col("source").alias("x"), F.col("target").alias("y")).where("x <> y")
-    left = cut(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
+    left = cut_loop(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
     roots = nodes.select("id", F.col("id").alias("component")).distinct()
     while not left.isEmpty():
-        hook = cut(left.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("p")))
+        hook = cut_loop(left.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("p")))
         for _ in range(2):
-            hook = cut(hook.join(hook.select(F.col("x").alias("p"), F.col("p").alias("q")), "p").select("x", F.col("q").alias("p")))
+            hook = cut_loop(hook.join(hook.select(F.col("x").alias("p"), F.col("p").alias("q")), "p").select("x", F.col("q").alias("p")))
         up = hook.select(F.col("x").alias("component"), F.col("p").alias("up"))
-        roots = cut(roots.join(up, "component", "left").select("id", F.coalesce("up", "component").alias("component")))
+        roots = cut_loop(roots.join(up, "component", "left").select("id", F.coalesce("up", "component").alias("component")))
         near, far = hook.select("x", F.col("p").alias("px")), hook.select(F.col("x").alias("y"), F.col("p").alias("py"))
-        left = cut(left.join(near, "x").join(far, "y").where("px <> py").select(F.col("px").alias("x"), F.col("py").alias("y")).distinct())
+        left = cut_loop(left.join(near, "x").join(far, "y").where("px <> py").select(F.col("px").alias("x"), F.col("py").alias("y")).distinct())
     return roots
 
 
@@ -92,14 +92,14 @@ def communities(edges: DataFrame, nodes: DataFrame, rounds: int = 8) -> DataFram
     sides from swapping labels.  Community numbers are those of a member.
     """
     both = edges.select(F.col("source").alias("x"), F.col("target").alias("y")).unionAll(edges.select(F.col("target"), F.col("source")))
-    both = cut(both.where("x <> y").distinct())
-    labels = cut(nodes.select("id", F.col("id").alias("community")).distinct())
+    both = cut_loop(both.where("x <> y").distinct())
+    labels = cut_loop(nodes.select("id", F.col("id").alias("community")).distinct())
     for k in range(rounds):
         seen = both.join(labels.select(F.col("id").alias("y"), "community"), "y").groupBy("x", "community").agg(F.count(F.lit(1)).alias("n"))
         best = seen.groupBy("x").agg(F.max_by("community", F.struct("n", F.xxhash64("community"))).alias("new"))
         moved = labels.join(best, labels["id"] == best["x"], "left")
         move = (F.pmod(F.xxhash64("id"), F.lit(2)) == k % 2) & F.col("new").isNotNull()
-        labels = cut(moved.select("id", F.when(move, F.col("new")).otherwise(F.col("community")).alias("community")))
+        labels = cut_loop(moved.select("id", F.when(move, F.col("new")).otherwise(F.col("community")).alias("community")))
     return labels
 
 

@@ -120,7 +120,7 @@ def similar_titles(queries: DataFrame, titles: DataFrame, least: float = BROKEN_
 
 def canonical_keys(slugs: DataFrame) -> DataFrame:
     """(``key``, ``slug``) of the keys that one slug alone has."""
-    return slugs.select(X.link_key(F.col("slug")).alias("key"), "slug").groupBy("key").agg(F.count_distinct("slug").alias("n"), F.min("slug").alias("slug")).where("n = 1").drop("n")
+    return slugs.select(F.lower(X.strip(F.col("slug"))).alias("key"), "slug").groupBy("key").agg(F.count_distinct("slug").alias("n"), F.min("slug").alias("slug")).where("n = 1").drop("n")
 
 
 def valid_proposals(proposals: DataFrame, slugs: DataFrame) -> DataFrame:

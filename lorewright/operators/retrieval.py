@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 
@@ -26,9 +29,13 @@ def cosine(a: Column, b: Column) -> Column:
 
 def embed(text: Column, dimensions: int = DIMENSIONS) -> Column:
     """A unit vector of hashed token counts: the stand-in where no model is plugged in."""
-    places = F.transform(X.tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dimensions)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
-    return F.transform(counts, lambda x: x / F.greatest(F.lit(1e-12), norm(counts)))
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def unit(places: pd.Series) -> pd.Series:
+        rows = [np.bincount(p, minlength=dimensions).astype(float) if p is not None else np.zeros(dimensions) for p in places]
+        return pd.Series([r / max(1e-12, float(np.linalg.norm(r))) for r in rows])
+
+    return unit(F.transform(X.tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dimensions)).cast("int")))
 
 
 def top_k(rows: DataFrame, score: str, key: str, k: int) -> DataFrame:
@@ -49,9 +56,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
     the other once, as one matrix product of bounded size that keeps k rows a
     query.  Nothing is broadcast, and only the kept rows move on.
     """
-    import numpy as np
-    import pandas as pd
-
     n_v, n_q = (max(1, -(-x.count() // block_rows)) for x in (vectors, queries))
     group = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -82,9 +86,6 @@ def similar_pairs(vectors: DataFrame, least: float, key: str = "vec_id", vector:
     An exact join in blocks: rows are dealt to g groups, every pair of groups
     meets once, each as one matrix product of bounded size.
     """
-    import numpy as np
-    import pandas as pd
-
     groups = max(1, -(-vectors.count() // block_rows))
     own = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(groups)).cast("int").alias("g"))
     other = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("h")

@@ -104,7 +104,7 @@ def next_ledger(ledger: DataFrame, inserted: DataFrame) -> DataFrame:
 
 
 def index_stats(delta: DataFrame) -> DataFrame:
-    return delta.agg(F.count(F.lit(1)).alias("scanned"), F.count_if("change <> 'same'").alias("inserted"), F.count_if("change = 'same'").alias("skipped"))
+    return delta.agg(F.count(F.lit(1)).alias("scanned"), F.count_if(F.col("change") != "same").alias("inserted"), F.count_if(F.col("change") == "same").alias("skipped"))
 
 
 def without(rows: DataFrame, removed: DataFrame, key: str) -> DataFrame:

@@ -24,3 +24,15 @@ def cut(df: DataFrame) -> DataFrame:
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def cut_loop(df: DataFrame) -> DataFrame:
+    """As ``cut``, for tables that loops join again and again.
+
+    A checkpoint keeps its plan's size estimate, and joins multiply estimates, so
+    after some rounds the numbers would overflow.  The rows are given to a new
+    frame, which has none.
+    """
+    kept = cut(df)
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(kept._jdf.javaRDD(), kept._jdf.schema()), spark)

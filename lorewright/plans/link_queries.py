@@ -107,12 +107,12 @@ def string_similarity(spark, sf_dir):
     return part.join(other, "p_partkey").select("p_partkey", F.round(X.similarity(F.col("p_name"), F.col("other")), 6).alias("score"))
 
 
-@query("""with s as (select case when p_partkey % 2 = 0 then p_brand else lower(p_brand) end as slug from part where p_partkey < 30 union select 'Solo'),
+@query("""with part as (select p_partkey, replace(p_brand, '#', '-') as p_brand from main.part), s as (select case when p_partkey % 2 = 0 then p_brand else lower(p_brand) end as slug from part where p_partkey < 30 union select 'Solo'),
 k as (select lower(slug) as key, min(slug) as slug from s group by 1 having count(distinct slug) = 1),
 p as (select p_partkey as seq, 'x/' || upper(p_brand) || '.md#part|alias' as target, lower(p_brand) as key from part where p_partkey < 60 union all select 0, 'solo', 'solo')
 select seq, target, k.slug as canonical from p join k using (key)""")
 def canonical_link_targets(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
+    part = table(spark, sf_dir, "part").withColumn("p_brand", F.replace("p_brand", F.lit("#"), F.lit("-")))
     slugs = part.where("p_partkey < 30").select(F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise(F.lower("p_brand")).alias("slug")).union(spark.createDataFrame([("Solo",)], "slug string")).distinct()
     proposals = part.where("p_partkey < 60").select(F.col("p_partkey").alias("seq"), F.concat(F.lit("x/"), F.upper("p_brand"), F.lit(".md#part|alias")).alias("target"))
     proposals = proposals.unionByName(spark.createDataFrame([(0, "solo")], "seq long, target string"))
@@ -183,5 +183,5 @@ r as (select *, row_number() over (partition by stem order by seq) as r from n),
 select r.seq, r.stem, r.stem || '-' || k as name from r join free using (stem, r)""")
 def conflict_suffix(spark, sf_dir):
     names = table(spark, sf_dir, "orders").where("o_orderkey < 400").select(F.col("o_orderkey").alias("seq"), F.lower("o_orderpriority").alias("stem"))
-    taken = names.select("stem", F.explode(F.array(F.lit(1), F.lit(3), F.lit(4))).cast("long").alias("n")).distinct()
+    taken = names.select("stem", F.explode(F.array(F.lit(1), F.lit(3), F.lit(4)).cast("array<long>")).alias("n")).distinct()
     return merge.conflict_names(names, taken)

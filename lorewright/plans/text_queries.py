@@ -142,7 +142,10 @@ def page_text(spark, sf_dir):
     return readers.page_texts(table(spark, sf_dir, "pages"))
 
 
-@query(f"""with s as (select doc_id, left({_strip('text')}, 1500) as s from documents)
+_PLAIN = r"regexp_replace(regexp_replace(regexp_replace(text, '```[\s\S]*?```', '', 'g'), '\$\$[\s\S]*?\$\$', '', 'g'), '\$[^$\n]*\$', '', 'g')"
+
+
+@query(f"""with s as (select doc_id, left({_strip(_PLAIN)}, 1500) as s from documents)
 select doc_id, length(s) < 20 or len(regexp_extract_all(s, '[\\x{{00C0}}-\\x{{024F}}]')) / length(s) >= 0.02 as ok from s""")
 def language_guard(spark, sf_dir):
     """Accented letters stand in for the script asked for; see tests for CJK."""
@@ -247,7 +250,7 @@ def budget_table(spark, sf_dir):
 
 @query("""select p_partkey, case when n > 2500 then 28 when n > 1200 then 40 when n > 600 then 65 when n > 250 then 90 else 140 end as iterations,
 case when n > 2500 then 0.08 when n > 1200 then 0.14 when n > 600 then 0.24 else 0.4 end::double as density,
-case when n < 1024 then n || ' B' else printf('%.1f', n / 1024) || ' KB' end as bytes from (select p_partkey, p_partkey * 3 as n from part)""")
+case when n < 1024 then n || ' B' else printf('%.1f', round(n / 1024, 1)) || ' KB' end as bytes from (select p_partkey, p_partkey * 3 as n from part)""")
 def layout_tiers(spark, sf_dir):
     n = F.col("p_partkey") * 3
     return table(spark, sf_dir, "part").select("p_partkey", budget.layout_iterations(n).alias("iterations"), budget.label_density(n).alias("density"), X.human_bytes(n).alias("bytes"))
@@ -271,10 +274,11 @@ def segment_tumbling(spark, sf_dir):
     return readers.segments(table(spark, sf_dir, "events"), "event_id", 300).groupBy("segment").agg(F.count(F.lit(1)).alias("frames"), F.min("event_id").alias("first"))
 
 
-@query("""with s as (select vec_id, list_transform(embedding, lambda x: cast(trunc(x * 400) as int)) as a, list_transform(embedding, lambda x: cast(trunc(x * 40000) as int)) as b from embeddings)
+@query("""with s as (select vec_id, list_transform(embedding, lambda x: cast(trunc(x::double * 400) as int)) as a, list_transform(embedding, lambda x: cast(trunc(x::double * 40000) as int)) as b from embeddings)
 select vec_id, list_max(list_transform(a, lambda x: abs(x))) < 100 as silent, cast(list_sum(list_transform(list_zip(a, b), lambda p: greatest(-9000, least(9000, p[1] + p[2])))) as bigint) as mixed from s""")
 def silence_and_mix(spark, sf_dir):
-    a, b = (F.transform("embedding", lambda x, n=n: (x * n).cast("int")) for n in (400, 40000))
+    scaled = lambda n: F.transform("embedding", lambda x: (x.cast("double") * n).cast("int"))
+    a, b = scaled(400), scaled(40000)
     mixed = F.aggregate(readers.mixed(a, b, 9000), F.lit(0).cast("long"), lambda s, x: s + x)
     return table(spark, sf_dir, "embeddings").select("vec_id", readers.is_silent(a).alias("silent"), mixed.alias("mixed"))
 

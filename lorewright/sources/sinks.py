@@ -9,14 +9,19 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import merge
+from ..plans.lineage import cut
 from ..schema import CATEGORIES
 
 
 def append_materials(incoming: DataFrame, folder: str) -> DataFrame:
-    """Append the contents that the table at ``folder`` has not; returns them."""
+    """Append the contents that the table at ``folder`` has not.
+
+    Returns them as they were found, checkpointed before the table grows.
+    """
     spark = incoming.sparkSession
     known = read_state(spark, folder, "hash string, id string, source string, seq long, content string")
     fresh = merge.new_materials(incoming, known, check_source=True).withColumn("id", X.content_id(F.col("content"))).select("hash", "id", "source", "seq", "content")
+    fresh = cut(fresh)
     fresh.write.mode("append").parquet(folder)
     return fresh
 
