@@ -239,9 +239,9 @@ def stream_changes(spark, sf_dir):
 # --- built-in analytics beside the operators
 
 
-@query("select o_orderstatus, o_orderpriority, count(*) as n, round(sum(o_totalprice), 2) as total from orders group by rollup (o_orderstatus, o_orderpriority)")
+@query("select o_orderstatus, o_orderpriority, count(*) as n, cast(sum(cast(o_totalprice as decimal(18, 2))) as double) as total from orders group by rollup (o_orderstatus, o_orderpriority)")
 def rollup_orders(spark, sf_dir):
-    return table(spark, sf_dir, "orders").rollup("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return table(spark, sf_dir, "orders").rollup("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
 
 
 @query("""select o_orderkey, ntile(4) over w as quarter, round(percent_rank() over w, 6) as pr, lead(o_orderkey) over w as next, count(*) over (partition by o_custkey order by o_orderkey rows between 2 preceding and current row) as near
@@ -251,12 +251,12 @@ def window_frames(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.ntile(4).over(w).cast("long").alias("quarter"), F.round(F.percent_rank().over(w), 6).alias("pr"), F.lead("o_orderkey").over(w).alias("next"), F.count(F.lit(1)).over(w.rowsBetween(-2, 0)).alias("near"))
 
 
-@query("""select n_name, l_returnflag, count(distinct o_custkey) as customers, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue
+@query("""select n_name, l_returnflag, count(distinct o_custkey) as customers, cast(sum(cast(l_extendedprice * (1 - l_discount) as decimal(18, 4))) as double) as revenue
 from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey where l_shipdate >= timestamp '1994-01-01' group by all""")
 def revenue_by_nation(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") >= F.lit("1994-01-01").cast("timestamp_ntz"))
     joined = line.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return joined.groupBy("n_name", "l_returnflag").agg(F.count_distinct("o_custkey").alias("customers"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+    return joined.groupBy("n_name", "l_returnflag").agg(F.count_distinct("o_custkey").alias("customers"), F.sum((F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)")).cast("double").alias("revenue"))
 
 
 @query()

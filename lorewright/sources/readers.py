@@ -24,7 +24,7 @@ def materials(spark: SparkSession, folder: str, source: str | None = None) -> Da
     and the names in each descend.
     """
     at = f"{folder}/{source}" if source else f"{folder}/*"
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(at)
+    rows = spark.read.option("pathGlobFilter", "*.md").text(at, wholetext=True)
     path = F.col("_metadata.file_path")
     out = rows.select(path.alias("path"), F.element_at(F.split(path, "/"), -2).alias("source"), F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("text"))
     return out.withColumn("compiled", F.coalesce(X.compiled_flag(F.col("text")), F.lit(False))).orderBy(F.asc("source"), F.desc("name"))
@@ -52,7 +52,7 @@ def watched_files(spark: SparkSession, folder: str, per_trigger: int = 100) -> D
 
 def entries(spark: SparkSession, folder: str) -> DataFrame:
     """Pages of the five category folders, in category order, then by name."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text([f"{folder}/{c}" for c in CATEGORIES])
+    rows = spark.read.option("pathGlobFilter", "*.md").text([f"{folder}/{c}" for c in CATEGORIES], wholetext=True)
     category = F.element_at(F.split("_metadata.file_path", "/"), -2)
     out = rows.select(category.alias("category"), F.regexp_replace("_metadata.file_name", r"\.md$", "").alias("slug"), F.col("value").alias("raw"))
     return out.orderBy(F.array_position(F.array(*map(F.lit, CATEGORIES)), F.col("category")), "slug")
