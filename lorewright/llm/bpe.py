@@ -27,7 +27,7 @@ from . import textops
 _END = "</w>"
 _ENDED = 0x1000
 #: Words that one worker remembers, in each of two generations.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 #: Texts of other characters are normalised and split by the library itself.
 ODD = re.compile("[^\t\n\r -~¡-±´-¸º»¿-įı-ſ]")
 #: The pattern of the vocabulary file, for the characters that ODD leaves.
@@ -71,7 +71,7 @@ class PrefixBPE:
     def compatible(self, a: int, b: int) -> bool:
         """Whether a text that merges into a, before one that merges into b, stays so."""
         if (found := self.known.get((a, b))) is None:
-            if len(self.known) > 400_000:
+            if len(self.known) > 200_000:
                 self.known.clear()
             found = self.known[a, b] = self._compatible(a, b)
         return found

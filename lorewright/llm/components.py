@@ -3,7 +3,7 @@
 Each round every node hooks to its least neighbour, chains are shortened by
 pointer jumping, and the links are rewritten to the nodes hooked to; links that
 fall together go.  Rounds needed grow with the logarithm of a component's
-width.  Every table of a round is checkpointed, so a lost executor costs one
+width.  Every table of a round is written, so a lost executor costs one
 round, and hubs meet only in joins that can be split and in pre-aggregated
 minima.
 """

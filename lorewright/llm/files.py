@@ -20,6 +20,14 @@ def make_dir(uri: str) -> None:
     system.create_dir(path, recursive=True)
 
 
+def remove_dir(uri: str) -> None:
+    system, path = opened(uri)
+    try:
+        system.delete_dir(path)
+    except OSError:
+        pass  # gone already
+
+
 def read_range(uri: str, offset: int, length: int) -> bytes:
     system, path = opened(uri)
     with system.open_input_file(path) as f:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import runtime, textops
 
 #: Labelled rows that the classifier is fitted on, at most.
-MAX_LABELLED = 7000
+MAX_LABELLED = 5000
 #: Words that it may use, at most; documents that a word must be in, and share
 #: of the bad ones.  Near copies count once (so many of so many minima equal).
 MAX_WORDS, WORD_SUPPORT, WORD_SHARE = 256, 8, 0.008
@@ -261,7 +261,7 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         return rows.select(F.col("id").alias(key), "text_hash", F.lit(0.0).alias("evidence"), none.alias("host_rate"), none.alias("site_rate"), none.alias("p_bad"), F.lit(True).alias("keep"))
     columns = ["id", "text_hash", "host", "path"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*columns).schema) + ", evidence double"
-    scored = runtime.cut(rows.mapInArrow(_evidence(model, "text", columns), schema))
+    scored = runtime.cut(rows, _evidence(model, "text", columns), schema)
     # Rows with the evidence's probability under the sample's base rate.
     odds = F.exp(F.least(F.lit(30.0), F.greatest(F.lit(-30.0), F.col("evidence") + float(np.log(model.base / (1 - model.base))))))
     paths = runtime.cut(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(odds / (1 + odds)).alias("s")))

@@ -8,9 +8,12 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import files
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as a URI or path.
@@ -38,10 +41,50 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{base}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
+def cut(df: DataFrame, fn=None, schema: str | None = None) -> DataFrame:
+    """Cut the lineage: write the rows as a table in the shared folder, read it.
+
+    With ``fn`` and ``schema`` what is written is ``df.mapInArrow(fn, schema)``, in
+    the same Python worker: two in one task would take twice the memory.
+
+    Each task writes a file under a name of its attempt and then gives it the
+    name of its partition, so a task that runs again replaces its own rows.  The
+    files' sizes are all that later plans estimate from, so loops may join the
+    result again and again.  Folders are removed when the driver ends.
+    """
+    folder = fresh_dir(df.sparkSession, "cut")
+    kind = df.schema if fn is None else df.sparkSession.createDataFrame([], schema).schema
+    files.make_dir(folder)
+    atexit.register(files.remove_dir, folder)
+
+    def write(batches):
+        writer = None
+        system, base = files.opened(folder)
+        name = files.attempt_name()
+        for batch in batches if fn is None else fn(batches):
+            if len(batch):
+                writer = writer or pq.ParquetWriter(f"{base}/_{name}", batch.schema, filesystem=system)
+                writer.write_batch(batch)
+        if writer:
+            writer.close()
+            system.move(f"{base}/_{name}", f"{base}/{name.partition('-')[0]}.parquet")
+        yield from ()
+
+    df.mapInArrow(write, "done boolean").collect()
+    return df.sparkSession.read.schema(kind).parquet(folder)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a checkpoint in the shared folder, in the JVM alone.
+
+    A checkpoint keeps its plan's size estimate, and joins multiply estimates, so
+    in loops the numbers would overflow.  The rows are given to a new frame,
+    which has none.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(kept._jdf.javaRDD(), kept._jdf.schema()), spark)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -239,7 +239,7 @@ def link_fingerprints(distinct: DataFrame, bits: int) -> DataFrame:
 
     keyed = distinct.select(F.explode(F.array(*[key(t, x[1:]) for t, x in enumerate(tables)])).alias("key"), "fp")
     dealt = keyed.repartition(n, "key").sortWithinPartitions("key")
-    found = runtime.cut(dealt.mapInArrow(_find(tables, bits), "key long, block int, a long, b long"))
+    found = runtime.cut(dealt, _find(tables, bits), "key long, block int, a long, b long")
     links = found.where("b is not null").select("a", "b")
     large = found.where("b is null").select("key", "block", F.col("a").alias("fp"))
     if large.isEmpty():
@@ -248,8 +248,8 @@ def link_fingerprints(distinct: DataFrame, bits: int) -> DataFrame:
     spread = large.join(last, "key").select("key", "fp", "block", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other"))
     pairs = spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp")
     dealt = pairs.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = dealt.mapInArrow(_find_blocks(tables, bits), "key long, block int, a long, b long")
-    return links.unionByName(runtime.cut(more).select("a", "b"))
+    more = runtime.cut(dealt, _find_blocks(tables, bits), "key long, block int, a long, b long")
+    return links.unionByName(more.select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, words_each: int = 3, bits: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -267,7 +267,7 @@ def near_duplicates(docs: DataFrame, words_each: int = 3, bits: int = 3, key: st
     keys only has none.  Other columns are not looked at.
     """
     made = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = runtime.cut(made.mapInArrow(_fingerprint_rows("id", "text", words_each), "id long, fp long"))
+    rows = runtime.cut(made, _fingerprint_rows("id", "text", words_each), "id long, fp long")
     first = runtime.cut(rows.groupBy("fp").agg(F.min("id").alias("first")))
     roots = components.connected(link_fingerprints(first.select("fp"), bits), "a", "b")
     joined = first.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))

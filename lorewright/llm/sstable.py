@@ -431,7 +431,7 @@ def write_tables(docs: DataFrame, tokenizer: str, end_id: int, folder: str, key:
 
     packed = docs.select(key, text).mapInArrow(encode, "part int, blob binary")
     dealt = packed.repartition(n, "part").sortWithinPartitions("part")
-    written = runtime.cut(dealt.mapInArrow(write, "part int, file string, first_key long, last_key long, entries long, ids long"))
+    written = runtime.cut(dealt, write, "part int, file string, first_key long, last_key long, entries long, ids long")
     # One row per file: at most ``groups`` and one, whatever the input's size.
     listed = sorted(map(tuple, written.collect()))
     before, rows = 0, []

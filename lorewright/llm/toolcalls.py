@@ -59,32 +59,32 @@ def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
     length; what is left are the calls that need several, and a round settles
     one level of those.
     """
-    counts = runtime.cut(needs.groupBy("call_id").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")))
+    counts = runtime.checkpointed(needs.groupBy("call_id").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")))
     total = calls.count()
     single = counts.where("n = 1").select("call_id", F.col("need").alias("up"), F.lit(1).cast("long").alias("far"))
     # ``far`` is 0 where a walk ends: no need, or several.
     ends = calls.select("call_id").join(single.select("call_id"), "call_id", "left_anti").select("call_id", F.col("call_id").alias("up"), F.lit(0).cast("long").alias("far"))
-    walk = runtime.cut(single.unionByName(ends))
+    walk = runtime.checkpointed(single.unionByName(ends))
     for _ in range(max(1, total).bit_length() + 1):
         ahead = walk.select(F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("far").alias("more"))
-        doubled = runtime.cut(walk.join(ahead, "up").select("call_id", F.col("next").alias("up"), (F.col("far") + F.col("more")).alias("far"), "more"))
+        doubled = runtime.checkpointed(walk.join(ahead, "up").select("call_id", F.col("next").alias("up"), (F.col("far") + F.col("more")).alias("far"), "more"))
         walk = doubled.drop("more")
         if doubled.where("more > 0").isEmpty():
             break
     # Edges among the ends, each with the steps between.
     several = counts.where("n > 1").select("call_id")
     edges = needs.join(several, "call_id").join(walk.select(F.col("call_id").alias("need"), F.col("up").alias("from"), (F.col("far") + 1).alias("steps")), "need")
-    edges = runtime.cut(edges.groupBy("call_id", "from").agg(F.max("steps").alias("steps")))
-    left = runtime.cut(edges.groupBy("call_id").agg(F.count(F.lit(1)).alias("open"), F.lit(0).cast("long").alias("level")))
-    last = settled = runtime.cut(calls.select("call_id").join(counts.select("call_id"), "call_id", "left_anti").select("call_id", F.lit(0).cast("long").alias("level")))
+    edges = runtime.checkpointed(edges.groupBy("call_id", "from").agg(F.max("steps").alias("steps")))
+    left = runtime.checkpointed(edges.groupBy("call_id").agg(F.count(F.lit(1)).alias("open"), F.lit(0).cast("long").alias("level")))
+    last = settled = runtime.checkpointed(calls.select("call_id").join(counts.select("call_id"), "call_id", "left_anti").select("call_id", F.lit(0).cast("long").alias("level")))
     while not left.isEmpty():
         reached = edges.join(last.select(F.col("call_id").alias("from"), F.col("level").alias("of")), "from")
         met = reached.groupBy("call_id").agg(F.count(F.lit(1)).alias("met"), F.max(F.col("of") + F.col("steps")).alias("new"))
-        left = runtime.cut(left.join(met, "call_id", "left").select("call_id", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open"), F.greatest("level", F.coalesce("new", F.lit(0))).alias("level")))
+        left = runtime.checkpointed(left.join(met, "call_id", "left").select("call_id", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open"), F.greatest("level", F.coalesce("new", F.lit(0))).alias("level")))
         last = left.where("open = 0").select("call_id", "level")
         if last.isEmpty():
             break
-        settled = runtime.cut(settled.unionByName(last))
+        settled = runtime.checkpointed(settled.unionByName(last))
         left = left.where("open > 0")
     found = walk.join(settled.select(F.col("call_id").alias("up"), "level"), "up").select("call_id", (F.col("level") + F.col("far")).alias("level"))
     return calls.select("call_id").join(found, "call_id", "left")
@@ -109,10 +109,10 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     """
     order = F.struct("seq", "name", "arguments", "conv_id", "needs")
     one = calls.where("call_id is not null").groupBy("call_id").agg(F.min(order).alias("c"), F.count(F.lit(1)).alias("n_calls"))
-    one = runtime.cut(one.select("call_id", "n_calls", "c.*"))
+    one = runtime.checkpointed(one.select("call_id", "n_calls", "c.*"))
     first = results.where("call_id is not null").groupBy("call_id").agg(F.min(F.struct("seq", "content"))["content"].alias("result"), F.count(F.lit(1)).alias("n_results"))
     wanted = one.select("call_id", F.explode(F.array_distinct(F.coalesce("needs", F.array().cast("array<string>")))).alias("need"))
-    known = runtime.cut(wanted.join(one.select(F.col("call_id").alias("need"), F.lit(True).alias("is_call")), "need", "left"))
+    known = runtime.checkpointed(wanted.join(one.select(F.col("call_id").alias("need"), F.lit(True).alias("is_call")), "need", "left"))
     level = levels(one, known.where("is_call").select("call_id", "need"))
     unknown = known.where("is_call is null").groupBy("call_id").agg(F.count(F.lit(1)).alias("n_unknown"))
     met = one.join(first, "call_id", "left").join(level, "call_id", "left").join(unknown, "call_id", "left")

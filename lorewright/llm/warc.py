@@ -189,9 +189,9 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, key: str =
     repeats = digests.join(runtime.cut(latest), "sha1").where("page_id <> latest").select(F.col("page_id").alias("of"), F.col("sha1").alias("of_sha1"), "latest").distinct()
     own = F.unhex(F.sha1(F.col("html").cast("binary")))
     met = rows.repartition(n, "page_id").join(runtime.cut(repeats), (F.col("page_id") == F.col("of")) & (own == F.col("of_sha1")), "left")
-    captures = runtime.cut(met.select("page_id", "url", "html", "latest").mapInArrow(_write_records(folder, min_bytes), _CAPTURE_SQL))
+    captures = runtime.cut(met.select("page_id", "url", "html", "latest"), _write_records(folder, min_bytes), _CAPTURE_SQL)
     ordered = captures.repartitionByRange(n, "url_key", "page_id").sortWithinPartitions("url_key", "page_id")
-    return runtime.cut(ordered.mapInArrow(_write_index(folder), "file string, first_key string, last_key string, captures long"))
+    return runtime.cut(ordered, _write_index(folder), "file string, first_key string, last_key string, captures long")
 
 
 def _directory(uri: str) -> list[list]:
