@@ -136,5 +136,28 @@ def op10_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(runtime.documents(spark, sf_dir), words_each=3, bits=3)
 
 
+OP4_SQL = r"""
+with w as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+win as (select doc_id, i, array_to_string(ws[i:i + 12], ' ') as k from w, unnest(range(1, len(ws) - 11)) as t(i)),
+f as (select k, min(doc_id) as first from win group by k),
+cov as (select distinct doc_id, unnest(range(i, i + 13)) as pos from win join f using (k) where first < doc_id),
+words as (select doc_id, unnest(range(1, len(ws) + 1)) as pos, unnest(ws) as word from w)
+select w.doc_id, count(words.pos) as n_words, count(cov.pos) as n_removed, sha256(coalesce(string_agg(word, ' ' order by words.pos) filter (where cov.pos is null), '')) as kept_sha256
+from w left join words on words.doc_id = w.doc_id left join cov on cov.doc_id = words.doc_id and cov.pos = words.pos group by w.doc_id
+"""
+
+_WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP5_SQL = f"""
+with b as (select item_id, {_WORDS_SQL} as ws from benchmark), d as (select doc_id, {_WORDS_SQL} as ws from documents),
+pat as (select distinct item_id, least(13, len(ws)) as n, array_to_string(ws[i:i + least(13, len(ws)) - 1], ' ') as k from b, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) as t(i) where len(ws) > 0),
+win as (select doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') as k from d, (select distinct n from pat), unnest(range(1, len(ws) - n + 2)) as t(i)),
+occ as (select doc_id, i, n, item_id from win join pat using (n, k)),
+hit as (select doc_id, count(*) as n_hit from (select distinct doc_id, unnest(range(i, i + n)) as pos from occ) group by doc_id),
+its as (select doc_id, count(distinct item_id) as n_items, array_to_string(list_sort(list(distinct cast(item_id as varchar))), ',') as items from occ group by doc_id)
+select doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
+from d left join hit using (doc_id) left join its using (doc_id)
+"""
+
 QUERIES = {f.__name__: f for f in (op1_warc_capture_index, op2_content_chunks, op3_tool_call_linking, op4_substring_dedup, op5_benchmark_decontamination, op6_sorted_string_tables, op7_prefix_bpe, op8_hierarchical_quality, op9_jump_sharding, op10_simhash_pigeonring)}
-ORACLES: dict[str, str] = {op3_tool_call_linking.__name__: OP3_SQL}
+ORACLES: dict[str, str] = {op3_tool_call_linking.__name__: OP3_SQL, op4_substring_dedup.__name__: OP4_SQL, op5_benchmark_decontamination.__name__: OP5_SQL}
