@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..plans.lineage import cut
 from ..schema import SOURCES
 
 BATCH, STRIDE = 80, 72
@@ -41,6 +42,8 @@ def overlapping_batches(rows: DataFrame, order: list[str], size: int = BATCH, st
     partition.
     """
     spread = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
+    # The ranges are drawn from a sample; positions and counts must see the same ones.
+    spread = cut(spread)
     counts = spread.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"), F.min("__m").alias("__low"))
     before = counts.select("__p", "__low", F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     total = counts.agg(F.sum("__n").alias("__total"))
