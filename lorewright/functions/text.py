@@ -11,6 +11,7 @@ from ..schema import CATEGORY_OF
 SAME_NAME, CONTAINED = 0.96, 0.82
 ENTRY_ROOT = "knowledge/"
 SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1680}]"
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 USAGE_LIMIT = r"(?i)\b429\b|rate[_\s-]*limit|usage\s+limit|quota|too many requests"
 REVIEW_PREFIX = "(?i)^(missing[\\s-]?page[:：]\\s*|duplicate[\\s-]?page[:：]\\s*|possible[\\s-]?duplicate[:：]\\s*|缺失页面[:：]\\s*|缺少页面[:：]\\s*|重复页面[:：]\\s*|疑似重复[:：]\\s*)"
 CJK = "[\\x{4e00}-\\x{9fff}]"
@@ -21,7 +22,7 @@ RESERVED_NAMES = ("CON", "PRN", "AUX", "NUL", *(f"COM{i}" for i in range(1, 10))
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def nonempty(c: Column) -> Column:

@@ -68,16 +68,20 @@ def topology_key(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(``id``, ``component``): the least id that edges reach.
 
-    Nodes hook to their least neighbour, two pointer jumps shorten the chains,
-    and edges are rewritten; the rounds grow with the logarithm of the width.
+    Nodes hook to their least neighbour, pointer jumps lead all to the ends of
+    their chains, and edges are rewritten to the ends.  At least half of the nodes
+    go in a round, and jumps are as many as the logarithm of the longest chain.
     """
     both = edges.select(F.col("source").alias("x"), F.col("target").alias("y")).where("x <> y")
     left = cut_loop(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
     roots = nodes.select("id", F.col("id").alias("component")).distinct()
     while not left.isEmpty():
         hook = cut_loop(left.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("p")))
-        for _ in range(2):
-            hook = cut_loop(hook.join(hook.select(F.col("x").alias("p"), F.col("p").alias("q")), "p").select("x", F.col("q").alias("p")))
+        moved = True
+        while moved:
+            jump = cut_loop(hook.join(hook.select(F.col("x").alias("p"), F.col("p").alias("q")), "p").select("x", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved")))
+            moved = not jump.where("moved").isEmpty()
+            hook = jump.drop("moved")
         up = hook.select(F.col("x").alias("component"), F.col("p").alias("up"))
         roots = cut_loop(roots.join(up, "component", "left").select("id", F.coalesce("up", "component").alias("component")))
         near, far = hook.select("x", F.col("p").alias("px")), hook.select(F.col("x").alias("y"), F.col("p").alias("py"))
