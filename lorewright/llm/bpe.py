@@ -162,7 +162,7 @@ class WordCoder:
         return b"".join([x for x, _ in found]), b" ".join([x for _, x in found])
 
 
-_CODERS: dict[str, WordCoder] = {}
+_CODERS: dict[str, WordCoder] = textops.cache("bpe")
 
 
 def _coder(spec: str) -> WordCoder:
@@ -202,4 +202,4 @@ def encode_texts(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFra
                 yield pa.RecordBatch.from_arrays([*(chunk.column(c) for c in columns), *out], names=[*columns, *made])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(textops.lean(run, "bpe"), schema)

@@ -200,4 +200,4 @@ def edited_and_next(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     both = F.when(ghost.isNull(), F.array(own)).otherwise(F.array(own, F.struct(ghost.alias("part"), F.lit(1).alias("ghost"))))
     dealt = rows.select(F.explode(both).alias("p"), "id", "text").select("p.part", "p.ghost", "id", "text")
     met = dealt.repartition(n, "part").sortWithinPartitions("part", "ghost", "id", "text")
-    return met.mapInArrow(_compare, _OUT).withColumnRenamed("id", key)
+    return met.mapInArrow(textops.lean(_compare), _OUT).withColumnRenamed("id", key)

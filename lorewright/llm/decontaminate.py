@@ -68,7 +68,7 @@ class Matcher:
         return [(a, b) for a, b in spans], items
 
 
-_MATCHERS: dict[tuple, Matcher] = {}
+_MATCHERS: dict[tuple, Matcher] = textops.cache("decontaminate")
 
 
 def _matcher(sent) -> Matcher:
@@ -155,7 +155,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, k
         sent = _Sent(spark, (sorted(map(tuple, mine.collect()), key=str), width))
         out = out.withColumnsRenamed({c: f"__{c}" for c in made if c in out.columns})
         schema = T.StructType([*out.schema.fields, *(T.StructField(n, k) for n, k in _FOUND)])
-        scanned = out.mapInArrow(_scan(sent, text, out.columns), schema)
+        scanned = out.mapInArrow(textops.lean(_scan(sent, text, out.columns), "decontaminate"), schema)
         out = _joined(scanned, columns) if block else scanned
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 

@@ -213,7 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     chosen = labels.select(F.col(key).alias("of"), F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1.0).otherwise(0.0).alias("bad")).where(F.col("of").isNotNull())
     chosen = chosen.orderBy(F.xxhash64("of"), "bad").limit(max_labelled)
     joined = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("of"))
-    rows = sorted(map(tuple, joined.select("bad", "text").mapInArrow(_measured, "bad double, shapes array<double>, words binary").collect()))
+    rows = sorted(map(tuple, joined.select("bad", "text").mapInArrow(textops.lean(_measured), "bad double, shapes array<double>, words binary").collect()))
     bad = np.array([r[0] for r in rows])
     if not len(rows) or bad.min() == bad.max():
         return None
@@ -261,7 +261,7 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         return rows.select(F.col("id").alias(key), "text_hash", F.lit(0.0).alias("evidence"), none.alias("host_rate"), none.alias("site_rate"), none.alias("p_bad"), F.lit(True).alias("keep"))
     columns = ["id", "text_hash", "host", "path"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*columns).schema) + ", evidence double"
-    scored = runtime.cut(rows, _evidence(model, "text", columns), schema)
+    scored = runtime.cut(rows, textops.lean(_evidence(model, "text", columns)), schema)
     # Rows with the evidence's probability under the sample's base rate.
     odds = F.exp(F.least(F.lit(30.0), F.greatest(F.lit(-30.0), F.col("evidence") + float(np.log(model.base / (1 - model.base))))))
     paths = runtime.cut(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(odds / (1 + odds)).alias("s")))

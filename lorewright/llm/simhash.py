@@ -82,7 +82,7 @@ def _fingerprints(texts: list[bytes], words_each: int) -> np.ndarray:
 def _fingerprint_rows(key: str, text: str, words_each: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in textops.split_chunks(batch, text, textops.CHUNK_BYTES // 4):
+            for chunk in textops.split_chunks(batch, text, textops.CHUNK_BYTES // 2):
                 raw, offsets = textops.utf8(chunk.column(text))
                 data, at = raw.tobytes(), offsets.tolist()
                 made = _fingerprints([data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], words_each)
@@ -267,7 +267,7 @@ def near_duplicates(docs: DataFrame, words_each: int = 3, bits: int = 3, key: st
     keys only has none.  Other columns are not looked at.
     """
     made = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = runtime.cut(made, _fingerprint_rows("id", "text", words_each), "id long, fp long")
+    rows = runtime.cut(made, textops.lean(_fingerprint_rows("id", "text", words_each)), "id long, fp long")
     first = runtime.cut(rows.groupBy("fp").agg(F.min("id").alias("first")))
     roots = components.connected(link_fingerprints(first.select("fp"), bits), "a", "b")
     joined = first.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))

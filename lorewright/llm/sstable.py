@@ -328,7 +328,7 @@ class Encoder:
         return [flat[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = textops.cache("sstable")
 
 
 def _encoder(spec: str) -> Encoder:
@@ -429,9 +429,9 @@ def write_tables(docs: DataFrame, tokenizer: str, end_id: int, folder: str, key:
         if held:
             yield table()
 
-    packed = docs.select(key, text).mapInArrow(encode, "part int, blob binary")
+    packed = docs.select(key, text).mapInArrow(textops.lean(encode, "sstable"), "part int, blob binary")
     dealt = packed.repartition(n, "part").sortWithinPartitions("part")
-    written = runtime.cut(dealt, write, "part int, file string, first_key long, last_key long, entries long, ids long")
+    written = runtime.cut(dealt, textops.lean(write, "sstable"), "part int, file string, first_key long, last_key long, entries long, ids long")
     # One row per file: at most ``groups`` and one, whatever the input's size.
     listed = sorted(map(tuple, written.collect()))
     before, rows = 0, []
@@ -476,7 +476,7 @@ def read_tables(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFr
                 if out[0]:
                     yield _read_rows(out)
 
-    return named.select("content", "ids_before").mapInArrow(parse, "key long, start long, n_tokens long, ids binary")
+    return named.select("content", "ids_before").mapInArrow(textops.lean(parse, "sstable"), "key long, start long, n_tokens long, ids binary")
 
 
 def _read_rows(out: list[list]) -> pa.RecordBatch:

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from . import runtime, textops
 
 PART = 5
-FLUSH_BYTES = 12 << 20
+FLUSH_BYTES = 16 << 20
 SPLIT_WINDOWS = 4 << 20
 _ROW = "kind int, dest int, blob binary"
 _SCHEMA = pa.schema([("kind", pa.int32()), ("dest", pa.int32()), ("blob", pa.binary())])
@@ -300,9 +300,9 @@ def remove_repeats(docs: DataFrame, width: int = 13, key: str = "doc_id", text:
     docs = docs.select(*[docs[c] for c in columns])
     n = runtime.partitions(docs.sparkSession)
     buckets = groups = 2 * n
-    sent = docs.select(key, text).mapInArrow(_send_windows(key, text, width, buckets, groups), _ROW)
-    marks = sent.repartition(n, "kind", "dest").sortWithinPartitions("kind", "dest").mapInArrow(_mark_windows(groups), _ROW)
-    texts = docs.mapInArrow(_send_texts(key, groups), _ROW)
+    sent = docs.select(key, text).mapInArrow(textops.lean(_send_windows(key, text, width, buckets, groups)), _ROW)
+    marks = sent.repartition(n, "kind", "dest").sortWithinPartitions("kind", "dest").mapInArrow(textops.lean(_mark_windows(groups)), _ROW)
+    texts = docs.mapInArrow(textops.lean(_send_texts(key, groups)), _ROW)
     met = marks.unionByName(texts).repartition(n, "dest").sortWithinPartitions("dest", "kind")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-    return met.mapInArrow(_apply(columns, key, text, width, keep_layout), schema)
+    return met.mapInArrow(textops.lean(_apply(columns, key, text, width, keep_layout)), schema)

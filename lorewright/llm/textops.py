@@ -7,18 +7,58 @@ is some tens of nanoseconds and memory is bounded by the chunk, not the table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 SPACE = bytes([0x20, *range(0x09, 0x0E)])
 
 _U = np.uint64
 _BASE, _STEP = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
 
 
+#: What operators keep in a worker between tasks, by operator.
+CACHES: dict[str, dict] = {}
+
+
+def cache(name: str) -> dict:
+    return CACHES.setdefault(name, {})
+
+
+def lean(fn: Callable, own: str | None = None) -> Callable:
+    """``fn`` over Arrow batches, with little left in an idle worker.
+
+    Workers serve one operator after another: what others have cached goes
+    before, and freed memory is given back after.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget(own)
+        try:
+            yield from fn(batches)
+        finally:
+            _give_back()
+
+    return run
+
+
+def _forget(own: str | None) -> None:
+    for name, kept in CACHES.items():
+        if name != own:
+            kept.clear()
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def split_chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``limit`` bytes of text, a row at least."""
     _, offsets = utf8(batch.column(text))
