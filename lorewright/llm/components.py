@@ -1,11 +1,11 @@
 """Connected components of a link table, by contraction.
 
-Each round every node hooks to its least neighbour, chains are shortened by
-pointer jumping, and the links are rewritten to the nodes hooked to; links that
-fall together go.  Rounds needed grow with the logarithm of a component's
-width.  Every table of a round is written, so a lost executor costs one
-round, and hubs meet only in joins that can be split and in pre-aggregated
-minima.
+Each round every node hooks to its least neighbour, pointer jumps lead all to
+the ends of their chains, and the links are rewritten to the ends; links that
+fall together go.  At least half of the nodes go in a round, and a round has
+as many jumps as the logarithm of its longest chain.  Every table of a round is
+written, so a lost executor costs one round, and hubs meet only in joins that
+can be split and in pre-aggregated minima.
 """
 
 from __future__ import annotations
@@ -23,9 +23,12 @@ def connected(links: DataFrame, left: str, right: str) -> DataFrame:
     roots = None
     while not edges.isEmpty():
         hooked = runtime.cut(edges.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("p")))
-        for _ in range(2):
+        moved = True
+        while moved:
             up = hooked.select(F.col("x").alias("p"), F.col("p").alias("q"))
-            hooked = runtime.cut(hooked.join(up, "p").select("x", F.col("q").alias("p")))
+            jumped = runtime.cut(hooked.join(up, "p").select("x", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved")))
+            moved = not jumped.where("moved").isEmpty()
+            hooked = jumped.drop("moved")
         if roots is None:
             roots = hooked.select(F.col("x").alias("node"), F.col("p").alias("root"))
         else:
