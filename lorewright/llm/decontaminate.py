@@ -106,7 +106,7 @@ def _scan(sent: _Sent, text: str, columns: list[str]):
                     out[1].append(sum(y - x for x, y in spans))
                     out[2].append([x for x, _ in spans])
                     out[3].append([y for _, y in spans])
-                    out[4].append(sorted(map(str, items)))
+                    out[4].append(sorted(str(x) for x in items if x is not None))
                 kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()))
                 made = [pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(chunk.column(c) for c in columns), *made], names=[*columns, "n_words", "n_hit", "hit_from", "hit_to", "items"])
@@ -140,18 +140,19 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, k
     The items are collected in blocks of at most about ``item_bytes`` of text;
     each block's size is bounded before it is broadcast, however many blocks
     there are.  Null and empty texts have no words; an empty benchmark hits
-    nothing; repeated items count by id.  Input columns named as the results
+    nothing; repeated items count by id.  An item without an id hits as others
+    do, but ``items`` does not name it.  Input columns named as the results
     are dropped in their favour.
     """
     spark = docs.sparkSession
     made = ("n_words", "n_hit", "hit_from", "hit_to", "items", "contaminated")
     columns = [c for c in docs.columns if c not in made]
     out = docs.select(*[docs[c] for c in columns])
-    items = benchmark.select(F.col(key).alias("item"), F.col(text).alias("body")).dropna()
+    items = benchmark.select(F.col(key).alias("item"), F.col(text).alias("body")).where("body is not null")
     total = items.agg(F.sum(F.octet_length("body")).alias("b")).first()["b"] or 0
     blocks = -(-total // item_bytes) or 1
     for block in range(blocks):
-        mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
+        mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == block)
         sent = _Sent(spark, (sorted(map(tuple, mine.collect()), key=str), width))
         out = out.withColumnsRenamed({c: f"__{c}" for c in made if c in out.columns})
         schema = T.StructType([*out.schema.fields, *(T.StructField(n, k) for n, k in _FOUND)])

@@ -153,6 +153,16 @@ def test_decontamination_empty(spark, docs, no_docs):
     assert decontaminate.find_contamination(no_docs, none).count() == 0
 
 
+@pytest.mark.parametrize("item_bytes", [1 << 20, 150])
+def test_decontamination_null_ids(spark, item_bytes):
+    """Items without an id hit, and are not named."""
+    body = [" ".join(f"w{k}x{i}" for i in range(20)) for k in range(5)]
+    benchmark = spark.createDataFrame([(None, body[0]), (7, body[1]), (None, body[2]), (8, None)], "item_id long, text string")
+    texts = [body[0], body[1], f"{body[2]} {body[1]}", body[3]]
+    got = decontaminate.find_contamination(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), benchmark, item_bytes=item_bytes)
+    assert sorted((r["doc_id"], r["n_hit"], r["items"], r["contaminated"]) for r in got.collect()) == [(0, 20, [], True), (1, 20, ["7"], True), (2, 40, ["7"], True), (3, 0, [], False)]
+
+
 # --- SimHash
 
 
