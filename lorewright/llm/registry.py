@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chunks, decontaminate, quality, runtime, sharding, simhash, sstable, substring, toolcalls, warc
 
-#: Where the vocabulary files are; the operators take a path.
-TOKENIZERS = os.environ.get("LOREWRIGHT_TOKENIZERS", "/opt/tokenizers")
 END_ID = 2
 SHARDS = 40
 WINDOW = 13
@@ -29,70 +26,82 @@ def op2_content_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TOOLS = {
     "search": {"properties": {"query": "string", "limit": "integer"}, "required": ["limit", "query"]},
-    "translate": {"properties": {"text": "string", "to": "string"}, "required": ["text", "to"]},
+    "translate": {"properties": {"text": "string", "to.lang": "string"}, "required": ["text", "to.lang"]},
 }
 
 
 def op3_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every assistant turn as a call that the turn after it answers.
+    """Every assistant turn as a call, every other turn as a result of the turn before.
 
     The table has no calls, so tool and arguments follow from conversation and
-    turn: every third call names a tool without a schema, some lack an argument
-    or give it another type, and each needs the call two turns before.
+    turn: every third call names a tool without a schema, some lack an argument,
+    give it another type or have no identifier.  A call needs those of two and
+    four turns before; identifiers repeat in all conversations.
     """
     turns = runtime.documents(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    call_id = lambda turn: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
+    call_id = lambda turn: F.concat(F.lit("call_"), turn.cast("string"))
     kind, case = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(3)), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(5))
     body = toolcalls.json_string(F.col("text"))
-    limit = F.when(case == 0, F.lit('"9"')).otherwise(F.col("turn").cast("string"))
+    limit = F.when(case == 0, F.lit('"9"')).when(case == 3, F.concat(F.col("turn").cast("string"), F.lit(".50e1"))).otherwise(F.concat(F.col("turn").cast("string"), F.lit(".0")))
     arguments = (
         F.when((kind == 0) & (case == 1), F.concat(F.lit('{"query": '), body, F.lit("}")))
         .when(kind == 0, F.concat(F.lit('{"query": '), body, F.lit(', "limit": '), limit, F.lit("}")))
         .when((kind == 1) & (case == 2), F.lit("{broken"))
-        .otherwise(F.concat(F.lit('{"to": "en", "text": '), body, F.lit("}")))
+        .otherwise(F.concat(F.lit('{"to.lang": "en", "text": '), body, F.lit("}")))
     )
     name = F.when(kind == 0, F.lit("search")).when(kind == 1, F.lit("translate")).otherwise(F.lit("run"))
-    needs = F.when(F.col("turn") >= 2, F.array(call_id(F.col("turn") - 2))).otherwise(F.array().cast("array<string>"))
-    calls = turns.where("role = 'assistant'").select("conv_id", call_id(F.col("turn")).alias("call_id"), F.col("turn").alias("seq"), name.alias("name"), arguments.alias("arguments"), needs.alias("needs"))
-    results = turns.where("role <> 'assistant' and turn > 0").select(call_id(F.col("turn") - 1).alias("call_id"), F.col("turn").alias("seq"), F.col("text").alias("content"))
+    own = F.when(F.pmod(F.col("conv_id") + F.col("turn"), F.lit(11)) != 5, call_id(F.col("turn")))
+    needs = F.filter(F.array(*(F.when(F.col("turn") >= k, call_id(F.col("turn") - k)) for k in (2, 4))), lambda x: x.isNotNull())
+    calls = turns.where("role = 'assistant'").select("conv_id", own.alias("call_id"), F.col("turn").alias("seq"), name.alias("name"), arguments.alias("arguments"), needs.alias("needs"))
+    results = turns.where("role <> 'assistant' and turn > 0").select("conv_id", call_id(F.col("turn") - 1).alias("call_id"), F.col("turn").alias("seq"), F.col("text").alias("content"))
     out = toolcalls.link_calls(calls, results, TOOLS)
     return out.select("conv_id", "call_id", "seq", "level", "name", "n_results", F.array_join("errors", ",").alias("errors"), F.sha2("canonical", 256).alias("canonical_sha256"))
 
 
 OP3_SQL = """
 with recursive calls as (
-  select conv_id, turn, 'c' || conv_id || '-' || turn as call_id, text, (conv_id + turn) % 3 as kind, (conv_id + turn) % 5 as kase
+  select conv_id, turn, case when (conv_id + turn) % 11 <> 5 then 'call_' || turn end as call_id, text, (conv_id + turn) % 3 as kind, (conv_id + turn) % 5 as kase,
+    row_number() over (order by conv_id, turn) as n
   from conversations where role = 'assistant'
-), lev as (
-  select c.conv_id, c.turn, cast(0 as bigint) as level from calls c
-  where not exists (select 1 from calls p where p.conv_id = c.conv_id and p.turn = c.turn - 2)
-  union all
-  select c.conv_id, c.turn, l.level + 1 from lev l join calls c on c.conv_id = l.conv_id and c.turn = l.turn + 2
-), res as (
-  select conv_id, turn - 1 as turn, count(*) as n_results, min(text) as result from conversations
-  where role <> 'assistant' and turn > 0 group by all
+), needs as (
+  select c.conv_id, c.turn, c.turn - k as need, p.conv_id is not null as known
+  from calls c, (select unnest([2, 4]) as k) left join calls p on p.conv_id = c.conv_id and p.turn = c.turn - k and p.call_id is not null
+  where c.turn >= k and c.call_id is not null
+), paths as (
+  select conv_id, turn, cast(0 as bigint) as level from calls where call_id is not null
+  union
+  select n.conv_id, n.turn, p.level + 1 from paths p join needs n on n.conv_id = p.conv_id and n.need = p.turn and n.known
+), lev as (select conv_id, turn, max(level) as level from paths group by all),
+lost as (select distinct conv_id, turn from needs where not known),
+res as (
+  select conv_id, 'call_' || turn - 1 as call_id, count(*) as n_results, min(turn) as turn, min(text) as result from conversations
+  where role <> 'assistant' and turn > 0 group by conv_id, turn - 1
 ), met as (
-  select c.*, l.level, coalesce(r.n_results, 0) as n_results, r.result,
-    case kind when 0 then 'search' when 1 then 'translate' else 'run' end as name,
-    case when kind = 0 and kase = 1 then json_object('query', text)
-      when kind = 0 and kase = 0 then json_object('limit', '9', 'query', text)
-      when kind = 0 then json_object('limit', c.turn, 'query', text)
-      when kind = 1 and kase = 2 then null
-      else json_object('text', text, 'to', 'en') end as args,
+  select coalesce(c.conv_id, r.conv_id) as conv_id, coalesce(c.call_id, r.call_id) as call_id, coalesce(c.turn, r.turn) as seq, c.n is not null as is_call, c.turn, c.text, kind, kase, l.level,
+    coalesce(r.n_results, 0) as n_results, r.result, lost.turn is not null as is_lost
+  from calls c full join res r on r.conv_id = c.conv_id and r.call_id = c.call_id
+  left join lev l on l.conv_id = c.conv_id and l.turn = c.turn and c.call_id is not null left join lost on lost.conv_id = c.conv_id and lost.turn = c.turn
+), said as (
+  select *, case kind when 0 then 'search' when 1 then 'translate' when 2 then 'run' end as name,
+    case when not is_call or kind = 1 and kase = 2 then null
+      when kind = 0 and kase = 1 then '{"query":' || coalesce(cast(to_json(text) as varchar), 'null') || '}'
+      when kind = 0 then '{"limit":' || case kase when 0 then '"9"' when 3 then cast(10 * turn + 5 as varchar) else cast(turn as varchar) end || ',"query":' || coalesce(cast(to_json(text) as varchar), 'null') || '}'
+      else '{"text":' || coalesce(cast(to_json(text) as varchar), 'null') || ',"to.lang":"en"}' end as args,
     list_sort(list_filter([
       case when kind = 2 then 'unknown tool: run' end,
       case when kind = 0 and kase = 1 then 'missing: limit' end,
       case when kind = 0 and text is null then 'missing: query' end,
       case when kind = 0 and kase = 0 then 'not integer: limit' end,
       case when kind = 1 and kase = 2 then 'not JSON' when kind = 1 and text is null then 'missing: text' end,
-      case when r.n_results is null then 'no result' end,
-      case when c.turn >= 2 and l.level = 0 then 'unknown need' end], lambda x: x is not null)) as errors
-  from calls c join lev l using (conv_id, turn) left join res r using (conv_id, turn)
+      case when not is_call then 'no call' when n_results = 0 then 'no result' end,
+      case when call_id is null then 'no id' end,
+      case when is_lost then 'unknown need' end], lambda x: x is not null)) as errors
+  from met
 )
-select conv_id, call_id, turn as seq, level, name, n_results, array_to_string(errors, ',') as errors,
-  sha256('{"arguments":' || coalesce(cast(args as varchar), 'null') || ',"errors":' || cast(to_json(errors) as varchar) || ',"id":"' || call_id
-    || '","level":' || level || ',"name":"' || name || '","result":' || coalesce(cast(to_json(result) as varchar), 'null') || '}') as canonical_sha256
-from met
+select conv_id, call_id, seq, level, name, n_results, array_to_string(errors, ',') as errors,
+  sha256('{"arguments":' || coalesce(args, 'null') || ',"errors":' || cast(to_json(errors) as varchar) || ',"id":' || coalesce('"' || call_id || '"', 'null')
+    || ',"level":' || coalesce(cast(level as varchar), 'null') || ',"name":' || coalesce('"' || name || '"', 'null') || ',"result":' || coalesce(cast(to_json(result) as varchar), 'null') || '}') as canonical_sha256
+from said
 """
 
 
@@ -110,13 +119,13 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op6_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = runtime.documents(spark, sf_dir).select("doc_id", "text")
     folder = runtime.fresh_dir(spark, "tables")
-    manifest = sstable.write_tables(docs, f"{TOKENIZERS}/byte_bpe_50k.json", END_ID, folder)
+    manifest = sstable.write_tables(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID, folder)
     out = sstable.read_tables(spark, manifest, folder)
     return out.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = bpe.encode_texts(runtime.documents(spark, sf_dir).select("doc_id", "text"), f"{TOKENIZERS}/word_bpe_49k.json")
+    out = bpe.encode_texts(runtime.documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

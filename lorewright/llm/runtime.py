@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
 
-import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,14 +18,18 @@ from . import files
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as a URI or path.
 
-    It is what ``spark.checkpoint.dir`` names.  Only where that is unset, as
-    in local tests, a temporary folder is made and removed at exit.
+    It is what ``spark.checkpoint.dir`` names.  Where that is unset and all runs
+    on this machine (``local`` masters, as in tests) a temporary folder is made
+    and removed at exit; on a cluster that would be a folder of the driver's
+    alone, so there an unset one is an error.
     """
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not set_dir:
         if context._jsc.sc().getCheckpointDir().isDefined():
             return context._jsc.sc().getCheckpointDir().get()
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         set_dir = tempfile.mkdtemp(prefix="lorewright-")
         atexit.register(shutil.rmtree, set_dir, ignore_errors=True)
     if context._jsc.sc().getCheckpointDir().isEmpty():
@@ -34,57 +38,66 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
-    """A new folder name below the shared folder; a URI with a scheme."""
+    """A new folder name below the shared folder, a URI with a scheme.
+
+    Folders are removed when the driver ends, unless ``release`` does so before.
+    """
     base = shared_dir(spark).rstrip("/")
     if "://" not in base and not base.startswith("file:"):
         base = "file://" + os.path.abspath(base)
-    return f"{base}/{label}-{uuid.uuid4().hex}"
+    made = f"{base}/{label}-{uuid.uuid4().hex}"
+    atexit.register(files.remove_dir, made)
+    return made
 
 
 def cut(df: DataFrame, fn=None, schema: str | None = None) -> DataFrame:
     """Cut the lineage: write the rows as a table in the shared folder, read it.
 
-    With ``fn`` and ``schema`` what is written is ``df.mapInArrow(fn, schema)``, in
-    the same Python worker: two in one task would take twice the memory.
-
-    Each task writes a file under a name of its attempt and then gives it the
-    name of its partition, so a task that runs again replaces its own rows.  The
-    files' sizes are all that later plans estimate from, so loops may join the
-    result again and again.  Folders are removed when the driver ends.
+    With ``fn`` and ``schema`` what is written is ``df.mapInArrow(fn, schema)``.
+    Spark's committer takes one attempt of each task.  The files' sizes are all
+    that later plans estimate from, so loops may join the result again and again.
     """
+    made = df if fn is None else df.mapInArrow(fn, schema)
     folder = fresh_dir(df.sparkSession, "cut")
-    kind = df.schema if fn is None else df.sparkSession.createDataFrame([], schema).schema
-    files.make_dir(folder)
-    atexit.register(files.remove_dir, folder)
-
-    def write(batches):
-        writer = None
-        system, base = files.opened(folder)
-        name = files.attempt_name()
-        for batch in batches if fn is None else fn(batches):
-            if len(batch):
-                writer = writer or pq.ParquetWriter(f"{base}/_{name}", batch.schema, filesystem=system)
-                writer.write_batch(batch)
-        if writer:
-            writer.close()
-            system.move(f"{base}/_{name}", f"{base}/{name.partition('-')[0]}.parquet")
-        yield from ()
-
-    df.mapInArrow(write, "done boolean").collect()
-    return df.sparkSession.read.schema(kind).parquet(folder)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the shared folder, in the JVM alone.
-
-    A checkpoint keeps its plan's size estimate, and joins multiply estimates, so
-    in loops the numbers would overflow.  The rows are given to a new frame,
-    which has none.
-    """
-    shared_dir(df.sparkSession)
-    kept = df.checkpoint(eager=True)
-    spark = df.sparkSession
-    return DataFrame(spark._jsparkSession.createDataFrame(kept._jdf.javaRDD(), kept._jdf.schema()), spark)
+    made.write.parquet(folder)
+    out = df.sparkSession.read.schema(made.schema).parquet(folder)
+    out._cut_folder = folder
+    return out
+
+
+class Rounds:
+    """Tables of a loop's rounds in one folder: each is written once, all are read at the end."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n, self.schema = spark, fresh_dir(spark, "rounds"), 0, None
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Write a round's rows and give them back."""
+        at, self.schema, self.n = f"{self.folder}/round={self.n}", df.schema, self.n + 1
+        df.write.parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).option("basePath", self.folder).option("recursiveFileLookup", True).parquet(self.folder)
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove the folders of tables from ``cut`` that no plan will read again."""
+    for df in tables:
+        files.remove_dir(df._cut_folder)
+
+
+def integer_key(df: DataFrame, key: str) -> None:
+    """Raise a TypeError if the column is no integer."""
+    kind = df.schema[key].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{key} must be an integer column, not {kind}")
+
+
+def estimated_bytes(df: DataFrame, text: str) -> int:
+    """What the rows take: the sizes of files as Spark knows them, else the texts' bytes."""
+    known = int(str(df.select(text)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return known if known < 1 << 58 else df.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
 
 
 def partitions(spark: SparkSession) -> int:

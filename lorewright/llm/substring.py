@@ -1,17 +1,22 @@
 """Removal of word windows that an earlier document already holds.
 
 Every window of ``width`` consecutive words is hashed (Rabin-Karp over word
-hashes) and the occurrences are counted in Spark: grouped by hash, the least
-document id of each hash is found, and every occurrence in a larger document
-is marked.  Marked windows merge into maximal intervals of words, which go.
+hashes, 96 bits from two bases) and the occurrences are counted in Spark:
+grouped by hash, the least document id of each hash is found, and every
+occurrence in a larger document is marked.  Marked windows merge into maximal
+intervals of words, which go.  Of 10^13 windows, as 100 TB of text have, less
+than one pair in a thousand corpora is expected to share a hash by chance.
 
 What moves is packed.  Consecutive windows mostly share the least hash of
 their five-word parts and are dealt by it, so one row holds many runs of
-windows and a window costs little more than its eight hash bytes.  Within a
-chunk of texts only the least document's occurrence of a hash is sent on, so a
-passage that a third of all rows share arrives once per chunk.  Texts move
-once, compressed, to meet their marks.  Nothing is collected, and each task
-holds one bucket.
+windows and a window costs little more than its hash.  A part that common
+wording puts into too many windows is dealt by the windows' own hashes instead;
+such parts are found in a sample, which decides where windows meet but not
+which.  Within a chunk of texts only the least document's occurrence of a hash
+is sent on, and of a common part's windows that within a task, so a passage
+that a third of all rows share arrives once per task.  Buckets are as many as
+the input's size asks for.  Texts move once, compressed, to meet their marks.
+Nothing but the common parts' hashes, at most ``MAX_HOT``, reaches the driver.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import runtime, textops
@@ -30,10 +36,19 @@ from . import runtime, textops
 PART = 5
 FLUSH_BYTES = 16 << 20
 SPLIT_WINDOWS = 4 << 20
+#: Input bytes for each bucket of windows and each group of texts.
+BUCKET_BYTES = 8 << 20
+#: Windows of one part that are too many for a bucket; such parts at most.
+HOT_WINDOWS, MAX_HOT = 200_000, 1_000_000
+#: The sample that they are found in: so many bytes of input, or this share.
+SAMPLE_BYTES, SAMPLE_SHARE = 64 << 20, 0.001
+#: Windows of common parts that a task remembers.
+REMEMBERED = 1 << 20
 _ROW = "kind int, dest int, blob binary"
 _SCHEMA = pa.schema([("kind", pa.int32()), ("dest", pa.int32()), ("blob", pa.binary())])
 _MARK, _WINDOW, _TEXT = 0, 1, 2
 _U = np.uint64
+_OTHER_STEP = _U(0xD6E8FEB86659FD93)
 
 
 def _dest(key: np.ndarray, n: int) -> np.ndarray:
@@ -46,23 +61,24 @@ def _tags(batch: pa.RecordBatch, text: str) -> np.ndarray:
     return np.array([zlib.crc32(view[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.uint32)
 
 
-def _pack(doc: np.ndarray, tag: np.ndarray, pos: np.ndarray, run: np.ndarray, hashes: np.ndarray) -> bytes:
+def _pack(doc: np.ndarray, tag: np.ndarray, pos: np.ndarray, run: np.ndarray, hashes: np.ndarray, low: np.ndarray) -> bytes:
     head = np.array([len(doc), len(hashes)], np.int64).tobytes()
     delta = np.diff(doc, prepend=0)
-    return b"".join((head, delta.tobytes(), tag.tobytes(), pos.astype(np.uint32).tobytes(), run.astype(np.uint8).tobytes(), hashes.tobytes()))
+    return b"".join((head, delta.tobytes(), hashes.tobytes(), tag.tobytes(), pos.astype(np.uint32).tobytes(), low.tobytes(), run.astype(np.uint8).tobytes()))
 
 
 def _unpack(blob: bytes):
+    """Of a blob: doc, tag, position and length of each run, both hashes of each window."""
     runs, windows = np.frombuffer(blob, np.int64, 2)
     at, out = 16, []
-    for kind, n in ((np.int64, runs), (np.uint32, runs), (np.uint32, runs), (np.uint8, runs), (np.uint64, windows)):
+    for kind, n in ((np.int64, runs), (np.uint64, windows), (np.uint32, runs), (np.uint32, runs), (np.uint32, windows), (np.uint8, runs)):
         out.append(np.frombuffer(blob, kind, int(n), at))
         at += int(n) * np.dtype(kind).itemsize
-    out[0] = np.cumsum(out[0])
-    return out
+    doc, hashes, tag, pos, low, run = out
+    return np.cumsum(doc), tag, pos, run, hashes, low
 
 
-def _packed_runs(dest: np.ndarray, doc: np.ndarray, tag: np.ndarray, pos: np.ndarray, hashes: np.ndarray | None) -> list[tuple[int, bytes]]:
+def _packed_runs(dest: np.ndarray, doc: np.ndarray, tag: np.ndarray, pos: np.ndarray, hashes: np.ndarray | None = None, low: np.ndarray | None = None) -> list[tuple[int, bytes]]:
     """Blobs by destination of windows, those one after the other as one run."""
     if not len(doc):
         return []
@@ -75,13 +91,13 @@ def _packed_runs(dest: np.ndarray, doc: np.ndarray, tag: np.ndarray, pos: np.nda
     if length.max() > 255:
         first = np.concatenate([np.arange(f, f + n, 255) for f, n in zip(first, length, strict=True)])
         length = np.diff(first, append=len(doc))
-    hashes = hashes[order] if hashes is not None else np.zeros(0, np.uint64)
+    hashes, low = (hashes[order], low[order]) if hashes is not None else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
     edge = np.flatnonzero(np.diff(dest[first], prepend=-1))
     out = []
     for a, b in zip(edge, [*edge[1:], len(first)], strict=True):
         lo, hi = first[a], first[b] if b < len(first) else len(doc)
         runs = first[a:b]
-        out.append((int(dest[lo]), _pack(doc[runs], tag[runs], pos[runs], length[a:b], hashes[lo:hi] if len(hashes) else hashes)))
+        out.append((int(dest[lo]), _pack(doc[runs], tag[runs], pos[runs], length[a:b], hashes[lo:hi], low[lo:hi])))
     return out
 
 
@@ -91,8 +107,19 @@ def _rows(kind: int, made: list[tuple[int, bytes]]) -> pa.RecordBatch:
     )
 
 
+def _least_parts(words: np.ndarray, width: int) -> np.ndarray:
+    """For each window the least hash among its parts."""
+    part = min(PART, width)
+    least = textops.window_hashes(words, part)
+    n = max(0, len(words) - width + 1)
+    low = least[:n].copy()
+    for k in range(1, width - part + 1):
+        np.minimum(low, least[k : k + n], out=low)
+    return low
+
+
 def _chunk_windows(batch: pa.RecordBatch, key: str, text: str, width: int):
-    """Of a chunk: doc, tag, pos, hash and part hash of each window."""
+    """Of a chunk: doc, tag, pos, both hashes and part hash of each window."""
     ids = batch.column(key)
     if ids.null_count:
         batch = batch.filter(ids.is_valid())
@@ -102,53 +129,103 @@ def _chunk_windows(batch: pa.RecordBatch, key: str, text: str, width: int):
         order = np.argsort(doc, kind="stable")
         batch, doc = batch.take(pa.array(order)), doc[order]
     raw, offsets = textops.utf8(batch.column(text))
-    starts, ends, first = textops.word_spans(raw, offsets, textops.NOT_SPACE)
-    words = textops.span_hashes(raw, starts, ends)
-    row = np.repeat(np.arange(len(doc)), np.diff(first))
+    words, row, first = _words(raw, offsets)
     windows = textops.window_hashes(words, width)
+    other = textops.window_hashes(words, width, _OTHER_STEP)
     ok = np.flatnonzero(row[: len(windows)] == row[width - 1 :]) if len(windows) else np.zeros(0, np.int64)
-    part = min(PART, width)
-    least = textops.window_hashes(words, part)
-    span = width - part + 1
-    if len(ok):
-        low = least[: len(windows)].copy()
-        for k in range(1, span):
-            np.minimum(low, least[k : k + len(windows)], out=low)
-        least = low[ok]
     row = row[ok]
-    return doc[row], _tags(batch, text)[row], ok - first[row], windows[ok], least[: len(ok)]
+    return doc[row], _tags(batch, text)[row], ok - first[row], windows[ok], (other[ok] >> _U(32)).astype(np.uint32), _least_parts(words, width)[ok]
+
+
+def _words(raw: np.ndarray, offsets: np.ndarray):
+    starts, ends, first = textops.word_spans(raw, offsets, textops.NOT_SPACE)
+    return textops.span_hashes(raw, starts, ends), np.repeat(np.arange(len(offsets) - 1), np.diff(first)), first
 
 
-def _first_only(doc: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+def _first_only(doc: np.ndarray, hashes: np.ndarray, low: np.ndarray) -> np.ndarray:
     """Whether each window is in the least document of its hash, here."""
     order = np.argsort(hashes)
-    ordered = hashes[order]
-    edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    if (same & (low[order[1:]] != low[order[:-1]])).any():
+        order = np.lexsort((low, hashes))
+        same = (hashes[order[1:]] == hashes[order[:-1]]) & (low[order[1:]] == low[order[:-1]])
+    edge = np.flatnonzero(np.concatenate(([True], ~same)))
     least = np.minimum.reduceat(doc[order], edge)
     out = np.empty(len(doc), bool)
     out[order] = doc[order] == np.repeat(least, np.diff(edge, append=len(doc)))
     return out
 
 
-def _send_windows(key: str, text: str, width: int, buckets: int, groups: int):
+def _count_parts(text: str, width: int):
+    """(part, windows) of each chunk of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in textops.split_chunks(batch, text):
+                words, row, _ = _words(*textops.utf8(chunk.column(text)))
+                least = _least_parts(words, width)
+                parts, n = np.unique(least[row[: len(least)] == row[width - 1 :]] if len(least) else least, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(parts.view(np.int64)), pa.array(n)], names=["part", "n"])
+
+    return run
+
+
+def _common_parts(docs: DataFrame, text: str, width: int, size: int) -> np.ndarray:
+    """Hashes, sorted, of the parts that are in too many windows for one bucket.
+
+    Found in a sample of the rows: this steers how windows are dealt, not which
+    are compared.  At most ``MAX_HOT`` are kept, the most frequent.
+    """
+    share = min(1.0, max(SAMPLE_BYTES / max(1, size), SAMPLE_SHARE))
+    rows = docs.select(text) if share == 1 else docs.select(text).sample(share, seed=7)
+    found = rows.mapInArrow(textops.lean(_count_parts(text, width)), "part long, n long").groupBy("part").agg(F.sum("n").alias("n"))
+    most = found.where(F.col("n") >= max(8.0, HOT_WINDOWS * share)).orderBy(F.desc("n")).limit(MAX_HOT)
+    return np.sort(np.array([r["part"] for r in most.select("part").collect()], np.int64).view(np.uint64))
+
+
+class _Seen:
+    """The least document that a task has sent a hash for."""
+
+    def __init__(self):
+        self.hashes, self.low, self.doc = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def late(self, doc: np.ndarray, hashes: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Which windows an earlier document here has; the others are remembered."""
+        if len(self.hashes) > REMEMBERED:
+            self.__init__()
+        n = len(self.hashes)
+        both = [np.concatenate(x) for x in ((self.doc, doc), (self.hashes, hashes), (self.low, low))]
+        first = _first_only(*both)
+        self.doc, self.hashes, self.low = (x[first] for x in both)
+        return ~first[n:]
+
+
+def _send_windows(key: str, text: str, width: int, buckets: int, groups: int, common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+        hot, seen = common.value, _Seen()
 
         def flush():
-            doc, tag, pos, hashes, least = (np.concatenate(x) for x in zip(*held, strict=True))
+            doc, tag, pos, hashes, low, least = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             if not len(doc):
                 return
-            first = _first_only(doc, hashes)
-            yield _rows(_WINDOW, _packed_runs(_dest(least[first], buckets), doc[first], tag[first], pos[first], hashes[first]))
+            first = _first_only(doc, hashes, low)
+            if len(hot):
+                spread = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, least), len(hot) - 1)] == least)
+                least[spread] = hashes[spread]
+                mine = spread[first[spread]]
+                if len(mine):
+                    first[mine[seen.late(doc[mine], hashes[mine], low[mine])]] = False
+            yield _rows(_WINDOW, _packed_runs(_dest(least[first], buckets), doc[first], tag[first], pos[first], hashes[first], low[first]))
             if not first.all():
                 doc, tag, pos = doc[~first], tag[~first], pos[~first]
-                yield _rows(_MARK, _packed_runs(_dest(doc, groups), doc, tag, pos, None))
+                yield _rows(_MARK, _packed_runs(_dest(doc, groups), doc, tag, pos))
 
         for batch in batches:
             for chunk in textops.split_chunks(batch, text):
                 held.append(_chunk_windows(chunk, key, text, width))
-                size += 32 * len(held[-1][0])
+                size += 36 * len(held[-1][0])
                 if size > FLUSH_BYTES:
                     yield from flush()
                     size = 0
@@ -163,7 +240,7 @@ def _mark_windows(groups: int):
 
     def marks(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         parts = [_unpack(b) for b in blobs]
-        doc, tag, pos, run, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        doc, tag, pos, run, hashes, low = (np.concatenate(x) for x in zip(*parts, strict=True))
         parts.clear()
         blobs.clear()
         of = np.repeat(np.arange(len(doc)), run)
@@ -174,10 +251,10 @@ def _mark_windows(groups: int):
             at = of[mine]
             if not len(at):
                 continue
-            late = ~_first_only(doc[at], hashes[mine])
+            late = ~_first_only(doc[at], hashes[mine], low[mine])
             if late.any():
                 at, where = at[late], shift[mine][late]
-                yield _rows(_MARK, _packed_runs(_dest(doc[at], groups), doc[at], tag[at], pos[at].astype(np.int64) + where, None))
+                yield _rows(_MARK, _packed_runs(_dest(doc[at], groups), doc[at], tag[at], pos[at].astype(np.int64) + where))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
@@ -267,7 +344,7 @@ def _apply(columns: list[str], key: str, text: str, width: int, keep_layout: boo
                     blobs.append(blob)
                     continue
                 if blobs:
-                    doc, tag, pos, length, _ = (np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True))
+                    doc, tag, pos, length = (np.concatenate(x) for x in zip(*(_unpack(b)[:4] for b in blobs), strict=True))
                     blobs = []
                     order = np.lexsort((tag, doc))
                     doc, tag, pos, length = doc[order], tag[order], pos[order].astype(np.int64), length[order].astype(np.int64)
@@ -292,15 +369,19 @@ def remove_repeats(docs: DataFrame, width: int = 13, key: str = "doc_id", text:
     Null and empty texts have no words; texts shorter than the window keep
     all.  A null key is neither smaller nor larger than any: such rows keep
     all their words and cost no other row any.  Repeated rows and rows of one
-    key keep what no smaller key has.  Input columns named as the three
-    results are dropped in their favour.  An empty table gives no rows.
+    key keep what no smaller key has.  ``key`` must be an integer column, else a
+    TypeError says so.  Input columns named as the three results are dropped in
+    their favour.  An empty table gives no rows.
     """
+    runtime.integer_key(docs, key)
     made = ("n_words", "n_removed", "kept_text")
     columns = [c for c in docs.columns if c not in made]
     docs = docs.select(*[docs[c] for c in columns])
     n = runtime.partitions(docs.sparkSession)
-    buckets = groups = 2 * n
-    sent = docs.select(key, text).mapInArrow(textops.lean(_send_windows(key, text, width, buckets, groups)), _ROW)
+    size = runtime.estimated_bytes(docs, text)
+    buckets = groups = max(8 * n, min(1 << 30, size // BUCKET_BYTES))
+    common = docs.sparkSession.sparkContext.broadcast(_common_parts(docs, text, width, size))
+    sent = docs.select(key, text).mapInArrow(textops.lean(_send_windows(key, text, width, buckets, groups, common)), _ROW)
     marks = sent.repartition(n, "kind", "dest").sortWithinPartitions("kind", "dest").mapInArrow(textops.lean(_mark_windows(groups)), _ROW)
     texts = docs.mapInArrow(textops.lean(_send_texts(key, groups)), _ROW)
     met = marks.unionByName(texts).repartition(n, "dest").sortWithinPartitions("dest", "kind")

@@ -140,12 +140,12 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
+def window_hashes(words: np.ndarray, width: int, step: np.uint64 = _STEP) -> np.ndarray:
     """Rabin-Karp hash of each run of ``width`` word hashes, row edges ignored."""
     n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    power, inverse = _powers(_STEP, len(words) + 1)
+    power, inverse = _powers(step, len(words) + 1)
     prefix = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(words * power[: len(words)], out=prefix[1:])
     return mix((prefix[width:] - prefix[:n]) * inverse[:n])

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
-import os
 import random
 import re
 import zlib
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from lorewright.llm import bpe, chunks, components, decontaminate, quality, sharding, simhash, sstable, substring, textops
 
-TOKENIZERS = "/opt/tokenizers"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -107,6 +108,51 @@ def test_substring_layout_kept(spark):
     assert got == {1: shared, 2: "My  own\nlines and  more", 3: "un\n touched "}
 
 
+@pytest.mark.parametrize("remembered", [1 << 20, 3])
+def test_substring_common_parts(spark, monkeypatch, remembered):
+    """Nine words amid others that all differ: their windows are dealt by their own hashes."""
+    monkeypatch.setattr(substring, "HOT_WINDOWS", 100)
+    monkeypatch.setattr(substring, "REMEMBERED", remembered)
+    pick = random.Random(3)
+    common = [f"c{i}" for i in range(9)]
+    rows = []
+    for i in range(300):
+        own = [f"w{pick.randrange(10**6)}" for _ in range(60)]
+        rows.append((pick.randrange(1000), " ".join([*own[:30], *common, *own[30:]])))
+    rows += [(2000 + i, rows[i % 7][1]) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    hot = substring._common_parts(df, "text", 13, 1)
+    assert 1 <= len(hot) <= 9
+    dealt = collections.Counter()
+    words, row, _ = substring._words(*textops.utf8(pa.array([t for _, t in rows])))
+    least = substring._least_parts(words, 13)
+    inside = row[: len(least)] == row[12:]
+    dealt.update((substring._dest(np.where(np.isin(least, hot), textops.window_hashes(words, 13), least), 408)[inside]).tolist())
+    plain = collections.Counter(substring._dest(least, 408)[inside].tolist())
+    assert max(dealt.values()) < 0.3 * max(plain.values())
+    got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in substring.remove_repeats(df).collect()]
+    assert sorted(got) == sorted(removed(rows))
+
+
+def test_substring_hashes_that_collide(spark):
+    """Equal 64 bits are not enough: the other bits keep windows apart."""
+    doc, hashes, low = np.array([2, 1, 3, 1]), np.array([5, 5, 5, 5], np.uint64), np.array([7, 8, 7, 8], np.uint32)
+    assert substring._first_only(doc, hashes, low).tolist() == [True, True, False, True]
+
+
+def test_substring_key_type(spark):
+    with pytest.raises(TypeError):
+        substring.remove_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_substring_long_text(spark):
+    pick = random.Random(4)
+    body = [f"w{pick.randrange(400)}" for _ in range(200_000)]
+    rows = [(1, " ".join(body[:50_000])), (2, " ".join(body)), (3, "x" * 3_000_000), (4, " ".join(body[40_000:60_000]))]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: (n, r) for d, n, r, _ in removed(rows)}
+
+
 def test_substring_empty(no_docs):
     assert substring.remove_repeats(no_docs).count() == 0
 
@@ -280,7 +326,6 @@ def test_chunks_odd(spark, no_docs):
 # --- token ids
 
 
-@pytest.mark.skipif(not os.path.isdir(TOKENIZERS), reason="no vocabulary files")
 class TestTokens:
     ODD = ["<|endoftext|>", "a<|startoftext|>b <|endoftext|>", "it's I'D 's ''s don't", "İ ǅ ﬁ ｗ Σας", "a   b\n\n c  \n", "\x85 \xa0x", "²³ 12½", "x" * 3000, "😀 नमस्ते", "!!!???", "<|nothing|>"]
 
@@ -291,7 +336,7 @@ class TestTokens:
     def test_prefix_bpe(self, spark, docs, no_docs):
         from tokenizers import Tokenizer
 
-        path = f"{TOKENIZERS}/word_bpe_49k.json"
+        path = public_tokenizers.path("word_bpe_49k.json")
         library = Tokenizer.from_file(path)
         for r in bpe.encode_texts(self.both(spark, docs).withColumn("ids", F.lit(1)), path).collect():
             ids = library.encode(r["text"] or "", add_special_tokens=False).ids
@@ -302,7 +347,7 @@ class TestTokens:
     def test_tables(self, spark, docs, no_docs, tmp_path):
         from tokenizers import Tokenizer
 
-        path, folder = f"{TOKENIZERS}/byte_bpe_50k.json", f"file://{tmp_path}/tables"
+        path, folder = public_tokenizers.path("byte_bpe_50k.json"), f"file://{tmp_path}/tables"
         library = Tokenizer.from_file(path)
         df = self.both(spark, docs)
         want = sorted(((-1 if r["doc_id"] is None else r["doc_id"], np.array([*library.encode(r["text"] or "", add_special_tokens=False).ids, 2], "<u2").tobytes()) for r in df.collect()))
