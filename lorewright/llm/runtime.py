@@ -100,6 +100,17 @@ def estimated_bytes(df: DataFrame, text: str) -> int:
     return known if known < 1 << 58 else df.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
 
 
+#: Below so many bytes for each core a table is dealt anew before costly maps.
+SPREAD_BYTES = 8 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, if they are few and so perhaps in one split."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * cores) if known < SPREAD_BYTES * cores else df
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

@@ -186,13 +186,35 @@ def test_decontamination(spark, docs, item_bytes):
     texts = [t for _, t in rows_of(docs) if t and len(t) > 80]
     items = [(1, texts[0]), (2, texts[1][:120]), (10, texts[1]), (3, "w1 w2"), (4, None), (5, " -- "), (6, "one"), (6, "ONE"), (7, "ÜBER naïve über")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.find_contamination(docs.withColumn("items", F.lit(0)), benchmark, item_bytes=item_bytes)
+    got = decontaminate.find_contamination(docs.withColumn("items", F.lit(0)).withColumn("__items", F.lit("own")).withColumn("body", F.lit(1)), benchmark, item_bytes=item_bytes)
+    assert {r["__items"] for r in got.collect()} == {"own"}
     assert sorted((r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in got.collect()) == sorted(contamination(rows_of(docs), items))
     for r in got.where("n_hit > 0").limit(5).collect():
         a, b = decontaminate.original_span(r["text"], r["hit_from"][0], r["hit_to"][0] - 1)
         assert decontaminate.normal_words(r["text"][a:b].encode()) == decontaminate.normal_words(r["text"].encode())[r["hit_from"][0] : r["hit_to"][0]]
 
 
+@pytest.mark.parametrize("width", [13, 4, 1])
+@pytest.mark.parametrize("item_bytes", [1 << 20, 400])
+def test_decontamination_at_random(spark, width, item_bytes):
+    """Items and texts of few words, so that windows overlap, repeat and nearly match."""
+    pick = random.Random(width)
+    word = lambda: pick.choice("ab") if pick.random() < 0.9 else pick.choice(["c", "É", "9"])
+    items = [(i, " ".join(word() for _ in range(pick.choice([0, 1, 2, 6, 7, 8, 12, 13, 14, 20, 40])))) for i in range(30)] + [(30, "a " * 200)]
+    rows = [(i, "-".join(word() for _ in range(pick.randint(0, 120)))) for i in range(60)] + [(60, "a " * 3000), (61, None), (62, "x y"), (62, "x y")]
+    rows += [(70 + i, f"zz {items[i][1].upper()} zz") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontaminate.find_contamination(df, spark.createDataFrame(items, "item_id long, text string"), width, item_bytes=item_bytes)
+    assert sorted((r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in got.collect()) == sorted(contamination(rows, items, width))
+
+
+def test_decontamination_automaton_is_small():
+    pick = random.Random(1)
+    items = [(i, " ".join(f"w{pick.randrange(5000)}" for _ in range(100))) for i in range(300)]
+    matcher = decontaminate.Matcher(items, 13)
+    assert matcher.automaton.get_stats()["nodes_count"] <= 30_001
+
+
 def test_decontamination_empty(spark, docs, no_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_contamination(docs, none).where("n_hit > 0 or contaminated").count() == 0
