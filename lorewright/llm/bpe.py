@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from . import textops
+from . import runtime, textops
 
 _END = "</w>"
 _ENDED = 0x1000
@@ -202,4 +202,4 @@ def encode_texts(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFra
                 yield pa.RecordBatch.from_arrays([*(chunk.column(c) for c in columns), *out], names=[*columns, *made])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
-    return docs.mapInArrow(textops.lean(run, "bpe"), schema)
+    return runtime.spread(docs).mapInArrow(textops.lean(run, "bpe"), schema)

@@ -120,7 +120,7 @@ def op6_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = runtime.documents(spark, sf_dir).select("doc_id", "text")
     folder = runtime.fresh_dir(spark, "tables")
     manifest = sstable.write_tables(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID, folder)
-    out = sstable.read_tables(spark, manifest, folder)
+    out = sstable.read_tables(manifest)
     return out.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

@@ -9,6 +9,9 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,28 +118,37 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def range_cuts(df: DataFrame, key: str, groups: int) -> list[int]:
+#: What null keys count as where keys are put in order.
+LEAST = -(1 << 63)
+
+
+def range_cuts(df: DataFrame, key, groups: int) -> list[int]:
     """At most ``groups - 1`` ascending keys that deal rows into like ranges.
 
-    A single aggregate; what reaches the driver is bounded by ``groups``.
+    Keys that hold the rows of several ranges come several times.  A single
+    aggregate; what reaches the driver is bounded by ``groups``.
     """
     if groups < 2:
         return []
     at = [i / groups for i in range(1, groups)]
-    row = df.agg(F.percentile_approx(key, at, 20 * groups).alias("cuts")).first()
-    return sorted(set(row["cuts"] or []))
+    return sorted(df.agg(F.percentile_approx(key, at, 20 * groups).alias("cuts")).first()["cuts"] or [])
 
 
-def range_group(key, cuts: list[int]):
-    """Number of the range of ``key``: how many cuts are at or below it.
+def range_parts(keys: pa.Array, cuts: list[int], values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Range of each key, and its share: 0, or for a key that is several cuts which of their ranges.
 
-    The cuts are literals, so a lost executor's rows are dealt the same way
-    again.  Null keys come before all others.
+    A key at a cut begins a range.  Shares of such a key go by the hash of the
+    row's value, and null keys before others that are the least.
     """
-    if not cuts:
-        return F.lit(0)
-    known = F.array(*[F.lit(c).cast("bigint") for c in cuts])
-    return F.coalesce(F.size(F.filter(known, lambda c: c <= key)), F.lit(0))
+    at = np.array(cuts, np.int64)
+    key = keys.fill_null(LEAST).to_numpy(zero_copy_only=False).astype(np.int64)
+    left, part = np.searchsorted(at, key), np.searchsorted(at, key, side="right")
+    share = np.zeros(len(key), np.int64)
+    for i in np.flatnonzero(part - left > 1).tolist():
+        mixed = xxhash.xxh64_intdigest(values[i], seed=11) >> 2
+        mixed |= int(bool(key[i] == LEAST and keys[i].is_valid)) << 62
+        share[i] = mixed * int(part[i] - left[i]) >> (63 if key[i] == LEAST else 62)
+    return np.where(part - left > 1, left + 1 + share, part), share
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:

@@ -12,9 +12,14 @@ A table file holds one range of keys in ascending order:
              number of ids, bytes per id, magic
 
 A key is a byte for null or not, the id as a big-endian integer with its sign
-bit turned, and a count among rows of one id, so that bytes sort as ids do.
-A look-up tests the Bloom filter, searches the sparse index, reads one block
-and searches its whole keys.
+bit turned, a share number (0, but for an id that so many rows have that several
+tasks write them) and a count among rows of one id and share, so that bytes sort
+as ids do.  A look-up tests the Bloom filter, searches the sparse index, reads
+one block and searches its whole keys.
+
+Spark sorts the rows; a task writes block after block and starts a new file at
+``FILE_BYTES``, and reading goes block by block as well, so what a task holds
+does not grow with the table.
 """
 
 from __future__ import annotations
@@ -32,16 +37,20 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import files, runtime, textops
 
 MAGIC = b"LWSSTAB1"
 BLOCK_BYTES = 64 << 10
+#: Compressed bytes after which a new file begins; bytes read at a time.
+FILE_BYTES, READ_BYTES = 128 << 20, 2 << 20
 RESTART = 16
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 _FOOTER = struct.Struct("<QQQQQQQ8s")
+_ENTRY = struct.Struct("<17sQIQ")
 #: Distinct pieces of text that one worker remembers.
 REMEMBERED = 1_500_000
 #: Texts with other bytes, an apostrophe or a special token's string go to the
@@ -51,12 +60,15 @@ _SPACE, _LETTER, _DIGIT, _REST = range(4)
 _CLASS = np.array([_SPACE if b in b"\t\n\r " else _DIGIT if 0x30 <= b <= 0x39 else _LETTER if b >= 0x80 or chr(b).isalpha() else _REST for b in range(256)], np.uint8)
 
 
-def key_bytes(doc_id: int | None, nth: int = 0) -> bytes:
-    return struct.pack(">BQI", doc_id is not None, ((doc_id or 0) + (1 << 63)) & (1 << 64) - 1, nth)
+_KEY = struct.Struct(">BQII")
+
+
+def key_bytes(doc_id: int | None, share: int = 0, nth: int = 0) -> bytes:
+    return _KEY.pack(doc_id is not None, ((doc_id or 0) + (1 << 63)) & (1 << 64) - 1, share, nth)
 
 
 def key_id(key: bytes) -> int | None:
-    known, value, _ = struct.unpack(">BQI", key)
+    known, value, _, _ = _KEY.unpack(key)
     return value - (1 << 63) if known else None
 
 
@@ -81,11 +93,12 @@ def _unvarint(data: bytes, at: int) -> tuple[int, int]:
 
 
 class Writer:
-    """Builds one table from entries in ascending order of key."""
+    """Writes one table from entries in ascending order of key, block by block."""
 
-    def __init__(self, id_bytes: int):
-        self.id_bytes, self.pack = id_bytes, zstandard.ZstdCompressor(level=3)
-        self.out, self.at, self.index, self.bloom_of = [], 0, [], []
+    def __init__(self, sink, id_bytes: int):
+        """``sink`` has ``write``."""
+        self.sink, self.id_bytes, self.pack = sink, id_bytes, zstandard.ZstdCompressor(level=3)
+        self.at, self.index, self.bloom_of = 0, [], []
         self.ids = self.entries = 0
         self._start()
 
@@ -114,16 +127,15 @@ class Writer:
     def _close(self) -> None:
         if self.n:
             block = self.pack.compress(b"".join([*self.body, struct.pack(f"<{len(self.restarts) + 1}I", *self.restarts, len(self.restarts))]))
-            self.index.append(struct.pack("<13sQIQ", self.first, self.at, len(block), self.before))
-            self.out.append(block)
+            self.index.append(_ENTRY.pack(self.first, self.at, len(block), self.before))
+            self.sink.write(block)
             self.at += len(block)
             self._start()
 
-    def finish(self) -> bytes:
+    def finish(self) -> None:
         self._close()
         index, bloom = b"".join(self.index), _bloom(np.array(self.bloom_of, np.uint64))
-        footer = _FOOTER.pack(self.at, len(index), self.at + len(index), len(bloom), self.entries, self.ids, self.id_bytes, MAGIC)
-        return b"".join([*self.out, index, bloom, footer])
+        self.sink.write(index + bloom + _FOOTER.pack(self.at, len(index), self.at + len(index), len(bloom), self.entries, self.ids, self.id_bytes, MAGIC))
 
 
 def _places(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -147,7 +159,7 @@ class Reader:
         at, n, self.bloom_at, self.bloom_n, self.entries, self.ids, self.id_bytes, magic = _FOOTER.unpack(read(size - _FOOTER.size, _FOOTER.size))
         if magic != MAGIC:
             raise ValueError("not a table file")
-        self.index = list(struct.iter_unpack("<13sQIQ", read(at, n)))
+        self.index = list(_ENTRY.iter_unpack(read(at, n)))
         self.unpack = zstandard.ZstdDecompressor()
         self.blooms = None
 
@@ -177,18 +189,26 @@ class Reader:
             at += size
 
     def scan(self) -> Iterator[tuple[bytes, bytes]]:
-        for k in range(len(self.index)):
-            block = self._block(k)
-            (n,) = struct.unpack_from("<I", block, len(block) - 4)
-            yield from self._entries(block, 0, len(block) - 4 * n - 4)
+        """All entries in order; blocks that follow one another are read together."""
+        k = 0
+        while k < len(self.index):
+            begin, end = k, self.index[k][1]
+            while k < len(self.index) and (k == begin or end + self.index[k][2] - self.index[begin][1] <= READ_BYTES):
+                end += self.index[k][2]
+                k += 1
+            data, base = self.read(self.index[begin][1], end - self.index[begin][1]), self.index[begin][1]
+            for _, offset, length, _ in self.index[begin:k]:
+                block = self.unpack.decompress(data[offset - base : offset - base + length])
+                (n,) = struct.unpack_from("<I", block, len(block) - 4)
+                yield from self._entries(block, 0, len(block) - 4 * n - 4)
 
     def may_have(self, key: bytes) -> bool:
         if self.blooms is None:
             self.blooms = np.unpackbits(np.frombuffer(self.read(self.bloom_at, self.bloom_n), np.uint8))
         return bool(self.blooms[_places(np.array([xxhash.xxh64_intdigest(key)], np.uint64), len(self.blooms)).astype(np.int64)].all())
 
-    def get(self, doc_id: int | None, nth: int = 0) -> list[int] | None:
-        key = key_bytes(doc_id, nth)
+    def get(self, doc_id: int | None, share: int = 0, nth: int = 0) -> list[int] | None:
+        key = key_bytes(doc_id, share, nth)
         k = bisect_right(self.index, key, key=lambda x: x[0]) - 1
         if k < 0 or not self.may_have(key):
             return None
@@ -228,35 +248,46 @@ def piece_starts(raw: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.flatnonzero(out)
 
 
+def _heads(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Length and first eight bytes of each piece, so that short ones differ if their texts do."""
+    padded = np.concatenate((raw, np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(raw) + 1, "<u8", padded, 0, (1,))[starts]
+    size = ends - starts
+    kept = np.where(size >= 8, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (np.uint64(8) * np.minimum(size, 7).astype(np.uint64))) - np.uint64(1))
+    return (eight & kept) + textops.mix(size.astype(np.uint64))
+
+
 class _Memory:
-    """Ids of pieces by the pieces' hashes: two sorted levels over one pool."""
+    """Ids of pieces by hash and head: two sorted levels over one pool."""
 
     def __init__(self, kind: str):
         self.kind = kind
         self.clear()
 
     def clear(self) -> None:
-        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
         self.levels = [none, none]
         self.pool, self.size = np.zeros(1 << 16, self.kind), 0
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place and number of the ids of each hash; number 0 if not known."""
+    def find(self, hashes: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Place and number of the ids of each piece, number 0 if not known; whether a hash has two heads."""
         at, n = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
-        for known, where, count in self.levels:
+        clash = False
+        for known, head, where, count in self.levels:
             if len(known):
                 k = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
                 ok = known[k] == hashes
+                clash |= bool((head[k[ok]] != heads[ok]).any())
                 at[ok], n[ok] = where[k[ok]], count[k[ok]]
-        return at, n
+        return at, n, clash
 
-    def add(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
+    def add(self, hashes: np.ndarray, heads: np.ndarray, ids: list[list[int]]) -> None:
         count = np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(count.sum())
         while self.size + total > len(self.pool):
             self.pool = np.concatenate((self.pool, np.zeros(len(self.pool), self.kind)))
         self.pool[self.size : self.size + total] = np.fromiter(chain.from_iterable(ids), self.kind, total)
-        new = (hashes, self.size + np.cumsum(count) - count, count)
+        new = (hashes, heads, self.size + np.cumsum(count) - count, count)
         self.size += total
         large, small = self.levels
         small = self._merged(small, new)
@@ -311,15 +342,20 @@ class Encoder:
         raw, edges = np.frombuffer(data, np.uint8), np.cumsum([0, *map(len, texts)])
         starts = piece_starts(raw, edges[:-1])
         ends = np.append(starts[1:], len(raw))
+        heads = _heads(raw, starts, ends)
         distinct, example, which = np.unique(textops.span_hashes(raw, starts, ends), return_index=True, return_inverse=True)
         if len(self.memory) > REMEMBERED:
             self.memory.clear()
-        at, n = self.memory.find(distinct)
+        mine = heads[example]
+        at, n, clash = self.memory.find(distinct, mine)
+        if clash or (heads != mine[which]).any():
+            # Two pieces share a hash: the library takes the texts whole.
+            return [np.array(ids, self.kind).tobytes() for ids in self._ids([t.decode() for t in texts])]
         new = np.flatnonzero(n == 0)
         if len(new):
             of = example[new]
-            self.memory.add(distinct[new], self._ids([data[a:b].decode() for a, b in zip(starts[of].tolist(), ends[of].tolist(), strict=True)]))
-            at, n = self.memory.find(distinct)
+            self.memory.add(distinct[new], mine[new], self._ids([data[a:b].decode() for a, b in zip(starts[of].tolist(), ends[of].tolist(), strict=True)]))
+            at, n, _ = self.memory.find(distinct, mine)
         count = n[which]
         stop = np.cumsum(count)
         place = np.arange(stop[-1]) + np.repeat(at[which] - stop + count, count)
@@ -339,128 +375,101 @@ def _encoder(spec: str) -> Encoder:
     return _ENCODERS[name]
 
 
-def _pack_rows(ids: list[bytes], keys: list[int | None], wide: bool) -> bytes:
-    known = np.array([k is not None for k in keys], np.uint8)
-    return b"".join([struct.pack("<IB", len(keys), wide), known.tobytes(), np.array([k or 0 for k in keys], np.int64).tobytes(), np.array(list(map(len, ids)), np.int64).tobytes(), *ids])
-
-
-def _unpack_rows(blob: bytes) -> tuple[bool, list[tuple[int | None, bytes]]]:
-    n, wide = struct.unpack_from("<IB", blob)
-    at = 5 + n
-    keys = np.frombuffer(blob, np.int64, n, at).tolist()
-    sizes = np.frombuffer(blob, np.int64, n, at + 8 * n).tolist()
-    at += 16 * n
-    out = []
-    for k, known, size in zip(keys, blob[5 : 5 + n], sizes, strict=True):
-        out.append((k if known else None, blob[at : at + size]))
-        at += size
-    return bool(wide), out
+_MANIFEST = pa.schema([("part", pa.int32()), ("nth", pa.int32()), ("file", pa.string()), ("first_key", pa.binary()), ("last_key", pa.binary()), ("entries", pa.int64()), ("ids", pa.int64())])
+_MANIFEST_SQL = "part int, nth int, file string, first_key binary, last_key binary, entries long, ids long"
 
 
 def write_tables(docs: DataFrame, tokenizer: str, end_id: int, folder: str, key: str = "doc_id", text: str = "text", groups: int | None = None) -> DataFrame:
     """Encode every text and write the ids as tables below ``folder`` (a URI).
 
-    Returns the manifest, one row per file, checkpointed: ``part``, ``file``,
-    ``first_key``, ``last_key``, ``entries``, ``ids`` and ``ids_before``, those
-    of all files before it.  ``tokenizer`` is a path on the driver.  Each file
-    holds one range of keys, cut at quantiles of all keys; files follow one
-    another in ascending order.  ``end_id`` ends every document.
+    Returns the manifest, one row per file: ``part``, ``nth`` (file of the
+    part), ``file``, ``first_key``, ``last_key`` (as in the file), ``entries``,
+    ``ids`` and ``ids_before``, those of all files before it.  ``tokenizer`` is
+    a path on the driver.  Parts are ranges of keys, cut at quantiles of all
+    keys, and follow one another in ascending order.  A key that several
+    quantiles fall on is dealt to as many parts by hash.  ``end_id`` ends every
+    document.
 
     Null and empty texts are the end id alone; null keys come first; rows of
-    one key are kept apart in the order of their ids.  A table's file is named
-    by the attempt that wrote it and counts only if the manifest lists it, so a
-    repeated task leaves no half file in use.
+    one key are kept apart, in each of its shares in the order of their ids.
+    ``key`` must be an integer column, else a TypeError says so; other columns
+    are not looked at.  A file is named by the attempt that wrote it and counts
+    only if the manifest lists it, so a repeated task leaves no half file in use.
     """
+    runtime.integer_key(docs, key)
     spark = docs.sparkSession
-    n = runtime.partitions(spark)
-    cuts = runtime.range_cuts(docs, key, groups or 2 * n)
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    cuts = runtime.range_cuts(rows, F.coalesce("key", F.lit(runtime.LEAST)), groups or runtime.partitions(spark))
     with open(tokenizer, encoding="utf-8") as f:
         sent = spark.sparkContext.broadcast(f.read())
     files.make_dir(folder)
+    size = Encoder(sent.value).kind
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(sent.value)
         end = np.array([end_id], coder.kind).tobytes()
-        at = np.array(cuts, np.int64)
-        pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            ids: list[bytes] = []
-            for chunk in textops.split_chunks(batch, text):
-                raw, offsets = textops.utf8(chunk.column(text))
+            for chunk in textops.split_chunks(batch, "text"):
+                raw, offsets = textops.utf8(chunk.column("text"))
                 data, cut = raw.tobytes(), offsets.tolist()
-                ids += [x + end for x in coder.encode([data[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)])]
-            keys = batch.column(key).to_pylist()
-            part = np.array([0 if k is None else 1 + np.searchsorted(at, k, side="right") for k in keys]) if len(keys) else np.zeros(0, np.int64)
-            order = np.argsort(part, kind="stable")
-            edge = np.flatnonzero(np.diff(part[order], prepend=-1)).tolist()
-            parts, blobs = [], []
-            for a, b in zip(edge, [*edge[1:], len(order)], strict=True):
-                mine = order[a:b].tolist()
-                parts.append(int(part[mine[0]]))
-                blobs.append(pack.compress(_pack_rows([ids[i] for i in mine], [keys[i] for i in mine], coder.kind == "<u4")))
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
+                ids = [x + end for x in coder.encode([data[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)])]
+                part, share = runtime.range_parts(chunk.column("key"), cuts, ids)
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(share, pa.int32()), chunk.column("key"), pa.array(ids, pa.binary())], names=["part", "share", "key", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        part, held = None, []
-
-        def table() -> pa.RecordBatch:
-            rows = sorted((key_bytes(k), v) for _, r in held for k, v in r)
-            writer = Writer(4 if held[0][0] else 2)
-            last, nth = None, 0
-            for k, v in rows:
-                nth = nth + 1 if k == last else 0
-                last = k
-                writer.add(k[:9] + struct.pack(">I", nth), v)
-            uri = f"{folder}/part-{part:06d}-{files.attempt_name()}.sst"
-            system, path = files.opened(uri)
-            with system.open_output_stream(path, compression=None) as f:
-                f.write(writer.finish())
-            values = (part, uri, key_id(rows[0][0]), key_id(rows[-1][0]), writer.entries, writer.ids)
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, _MANIFEST.types, strict=True)], schema=_MANIFEST)
+        writer = sink = first = last = uri = at = None
+        nth = 0
 
+        def closed() -> pa.RecordBatch:
+            writer.finish()
+            sink.close()
+            values = (at, nth, uri, first, last, writer.entries, writer.ids)
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _MANIFEST, strict=True)], schema=_MANIFEST)
+
+        count, before = 0, None
         for batch in batches:
-            for p, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if held and p != part:
-                    yield table()
-                    held = []
-                part = p
-                held.append(_unpack_rows(unpack.decompress(blob.as_py())))
-        if held:
-            yield table()
-
-    packed = docs.select(key, text).mapInArrow(textops.lean(encode, "sstable"), "part int, blob binary")
-    dealt = packed.repartition(n, "part").sortWithinPartitions("part")
-    written = runtime.cut(dealt, textops.lean(write, "sstable"), "part int, file string, first_key long, last_key long, entries long, ids long")
-    # One row per file: at most ``groups`` and one, whatever the input's size.
-    listed = sorted(map(tuple, written.collect()))
-    before, rows = 0, []
-    for r in listed:
-        rows.append((*r, before))
-        before += r[5]
-    return spark.createDataFrame(rows, "part int, file string, first_key long, last_key long, entries long, ids long, ids_before long")
-
-
-_MANIFEST = pa.schema([("part", pa.int32()), ("file", pa.string()), ("first_key", pa.int64()), ("last_key", pa.int64()), ("entries", pa.int64()), ("ids", pa.int64())])
-
-
-def read_tables(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
+            for part, share, doc, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if writer and (part != at or writer.at > FILE_BYTES):
+                    yield closed()
+                    writer, nth = None, nth + 1 if part == at else 0
+                if writer is None:
+                    at, uri = part, f"{folder}/part-{part:06d}-{nth:04d}-{files.attempt_name()}.sst"
+                    system, path = files.opened(uri)
+                    sink = system.open_output_stream(path, compression=None)
+                    writer, first = Writer(sink, int(size[-1])), None
+                count = count + 1 if (part, share, doc) == before else 0
+                before = (part, share, doc)
+                last = key_bytes(doc, share, count)
+                first = first or last
+                writer.add(last, value)
+        if writer:
+            yield closed()
+
+    coded = runtime.spread(rows).mapInArrow(textops.lean(encode, "sstable"), "part int, share int, key long, ids binary")
+    dealt = coded.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", F.asc_nulls_first("key"), "ids")
+    written = runtime.cut(dealt, textops.lean(write, "sstable"), _MANIFEST_SQL)
+    # One row per part reaches the driver, whatever the input's size.
+    before, offsets = 0, []
+    for part, ids in sorted(map(tuple, written.groupBy("part").agg(F.sum("ids")).collect())):
+        offsets.append((part, before))
+        before += ids
+    met = written.join(F.broadcast(spark.createDataFrame(offsets, "part int, part_before long")), "part")
+    inner = F.coalesce(F.sum("ids").over(W.partitionBy("part").orderBy("nth").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return met.withColumn("ids_before", F.col("part_before") + inner).drop("part_before")
+
+
+def read_tables(manifest: DataFrame) -> DataFrame:
     """Every document of the files: ``key``, ``start``, ``n_tokens``, ``ids``.
 
     ``ids`` is binary, little-endian unsigned 32-bit; ``start`` is the number of
-    ids of all documents before.  The files' bytes are read by Spark.
+    ids of all documents before.  A task reads the footer and index of a file,
+    then its blocks by ranges.
     """
-    listed = manifest.select(F.regexp_extract("file", r"[^/]+$", 0).alias("name"), "ids_before")
-    content = spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(folder) if not manifest.isEmpty() else None
-    if content is None:
-        return spark.createDataFrame([], "key long, start long, n_tokens long, ids binary")
-    named = content.select(F.regexp_extract("path", r"[^/]+$", 0).alias("name"), "content").join(F.broadcast(listed), "name")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(len(batch)):
-                at = batch.column(1)[row].as_py()
-                table = Reader.of(memoryview(batch.column(0)[row].as_buffer()).tobytes())
+            for uri, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                table = Reader.at(uri)
                 out: list[list] = [[], [], [], []]
                 held = 0
                 for key, value in table.scan():
@@ -476,8 +485,42 @@ def read_tables(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFr
                 if out[0]:
                     yield _read_rows(out)
 
-    return named.select("content", "ids_before").mapInArrow(textops.lean(parse, "sstable"), "key long, start long, n_tokens long, ids binary")
+    return manifest.select("file", "ids_before").repartition(runtime.partitions(manifest.sparkSession)).mapInArrow(textops.lean(parse, "sstable"), "key long, start long, n_tokens long, ids binary")
 
 
 def _read_rows(out: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], names=["key", "start", "n_tokens", "ids"])
+
+
+def find_documents(keys: DataFrame, manifest: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(``key``, ``ids``) of each row of ``keys``, ids null for what no table has.
+
+    The manifest's keys, one entry a file, go to the tasks, which search them;
+    rows are dealt by file, and there each asks the Bloom filter and searches
+    the sparse index and one block.  Of ids that several rows have the first
+    counts.  A null key asks for the rows without one.
+    """
+    runtime.integer_key(keys, key)
+    listed = sorted((bytes(r["first_key"]), r["file"]) for r in manifest.select("first_key", "file").collect())
+    sent = keys.sparkSession.sparkContext.broadcast(listed)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts = [k for k, _ in sent.value]
+        for batch in batches:
+            at = [bisect_right(firsts, key_bytes(k)) - 1 for k in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.int32())], names=["key", "at"])
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, opened = None, -1
+        for batch in batches:
+            out = []
+            for doc, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != opened:
+                    table, opened = Reader.at(sent.value[at][1]) if at >= 0 else None, at
+                found = table.get(doc) if table else None
+                out.append(None if found is None else np.array(found, "<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["key", "ids"])
+
+    n = runtime.partitions(keys.sparkSession)
+    routed = keys.select(F.col(key).cast("long").alias("key")).mapInArrow(route, "key long, at int")
+    return routed.repartition(n, "at", "key").sortWithinPartitions("at", "key").mapInArrow(look, "key long, ids binary").withColumnRenamed("key", key)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import io
 import random
 import re
 import zlib
@@ -136,8 +137,8 @@ def test_substring_common_parts(spark, monkeypatch, remembered):
 
 def test_substring_hashes_that_collide(spark):
     """Equal 64 bits are not enough: the other bits keep windows apart."""
-    doc, hashes, low = np.array([2, 1, 3, 1]), np.array([5, 5, 5, 5], np.uint64), np.array([7, 8, 7, 8], np.uint32)
-    assert substring._first_only(doc, hashes, low).tolist() == [True, True, False, True]
+    doc, hashes, check = np.array([2, 1, 3, 1]), np.array([5, 5, 5, 5], np.uint64), np.array([7, 8, 7, 8], np.uint64)
+    assert substring._first_only(doc, hashes, check).tolist() == [True, True, False, True]
 
 
 def test_substring_key_type(spark):
@@ -378,22 +379,73 @@ class TestTokens:
         for d, ids in want:
             expected.append((d, start, len(ids) // 2, zlib.crc32(np.frombuffer(ids, "<u2").astype("<u4").tobytes())))
             start += len(ids) // 2
-        got = [(-1 if r["key"] is None else r["key"], r["start"], r["n_tokens"], zlib.crc32(r["ids"])) for r in sstable.read_tables(spark, manifest, folder).collect()]
+        got = [(-1 if r["key"] is None else r["key"], r["start"], r["n_tokens"], zlib.crc32(r["ids"])) for r in sstable.read_tables(manifest).collect()]
         assert sorted(got) == expected
         for r in manifest.collect():
             table = sstable.Reader.at(r["file"])
-            assert table.get(r["first_key"])[-1] == 2 and table.get(-5) is None
+            assert table.get(sstable.key_id(bytes(r["first_key"])))[-1] == 2 and table.get(-5) is None
         assert sum(sstable.Reader.at(r["file"]).may_have(sstable.key_bytes(10**9 + i)) for r in manifest.collect() for i in range(100)) < 0.1 * 100 * manifest.count()
         empty = sstable.write_tables(no_docs, path, 2, f"{folder}-none")
-        assert sstable.read_tables(spark, empty, f"{folder}-none").count() == 0
+        assert sstable.read_tables(empty).count() == 0
+
+
+def test_tables_of_many_files_and_hot_keys(spark, tmp_path, monkeypatch):
+    """Several files a part; a key of a third of all rows and null keys are dealt to several parts."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(sstable, "BLOCK_BYTES", 200)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    pick = random.Random(6)
+    rows = [(pick.randrange(500) if i % 3 else 77, " ".join(f"w{pick.randrange(50)}" for _ in range(pick.randint(0, 30)))) for i in range(600)]
+    rows += [(None, f"null {i}") for i in range(200)] + [(-(2**63), "least"), (2**63 - 1, "most"), (900, "long " * 100_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("part", F.lit("clash")).repartition(5)
+    monkeypatch.setattr(sstable, "FILE_BYTES", 1000)
+    monkeypatch.setenv("PYTHONHASHSEED", "0")
+    manifest = sstable.write_tables(df, path, 2, f"file://{tmp_path}/tables", groups=9)
+    files = manifest.orderBy("part", "nth").collect()
+    assert len({r["part"] for r in files}) > 6 and [r["ids_before"] for r in files] == np.cumsum([0, *(r["ids"] for r in files)])[:-1].tolist()
+    assert [bytes(r["first_key"]) for r in files] == sorted(bytes(r["first_key"]) for r in files)
+    got = sorted(sstable.read_tables(manifest).collect(), key=lambda r: r["start"])
+    assert [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got)])[:-1].tolist()
+    least = lambda d: (d is not None, d or 0)
+    assert [least(r["key"]) for r in got] == sorted(least(d) for d, _ in rows)
+    want = sorted((least(d), library.encode(t, add_special_tokens=False).ids + [2]) for d, t in rows)
+    assert sorted((least(r["key"]), np.frombuffer(r["ids"], "<u4").tolist()) for r in got) == want
+    hot = [r["part"] for r in files if sstable.key_id(bytes(r["first_key"])) == 77]
+    assert len(set(hot)) > 1
+    asked = spark.createDataFrame([(900,), (77,), (None,), (12345,), (-5,), (900,)], "doc_id long")
+    found = {r["doc_id"]: r["ids"] for r in sstable.find_documents(asked, manifest).collect()}
+    assert np.frombuffer(found[900], "<u4").tolist() == library.encode("long " * 100_000, add_special_tokens=False).ids + [2]
+    assert found[12345] is None and found[-5] is None and found[77] is not None and found[None] is not None
+    with pytest.raises(TypeError):
+        sstable.write_tables(df.withColumn("doc_id", F.lit("x")), path, 2, f"file://{tmp_path}/none")
+
+
+def test_pieces_whose_hashes_collide(monkeypatch):
+    """A hash that two pieces share does not give one the other's ids."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    hashes = textops.span_hashes
+    monkeypatch.setattr(textops, "span_hashes", lambda raw, a, b: hashes(raw, a, b) % np.uint64(50))
+    with open(path, encoding="utf-8") as f:
+        coder = sstable.Encoder(f.read())
+    pick = random.Random(1)
+    texts = [" ".join(f"word{pick.randrange(1000)}" for _ in range(pick.randint(1, 5))) for _ in range(40)]
+    for t in texts:
+        assert np.frombuffer(coder.encode([t.encode()])[0], coder.kind).tolist() == library.encode(t, add_special_tokens=False).ids
 
 
 def test_table_lookup():
-    writer = sstable.Writer(2)
+    sink = io.BytesIO()
+    writer = sstable.Writer(sink, 2)
     keys = [*range(-3000, 3000, 3)]
     for k in keys:
         writer.add(sstable.key_bytes(k), np.array([k & 0xFFFF] * (1 + k % 50), "<u2").tobytes())
-    table = sstable.Reader.of(writer.finish())
+    writer.finish()
+    table = sstable.Reader.of(sink.getvalue())
     assert len(table.index) > 1 and [sstable.key_id(k) for k, _ in table.scan()] == keys
     for k in range(-3010, 3010):
         assert table.get(k) == ([k & 0xFFFF] * (1 + k % 50) if k in range(-3000, 3000, 3) else None)
