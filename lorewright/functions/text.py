@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import CATEGORY_OF
+from ..schema import CATEGORY_OF, RESERVED_NAMES
 
 # Scores, limits and patterns of link suggestions and guards.
 SAME_NAME, CONTAINED = 0.96, 0.82
@@ -17,7 +17,6 @@ REVIEW_PREFIX = "(?i)^(missing[\\s-]?page[:：]\\s*|duplicate[\\s-]?page[:：]\\
 CJK = "[\\x{4e00}-\\x{9fff}]"
 CJK_TOKEN = "[\\x{3400}-\\x{9fff}]"
 TRIM_MARK = "\n\n[...trimmed for prompt budget...]"
-RESERVED_NAMES = ("CON", "PRN", "AUX", "NUL", *(f"COM{i}" for i in range(1, 10)), *(f"LPT{i}" for i in range(1, 10)))
 
 
 def strip(c: Column) -> Column:
