@@ -1,22 +1,25 @@
 """Removal of word windows that an earlier document already holds.
 
 Every window of ``width`` consecutive words is hashed (Rabin-Karp over word
-hashes, 96 bits from two bases) and the occurrences are counted in Spark:
-grouped by hash, the least document id of each hash is found, and every
-occurrence in a larger document is marked.  Marked windows merge into maximal
-intervals of words, which go.  Of 10^13 windows, as 100 TB of text have, less
-than one pair in a thousand corpora is expected to share a hash by chance.
+hashes) and the occurrences are counted in Spark: grouped by hash, the least
+document id of each hash is found, and every occurrence in a larger document
+is marked.  Marked windows merge into maximal intervals of words, which go.
 
 What moves is packed.  Consecutive windows mostly share the least hash of
 their five-word parts and are dealt by it, so one row holds many runs of
-windows and a window costs little more than its hash.  A part that common
-wording puts into too many windows is dealt by the windows' own hashes instead;
-such parts are found in a sample, which decides where windows meet but not
-which.  Within a chunk of texts only the least document's occurrence of a hash
-is sent on, and of a common part's windows that within a task, so a passage
-that a third of all rows share arrives once per task.  Buckets are as many as
-the input's size asks for.  Texts move once, compressed, to meet their marks.
-Nothing but the common parts' hashes, at most ``MAX_HOT``, reaches the driver.
+windows and a window costs little more than its eight hash bytes.  A part that
+common wording puts into too many windows is dealt by the windows' own hashes
+instead; such parts are found in a sample, which decides where windows meet but
+not which.  Windows are equal if two hashes are: their own of 64 bits, and their
+part's, or for a common part's windows a second of their own from another base.
+So 64 bits keep apart only windows of one part that is not common, 128 all
+others: of 10^13 windows, as 100 TB of text have, a pair or two may be confused.
+
+Within a chunk of texts only the least document's occurrence of a hash is sent
+on, and of a common part's windows that within a task, so a passage that a third
+of all rows share arrives once per task.  Buckets are as many as the input's
+size asks for.  Texts move once, compressed, to meet their marks.  Nothing but
+the common parts' hashes, at most ``MAX_HOT``, reaches the driver.
 """
 
 from __future__ import annotations
@@ -41,7 +44,7 @@ BUCKET_BYTES = 8 << 20
 #: Windows of one part that are too many for a bucket; such parts at most.
 HOT_WINDOWS, MAX_HOT = 200_000, 1_000_000
 #: The sample that they are found in: so many bytes of input, or this share.
-SAMPLE_BYTES, SAMPLE_SHARE = 64 << 20, 0.001
+SAMPLE_BYTES, SAMPLE_SHARE = 16 << 20, 0.001
 #: Windows of common parts that a task remembers.
 REMEMBERED = 1 << 20
 _ROW = "kind int, dest int, blob binary"
@@ -61,43 +64,46 @@ def _tags(batch: pa.RecordBatch, text: str) -> np.ndarray:
     return np.array([zlib.crc32(view[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.uint32)
 
 
-def _pack(doc: np.ndarray, tag: np.ndarray, pos: np.ndarray, run: np.ndarray, hashes: np.ndarray, low: np.ndarray) -> bytes:
-    head = np.array([len(doc), len(hashes)], np.int64).tobytes()
+def _pack(doc: np.ndarray, tag: np.ndarray, pos: np.ndarray, run: np.ndarray, check: np.ndarray, hashes: np.ndarray) -> bytes:
+    head = np.array([len(doc), len(check), len(hashes)], np.int64).tobytes()
     delta = np.diff(doc, prepend=0)
-    return b"".join((head, delta.tobytes(), hashes.tobytes(), tag.tobytes(), pos.astype(np.uint32).tobytes(), low.tobytes(), run.astype(np.uint8).tobytes()))
+    return b"".join((head, delta.tobytes(), check.tobytes(), hashes.tobytes(), tag.tobytes(), pos.astype(np.uint32).tobytes(), run.astype(np.uint8).tobytes()))
 
 
 def _unpack(blob: bytes):
-    """Of a blob: doc, tag, position and length of each run, both hashes of each window."""
-    runs, windows = np.frombuffer(blob, np.int64, 2)
-    at, out = 16, []
-    for kind, n in ((np.int64, runs), (np.uint64, windows), (np.uint32, runs), (np.uint32, runs), (np.uint32, windows), (np.uint8, runs)):
+    """Of a blob: doc, tag, position, length and second hash of each run, hash of each window."""
+    runs, checks, windows = np.frombuffer(blob, np.int64, 3)
+    at, out = 24, []
+    for kind, n in ((np.int64, runs), (np.uint64, checks), (np.uint64, windows), (np.uint32, runs), (np.uint32, runs), (np.uint8, runs)):
         out.append(np.frombuffer(blob, kind, int(n), at))
         at += int(n) * np.dtype(kind).itemsize
-    doc, hashes, tag, pos, low, run = out
-    return np.cumsum(doc), tag, pos, run, hashes, low
+    doc, check, hashes, tag, pos, run = out
+    return np.cumsum(doc), tag, pos, run, check, hashes
 
 
-def _packed_runs(dest: np.ndarray, doc: np.ndarray, tag: np.ndarray, pos: np.ndarray, hashes: np.ndarray | None = None, low: np.ndarray | None = None) -> list[tuple[int, bytes]]:
-    """Blobs by destination of windows, those one after the other as one run."""
+def _packed_runs(dest: np.ndarray, doc: np.ndarray, tag: np.ndarray, pos: np.ndarray, check: np.ndarray | None = None, hashes: np.ndarray | None = None) -> list[tuple[int, bytes]]:
+    """Blobs by destination of windows, those one after the other of one second hash as one run."""
     if not len(doc):
         return []
     order = np.lexsort((pos, doc, dest))
     dest, doc, tag, pos = dest[order], doc[order], tag[order], pos[order]
     new = np.ones(len(doc), bool)
     new[1:] = (dest[1:] != dest[:-1]) | (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (pos[1:] != pos[:-1] + 1)
+    if check is not None:
+        check, hashes = check[order], hashes[order]
+        new[1:] |= check[1:] != check[:-1]
     first = np.flatnonzero(new)
     length = np.diff(first, append=len(doc))
     if length.max() > 255:
         first = np.concatenate([np.arange(f, f + n, 255) for f, n in zip(first, length, strict=True)])
         length = np.diff(first, append=len(doc))
-    hashes, low = (hashes[order], low[order]) if hashes is not None else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
+    none = np.zeros(0, np.uint64)
     edge = np.flatnonzero(np.diff(dest[first], prepend=-1))
     out = []
     for a, b in zip(edge, [*edge[1:], len(first)], strict=True):
         lo, hi = first[a], first[b] if b < len(first) else len(doc)
         runs = first[a:b]
-        out.append((int(dest[lo]), _pack(doc[runs], tag[runs], pos[runs], length[a:b], hashes[lo:hi], low[lo:hi])))
+        out.append((int(dest[lo]), _pack(doc[runs], tag[runs], pos[runs], length[a:b], *((none, none) if check is None else (check[runs], hashes[lo:hi])))))
     return out
 
 
@@ -118,8 +124,8 @@ def _least_parts(words: np.ndarray, width: int) -> np.ndarray:
     return low
 
 
-def _chunk_windows(batch: pa.RecordBatch, key: str, text: str, width: int):
-    """Of a chunk: doc, tag, pos, both hashes and part hash of each window."""
+def _chunk_windows(batch: pa.RecordBatch, key: str, text: str, width: int, hot: np.ndarray):
+    """Of a chunk's windows: doc, tag, position, hash, second hash and what deals them."""
     ids = batch.column(key)
     if ids.null_count:
         batch = batch.filter(ids.is_valid())
@@ -131,10 +137,14 @@ def _chunk_windows(batch: pa.RecordBatch, key: str, text: str, width: int):
     raw, offsets = textops.utf8(batch.column(text))
     words, row, first = _words(raw, offsets)
     windows = textops.window_hashes(words, width)
-    other = textops.window_hashes(words, width, _OTHER_STEP)
     ok = np.flatnonzero(row[: len(windows)] == row[width - 1 :]) if len(windows) else np.zeros(0, np.int64)
-    row = row[ok]
-    return doc[row], _tags(batch, text)[row], ok - first[row], windows[ok], (other[ok] >> _U(32)).astype(np.uint32), _least_parts(words, width)[ok]
+    row, hashes, least = row[ok], windows[ok], _least_parts(words, width)[ok]
+    common = np.zeros(len(ok), bool) if not len(hot) else hot[np.minimum(np.searchsorted(hot, least), len(hot) - 1)] == least
+    deal, check = least, least
+    if common.any():
+        deal = np.where(common, hashes, least)
+        check = np.where(common, textops.window_hashes(words, width, _OTHER_STEP)[ok], least)
+    return doc[row], _tags(batch, text)[row], ok - first[row], hashes, check, deal, common
 
 
 def _words(raw: np.ndarray, offsets: np.ndarray):
@@ -142,13 +152,13 @@ def _words(raw: np.ndarray, offsets: np.ndarray):
     return textops.span_hashes(raw, starts, ends), np.repeat(np.arange(len(offsets) - 1), np.diff(first)), first
 
 
-def _first_only(doc: np.ndarray, hashes: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """Whether each window is in the least document of its hash, here."""
+def _first_only(doc: np.ndarray, hashes: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Whether each window is in the least document of its two hashes, here."""
     order = np.argsort(hashes)
     same = hashes[order[1:]] == hashes[order[:-1]]
-    if (same & (low[order[1:]] != low[order[:-1]])).any():
-        order = np.lexsort((low, hashes))
-        same = (hashes[order[1:]] == hashes[order[:-1]]) & (low[order[1:]] == low[order[:-1]])
+    if (same & (check[order[1:]] != check[order[:-1]])).any():
+        order = np.lexsort((check, hashes))
+        same = (hashes[order[1:]] == hashes[order[:-1]]) & (check[order[1:]] == check[order[:-1]])
     edge = np.flatnonzero(np.concatenate(([True], ~same)))
     least = np.minimum.reduceat(doc[order], edge)
     out = np.empty(len(doc), bool)
@@ -184,19 +194,19 @@ def _common_parts(docs: DataFrame, text: str, width: int, size: int) -> np.ndarr
 
 
 class _Seen:
-    """The least document that a task has sent a hash for."""
+    """The least document that a task has sent a window for."""
 
     def __init__(self):
-        self.hashes, self.low, self.doc = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.doc, self.hashes, self.check = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
 
-    def late(self, doc: np.ndarray, hashes: np.ndarray, low: np.ndarray) -> np.ndarray:
+    def late(self, doc: np.ndarray, hashes: np.ndarray, check: np.ndarray) -> np.ndarray:
         """Which windows an earlier document here has; the others are remembered."""
         if len(self.hashes) > REMEMBERED:
             self.__init__()
         n = len(self.hashes)
-        both = [np.concatenate(x) for x in ((self.doc, doc), (self.hashes, hashes), (self.low, low))]
+        both = [np.concatenate(x) for x in ((self.doc, doc), (self.hashes, hashes), (self.check, check))]
         first = _first_only(*both)
-        self.doc, self.hashes, self.low = (x[first] for x in both)
+        self.doc, self.hashes, self.check = (x[first] for x in both)
         return ~first[n:]
 
 
@@ -206,25 +216,22 @@ def _send_windows(key: str, text: str, width: int, buckets: int, groups: int, co
         hot, seen = common.value, _Seen()
 
         def flush():
-            doc, tag, pos, hashes, low, least = (np.concatenate(x) for x in zip(*held, strict=True))
+            doc, tag, pos, hashes, check, deal, common_part = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             if not len(doc):
                 return
-            first = _first_only(doc, hashes, low)
-            if len(hot):
-                spread = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, least), len(hot) - 1)] == least)
-                least[spread] = hashes[spread]
-                mine = spread[first[spread]]
-                if len(mine):
-                    first[mine[seen.late(doc[mine], hashes[mine], low[mine])]] = False
-            yield _rows(_WINDOW, _packed_runs(_dest(least[first], buckets), doc[first], tag[first], pos[first], hashes[first], low[first]))
+            first = _first_only(doc, hashes, check)
+            mine = np.flatnonzero(first & common_part)
+            if len(mine):
+                first[mine[seen.late(doc[mine], hashes[mine], check[mine])]] = False
+            yield _rows(_WINDOW, _packed_runs(_dest(deal[first], buckets), doc[first], tag[first], pos[first], check[first], hashes[first]))
             if not first.all():
                 doc, tag, pos = doc[~first], tag[~first], pos[~first]
                 yield _rows(_MARK, _packed_runs(_dest(doc, groups), doc, tag, pos))
 
         for batch in batches:
             for chunk in textops.split_chunks(batch, text):
-                held.append(_chunk_windows(chunk, key, text, width))
+                held.append(_chunk_windows(chunk, key, text, width, hot))
                 size += 36 * len(held[-1][0])
                 if size > FLUSH_BYTES:
                     yield from flush()
@@ -240,7 +247,7 @@ def _mark_windows(groups: int):
 
     def marks(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         parts = [_unpack(b) for b in blobs]
-        doc, tag, pos, run, hashes, low = (np.concatenate(x) for x in zip(*parts, strict=True))
+        doc, tag, pos, run, check, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
         parts.clear()
         blobs.clear()
         of = np.repeat(np.arange(len(doc)), run)
@@ -251,7 +258,7 @@ def _mark_windows(groups: int):
             at = of[mine]
             if not len(at):
                 continue
-            late = ~_first_only(doc[at], hashes[mine], low[mine])
+            late = ~_first_only(doc[at], hashes[mine], check[at])
             if late.any():
                 at, where = at[late], shift[mine][late]
                 yield _rows(_MARK, _packed_runs(_dest(doc[at], groups), doc[at], tag[at], pos[at].astype(np.int64) + where))
@@ -380,10 +387,11 @@ def remove_repeats(docs: DataFrame, width: int = 13, key: str = "doc_id", text:
     n = runtime.partitions(docs.sparkSession)
     size = runtime.estimated_bytes(docs, text)
     buckets = groups = max(8 * n, min(1 << 30, size // BUCKET_BYTES))
+    place = F.pmod("dest", F.lit(n))
     common = docs.sparkSession.sparkContext.broadcast(_common_parts(docs, text, width, size))
     sent = docs.select(key, text).mapInArrow(textops.lean(_send_windows(key, text, width, buckets, groups, common)), _ROW)
-    marks = sent.repartition(n, "kind", "dest").sortWithinPartitions("kind", "dest").mapInArrow(textops.lean(_mark_windows(groups)), _ROW)
+    marks = sent.repartitionById(n, place).sortWithinPartitions("kind", "dest").mapInArrow(textops.lean(_mark_windows(groups)), _ROW)
     texts = docs.mapInArrow(textops.lean(_send_texts(key, groups)), _ROW)
-    met = marks.unionByName(texts).repartition(n, "dest").sortWithinPartitions("dest", "kind")
+    met = marks.unionByName(texts).repartitionById(n, place).sortWithinPartitions("dest", "kind")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
     return met.mapInArrow(textops.lean(_apply(columns, key, text, width, keep_layout)), schema)
