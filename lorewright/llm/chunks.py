@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 from . import runtime, textops
 
 LEAST, USUAL, MOST = 8, 32, 128
+#: Bytes of a chunk in a fingerprint: digest and length.
+ENTRY = 9
 REACH = 8
 BATCH_BYTES = 1 << 20
 _GEAR = (textops.mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -76,47 +78,47 @@ class Prints:
         raw = np.frombuffer(b"".join(texts), np.uint8)
         offsets = np.cumsum([0, *map(len, texts)])
         row, start, end = chunk_ends(raw, offsets)
-        digest = textops.span_hashes(raw, start, end) >> np.uint64(32)
-        key, first = np.unique((row.astype(np.uint64) << np.uint64(32)) | digest, return_index=True)
-        self.n, self.key, self.size = len(texts), key, (end - start)[first]
-        self.row = (key >> np.uint64(32)).astype(np.int64)
+        digest = textops.span_hashes(raw, start, end)
+        order = np.lexsort((digest, row))
+        row, digest, size = row[order], digest[order], (end - start)[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (digest[1:] != digest[:-1])
+        self.n, self.row, self.digest, self.size = len(texts), row[new], digest[new], size[new]
 
     def strings(self) -> list[str]:
         """Base64 of, for each chunk in order of digest, digest and length."""
-        data = np.zeros((len(self.key), 5), np.uint8)
-        data[:, :4] = self.key.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 4:]
-        data[:, 4] = self.size
+        data = np.zeros((len(self.row), ENTRY), np.uint8)
+        data[:, :8] = self.digest.astype(">u8").view(np.uint8).reshape(-1, 8)
+        data[:, 8] = self.size
         flat = data.tobytes()
-        edge = (5 * np.searchsorted(self.row, np.arange(self.n + 1))).tolist()
+        edge = (ENTRY * np.searchsorted(self.row, np.arange(self.n + 1))).tolist()
         return [base64.b64encode(flat[a:b]).decode() for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
-    def contained(self, other: Prints, shift: int = 0, n: int | None = None) -> np.ndarray:
-        """For each row i below n, its containment in row i + shift of ``other``."""
-        n = self.n if n is None else n
-        mine = self.row < n
-        key, size, row = self.key[mine], self.size[mine], self.row[mine]
-        there = np.isin(key + (np.uint64(shift) << np.uint64(32)), other.key, assume_unique=True)
-        total = np.bincount(row, size, n)
-        shared = np.bincount(row[there], size[there], n)
+    def contained(self, other: Prints) -> np.ndarray:
+        """For each row its containment in the same row of ``other``."""
+        salt = textops.mix(np.arange(1, self.n + 1, dtype=np.uint64))
+        there = np.isin(self.digest ^ salt[self.row], other.digest ^ salt[other.row])
+        total = np.bincount(self.row, self.size, self.n)
+        shared = np.bincount(self.row[there], self.size[there], self.n)
         # An empty text is contained in an empty one only.
-        both_empty = np.bincount(other.row, minlength=n + shift)[shift : n + shift] == 0
+        both_empty = np.bincount(other.row, minlength=self.n) == 0
         return np.where(total > 0, shared / np.maximum(total, 1), both_empty.astype(float))
 
 
 def containment(a: str, b: str) -> float:
     """Of two fingerprint strings: the share of a's length that b has too."""
-    x, y = (np.frombuffer(base64.b64decode(s), np.uint8).reshape(-1, 5) for s in (a, b))
+    x, y = (np.frombuffer(base64.b64decode(s), np.uint8).reshape(-1, ENTRY) for s in (a, b))
     if not len(x):
         return float(not len(y))
-    there = {r[:4].tobytes() for r in y}
-    size = [int(r[4]) for r in x]
-    return sum(n for r, n in zip(x, size, strict=True) if r[:4].tobytes() in there) / sum(size)
+    there = {r[:8].tobytes() for r in y}
+    size = [int(r[8]) for r in x]
+    return sum(n for r, n in zip(x, size, strict=True) if r[:8].tobytes() in there) / sum(size)
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """Each row with ``fingerprint``; equal texts have equal ones, null is as empty."""
     columns = [c for c in docs.columns if c != "fingerprint"]
-    docs = docs.select(*[docs[c] for c in columns])
+    docs = runtime.spread(docs.select(*[docs[c] for c in columns]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,26 +180,31 @@ def edited_and_next(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     Texts move once, to the range of their key, where they are sorted; a copy
     of the first row of each range goes to the end of the range before it.
-    Cuts are quantiles of all keys.  Null and empty texts are empty; rows of
-    one key follow one another by text; null keys come first.  A single row is
-    its own next one.  Other columns are not looked at.
+    Cuts are quantiles of all keys; a key that several quantiles fall on has as
+    many ranges, by the hash of the text.  Null and empty texts are empty; rows
+    of one key follow one another by the hash of the text, then by text; null
+    keys come first.  A single row is its own next one.  ``key`` must be an
+    integer column, else a TypeError says so.  Other columns are not looked at.
     """
+    runtime.integer_key(docs, key)
     spark = docs.sparkSession
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    at, mixed = F.coalesce("id", F.lit(runtime.LEAST)), F.xxhash64("text")
     n = runtime.partitions(spark)
-    cuts = runtime.range_cuts(docs, key, 4 * n)
-    least = -(1 << 63)
-    # A key that is null sorts as the least one.
-    rows = docs.select(runtime.range_group(F.col(key), cuts).alias("part"), F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    at = F.coalesce("id", F.lit(least))
-    # At most 4 * n rows, one a range.
-    firsts = sorted(map(tuple, rows.groupBy("part").agg(F.min(at)).collect()))
+    cuts = runtime.range_cuts(rows, at, n)
+    part = runtime.range_part(F.col("at"), F.col("mixed"), cuts)
+    rows = rows.select("id", "text", at.alias("at"), mixed.alias("mixed")).select("id", "text", "at", "mixed", part.alias("part"))
+    # A row for each range, and there are as many as shuffle partitions.
+    firsts = sorted(map(tuple, rows.groupBy("part").agg(F.min(F.struct("at", "mixed")).alias("m")).select("part", "m.at", "m.mixed").collect()))
     if not firsts:
         return spark.createDataFrame([], _OUT.replace("id long", f"{key} long", 1))
-    before = {k: firsts[i - 1][0] for i, (_, k) in enumerate(firsts)}
-    known = F.create_map(*[x for k, p in before.items() for x in (F.lit(k).cast("long"), F.lit(p))])
-    ghost = F.when(at.isin(list(before)), F.try_element_at(known, at))
+    before = {k: firsts[i - 1][0] for i, (k, _, _) in enumerate(firsts)}
+    of = lambda values: F.get(runtime.literal_array(values), F.col("part"))
+    by_part = {k: (a, m) for k, a, m in firsts}
+    every = range(len(cuts) + 1)
+    first = (F.col("at") == of([by_part.get(k, (0, 0))[0] for k in every])) & (F.col("mixed") == of([by_part.get(k, (0, 0))[1] for k in every]))
     own = F.struct(F.col("part").alias("part"), F.lit(0).alias("ghost"))
-    both = F.when(ghost.isNull(), F.array(own)).otherwise(F.array(own, F.struct(ghost.alias("part"), F.lit(1).alias("ghost"))))
-    dealt = rows.select(F.explode(both).alias("p"), "id", "text").select("p.part", "p.ghost", "id", "text")
-    met = dealt.repartition(n, "part").sortWithinPartitions("part", "ghost", "id", "text")
-    return met.mapInArrow(textops.lean(_compare), _OUT).withColumnRenamed("id", key)
+    ghost = F.struct(of([before.get(k, 0) for k in every]).cast("int").alias("part"), F.lit(1).alias("ghost"))
+    dealt = rows.select(F.explode(F.when(first, F.array(own, ghost)).otherwise(F.array(own))).alias("p"), "id", "mixed", "text").select("p.part", "p.ghost", "id", "mixed", "text")
+    met = dealt.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", "ghost", F.asc_nulls_first("id"), "mixed", "text")
+    return met.drop("mixed").mapInArrow(textops.lean(_compare), _OUT).withColumnRenamed("id", key)

@@ -23,21 +23,27 @@ def connected(links: DataFrame, left: str, right: str) -> DataFrame:
     roots = None
     while not edges.isEmpty():
         hooked = runtime.cut(edges.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("p")))
-        moved = True
-        while moved:
+        while True:
             up = hooked.select(F.col("x").alias("p"), F.col("p").alias("q"))
             jumped = runtime.cut(hooked.join(up, "p").select("x", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved")))
-            moved = not jumped.where("moved").isEmpty()
-            hooked = jumped.drop("moved")
+            runtime.release(hooked)
+            hooked = jumped
+            if jumped.where("moved").isEmpty():
+                break
         if roots is None:
-            roots = hooked.select(F.col("x").alias("node"), F.col("p").alias("root"))
+            later = hooked.select(F.col("x").alias("node"), F.col("p").alias("root"))
         else:
             step = hooked.select(F.col("x").alias("root"), F.col("p").alias("up"))
-            roots = runtime.cut(roots.join(step, "root", "left").select("node", F.coalesce("up", "root").alias("root")))
+            later = runtime.cut(roots.join(step, "root", "left").select("node", F.coalesce("up", "root").alias("root")))
         near = hooked.select("x", F.col("p").alias("px"))
         far = hooked.select(F.col("x").alias("y"), F.col("p").alias("py"))
         half = runtime.cut(edges.join(near, "x").select("px", "y"))
-        edges = runtime.cut(half.join(far, "y").where("px <> py").select(F.col("px").alias("x"), F.col("py").alias("y")).distinct())
+        fewer = runtime.cut(half.join(far, "y").where("px <> py").select(F.col("px").alias("x"), F.col("py").alias("y")).distinct())
+        runtime.release(edges, half, *([] if roots is None else [roots, hooked]))
+        if roots is None:
+            later = runtime.cut(later)
+            runtime.release(hooked)
+        roots, edges = later, fewer
     if roots is None:
         roots = edges.select(F.col("x").alias("node"), F.col("y").alias("root"))
     return roots

@@ -23,6 +23,8 @@ from . import runtime, textops
 
 #: Labelled rows that the classifier is fitted on, at most.
 MAX_LABELLED = 5000
+#: Distinct words and stems of a labelled text that it sees, at most.
+MAX_FEATURES = 20_000
 #: Words that it may use, at most; documents that a word must be in, and share
 #: of the bad ones.  Near copies count once (so many of so many minima equal).
 MAX_WORDS, WORD_SUPPORT, WORD_SHARE = 256, 8, 0.008
@@ -199,20 +201,27 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shapes, row, hashes = measure(*textops.utf8(chunk.column("text")))
             first = np.searchsorted(row, np.arange(len(chunk) + 1))
             yield pa.RecordBatch.from_arrays(
-                [chunk.column("bad"), pa.array(list(shapes), pa.list_(pa.float64())), pa.array([hashes[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["bad", "shapes", "words"]
+                [chunk.column("bad"), pa.array(list(shapes), pa.list_(pa.float64())), pa.array([np.sort(hashes[a:b])[:MAX_FEATURES].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["bad", "shapes", "words"]
             )
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED) -> Model | None:
     """A model of bad (quality 0 or toxic 1) from at most ``max_labelled`` rows.
 
-    The sample is the labels whose key has the least hash, so it is the same
-    whenever it is drawn.  None if no label's document exists or all labels
-    agree: nothing can then be learned.
+    A key is bad if any of its labels says so, and good if all say so in both
+    columns; labels that leave it open, by a null, are not used.  The sample is
+    the keys with the least hash, so it is the same whenever it is drawn.  Of
+    rows of one key that with the least text counts, and of a text's words and
+    stems those of the ``MAX_FEATURES`` least hashes, so what reaches the driver
+    is bounded.  None if no label's document exists or all labels agree: nothing
+    can then be learned.
     """
-    chosen = labels.select(F.col(key).alias("of"), F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1.0).otherwise(0.0).alias("bad")).where(F.col("of").isNotNull())
-    chosen = chosen.orderBy(F.xxhash64("of"), "bad").limit(max_labelled)
+    is_bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1.0).when(F.col("quality").isNotNull() & F.col("toxic").isNotNull(), 0.0)
+    known = labels.select(F.col(key).alias("of"), is_bad.alias("bad")).where("of is not null")
+    chosen = known.groupBy("of").agg(F.max("bad").alias("bad"), F.count_if(F.col("bad").isNull()).alias("open")).where("bad = 1 or (bad = 0 and open = 0)").drop("open")
+    chosen = chosen.orderBy(F.xxhash64("of"), "of").limit(max_labelled)
     joined = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("of"))
+    joined = joined.groupBy("of").agg(F.max("bad").alias("bad"), F.min("text").alias("text"))
     rows = sorted(map(tuple, joined.select("bad", "text").mapInArrow(textops.lean(_measured), "bad double, shapes array<double>, words binary").collect()))
     bad = np.array([r[0] for r in rows])
     if not len(rows) or bad.min() == bad.max():
@@ -261,7 +270,7 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         return rows.select(F.col("id").alias(key), "text_hash", F.lit(0.0).alias("evidence"), none.alias("host_rate"), none.alias("site_rate"), none.alias("p_bad"), F.lit(True).alias("keep"))
     columns = ["id", "text_hash", "host", "path"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*columns).schema) + ", evidence double"
-    scored = runtime.cut(rows, textops.lean(_evidence(model, "text", columns)), schema)
+    scored = runtime.cut(runtime.spread(rows), textops.lean(_evidence(model, "text", columns)), schema)
     # Rows with the evidence's probability under the sample's base rate.
     odds = F.exp(F.least(F.lit(30.0), F.greatest(F.lit(-30.0), F.col("evidence") + float(np.log(model.base / (1 - model.base))))))
     paths = runtime.cut(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(odds / (1 + odds)).alias("s")))

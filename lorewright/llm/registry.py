@@ -14,12 +14,15 @@ WINDOW = 13
 
 
 def op1_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = warc.write_archives(runtime.documents(spark, sf_dir, "pages"), runtime.fresh_dir(spark, "warc"))
-    out = warc.read_archives(spark, manifest, with_payload=False)
+    """A record per page, written, and found again through the index by the pages' URLs."""
+    pages = runtime.documents(spark, sf_dir, "pages")
+    manifest = warc.write_archives(pages, runtime.fresh_dir(spark, "warc"))
+    out = warc.read_captures(pages, manifest, with_payload=False)
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_content_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text, of its edited text, and how near it is to that and to the next text."""
     out = chunks.edited_and_next(runtime.documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
@@ -106,17 +109,20 @@ from said
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the words of 13-word windows that a smaller doc_id has."""
     out = substring.remove_repeats(runtime.documents(spark, sf_dir).select("doc_id", "text"), WINDOW)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and items of the benchmark that each text shares in windows of 13 words."""
     docs = runtime.documents(spark, sf_dir).select("doc_id", "text")
     out = decontaminate.find_contamination(docs, runtime.documents(spark, sf_dir, "benchmark"), WINDOW)
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
 def op6_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every text, written as tables and read back."""
     docs = runtime.documents(spark, sf_dir).select("doc_id", "text")
     folder = runtime.fresh_dir(spark, "tables")
     manifest = sstable.write_tables(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID, folder)
@@ -125,16 +131,19 @@ def op6_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every text and the text that they decode to."""
     out = bpe.encode_texts(runtime.documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op8_hierarchical_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence, rates of host (``source``) and path (``lang``) and the verdict on every document."""
     out = quality.classify(runtime.documents(spark, sf_dir), runtime.documents(spark, sf_dir, "labels"))
     return out.select("doc_id", "evidence", "host_rate", "site_rate", "p_bad", "keep")
 
 
 def op9_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, and its shard if there were one more."""
     body = F.coalesce(F.col("text"), F.lit(""))
     rows = runtime.documents(spark, sf_dir).select("doc_id", (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"))
     out = sharding.assign_shards(rows, "doc_id", SHARDS)
@@ -142,6 +151,7 @@ def op9_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
     return simhash.near_duplicates(runtime.documents(spark, sf_dir), words_each=3, bits=3)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import json
 import os
 import re
 import shutil
@@ -104,7 +105,7 @@ def estimated_bytes(df: DataFrame, text: str) -> int:
 
 
 #: Below so many bytes for each core a table is dealt anew before costly maps.
-SPREAD_BYTES = 8 << 20
+SPREAD_BYTES = 2 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -134,6 +135,30 @@ def range_cuts(df: DataFrame, key, groups: int) -> list[int]:
     return sorted(df.agg(F.percentile_approx(key, at, 20 * groups).alias("cuts")).first()["cuts"] or [])
 
 
+def literal_array(values: list[int]):
+    """An array of longs as one constant, however many they are."""
+    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
+
+
+def range_part(key, mixed, cuts: list[int]):
+    """As ``range_parts`` in the JVM: the range of a key, by binary search of the cuts.
+
+    ``mixed`` is a hash by which rows of a key that several cuts fall on are dealt.
+    """
+    if not cuts:
+        return F.lit(0)
+    known = literal_array(cuts)
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))))
+    count = lambda below: F.aggregate(steps, F.lit(0), lambda n, s: F.when(F.coalesce(below(F.get(known, n + s - 1)), F.lit(False)), n + s).otherwise(n))
+    right = count(lambda c: c <= key)
+    if len(set(cuts)) == len(cuts):
+        return right
+    left = count(lambda c: c < key)
+    # The hash's top bits, so that shares are in the order of the hash.
+    share = F.shiftright((F.shiftright(mixed, 33) + (1 << 30)) * (right - left), 31).cast("int")
+    return F.when(right - left > 1, left + 1 + share).otherwise(right)
+
+
 def range_parts(keys: pa.Array, cuts: list[int], values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Range of each key, and its share: 0, or for a key that is several cuts which of their ranges.
 

@@ -8,6 +8,7 @@ or moves to the new one.  The 64-bit generator is kept in limbs of 22, 22 and
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Fixed value: the multiplier of the generator.
@@ -34,7 +35,18 @@ def jump_hash(key: Column, buckets: int) -> Column:
         moved = F.struct(a.alias("a"), b.alias("b"), c.alias("c"), s["next"].alias("at"), ahead.alias("next"))
         return F.when(s["next"] < buckets, moved).otherwise(s)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(buckets)), start, step, lambda s: s["at"].cast("int"))
+    # Jumps are about as many as the logarithm of the buckets; the rare key that needs more takes them all.
+    usual = min(buckets, 16 + 4 * buckets.bit_length())
+    out = lambda steps: F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)
+    if usual == buckets:
+        return out(buckets)["at"].cast("int")
+    return F.transform(F.array(out(usual)), lambda s: F.when(s["next"] >= buckets, s["at"]).otherwise(out(buckets)["at"]))[0].cast("int")
+
+
+def key_hash(rows: DataFrame, key: str) -> Column:
+    """64 bits of a key of any type that Spark hashes; a null integer is as 0."""
+    whole = rows.schema[key].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    return F.xxhash64(F.coalesce(F.col(key), F.lit(0)).cast("long")) if whole else F.xxhash64(F.col(key))
 
 
 def assign_shards(rows: DataFrame, key: str, shards: int, groups: int | None = None) -> DataFrame:
@@ -42,25 +54,31 @@ def assign_shards(rows: DataFrame, key: str, shards: int, groups: int | None = N
 
     Only the key and the number of shards decide the shard.  Slots count from
     0 without gaps in each shard.  They are numbered in two levels: within
-    (shard, part of the key's hash), then by an offset that each part gets from
+    (shard, part of the row's hash), then by an offset that each part gets from
     a table of counts with ``shards`` times ``groups`` rows, which is
-    broadcast; so no task holds a shard.
+    broadcast; so no task holds a shard, nor all rows of one key.  In a part
+    rows are in the order of key and row hash, so slots are the same in every
+    run; only rows alike in all columns can change places.
 
-    A null key has its own place as key 0 would.  Rows of one key share a
-    shard and have slots of their own.  Columns of the input named as the
-    results are dropped in their favour.  An empty table gives no rows.
+    Keys are integers or of any other type that Spark hashes.  A null integer has
+    the place of 0, any other null one of its own.  Rows of one key share a shard
+    and have slots of their own.  Columns of the input named as the results are
+    dropped in their favour; a ``key`` of such a name is a ValueError.  Maps are
+    not part of the row's hash.  An empty table gives no rows.
     """
+    made = ("shard", "grown_shard", "slot")
+    if key in made:
+        raise ValueError(f"{key} is the name of a result")
     spark = rows.sparkSession
     groups = groups or min(1024, 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    kept = [c for c in rows.columns if c not in ("shard", "grown_shard", "slot", "__part", "__rank", "__before")]
-    mixed = F.xxhash64(F.coalesce(F.col(key), F.lit(0)).cast("long"))
-    placed = rows.select(*kept, jump_hash(mixed, shards).alias("shard"), jump_hash(mixed, shards + 1).alias("grown_shard"), F.pmod(F.xxhash64(mixed, F.lit(7)), F.lit(groups)).cast("int").alias("__part"))
-    from pyspark.sql import Window as W
-
-    counts = placed.groupBy("shard", "__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.sum("__n").over(W.partitionBy("shard").orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
-    offsets = counts.select("shard", "__part", F.coalesce(before, F.lit(0)).alias("__before"))
-    rank = F.row_number().over(W.partitionBy("shard", "__part").orderBy(F.col(key).asc_nulls_first()))
-    ranked = placed.withColumn("__rank", rank)
-    joined = ranked.join(F.broadcast(offsets), ["shard", "__part"])
-    return joined.select(*kept, "shard", "grown_shard", (F.col("__before") + F.col("__rank") - 1).cast("long").alias("slot"))
+    kept = [c for c in rows.columns if c not in made]
+    hashed = [F.col(c) for c in kept if "map<" not in rows.schema[c].dataType.simpleString() and rows.schema[c].dataType.simpleString() != "variant"]
+    rows = rows.select(F.struct(*kept).alias("r"), key_hash(rows, key).alias("h"), F.xxhash64(*hashed).alias("row"))
+    placed = rows.select("r", "row", jump_hash(F.col("h"), shards).alias("shard"), jump_hash(F.col("h"), shards + 1).alias("grown"), F.pmod(F.xxhash64("h", "row"), F.lit(groups)).cast("int").alias("part"))
+    counts = placed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    offsets = counts.select("shard", "part", F.coalesce(before, F.lit(0)).alias("before"))
+    order = [F.col("r")[key].asc_nulls_first(), F.col("row")]
+    ranked = placed.withColumn("rank", F.row_number().over(W.partitionBy("shard", "part").orderBy(*order)))
+    joined = ranked.join(F.broadcast(offsets), ["shard", "part"])
+    return joined.select("r.*", "shard", F.col("grown").alias("grown_shard"), (F.col("before") + F.col("rank") - 1).cast("long").alias("slot"))

@@ -264,10 +264,12 @@ def near_duplicates(docs: DataFrame, words_each: int = 3, bits: int = 3, key: st
 
     Null texts are as empty ones, and link like any other.  Repeated rows
     share a fingerprint.  A null key is never the least; a component of null
-    keys only has none.  Other columns are not looked at.
+    keys only has none.  ``key`` must be an integer column, else a TypeError says
+    so.  Other columns are not looked at.
     """
+    runtime.integer_key(docs, key)
     made = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = runtime.cut(made, textops.lean(_fingerprint_rows("id", "text", words_each)), "id long, fp long")
+    rows = runtime.cut(runtime.spread(made), textops.lean(_fingerprint_rows("id", "text", words_each)), "id long, fp long")
     first = runtime.cut(rows.groupBy("fp").agg(F.min("id").alias("first")))
     roots = components.connected(link_fingerprints(first.select("fp"), bits), "a", "b")
     joined = first.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import files, runtime
+from . import files, runtime, textops
 
 BLOCK_LINES = 1000
 FILE_BYTES = 32 << 20
@@ -98,9 +98,9 @@ _CAPTURE_SQL = "url_key string, page_id long, record_type string, sha1 string, f
 def _write_records(folder: str, min_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sink, uri, at, n = None, None, 0, 0
-        for batch in batches:
+        for chunk in (c for batch in batches for c in textops.split_chunks(batch, "html")):
             out: list[list] = [[] for _ in _CAPTURE]
-            for page_id, url, html, latest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, url, html, latest in zip(*(c.to_pylist() for c in chunk.columns), strict=True):
                 if sink is None:
                     uri = f"{folder}/archive-{files.attempt_name()}-{n:04d}.warc.gz"
                     system, path = files.opened(uri)
@@ -172,24 +172,26 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, key: str =
     largest key is the response and others revisit it.  The manifest, one row
     per index file, has ``file``, ``first_key``, ``last_key``, ``captures``.
 
-    Payloads move once, dealt by key, to meet what is known of their digest;
-    digests are grouped with keys alone, so one that a third of all rows share
-    is pre-aggregated.  A null payload is empty, a null URL has the empty key; a
-    null key is a response, as are repeated rows of the largest key.  Files are
-    named by the attempt that wrote them and count only if the index lists
-    them.  Other columns are not looked at.
+    Payloads are equal if their SHA-256 is.  Digests are grouped with keys alone,
+    so one that a third of all rows share is pre-aggregated; payloads move once,
+    to meet those of several rows, in a join whose large partitions Spark splits.
+    A null payload is empty, a null URL has the empty key.  A row with a null
+    key revisits the largest key of its payload; if all are null, all are
+    responses, as are repeated rows of the largest key.  Files are named by the
+    attempt that wrote them and count only if the index lists them.  ``key`` must
+    be an integer column, else a TypeError says so.  Other columns are not
+    looked at.
     """
+    runtime.integer_key(pages, key)
     spark = pages.sparkSession
     n = runtime.partitions(spark)
     files.make_dir(folder)
     body = F.coalesce(F.col(payload), F.lit(""))
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), body.alias("html"))
-    digests = runtime.cut(rows.select("page_id", F.unhex(F.sha1(F.col("html").cast("binary"))).alias("sha1")))
-    latest = digests.groupBy("sha1").agg(F.max("page_id").alias("latest"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha1", "latest")
-    repeats = digests.join(runtime.cut(latest), "sha1").where("page_id <> latest").select(F.col("page_id").alias("of"), F.col("sha1").alias("of_sha1"), "latest").distinct()
-    own = F.unhex(F.sha1(F.col("html").cast("binary")))
-    met = rows.repartition(n, "page_id").join(runtime.cut(repeats), (F.col("page_id") == F.col("of")) & (own == F.col("of_sha1")), "left")
-    captures = runtime.cut(met.select("page_id", "url", "html", "latest"), _write_records(folder, min_bytes), _CAPTURE_SQL)
+    rows = rows.withColumn("sha256", F.unhex(F.sha2(F.col("html").cast("binary"), 256)))
+    latest = rows.groupBy("sha256").agg(F.max("page_id").alias("latest"), F.count(F.lit(1)).alias("n")).where("n > 1 and latest is not null").select("sha256", "latest")
+    met = rows.join(runtime.cut(latest), "sha256", "left").select("page_id", "url", "html", "latest")
+    captures = runtime.cut(met, textops.lean(_write_records(folder, min_bytes)), _CAPTURE_SQL)
     ordered = captures.repartitionByRange(n, "url_key", "page_id").sortWithinPartitions("url_key", "page_id")
     return runtime.cut(ordered, _write_index(folder), "file string, first_key string, last_key string, captures long")
 
@@ -207,8 +209,15 @@ def _block(uri: str, entry: list) -> list[list]:
     return [json.loads(x) for x in zlib.decompress(files.read_range(uri, entry[1], entry[2])).split(b"\n")]
 
 
+def _blocks_of(directory: list[list], key: str) -> range:
+    """The blocks, by binary search, that can have lines of a key."""
+    # Equal keys may begin in the block before the one that they open.
+    first = max(0, bisect_left(directory, key, key=lambda x: x[0]) - 1)
+    return range(first, bisect_right(directory, key, key=lambda x: x[0]))
+
+
 class Lookup:
-    """Finds captures of a URL with range reads only."""
+    """Finds captures of a URL with range reads only, from the driver."""
 
     def __init__(self, manifest: DataFrame):
         # One row per index file, as many as there were partitions.
@@ -216,26 +225,69 @@ class Lookup:
 
     def captures(self, url: str) -> list[list]:
         key, out = url_key(url), []
-        k = max(0, bisect_right(self.index, key, key=lambda x: x[0]) - 1)
-        while k > 0 and self.index[k - 1][1] >= key:
-            k -= 1
-        for first, last, uri in self.index[k:]:
-            if first > key:
-                break
-            if last < key:
-                continue
-            directory = _directory(uri)
-            # Equal keys may begin in the block before the one that they open.
-            b = max(0, bisect_left(directory, key, key=lambda x: x[0]) - 1)
-            while b < len(directory) and directory[b][0] <= key:
-                out += [x for x in _block(uri, directory[b]) if x[0] == key]
-                b += 1
+        for at in _files_of([x[0] for x in self.index], [x[1] for x in self.index], key):
+            directory = _directory(self.index[at][2])
+            for k in _blocks_of(directory, key):
+                out += [x for x in _block(self.index[at][2], directory[k]) if x[0] == key]
         return out
 
     def records(self, url: str) -> list[dict]:
         return [parse_record(files.read_range(x[4], x[5], x[6])) for x in self.captures(url)]
 
 
+def _files_of(firsts: list[str], lasts: list[str], key: str) -> range:
+    """The index files, by binary search, that can have lines of a key."""
+    end = bisect_right(firsts, key)
+    return range(bisect_left(lasts, key, 0, end), end)
+
+
+_PLACES = pa.schema([("url_key", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+
+
+def find_captures(urls: DataFrame, manifest: DataFrame, url: str = "url") -> DataFrame:
+    """(``url_key``, ``file``, ``offset``, ``length``) of each capture of any of the URLs, once.
+
+    The manifest's keys, two for each index file, go to the tasks, which search
+    them for the files of a key; keys are dealt by file and sorted.  There the
+    file's sparse directory is searched for the key's blocks, and only those are
+    read, each once.  A null URL asks for captures without one; one that no
+    index has gives no row; repeated ones count once.
+    """
+    listed = sorted((r["first_key"], r["last_key"], r["file"]) for r in manifest.collect())
+    sent = urls.sparkSession.sparkContext.broadcast(listed)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts, lasts = [x[0] for x in sent.value], [x[1] for x in sent.value]
+        for batch in batches:
+            asked = [(at, key) for key in {url_key(u) for u in batch.column(0).to_pylist()} for at in _files_of(firsts, lasts, key)]
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in asked], pa.int32()), pa.array([k for _, k in asked], pa.string())], names=["at", "key"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened, uri, directory, held, lines, before = None, None, [], None, {}, None
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for at, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (at, key) == before:
+                    continue
+                before = (at, key)
+                if at != opened:
+                    opened, uri, held = at, sent.value[at][2], None
+                    directory = _directory(uri)
+                for k in _blocks_of(directory, key):
+                    if k != held:
+                        held, lines = k, {}
+                        for x in _block(uri, directory[k]):
+                            lines.setdefault(x[0], []).append(x)
+                    for x in lines.get(key, ()):
+                        for to, v in zip(out, (key, x[4], x[5], x[6]), strict=True):
+                            to.append(v)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, _PLACES, strict=True)], schema=_PLACES)
+
+    asked = urls.select(F.col(url).alias("url")).distinct().mapInArrow(textops.lean(route), "at int, key string")
+    return asked.repartitionById(max(1, len(listed)), "at").sortWithinPartitions("at", "key").mapInArrow(textops.lean(search), "url_key string, file string, offset long, length long")
+
+
 _READ_SQL = "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long"
 _READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64())])
 _READ_AT_ONCE = 4 << 20
@@ -278,7 +330,16 @@ def read_archives(spark: SparkSession, manifest: DataFrame, with_payload: bool =
     ``payload_bytes`` and ``payload_digest`` of the full payload, ``refers_to``.
     """
     n = runtime.partitions(spark)
-    listed = manifest.select("file").repartition(n).mapInArrow(_list_captures, "file string, offset long, length long")
+    return read_records(manifest.select("file").repartition(n).mapInArrow(_list_captures, "file string, offset long, length long"), with_payload)
+
+
+def read_captures(urls: DataFrame, manifest: DataFrame, url: str = "url", with_payload: bool = True) -> DataFrame:
+    """As ``read_archives``, the records of the URLs' captures, found through the index."""
+    return read_records(find_captures(urls, manifest, url), with_payload)
+
+
+def read_records(places: DataFrame, with_payload: bool = True) -> DataFrame:
+    """The records at (``file``, ``offset``, ``length``)."""
     part = F.floor(F.col("offset") / F.lit(_READ_AT_ONCE))
-    dealt = listed.repartition(n, "file", part).sortWithinPartitions("file", "offset")
-    return dealt.mapInArrow(_read_records(with_payload), _READ_SQL)
+    dealt = places.select("file", "offset", "length").repartition(runtime.partitions(places.sparkSession), "file", part).sortWithinPartitions("file", "offset")
+    return dealt.mapInArrow(textops.lean(_read_records(with_payload)), _READ_SQL)

@@ -16,7 +16,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lorewright.llm import bpe, chunks, components, decontaminate, quality, sharding, simhash, sstable, substring, textops
+from lorewright.llm import bpe, chunks, components, decontaminate, quality, runtime, sharding, simhash, sstable, substring, textops
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -346,6 +346,34 @@ def test_chunks_odd(spark, no_docs):
     assert chunks.edited_and_next(no_docs).count() == 0 and chunks.fingerprints(no_docs).count() == 0
 
 
+def test_chunks_hot_keys(spark):
+    """A key, and null, of a third of all rows each: order by hash of the text, over several ranges."""
+    pick = random.Random(11)
+    rows = [(None if i % 3 == 0 else 50 if i % 3 == 1 else pick.randrange(100), f"{i} " * pick.randint(0, 9)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("part", F.lit("clash")).withColumn("mixed", F.lit(1)).repartition(5)
+    mixed = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, mixed[r[1]], r[1]))
+    want = sorted((str(d), t[: len(t) - len(t) // 4] + ordered[(k + 1) % len(rows)][1][: len(t) // 4]) for k, (d, t) in enumerate(ordered))
+    assert sorted((str(r["doc_id"]), r["edited_text"]) for r in chunks.edited_and_next(df).collect()) == want
+    with pytest.raises(TypeError):
+        chunks.edited_and_next(df.withColumn("doc_id", F.lit("a")))
+
+
+def test_range_part(spark):
+    """Binary search of the cuts, in the JVM and in workers."""
+    cuts = [3, 7, 7, 7, 10, 20, 20]
+    keys = [-5, 3, 4, 7, 8, 10, 15, 20, 99]
+    df = spark.createDataFrame([(k, h) for k in keys for h in (-(2**63), -1, 0, 2**63 - 1)], "k long, h long")
+    got = collections.defaultdict(list)
+    for r in df.select("k", runtime.range_part(F.col("k"), F.col("h"), cuts).alias("p")).collect():
+        got[r["k"]].append(r["p"])
+    assert {k: v for k, v in got.items() if k not in (7, 20)} == {k: [sum(c <= k for c in cuts)] * 4 for k in keys if k not in (7, 20)}
+    assert got[7] == [2, 3, 3, 4] and got[20] == [6, 6, 7, 7]
+    part, share = runtime.range_parts(pa.array([*keys, None]), cuts, [bytes([i]) for i in range(10)])
+    assert part[0] == part[9] == 0 and part[1] == 1 and 2 <= part[3] <= 4 and share[3] == part[3] - 2 and 6 <= part[7] <= 7
+    assert spark.range(3).select(runtime.range_part(F.col("id"), F.col("id"), []).alias("p")).distinct().collect()[0][0] == 0
+
+
 # --- token ids
 
 
@@ -483,6 +511,36 @@ def test_shards(spark, docs, no_docs):
     assert sharding.assign_shards(no_docs, "doc_id", 40).count() == 0
 
 
+def test_shards_of_other_keys_and_names(spark):
+    """String keys, columns named like the inner ones, a hot key, repeated rows, many shards."""
+    rows = [("hot" if i % 3 else f"k{i}", i % 50, f"t{i % 70}") for i in range(600)] + [(None, 1, None), ("hot", 1, "t1"), ("hot", 1, "t1")]
+    df = spark.createDataFrame(rows, "id string, rank long, part string").withColumn("before", F.lit("b")).withColumn("r", F.lit(1)).withColumn("h", F.lit(2)).withColumn("row", F.lit(3)).withColumn("__part", F.lit(4)).withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
+    got = sharding.assign_shards(df, "id", 7, groups=5)
+    assert got.columns == [*df.columns, "shard", "grown_shard", "slot"]
+    once, twice = ([(r["id"] or "", r["rank"], r["part"] or "", r["shard"], r["slot"]) for r in x.collect()] for x in (got, sharding.assign_shards(df.repartition(3), "id", 7, groups=5)))
+    assert sorted(once) == sorted(twice) and len({s for i, _, _, s, _ in once if i == "hot"}) == 1
+    for shard in range(7):
+        slots = sorted(x[4] for x in once if x[3] == shard)
+        assert slots == list(range(len(slots)))
+    many = sharding.assign_shards(spark.range(200), "id", 100_000).collect()
+    hashes = {r["id"]: r["h"] for r in spark.range(200).select("id", F.xxhash64("id").alias("h")).collect()}
+    assert all(r["shard"] == jump(hashes[r["id"]] % (1 << 64), 100_000) for r in many)
+    with pytest.raises(ValueError):
+        sharding.assign_shards(df.withColumn("slot", F.lit(1)), "slot", 7)
+
+
+def test_jump_hash_of_many_jumps(spark, monkeypatch):
+    """A key that needs more than the usual number of jumps takes them all."""
+    keys = [random.Random(9).randrange(-(2**63), 2**63) for _ in range(400)]
+
+    class Short(int):
+        def bit_length(self):
+            return -3
+
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    assert [r[0] for r in df.select(sharding.jump_hash(F.col("k"), Short(500))).collect()] == [jump(k % (1 << 64), 500) for k in keys]
+
+
 # --- quality
 
 
@@ -519,6 +577,77 @@ def test_quality(spark):
     assert quality.classify(docs.limit(0), known).count() == 0
 
 
+def test_quality_by_formula(spark):
+    """Rates and posterior of every row, computed again from the evidence."""
+    pick = random.Random(8)
+    rows, labels = [], []
+    for d in range(700):
+        bad = pick.random() < 0.3
+        body = [pick.choice("alpha beta gamma delta rho".split()) for _ in range(40)] + ["vilest"] * (bad and pick.random() < 0.8)
+        rows.append((d, " ".join(body), pick.choice(["en", "fr"]) if d % 9 else None, f"s{int(pick.random() ** 3 * 12)}" if d % 11 else None, 0))
+        if d % 2:
+            labels.append((d, int(not bad), 0))
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("evidence", F.lit("clash")).withColumn("n", F.lit(0)).withColumn("site_host", F.lit("x"))
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality.classify(docs, known).collect()}
+    model = quality.train(docs, known)
+    logit = lambda p: np.log(p / (1 - p))
+    groups: dict = collections.defaultdict(list)
+    for d, _, lang, source, _ in rows:
+        groups[source, lang].append(1 / (1 + np.exp(-np.clip(got[d]["evidence"] + logit(model.base), -30, 30))))
+
+    def strength(parts):
+        """Of (n, share, toward) of each group: pseudo-rows by moments."""
+        between = sum(n * (x - m) ** 2 for n, x, m in parts)
+        within, scale = sum(m * (1 - m) for _, _, m in parts), sum(n * m * (1 - m) for n, _, m in parts)
+        return min(1000, max(2, 1 / max(1e-6, (between - within) / scale) - 1))
+
+    prior = np.mean([p for g in groups.values() for p in g])
+    hosts: dict = collections.defaultdict(list)
+    for (host, _), g in groups.items():
+        hosts[host] += g
+    k = strength([(len(g), np.mean(g), prior) for g in hosts.values()])
+    host_rate = {h: (sum(g) + k * prior) / (len(g) + k) for h, g in hosts.items()}
+    k = strength([(len(g), np.mean(g), host_rate[h]) for (h, _), g in groups.items()])
+    site_rate = {s: (sum(g) + k * host_rate[s[0]]) / (len(g) + k) for s, g in groups.items()}
+    for d, _, lang, source, _ in rows:
+        assert got[d]["host_rate"] == pytest.approx(host_rate[source], rel=1e-6) and got[d]["site_rate"] == pytest.approx(site_rate[source, lang], rel=1e-6)
+        p = 1 / (1 + np.exp(-(got[d]["evidence"] + logit(np.clip(site_rate[source, lang], 0.001, 0.999)))))
+        assert got[d]["p_bad"] == pytest.approx(p, rel=1e-6) and got[d]["keep"] == (p <= quality.THRESHOLD)
+
+
+def test_quality_site_decides(spark):
+    """The same doubtful text goes on a bad host and stays on a good one; a sparse site says little."""
+    pick = random.Random(9)
+    rows, labels = [], []
+    for d in range(1200):
+        host = "bad" if d % 2 else "good"
+        bad = pick.random() < (0.9 if host == "bad" else 0.05)
+        words = [pick.choice("alpha beta gamma delta rho".split()) for _ in range(30)]
+        rows.append((d, " ".join(words + ["vilest"] * (3 * bad)), "en", host, 0))
+        labels.append((d, int(not bad), 0))
+    doubtful = "alpha beta gamma delta rho " * 6 + "vilest"
+    rows += [(5000, doubtful, "en", "bad", 0), (5001, doubtful, "en", "good", 0), (5002, doubtful, "en", "lone", 0)]
+    got = {r["doc_id"]: r for r in quality.classify(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert got[5000]["evidence"] == got[5001]["evidence"] == got[5002]["evidence"]
+    assert got[5000]["site_rate"] > 0.7 > 0.2 > got[5001]["site_rate"] and got[5001]["p_bad"] < got[5002]["p_bad"] < got[5000]["p_bad"]
+    prior = np.mean([r["host_rate"] for r in got.values()])
+    assert abs(got[5002]["site_rate"] - prior) < 0.5 * abs(got[5000]["site_rate"] - prior) + 0.2
+
+
+def test_quality_odd_labels(spark):
+    """Null labels are not used, repeated keys and labels count once, long texts pass."""
+    rows = [(d, ("vilest " if d % 3 == 0 else "fine ") * 20 + f"w{d}", "en", "s", 0) for d in range(300)]
+    labels = [(d, int(d % 3 != 0), None if d % 3 == 0 else 0) for d in range(300)] + [(301, None, None), (1, None, 0), (None, 0, 1)] + [(d, int(d % 3 != 0), 0) for d in range(2, 300)]
+    many = rows + [(0, rows[0][1], "en", "s", 0)] * 50 + [(400, "vilest " * 200_000, "en", "s", 0), (401, " ".join(f"u{i}" for i in range(100_000)), "en", "s", 0)]
+    known = spark.createDataFrame([*labels, (401, 1, 0)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(many, SCHEMA)
+    got = {r["doc_id"]: r["keep"] for r in quality.classify(docs, known).collect()}
+    assert all(got[d] == (d % 3 != 0) for d in range(300)) and not got[400]
+    only_open = spark.createDataFrame([(d, None, 0) for d in range(300)], "doc_id long, quality int, toxic int")
+    assert quality.train(docs, only_open) is None
+
+
 # --- shared helpers
 
 
