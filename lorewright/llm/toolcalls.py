@@ -23,8 +23,9 @@ _KINDS = {
     "string": "^STRING$", "integer": "^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL\\(\\d+,0\\))$", "number": "^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL\\(.*|DOUBLE|FLOAT)$",
     "boolean": "^BOOLEAN$", "array": "^ARRAY<", "object": "^OBJECT<", "null": "^VOID$",
 }
-#: Strings, numbers and all else of a JSON text without spaces.
-_TOKEN = r'("(?:\\.|[^"\\])*"|-?[0-9][0-9.eE+-]*|[^"0-9-]+)'
+#: Strings, numbers and all else of a JSON text without spaces; possessive, so
+#: that Java matches long texts without recursion.
+_TOKEN = r'("(?:[^"\\]++|\\.)*+"|-?[0-9][0-9.eE+-]*+|[^"0-9-]++)'
 #: Digits that a number may have before it is written with an exponent.
 _PLAIN_DIGITS = 40
 

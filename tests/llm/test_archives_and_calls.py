@@ -26,11 +26,19 @@ def test_round_trip(spark, tmp_path):
     for i, _, html in rows:
         body = (html or "").encode()
         first = latest.get(html or "")
-        revisit = i is not None and first != i
+        revisit = first is not None and first != i
         want.append((i, len(body), warc.digest(body), "revisit" if revisit else "response", first if revisit else None, None if revisit else body))
     key = lambda r: tuple((x is not None, x) for x in r)
     got = [(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"], None if r["payload"] is None else bytes(r["payload"])) for r in out.collect()]
     assert sorted(got, key=key) == sorted(want, key=key)
+    urls = spark.createDataFrame([(u,) for _, u, _ in rows] + [("http://gone.example/",), (None,)], "url string").withColumn("at", F.lit("clash"))
+    again = [(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"], None if r["payload"] is None else bytes(r["payload"])) for r in warc.read_captures(urls, manifest).collect()]
+    assert sorted(again, key=key) == sorted(want, key=key)
+    some = warc.read_captures(urls.where("url like '%h3.%'"), manifest).collect()
+    assert sorted(r["page_id"] for r in some) == [i for i in range(200) if i % 7 == 3]
+    assert warc.find_captures(urls.limit(0), manifest).count() == 0 and warc.find_captures(urls.where("url like '%gone%'"), manifest).count() == 0
+    with pytest.raises(TypeError):
+        warc.write_archives(spark.createDataFrame([("a", "b", "c")], "page_id string, url string, html string"), f"file://{tmp_path}/no")
     find = warc.Lookup(manifest)
     assert sorted(r["page_id"] for r in find.records("HTTPS://h3.EXAMPLE.com/p3?q=3#x")) == [3]
     assert len(find.captures("http://again.b/")) == 2 and find.captures("http://gone.example/") == []
@@ -45,11 +53,22 @@ def test_least_payload_and_large_index(spark, tmp_path, monkeypatch):
     find = warc.Lookup(manifest)
     assert len(find.captures("http://same.example/")) == 40
     assert all(len(find.captures(f"http://x{i}.example/")) == 1 for i in range(30))
+    asked = spark.createDataFrame([("http://same.example/",), ("http://x3.example/",), ("http://same.example/#again",)], "url string")
+    assert sorted(r["page_id"] for r in warc.read_captures(asked, manifest).collect()) == [*range(40), 103]
+
+
+def test_null_keys_and_long_pages(spark, tmp_path):
+    """Null keys revisit the largest key of their payload; of null keys alone all are responses."""
+    rows = [(None, "http://a/", "shared")] * 20 + [(5, "http://a/", "shared"), (None, "http://b/", "none"), (None, "http://b/", "none"), (6, "http://c/", "x" * 3_000_000)]
+    manifest, out = archive(spark, tmp_path, rows)
+    got = [(r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in out.collect()]
+    assert sorted(got, key=str) == sorted([(None, "revisit", 5, 6)] * 20 + [(5, "response", None, 6), (None, "response", None, 4), (None, "response", None, 4), (6, "response", None, 3_000_000)], key=str)
 
 
 def test_empty(spark, tmp_path):
     manifest, out = archive(spark, tmp_path, [])
     assert manifest.count() == 0 and out.count() == 0
+    assert warc.find_captures(spark.createDataFrame([("http://a/",)], "url string"), manifest).count() == 0
 
 
 @pytest.mark.parametrize(("url", "key"), [("http://www.A.b.com/x?y#z", "com,b,a)/x?y"), ("https://a.b:8080", "b,a:8080)/"), (None, ""), ("odd", "odd"), ("http://[bad", "http://[bad")])
@@ -130,6 +149,9 @@ def test_numbers_have_one_form(spark):
     df = spark.createDataFrame(forms, "want string, text string, said string")
     for r in df.withColumn("out", toolcalls.canonical_json(F.try_parse_json("text"))).collect():
         assert r["out"] == f'{{"a":{r["want"]},"b":[{r["want"]},"{r["said"]}"]}}', r
+    body = 'a \\" \\n1.0 ' * 100_000
+    long = spark.createDataFrame([(f'{{"n": 1.50, "t": "{body}"}}',)], "text string")
+    assert long.select(toolcalls.canonical_json(F.try_parse_json("text"))).first()[0] == f'{{"n":1.5,"t":"{body}"}}'
     whole = linked(spark, [(i, "a", 0, "search", f'{{"query": "q", "limit": {t}}}', []) for i, t in enumerate(("1.0", "1e2", "1.5", "7"))], [])
     assert {r["conv_id"]: "not integer: limit" in r["errors"] for r in whole} == {0: False, 1: False, 2: True, 3: False}
 
