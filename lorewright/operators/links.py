@@ -6,6 +6,8 @@ A page row has ``idx`` (its order), ``slug``, ``name`` (path below the root) and
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 CANDIDATES = 64
+#: Rows of each side that meet in one task.
+BLOCK_ROWS = 8192
 BROKEN_SCORE, RELATED_SCORE, FOLDER_BONUS, SHORT_TOKEN = 0.74, 0.08, 0.08, 0.35
 
 
@@ -58,19 +62,66 @@ def _best(scored: DataFrame, by: str, order: list[Column]) -> DataFrame:
     return scored.withColumn("__r", F.row_number().over(W.partitionBy(by).orderBy(*order))).where("__r = 1").drop("__r")
 
 
+def top_overlaps(left: DataFrame, right: DataFrame, k: int = CANDIDATES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(``id``, ``idx``, ``weight``, ``rank``): the k rows of ``right`` that share most with each of ``left``.
+
+    ``left`` has ``id`` and ``keys``, ``right`` has ``idx`` and ``keys``: arrays of
+    (``key`` long, ``w`` int), in which a key may come again.  A shared key weighs
+    what it does on the right, as often as it stands there; equal weights rank by
+    ``idx``.  Nothing in common is no candidate.
+
+    Both sides are dealt to groups of about ``block_rows``; each two groups meet
+    once and give k rows for each of ``left``.  So what moves is each side once a
+    group of the other and the kept rows; pairs are never rows.
+    """
+    n_l, n_r = (max(1, -(-x.count() // block_rows)) for x in (left, right))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    group = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    a = left.select("id", F.lit(None).cast("long").alias("idx"), F.col("keys.key").alias("key"), F.col("keys.w").alias("w"), group("id", n_l).alias("i"), every(n_r).alias("j"))
+    b = right.select(F.lit(None).cast(left.schema["id"].dataType).alias("id"), "idx", F.col("keys.key").alias("key"), F.col("keys.w").alias("w"), every(n_l).alias("i"), group("idx", n_r).alias("j"))
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        mine, theirs = rows[rows["idx"].isna()], rows[rows["idx"].notna()].sort_values("idx")
+        none = pd.DataFrame({"id": [], "idx": [], "weight": []})
+        if not len(mine) or not len(theirs):
+            return none
+        idx = theirs["idx"].to_numpy(np.int64)
+        key, weight = (np.concatenate([np.asarray(x, np.int64) for x in theirs[c]]) for c in ("key", "w"))
+        order = np.argsort(key, kind="stable")
+        key, weight, at = key[order], weight[order], np.repeat(np.arange(len(idx)), [len(x) for x in theirs["key"]])[order]
+        out = []
+        for name, keys in zip(mine["id"], mine["key"], strict=True):
+            keys = np.asarray(keys, np.int64)
+            spans = [np.arange(x, y) for x, y in zip(np.searchsorted(key, keys), np.searchsorted(key, keys, side="right"), strict=True) if x < y]
+            if not spans:
+                continue
+            met = np.concatenate(spans)
+            total = np.bincount(at[met], weight[met], len(idx)).astype(np.int64)
+            least = max(1, np.partition(total, -k)[-k] if len(total) > k else 1)
+            some = np.flatnonzero(total >= least)
+            best = some[np.argsort(-total[some], kind="stable")][:k]
+            out.append(pd.DataFrame({"id": [name] * len(best), "idx": idx[best], "weight": total[best]}))
+        return pd.concat(out) if out else none
+
+    kind = left.schema["id"].dataType.simpleString()
+    found = a.unionByName(b).groupBy("i", "j").applyInPandas(meet, f"id {kind}, idx long, weight long")
+    return found.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("weight"), "idx"))).where(F.col("rank") <= k)
+
+
+def _weighed(keys: Column, weight=None) -> Column:
+    return F.transform(keys, lambda x: F.struct(F.xxhash64(x).alias("key"), (F.lit(1) if weight is None else weight(x)).cast("int").alias("w")))
+
+
 def suggest_for_broken(broken: DataFrame, pages: DataFrame, least: float = BROKEN_SCORE) -> DataFrame:
     """(``target``, ``suggestion``, ``score``) of each distinct broken target.
 
     Targets meet pages over shared character pairs, counted once for each of
     slug, name and title; the 64 best by count are scored, so edit distances
-    are taken for few pairs only.
+    are taken for few pairs only.  See ``top_overlaps`` for how they meet.
     """
-    wanted = broken.select("target").distinct()
-    left = wanted.select("target", F.explode(X.bigrams(F.col("target"))).alias("g"))
-    names = pages.select("idx", F.explode(F.array("slug", "name", "title")).alias("n"))
-    right = names.select("idx", F.explode(X.bigrams(F.col("n"))).alias("g"))
-    counts = left.join(right, "g").groupBy("target", "idx").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.withColumn("rank", F.row_number().over(W.partitionBy("target").orderBy(F.desc("n"), "idx"))).where(F.col("rank") <= CANDIDATES)
+    left = broken.select("target").distinct().select(F.col("target").alias("id"), _weighed(X.bigrams(F.col("target"))).alias("keys"))
+    right = pages.select("idx", _weighed(F.concat(*(X.bigrams(F.coalesce(c, F.lit(""))) for c in (F.col("slug"), F.col("name"), F.col("title"))))).alias("keys"))
+    top = top_overlaps(left, right).select(F.col("id").alias("target"), "idx", "rank")
     met = top.join(pages, "idx")
     scored = met.withColumn("score", F.greatest(*(X.similarity(F.col("target"), F.col(c)) for c in ("slug", "name", "title"))))
     best = _best(scored, "target", [F.desc("score"), F.col("rank")])
@@ -81,16 +132,19 @@ def suggest_related(pages: DataFrame, tokens: DataFrame, linked: DataFrame | Non
     """(``idx``, ``suggestion``, ``score``): the page with the most like tokens.
 
     ``tokens`` has distinct (``idx``, ``token``).  Tokens of more than a quarter
-    of the pages, and more than 20, say nothing and are left out before the
-    join, which bounds what any token can fan out to.  ``linked`` (``idx``,
-    ``dst``) are pages that need no suggestion.
+    of the pages, and more than 20, say nothing and are left out.  A token of one
+    character weighs 0.35, others 1; the 64 pages with the most are scored.  See
+    ``top_overlaps`` for how pages meet.  ``linked`` (``idx``, ``dst``) are pages
+    that need no suggestion.
     """
     total = pages.agg(F.greatest(F.lit(20), F.ceil(F.count(F.lit(1)) * 0.25)).alias("most"))
     rare = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(total), F.col("df") <= F.col("most")).select("token")
-    kept = tokens.join(rare, "token")
     sizes = tokens.groupBy("idx").agg(F.count(F.lit(1)).alias("size"))
-    weight = F.when(F.length("token") > 1, F.lit(1.0)).otherwise(F.lit(SHORT_TOKEN))
-    pairs = kept.join(kept.withColumnRenamed("idx", "other"), "token").where("idx <> other").groupBy("idx", "other").agg(F.sum(weight).alias("overlap"))
+    # In twentieths, so that sums are exact.
+    unit = lambda t: F.when(F.length(t) > 1, F.lit(20)).otherwise(F.lit(round(20 * SHORT_TOKEN)))
+    held = tokens.join(rare, "token").groupBy("idx").agg(F.collect_list("token").alias("t")).select("idx", _weighed(F.col("t"), unit).alias("keys"))
+    # One more than is wanted, as a page shares most with itself.
+    pairs = top_overlaps(held.withColumnRenamed("idx", "id"), held, CANDIDATES + 1).where("id <> idx").select(F.col("id").alias("idx"), F.col("idx").alias("other"), (F.col("weight") / 20).alias("overlap"))
     top = pairs.withColumn("rank", F.row_number().over(W.partitionBy("idx").orderBy(F.desc("overlap"), "other"))).where(F.col("rank") <= CANDIDATES)
     if linked is not None:
         top = top.join(linked.select("idx", F.col("dst").alias("other")), ["idx", "other"], "left_anti")
@@ -106,12 +160,20 @@ def suggest_related(pages: DataFrame, tokens: DataFrame, linked: DataFrame | Non
 def similar_titles(queries: DataFrame, titles: DataFrame, least: float = BROKEN_SCORE, limit: int = CANDIDATES) -> DataFrame:
     """(``query``, ``title``, ``score``, ``rank``): the titles most like a query.
 
-    Pairs come from shared character pairs: two strings with a score this high
-    have some, so nothing is missed and no cross join is needed.
+    Two strings with a score this high share a character pair, or one of them is
+    a single character that the other contains; both are keys, so nothing is
+    missed and no cross join is needed.
     """
     distinct = titles.select("title").distinct()
-    left = queries.select("query", F.explode(X.bigrams(F.col("query"))).alias("g"))
-    right = distinct.select("title", F.explode(X.bigrams(F.col("title"))).alias("g"))
+
+    def keyed(c: Column, own: str, other: str) -> Column:
+        chars = F.array_distinct(F.filter(F.split(X.normal_target(c), ""), lambda x: x != ""))
+        mark = lambda name, xs: F.transform(xs, lambda x: F.concat(F.lit(name), x))
+        alone = F.when(F.size(chars) == 1, mark(own, chars)).otherwise(F.array().cast("array<string>"))
+        return F.explode(F.concat(mark("2", X.bigrams(c)), alone, mark(other, chars)))
+
+    left = queries.select("query").distinct().select("query", keyed(F.col("query"), "q", "t").alias("g"))
+    right = distinct.select("title", keyed(F.col("title"), "t", "q").alias("g"))
     pairs = left.join(right, "g").select("query", "title").distinct()
     scored = pairs.withColumn("score", X.similarity(F.col("query"), F.col("title"))).where(F.col("score") >= least)
     ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "title")))

@@ -9,18 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
 
-#: Pages of the first parts: slugs from names, some repeated; links by arithmetic.
+#: A page of every part: slugs from names, some repeated; links by arithmetic.
 WIKI = """
-with p as (select p_partkey as k, p_name as title, lower(replace(p_name, ' ', '-')) || '-' || cast(p_partkey as string) as own from {part} where p_partkey < 400),
+with p as (select p_partkey as k, p_name as title, lower(replace(p_name, ' ', '-')) || '-' || cast(p_partkey as string) as own from {part}),
+pc as (select max(p_partkey) + 1 as n from {part}),
 w as (select p.k as idx, coalesce(q.own, p.own) as slug, p.title,
     element_at(array({categories}), cast(p.k % 5 as int) + 1) || '/' || coalesce(q.own, p.own) as name, p.own
   from p left join p q on p.k % 17 = 0 and q.k = p.k - 1)
 """
 CATEGORY_SQL = "'decisions', 'lessons', 'concepts', 'connections', 'queries'"
-LINKS = """, l as (
-  select w.idx as src, 0 as pos, t.own as target from w join w t on t.idx = (w.idx * 7 + 1) % 200 where w.idx % 13 <> 0
-  union all select w.idx, 1, t.own from w join w t on t.idx = (w.idx * 3) % 400 where w.idx % 13 <> 0
-  union all select w.idx, 2, replace(t.own, 'r', 'rr') || 'x' from w join w t on t.idx = (w.idx * 5 + 2) % 400 where w.idx % 13 <> 0 and w.idx % 11 = 0)
+LINKS = """, lk as (select w.idx, (w.idx * 7 + 1) % pc.n as a, (w.idx * 3 + 5) % pc.n as b, (w.idx * 5 + 2) % pc.n as z from w cross join pc where w.idx % 13 <> 0),
+l as (
+  select lk.idx as src, 0 as pos, t.own as target from lk join w t on t.idx = lk.a
+  union all select lk.idx, 1, t.own from lk join w t on t.idx = lk.b
+  union all select lk.idx, 2, replace(t.own, 'r', 'rr') || 'x' from lk join w t on t.idx = lk.z where lk.idx % 11 = 0)
 """
 
 

@@ -91,12 +91,12 @@ def related_suggest(spark, sf_dir):
 _TITLES = "(select distinct p_name as title from part)"
 
 
-@query(f"""with q as (select distinct lower(replace(p_name, ' ', '')) as query from part where p_partkey < 40), t as {_TITLES},
+@query(f"""with q as (select distinct lower(replace(p_name, ' ', '')) as query from part), t as {_TITLES},
 s as (select query, title, {_sim('query', 'lower(title)')} as score from q, t)
 select query, title, round(score, 6) as score, row_number() over (partition by query order by score desc, title) as rank from s where score >= 0.74 qualify rank <= 64""")
 def title_similarity_topk(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    queries = part.where("p_partkey < 40").select(F.lower(F.replace("p_name", F.lit(" "), F.lit(""))).alias("query")).distinct()
+    queries = part.select(F.lower(F.replace("p_name", F.lit(" "), F.lit(""))).alias("query")).distinct()
     return links.similar_titles(queries, part.select(F.col("p_name").alias("title"))).withColumn("score", F.round("score", 6))
 
 
@@ -107,14 +107,14 @@ def string_similarity(spark, sf_dir):
     return part.join(other, "p_partkey").select("p_partkey", F.round(X.similarity(F.col("p_name"), F.col("other")), 6).alias("score"))
 
 
-@query("""with part as (select p_partkey, replace(p_brand, '#', '-') as p_brand from main.part), s as (select case when p_partkey % 2 = 0 then p_brand else lower(p_brand) end as slug from part where p_partkey < 30 union select 'Solo'),
+@query("""with part as (select p_partkey, p_size, replace(p_brand, '#', '-') as p_brand from main.part), s as (select case when p_size % 2 = 0 and contains(p_brand, '1') then lower(p_brand) else p_brand end as slug from part where p_size % 5 <> 0 union select 'Solo'),
 k as (select lower(slug) as key, min(slug) as slug from s group by 1 having count(distinct slug) = 1),
-p as (select p_partkey as seq, 'x/' || upper(p_brand) || '.md#part|alias' as target, lower(p_brand) as key from part where p_partkey < 60 union all select 0, 'solo', 'solo')
+p as (select p_partkey as seq, 'x/' || upper(p_brand) || '.md#part|alias' as target, lower(p_brand) as key from part union all select 0, 'solo', 'solo')
 select seq, target, k.slug as canonical from p join k using (key)""")
 def canonical_link_targets(spark, sf_dir):
     part = table(spark, sf_dir, "part").withColumn("p_brand", F.replace("p_brand", F.lit("#"), F.lit("-")))
-    slugs = part.where("p_partkey < 30").select(F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise(F.lower("p_brand")).alias("slug")).union(spark.createDataFrame([("Solo",)], "slug string")).distinct()
-    proposals = part.where("p_partkey < 60").select(F.col("p_partkey").alias("seq"), F.concat(F.lit("x/"), F.upper("p_brand"), F.lit(".md#part|alias")).alias("target"))
+    slugs = part.where("p_size % 5 <> 0").select(F.when((F.col("p_size") % 2 == 0) & F.contains("p_brand", F.lit("1")), F.lower("p_brand")).otherwise(F.col("p_brand")).alias("slug")).union(spark.createDataFrame([("Solo",)], "slug string")).distinct()
+    proposals = part.select(F.col("p_partkey").alias("seq"), F.concat(F.lit("x/"), F.upper("p_brand"), F.lit(".md#part|alias")).alias("target"))
     proposals = proposals.unionByName(spark.createDataFrame([(0, "solo")], "seq long, target string"))
     return links.valid_proposals(proposals, slugs)
 
@@ -172,16 +172,16 @@ def redirect_rewrite(spark, sf_dir):
     return merge.redirect_links(found, redirects).select("src", "pos", "target")
 
 
-@query("""select o_orderkey, array_to_string(case when o_orderkey % 3 = 0 then ['B', 'x', 'c'] when o_orderkey % 3 = 1 then ['x', 'y'] else ['y'] end, ',') as related from orders where o_orderkey < 3000""")
+@query("""select o_orderkey, array_to_string(case when o_orderkey % 3 = 0 then ['B', 'x', 'c'] when o_orderkey % 3 = 1 then ['x', 'y'] else ['y'] end, ',') as related from orders""")
 def redirect_related(spark, sf_dir):
     given = F.when(F.col("o_orderkey") % 3 == 0, F.array(*map(F.lit, ("B", "a", "b", "c")))).when(F.col("o_orderkey") % 3 == 1, F.array(*map(F.lit, ("a", "X", "y")))).otherwise(F.array(*map(F.lit, ("y", "Y"))))
-    return table(spark, sf_dir, "orders").where("o_orderkey < 3000").select("o_orderkey", F.array_join(merge.redirected(given, {"a": "x"}), ",").alias("related"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(merge.redirected(given, {"a": "x"}), ",").alias("related"))
 
 
-@query("""with n as (select o_orderkey as seq, lower(o_orderpriority) as stem from orders where o_orderkey < 400),
-r as (select *, row_number() over (partition by stem order by seq) as r from n), free as (select stem, k, row_number() over (partition by stem order by k) as r from (select distinct stem from n), range(1, 500) t(k) where k not in (1, 3, 4))
+@query("""with n as (select o_orderkey as seq, lower(o_orderpriority) as stem from orders),
+r as (select *, row_number() over (partition by stem order by seq) as r from n), free as (select stem, k, row_number() over (partition by stem order by k) as r from (select stem, count(*) + 3 as most from n group by stem), lateral (select unnest(range(1, most + 1)) as k) where k not in (1, 3, 4))
 select r.seq, r.stem, r.stem || '-' || k as name from r join free using (stem, r)""")
 def conflict_suffix(spark, sf_dir):
-    names = table(spark, sf_dir, "orders").where("o_orderkey < 400").select(F.col("o_orderkey").alias("seq"), F.lower("o_orderpriority").alias("stem"))
+    names = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), F.lower("o_orderpriority").alias("stem"))
     taken = names.select("stem", F.explode(F.array(F.lit(1), F.lit(3), F.lit(4)).cast("array<long>")).alias("n")).distinct()
     return merge.conflict_names(names, taken)

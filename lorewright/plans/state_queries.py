@@ -112,9 +112,9 @@ def change_detection(spark, sf_dir):
     return state.changes(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type")
 
 
-@query("select o_orderkey as seq, 'p' || o_custkey % 50 as path, case when o_custkey % 50 >= 30 then 'dropped' when row_number() over (partition by o_custkey % 50 order by o_orderkey) = 1 then 'kept' else 'duplicate' end as verdict from orders where o_orderkey < 2000")
+@query("select o_orderkey as seq, 'p' || o_custkey % 50 as path, case when o_custkey % 50 >= 30 then 'dropped' when row_number() over (partition by o_custkey % 50 order by o_orderkey) = 1 then 'kept' else 'duplicate' end as verdict from orders")
 def repair_blocks(spark, sf_dir):
-    blocks = table(spark, sf_dir, "orders").where("o_orderkey < 2000").select(F.col("o_orderkey").alias("seq"), F.concat(F.lit("p"), (F.col("o_custkey") % 50).cast("string")).alias("path"))
+    blocks = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), F.concat(F.lit("p"), (F.col("o_custkey") % 50).cast("string")).alias("path"))
     return state.repair_blocks(blocks, spark.range(30).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("path")))
 
 
@@ -156,11 +156,11 @@ def set_ops(spark, sf_dir):
     return out
 
 
-@query("select o_orderkey, array_to_string(list_sort(list_filter(['a', case when o_orderkey % 2 = 0 then 'b' else 'c' end], lambda x: x <> 'a' or o_orderkey % 3 <> 0)), ',') as added from orders where o_orderkey < 3000")
+@query("select o_orderkey, array_to_string(list_sort(list_filter(['a', case when o_orderkey % 2 = 0 then 'b' else 'c' end], lambda x: x <> 'a' or o_orderkey % 3 <> 0)), ',') as added from orders")
 def added_difference(spark, sf_dir):
     both = F.array(F.lit("a"), F.when(F.col("o_orderkey") % 2 == 0, F.lit("b")).otherwise(F.lit("c")))
     have = F.when(F.col("o_orderkey") % 3 == 0, F.array(F.lit("a"))).otherwise(F.array().cast("array<string>"))
-    return table(spark, sf_dir, "orders").where("o_orderkey < 3000").select("o_orderkey", F.array_join(F.array_sort(F.array_except(both, have)), ",").alias("added"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(F.array_sort(F.array_except(both, have)), ",").alias("added"))
 
 
 @query("select event_id, case when event_id % 3 = 0 then 'doc/' || user_id when event_id % 3 = 1 then 'rel/' || event_type || '.md' else 'file' end as path from events")

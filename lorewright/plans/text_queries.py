@@ -37,17 +37,14 @@ def material_sink_dedup(spark, sf_dir):
 
 
 @query("""select source, 'doc-' || lpad(cast(d.doc_id as varchar), 8, '0') || '.md' as name, strlen(text) as size, l.doc_id is not null as compiled,
-row_number() over (order by source, 'doc-' || lpad(cast(d.doc_id as varchar), 8, '0') desc) as n
-from documents d left join labels l on d.doc_id = l.doc_id qualify n <= 200""")
+row_number() over (partition by source order by 'doc-' || lpad(cast(d.doc_id as varchar), 8, '0') desc) as n
+from documents d left join labels l on d.doc_id = l.doc_id""")
 def material_listing(spark, sf_dir):
-    """The first 200 of the listing: sources ascend, names descend in each."""
-    from pyspark.sql import Window as W
-
+    """The listing in order: sources ascend, names descend in each and are numbered."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("l"))
     name = F.concat(F.lit("doc-"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit(".md"))
     rows = docs.join(labels, "doc_id", "left").select("source", name.alias("name"), F.octet_length("text").cast("long").alias("size"), F.coalesce("l", F.lit(False)).alias("compiled"))
-    first = rows.orderBy("source", F.desc("name")).limit(200)
-    return first.withColumn("n", F.row_number().over(W.orderBy("source", F.desc("name"))).cast("long"))
+    return readers.numbered(rows)
 
 
 @query("select doc_id, source from documents where doc_id not in (select doc_id from labels)")
@@ -80,10 +77,10 @@ def slugify(spark, sf_dir):
 
 
 @query("""select o_orderkey, lower(replace(trim(o_orderpriority), ' ', '-')) as raw,
-regexp_replace(lower(regexp_replace(o_orderpriority, '[^A-Za-z0-9]+', '-', 'g')), '^-+|-+$', '', 'g') || strftime(o_orderdate, '-%Y-%m-%d-%H%M%S') || '.md' as name from orders where o_orderkey < 2000""")
+regexp_replace(lower(regexp_replace(o_orderpriority, '[^A-Za-z0-9]+', '-', 'g')), '^-+|-+$', '', 'g') || strftime(o_orderdate, '-%Y-%m-%d-%H%M%S') || '.md' as name from orders""")
 def entry_filename(spark, sf_dir):
     """Entry names of orders, from priority and date."""
-    rows = table(spark, sf_dir, "orders").where("o_orderkey < 2000")
+    rows = table(spark, sf_dir, "orders")
     title = F.regexp_replace("o_orderpriority", "[^A-Za-z0-9]+", " ")
     return rows.select("o_orderkey", F.lower(F.replace(F.trim("o_orderpriority"), F.lit(" "), F.lit("-"))).alias("raw"), X.entry_filename(title, F.col("o_orderdate")).alias("name"))
 
@@ -214,9 +211,9 @@ def marked_section(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", X.marked_section(F.expr(_SECTION), "digest").alias("part"))
 
 
-@query("select o_orderkey, '## [2030-01-02] order ' || o_orderkey || ' of 2030-01-02' as line from orders where o_orderkey < 5000")
+@query("select o_orderkey, '## [2030-01-02] order ' || o_orderkey || ' of 2030-01-02' as line from orders")
 def stamp_log_date(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").where("o_orderkey < 5000")
+    rows = table(spark, sf_dir, "orders")
     line = F.concat(F.lit("## [YYYY-MM-DD] order "), F.col("o_orderkey").cast("string"), F.lit(" of "), F.date_format("o_orderdate", "yyyy-MM-dd"))
     return rows.select("o_orderkey", X.stamp_dates(line, "2030-01-02").alias("line"))
 

@@ -30,6 +30,14 @@ def materials(spark: SparkSession, folder: str, source: str | None = None) -> Da
     return out.withColumn("compiled", F.coalesce(X.compiled_flag(F.col("text")), F.lit(False))).orderBy(F.asc("source"), F.desc("name"))
 
 
+def numbered(listing: DataFrame) -> DataFrame:
+    """A listing with ``n``, each row's place in its source, in the order of ``materials``."""
+    from pyspark.sql import Window as W
+
+    ranked = listing.withColumn("n", F.row_number().over(W.partitionBy("source").orderBy(F.desc("name"))).cast("long"))
+    return ranked.orderBy("source", "n")
+
+
 def uncompiled(rows: DataFrame) -> DataFrame:
     return rows.where(~F.col("compiled") & ~F.col("name").startswith("."))
 
