@@ -28,6 +28,8 @@ _KINDS = {
 _TOKEN = r'("(?:[^"\\]++|\\.)*+"|-?[0-9][0-9.eE+-]*+|[^"0-9-]++)'
 #: Digits that a number may have before it is written with an exponent.
 _PLAIN_DIGITS = 40
+#: Needs of a call, at most, of which those that others imply are looked for.
+MOST_REDUCED = 16
 
 
 def json_string(text: Column) -> Column:
@@ -103,12 +105,36 @@ def argument_errors(name: Column, arguments: Column, schemas: dict[str, dict]) -
 def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
     """(``key``, ``level``) of every call that is not on or after a cycle.
 
-    ``calls`` has each ``key`` once; ``needs`` has ``key`` and ``need``, both of
-    them calls, each pair once.  Chains of calls that need one other are walked
-    by pointer doubling: a round rewrites only what still moves, and there are
-    as many as the logarithm of the longest chain.  What is left are the calls
-    that need several; a round settles one level of those and touches only
-    edges of the level before, and what it settles is appended.
+    ``calls`` has each ``key`` (a struct with ``conv_id``) once; ``needs`` has
+    ``key`` and ``need``, both of them calls of one conversation, each pair once.
+    A need that another need of the call needs itself changes no level, so it is
+    left out first; a conversation that lists the calls of many turns then is
+    mostly a chain.  That does not hold on cycles, so conversations in which a
+    need that was left out is on or after one are ordered again with all needs.
+    """
+    few = needs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, MOST_REDUCED)).select("key")
+    middle = needs.join(few.hint("shuffle_hash"), "key").select("key", F.col("need").alias("via"))
+    through = middle.join(needs.select(F.col("key").alias("via"), "need"), "via").where("via <> need and via <> key").select("key", "need")
+    idle = runtime.cut(needs.join(through, ["key", "need"], "left_semi"))
+    if idle.isEmpty():
+        return _levels(calls, needs)
+    found = runtime.cut(_levels(calls, runtime.cut(needs.join(idle, ["key", "need"], "left_anti"))))
+    stuck = calls.select(F.col("key").alias("need")).join(found.select(F.col("key").alias("need")), "need", "left_anti")
+    conv = lambda: F.struct("key.conv_id").alias("conv")
+    again = runtime.cut(idle.join(stuck, "need", "left_semi").select(conv()).distinct())
+    if again.isEmpty():
+        return found
+    of = lambda df, how: df.withColumn("conv", conv()).join(again, "conv", how).drop("conv")
+    return of(found, "left_anti").unionByName(_levels(of(calls.select("key"), "left_semi"), of(needs, "left_semi")))
+
+
+def _levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
+    """As ``levels``, with the needs as they are.
+
+    Chains of calls that need one other are walked by pointer doubling: a round
+    rewrites only what still moves, and there are as many as the logarithm of
+    the longest chain.  What is left are the calls that need several; a round
+    settles one level of those and touches only edges of the level before.
     """
     spark = calls.sparkSession
     counts = runtime.cut(needs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")))

@@ -174,6 +174,16 @@ def test_long_chain_and_levels(spark, several):
     assert {int(k): v for k, v in got.items()} == level
 
 
+def test_needs_that_others_imply(spark):
+    """Needs of two and four calls before are a chain; on and after cycles there is no level."""
+    rows = [(1, str(i), i, "run", "{}", [str(i - k) for k in (1, 2, 3) if i >= k]) for i in range(200)]
+    rows += [(2, "a", 0, "run", "{}", ["b"]), (2, "b", 0, "run", "{}", ["d"]), (2, "d", 0, "run", "{}", ["a"]), (2, "f", 0, "run", "{}", []), (2, "c", 0, "run", "{}", ["a", "b", "d", "f"]), (2, "e", 0, "run", "{}", ["c"])]
+    rows += [(3, "x", 0, "run", "{}", ["x", "y"]), (3, "y", 0, "run", "{}", []), (3, "z", 0, "run", "{}", ["y"])]
+    got = {(r["conv_id"], r["call_id"]): r["level"] for r in toolcalls.link_calls(spark.createDataFrame(rows, CALLS), spark.createDataFrame([], RESULTS), {}).collect()}
+    assert {i: got[1, str(i)] for i in range(200)} == {i: i for i in range(200)}
+    assert [got[2, c] for c in "abdcef"] == [None] * 5 + [0] and [got[3, c] for c in "xyz"] == [None, 0, 1]
+
+
 def test_one_long_conversation(spark):
     """All rows of one conversation, all of which need its first call."""
     rows = [(1, f"c{i}", i, "run", "{}", ["c0", f"c{i // 2}"] if i > 1 else [])for i in range(3000)]
