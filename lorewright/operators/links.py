@@ -82,15 +82,15 @@ def top_overlaps(left: DataFrame, right: DataFrame, k: int = CANDIDATES, block_r
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         mine, theirs = rows[rows["idx"].isna()], rows[rows["idx"].notna()].sort_values("idx")
-        none = pd.DataFrame({"id": [], "idx": [], "weight": []})
-        if not len(mine) or not len(theirs):
-            return none
+        names, found, weights = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if not len(theirs):
+            mine = mine[:0]
+            theirs = pd.DataFrame({"idx": [0], "key": [[]], "w": [[]]})
         idx = theirs["idx"].to_numpy(np.int64)
         key, weight = (np.concatenate([np.asarray(x, np.int64) for x in theirs[c]]) for c in ("key", "w"))
         order = np.argsort(key, kind="stable")
         key, weight, at = key[order], weight[order], np.repeat(np.arange(len(idx)), [len(x) for x in theirs["key"]])[order]
-        out = []
-        for name, keys in zip(mine["id"], mine["key"], strict=True):
+        for name, keys in zip(mine["id"].tolist(), mine["key"], strict=True):
             keys = np.asarray(keys, np.int64)
             spans = [np.arange(x, y) for x, y in zip(np.searchsorted(key, keys), np.searchsorted(key, keys, side="right"), strict=True) if x < y]
             if not spans:
@@ -100,12 +100,15 @@ def top_overlaps(left: DataFrame, right: DataFrame, k: int = CANDIDATES, block_r
             least = max(1, np.partition(total, -k)[-k] if len(total) > k else 1)
             some = np.flatnonzero(total >= least)
             best = some[np.argsort(-total[some], kind="stable")][:k]
-            out.append(pd.DataFrame({"id": [name] * len(best), "idx": idx[best], "weight": total[best]}))
-        return pd.concat(out) if out else none
+            names += [name] * len(best)
+            found.append(idx[best])
+            weights.append(total[best])
+        # As objects: a column of strings in several pieces cannot be sent.
+        return pd.DataFrame({"id": pd.Series(names, dtype=object), "idx": np.concatenate(found), "weight": np.concatenate(weights)})
 
     kind = left.schema["id"].dataType.simpleString()
-    found = a.unionByName(b).groupBy("i", "j").applyInPandas(meet, f"id {kind}, idx long, weight long")
-    return found.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("weight"), "idx"))).where(F.col("rank") <= k)
+    best = a.unionByName(b).groupBy("i", "j").applyInPandas(meet, f"id {kind}, idx long, weight long")
+    return best.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("weight"), "idx"))).where(F.col("rank") <= k)
 
 
 def _weighed(keys: Column, weight=None) -> Column:
