@@ -22,11 +22,7 @@ from . import chunking, pages
 from .chunking import chunks, overlap, semantic_blocks, split_long
 from .pages import ci_union, fold_arrays, front_matter, inline_items, light_front_matter, read_array, sanitize, write_array, write_scalar
 
-__all__ = [
-    "append_link", "chunks", "chunks_of", "ci_union", "clean_target", "column", "decode", "duplicate_groups", "file_blocks", "first_object", "fold_arrays", "front_matter", "inline_items",
-    "light_front_matter", "linkify", "markdown_links", "nfkc", "overlap", "proposed_links", "read_array", "review_blocks", "rewrite_target", "safe_path", "sanitize", "semantic_blocks", "split_long",
-    "stream_line", "unwrap_link", "write_array", "write_scalar",
-]
+__all__ = ["chunks", "ci_union", "fold_arrays", "front_matter", "inline_items", "light_front_matter", "overlap", "read_array", "sanitize", "semantic_blocks", "split_long", "write_array", "write_scalar"]
 
 
 def column(fn: Callable, kind: T.DataType) -> Callable[[Column], Column]:
@@ -34,7 +30,9 @@ def column(fn: Callable, kind: T.DataType) -> Callable[[Column], Column]:
 
     @F.pandas_udf(kind)
     def apply(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else fn(t)) if not isinstance(kind, T.StructType) else pd.DataFrame([fn(t or "") for t in texts], columns=kind.names)
+        if isinstance(kind, T.StructType):
+            return pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in zip(kind.names, zip(*([row[k] for k in kind.names] for row in (fn(t or "") for t in texts)), strict=True), strict=True)}, columns=kind.names) if len(texts) else pd.DataFrame(columns=kind.names)
+        return pd.Series([None if t is None else fn(t) for t in texts], dtype=object)
 
     return apply
 
@@ -253,10 +251,73 @@ def decode(data: bytes) -> str:
     return data.decode("latin-1")
 
 
+_STRINGS = T.ArrayType(T.StringType())
+
+
+def _rows(fields: dict[str, T.DataType]) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in fields.items()])
+
+
+ANSWER = _rows({"blocks": T.ArrayType(FILE_BLOCK), "warnings": _STRINGS, "truncated": _STRINGS})
+GROUP = _rows({"slugs": _STRINGS, "reason": T.StringType(), "confidence": T.StringType()})
+LINK = _rows({"term": T.StringType(), "target": T.StringType()})
+LINE = _rows({"delta": T.StringType(), "done": T.BooleanType(), "error": T.StringType()})
+LINKED = _rows({"text": T.StringType(), "done": _STRINGS})
+
+answer_blocks = column(file_blocks, ANSWER)
 file_blocks_of = column(lambda t: file_blocks(t)["blocks"], T.ArrayType(FILE_BLOCK))
 review_blocks_of = column(review_blocks, T.ArrayType(REVIEW_BLOCK))
+groups_of = column(duplicate_groups, T.ArrayType(GROUP))
+links_of = column(proposed_links, T.ArrayType(LINK))
+object_of = column(first_object, T.StringType())
+stream_line_of = column(stream_line, LINE)
 sanitized = column(sanitize, T.StringType())
-nfkc_of = column(nfkc, T.StringType())
+as_markdown = column(markdown_links, T.StringType())
+decoded = column(lambda b: decode(bytes(b)), T.StringType())
+header_map = column(lambda t: {k: ",".join(v) if isinstance(v, list) else v for k, v in light_front_matter(t).items()}, T.MapType(T.StringType(), T.StringType()))
+
+
+def nfkc_of(c: Column) -> Column:
+    """The text in compatible form; only texts with other than ASCII characters leave the JVM."""
+    return F.coalesce(_NFKC(F.when(c.rlike(r"[^\x00-\x7f]"), c)), c)
+
+
+_NFKC = column(nfkc, T.StringType())
+
+
+def rewritten(old: str, new: str) -> Callable[[Column], Column]:
+    return column(lambda t: rewrite_target(t, old, new), T.StringType())
+
+
+def appended(target: str) -> Callable[[Column], Column]:
+    return column(lambda t: append_link(t, target), T.StringType())
+
+
+def linkified(links: list[tuple[str, str]]) -> Callable[[Column], Column]:
+    """A struct of ``text`` and ``done``, the targets that were linked."""
+    return column(lambda t: dict(zip(LINKED.names, linkify(t, links), strict=True)), LINKED)
+
+
+def header_list(name: str) -> Callable[[Column], Column]:
+    return column(lambda t: read_array(t, name), _STRINGS)
+
+
+def with_list(name: str, values: list[str]) -> Callable[[Column], Column]:
+    return column(lambda t: write_array(t, name, values), T.StringType())
+
+
+def with_scalar(name: str, value: str) -> Callable[[Column], Column]:
+    return column(lambda t: write_scalar(t, name, value), T.StringType())
+
+
+def pieces_of(target: int) -> Callable[[Column], Column]:
+    return column(lambda t: split_long(t, target), _STRINGS)
+
+
+@F.pandas_udf(T.StringType())
+def folded(new: pd.Series, old: pd.Series) -> pd.Series:
+    """Each page with the lists of an older one's header, which may be null."""
+    return pd.Series([fold_arrays(n, o) if n is not None else None for n, o in zip(new, old, strict=True)], dtype=object)
 
 
 def chunks_of(text: Column, target: int = 1200, overlap_chars: int = 100) -> Column:

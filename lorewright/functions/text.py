@@ -1,4 +1,8 @@
-"""Text functions on columns; all stay in the JVM."""
+"""Text functions on columns.
+
+All stay in the JVM, but for the compatible form (NFKC) of texts that have other
+than ASCII characters.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import CATEGORY_OF, RESERVED_NAMES
+from .parsers import nfkc_of
 
 # Scores, limits and patterns of link suggestions and guards.
 SAME_NAME, CONTAINED = 0.96, 0.82
@@ -47,7 +52,7 @@ def strip_suffix(c: Column) -> Column:
 
 def link_key(c: Column) -> Column:
     """Key of a proposed link: before ``|`` and ``#``, last part, lower-cased."""
-    return F.lower(strip(strip_suffix(base_name(strip(F.regexp_replace(c, r"[|#][\s\S]*$", ""))))))
+    return F.lower(strip(strip_suffix(base_name(strip(F.regexp_replace(nfkc_of(c), r"[|#][\s\S]*$", ""))))))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -67,14 +72,15 @@ def similarity(a: Column, b: Column) -> Column:
 
 def bigrams(c: Column) -> Column:
     """Distinct character pairs, in order; one character stands alone."""
-    t = normal_target(c)
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(2)))
+    t = normal_target(nfkc_of(c))
+    # A look-ahead takes every pair without using it up.
+    pairs = F.regexp_extract_all(t, F.lit("(?s)(?=(..))"), F.lit(1))
     return F.when(F.length(t) < 2, F.filter(F.array(t), lambda x: x != "")).otherwise(F.array_distinct(pairs))
 
 
 def tokens(c: Column) -> Column:
     """Lower-cased runs of letters and digits of two or more; a run with CJK also gives its characters."""
-    runs = F.filter(F.regexp_extract_all(F.lower(c), F.lit("([\\p{L}\\p{N}]+)"), F.lit(1)), lambda x: (F.length(x) >= 2) | x.rlike(CJK_TOKEN))
+    runs = F.filter(F.regexp_extract_all(F.lower(nfkc_of(c)), F.lit("([\\p{L}\\p{N}]+)"), F.lit(1)), lambda x: (F.length(x) >= 2) | x.rlike(CJK_TOKEN))
     chars = F.flatten(F.transform(F.filter(runs, lambda x: x.rlike(CJK_TOKEN)), lambda x: F.filter(F.split(x, ""), lambda y: y != "")))
     return F.array_distinct(F.concat(F.filter(runs, lambda x: F.length(x) >= 2), chars))
 
@@ -85,6 +91,11 @@ def wikilinks(c: Column) -> Column:
 
 
 def slugify(c: Column) -> Column:
+    """A text as part of a file name; ``query`` where nothing is left."""
+    return _slug(nfkc_of(c))
+
+
+def _slug(c: Column) -> Column:
     t = F.regexp_replace(strip(c), rf"{SPACE}", "-")
     t = F.regexp_replace(F.regexp_replace(t, r"[^\p{L}\p{N}-]", ""), "-+", "-")
     return F.coalesce(F.nullif(F.left(F.lower(F.regexp_replace(t, "^-+|-+$", "")), F.lit(50)), F.lit("")), F.lit("query"))
@@ -187,7 +198,7 @@ def stub_title(slug: Column) -> Column:
 
 
 def stub_path(slug: Column) -> Column:
-    parts = F.transform(F.split(clean_target(slug), "/"), slugify)
+    parts = F.transform(F.split(clean_target(nfkc_of(slug)), "/"), _slug)
     return F.concat(F.lit("queries/"), F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit("missing-page")), F.lit(".md"))
 
 
