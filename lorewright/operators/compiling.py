@@ -45,8 +45,8 @@ def generated(materials: DataFrame, generate: Callable[[str], str] = stub) -> Da
 
 
 def compiled(materials: DataFrame, generate: Callable[[str], str] = stub) -> DataFrame:
-    """A row per block: ``source_path``, ``path``, ``type``, ``content``, ``reject``."""
-    blocks = generated(materials, generate).select("source_path", F.explode(parsers.file_blocks_of("output")).alias("b"))
+    """A row per block: ``source_path``, ``path``, ``type``, ``content``, ``reject``; blank materials give none."""
+    blocks = generated(materials.where(X.nonempty(F.col("content")).isNotNull()), generate).select("source_path", F.explode(parsers.file_blocks_of("output")).alias("b"))
     page = blocks.select("source_path", F.col("b.path").alias("path"), parsers.sanitized(F.col("b.content")).alias("content"))
     kind = X.strip(F.regexp_extract("content", r"(?m)\A---\s*\n(?:.*\n)*?type:[ \t]*(.*)$", 1))
     return page.withColumn("type", kind).withColumn("reject", X.routing_issue(F.col("path"), F.col("type")))

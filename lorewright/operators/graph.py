@@ -60,11 +60,22 @@ def neighbours(edges: DataFrame, node: str) -> DataFrame:
 
 def topology_key(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """A key that does not depend on the order of nodes or edges."""
-    n = nodes.agg(F.count(F.lit(1)).alias("n_nodes"), F.expr("bit_xor(xxhash64(id))").alias("node_key"))
-    e = edges.agg(F.count(F.lit(1)).alias("n_edges"), F.expr("bit_xor(xxhash64(least(source, target), greatest(source, target)))").alias("edge_key"))
+    part = lambda c: F.conv(F.left(F.md5(c), F.lit(15)), 16, 10).cast("long")
+    n = nodes.select("id").distinct().agg(F.count(F.lit(1)).alias("n_nodes"), F.bit_xor(part(F.col("id").cast("string"))).alias("node_key"))
+    ends = F.concat_ws("|", F.least("source", "target"), F.greatest("source", "target"))
+    e = edges.agg(F.count(F.lit(1)).alias("n_edges"), F.bit_xor(part(ends)).alias("edge_key"))
     return n.crossJoin(e)
 
 
+def view(nodes: DataFrame, edges: DataFrame, labels: int = 20, most: int = 500, order: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """The part of a graph that is shown: nodes of the first types, so many of each, and edges among them."""
+    types = nodes.groupBy("type").agg(F.min(order).alias("first")).orderBy("first").limit(labels).select("type")
+    kept = nodes.join(F.broadcast(types), "type", "left_semi").withColumn("__r", F.row_number().over(W.partitionBy("type").orderBy(order, "id"))).where(F.col("__r") <= most).drop("__r")
+    ids = kept.select("id")
+    both = edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    return kept, both
+
+
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(``id``, ``component``): the least id that edges reach.
 
@@ -89,26 +100,47 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return roots
 
 
-def communities(edges: DataFrame, nodes: DataFrame, rounds: int = 8) -> DataFrame:
-    """(``id``, ``community``) by label propagation; ties go to the least label.
+def communities(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(``id``, ``community``): label propagation until nothing moves; see ``modularity``.
 
-    Every second round moves only nodes of one hash parity, which keeps two
-    sides from swapping labels.  Community numbers are those of a member.
+    A node takes the label that most of its neighbours have, and keeps its own
+    among the best; other ties go to the least label.  Rounds move the nodes of
+    one hash parity at a time, which keeps two sides from swapping labels, so
+    a node's move never loses edges inside communities and the loop ends.
+    Community numbers are those of a member.
     """
     both = edges.select(F.col("source").alias("x"), F.col("target").alias("y")).unionAll(edges.select(F.col("target"), F.col("source")))
     both = cut_loop(both.where("x <> y").distinct())
     labels = cut_loop(nodes.select("id", F.col("id").alias("community")).distinct())
-    for k in range(rounds):
+    k = still = 0
+    while still < 2:
         seen = both.join(labels.select(F.col("id").alias("y"), "community"), "y").groupBy("x", "community").agg(F.count(F.lit(1)).alias("n"))
-        best = seen.groupBy("x").agg(F.max_by("community", F.struct("n", F.xxhash64("community"))).alias("new"))
-        moved = labels.join(best, labels["id"] == best["x"], "left")
-        move = (F.pmod(F.xxhash64("id"), F.lit(2)) == k % 2) & F.col("new").isNotNull()
-        labels = cut_loop(moved.select("id", F.when(move, F.col("new")).otherwise(F.col("community")).alias("community")))
+        met = seen.join(labels.select(F.col("id").alias("x"), F.col("community").alias("own")), "x")
+        best = met.groupBy("x").agg(F.max(F.struct("n", (F.col("community") == F.col("own")).alias("stays"))).alias("m"), F.min_by("community", F.struct(-F.col("n"), F.col("community"))).alias("least"))
+        turn = best.where("not m.stays").where(F.pmod(F.xxhash64("x", F.lit(k // 2 % 7)), F.lit(2)) == k % 2)
+        moved = cut_loop(turn.select(F.col("x").alias("id"), F.col("least").alias("new")))
+        still = still + 1 if moved.isEmpty() else 0
+        if not still:
+            labels = cut_loop(labels.join(moved, "id", "left").select("id", F.coalesce("new", "community").alias("community")))
+        k += 1
     return labels
 
 
-def community_sizes(labels: DataFrame) -> DataFrame:
-    return labels.groupBy("community").agg(F.count(F.lit(1)).alias("n")).withColumn("rank", F.row_number().over(W.orderBy(F.desc("n"), "community")))
+def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row: ``modularity`` of communities over simple edges, and their number."""
+    at = lambda name, to: labels.select(F.col("id").alias(name), F.col("community").alias(to))
+    met = edges.where("source <> target").join(at("source", "a"), "source").join(at("target", "b"), "target")
+    inside = met.agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("a") == F.col("b")).alias("inner"))
+    ends = met.select(F.col("a").alias("c")).unionAll(met.select("b")).groupBy("c").agg(F.count(F.lit(1)).alias("d"))
+    squares = ends.agg(F.sum(F.col("d").cast("double") * F.col("d")).alias("dd"))
+    n = labels.agg(F.count_distinct("community").alias("communities"))
+    return inside.crossJoin(squares).crossJoin(n).select((F.col("inner") / F.col("m") - F.col("dd") / (4.0 * F.col("m") * F.col("m"))).alias("modularity"), "communities")
+
+
+def community_sizes(labels: DataFrame, limit: int | None = None) -> DataFrame:
+    """(``community``, ``n``), the largest first; so many if a limit is given."""
+    counts = labels.groupBy("community").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "community")
+    return counts if limit is None else counts.limit(limit)
 
 
 def node_sources(raw, separator: str = "<SEP>", most: int = 8):

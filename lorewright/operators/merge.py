@@ -16,17 +16,20 @@ BATCH, STRIDE = 80, 72
 def new_materials(incoming: DataFrame, known: DataFrame | None = None, seq: str = "seq", check_source: bool = False) -> DataFrame:
     """The first row of each content that is not known yet, with ``hash``.
 
-    Empty contents give none; the order is that of ``seq``.  Only the hashes of
-    contents and ``seq`` are grouped, so a content that many rows share is
-    reduced before it moves.
+    Empty contents give none; the order is that of ``seq``, and of rows equal in
+    both one stays.  With ``check_source`` a source that is none of the known ones
+    is an error.  Only the hashes of contents and ``seq`` are grouped, so a content
+    that many rows share is reduced before it moves.
     """
     if check_source:
-        incoming = incoming.where(F.col("source").isin(*SOURCES))
+        known_source = F.col("source").isin(*SOURCES)
+        incoming = incoming.withColumn("source", F.when(known_source, F.col("source")).otherwise(F.raise_error(F.concat(F.lit("no source: "), F.coalesce("source", F.lit("null"))))))
     body = incoming.withColumn("content", X.strip(F.col("content"))).where("content <> ''").withColumn("hash", X.content_hash(F.col("content")))
     if known is not None:
         body = body.join(known.select("hash"), "hash", "left_anti")
     first = body.groupBy("hash").agg(F.min(seq).alias("__first"))
-    return body.join(first, (body["hash"] == first["hash"]) & (body[seq] == first["__first"])).drop(first["hash"]).drop("__first")
+    met = body.join(first, (body["hash"] == first["hash"]) & (body[seq] == first["__first"])).drop(first["hash"]).drop("__first")
+    return met.dropDuplicates(["hash"])
 
 
 def exact_groups(rows: DataFrame, key: str, content: str) -> DataFrame:
@@ -35,19 +38,20 @@ def exact_groups(rows: DataFrame, key: str, content: str) -> DataFrame:
     return body.groupBy(X.content_hash(F.col("c")).alias("hash")).agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("copies"))
 
 
-def overlapping_batches(rows: DataFrame, order: list[str], size: int = BATCH, stride: int = STRIDE) -> DataFrame:
-    """Rows with ``batch``: batches of ``size`` that overlap, none of one row.
-
-    Positions come from ordered ranges and their counts, not from one sorted
-    partition.
-    """
+def positions(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Rows with ``p``, their place in the order, from ordered ranges and their counts, not from one sorted task."""
     spread = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
     # The ranges are drawn from a sample; positions and counts must see the same ones.
     spread = cut(spread)
     counts = spread.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"), F.min("__m").alias("__low"))
     before = counts.select("__p", "__low", F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    total = counts.agg(F.sum("__n").alias("__total"))
-    placed = spread.join(F.broadcast(before), "__p").withColumn("p", F.col("__before") + F.col("__m") - F.col("__low")).crossJoin(F.broadcast(total))
+    return spread.join(F.broadcast(before), "__p").withColumn("p", F.col("__before") + F.col("__m") - F.col("__low")).select(*rows.columns, "p")
+
+
+def overlapping_batches(rows: DataFrame, order: list[str], size: int = BATCH, stride: int = STRIDE) -> DataFrame:
+    """Rows with ``batch``: batches of ``size`` that overlap, none of one row."""
+    ordered = positions(rows, order)
+    placed = ordered.crossJoin(F.broadcast(ordered.agg(F.count(F.lit(1)).alias("__total"))))
     first = F.greatest(F.lit(0), F.floor((F.col("p") - size) / stride) + 1)
     dealt = placed.withColumn("batch", F.explode(F.when(F.col("__total") <= size, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(first.cast("long"), F.floor(F.col("p") / stride).cast("long")))))
     # A batch starts at stride * batch; the last is left out if but one row is in it.

@@ -54,8 +54,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
 
     Vectors and queries are dealt to groups; each group of the one meets each of
     the other once, as one matrix product of bounded size that keeps k rows a
-    query.  Nothing is broadcast, and only the kept rows move on.
+    query.  Nothing is broadcast, and only the kept rows move on.  Null vectors
+    have no neighbours and are none.
     """
+    vectors, queries = (x.where(F.col(vector).isNotNull()) for x in (vectors, queries))
     n_v, n_q = (max(1, -(-x.count() // block_rows)) for x in (vectors, queries))
     group = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -84,8 +86,10 @@ def similar_pairs(vectors: DataFrame, least: float, key: str = "vec_id", vector:
     """(``a``, ``b``, ``score``), a < b: all pairs with a cosine of ``least`` or more.
 
     An exact join in blocks: rows are dealt to g groups, every pair of groups
-    meets once, each as one matrix product of bounded size.
+    meets once, each as one matrix product of bounded size.  Null vectors are
+    like none.
     """
+    vectors = vectors.where(F.col(vector).isNotNull())
     groups = max(1, -(-vectors.count() // block_rows))
     own = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(groups)).cast("int").alias("g"))
     other = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("h")
@@ -131,6 +135,34 @@ def fused(*ranked: DataFrame, k: int = 60) -> DataFrame:
     return out.groupBy("chunk").agg(F.sum("s").alias("score"))
 
 
+MODES = ("naive", "local", "global", "hybrid", "mix")
+
+
+def ranked(hits: DataFrame) -> DataFrame:
+    """Hits (``chunk``, ``score``) with ``rank``; equal scores by chunk."""
+    return hits.select("chunk", F.row_number().over(W.orderBy(F.desc("score"), "chunk")).alias("rank"))
+
+
+def by_mode(mode: str, nearest_chunks: DataFrame, entities: DataFrame, edges: DataFrame, words: list[str], k: int) -> DataFrame:
+    """The k best (``chunk``, ``score``) in a mode.
+
+    ``naive`` are the chunks nearest to the query (``chunk``, ``rank``); ``local``
+    those of entities that it names and their neighbours; ``global`` those at the
+    ends of relations that it names; ``hybrid`` the fusion of both, ``mix`` that of
+    all three.  Each list is cut to its best before they are fused.
+    """
+    if mode not in MODES:
+        raise ValueError(f"no such mode: {mode}")
+    best = lambda hits: ranked(hits.orderBy(F.desc("score"), "chunk").limit(max(k, 60)))
+    lists = {
+        "naive": lambda: nearest_chunks.select("chunk", "rank"),
+        "local": lambda: best(local_hits(entities, edges, words)),
+        "global": lambda: best(global_hits(entities, edges, words)),
+    }
+    use = {"hybrid": ("local", "global"), "mix": ("naive", "local", "global")}.get(mode, (mode,))
+    return fused(*(lists[name]() for name in use)).orderBy(F.desc("score"), "chunk").limit(k)
+
+
 def answer(hits: DataFrame, mode: str) -> DataFrame:
     """(``answer``, ``contexts``, ``mode``) from ranked hits (``rank``, ``content``,
     ``file_path``): the first sentences of the contexts, with their numbers."""

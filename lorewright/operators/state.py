@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 MAX_RETRIES = 3
+#: How long nothing is taken after a usage limit.
+PAUSE_MINUTES = 15
 
 
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -24,36 +26,75 @@ def changes(rows: DataFrame, key: str | None, order: str, value: str, cut: int =
     return rows.withColumn("__before", before).where(f"__before is not null and {value} <> __before").withColumn(value, F.left(F.col(value).cast("string"), F.lit(cut))).drop("__before")
 
 
-def task_states(events: DataFrame, key: str = "source_path", order: str = "seq") -> DataFrame:
-    """(``key``, ``status``, ``retry_count``, ``n_events``) after all events.
+STATUSES = ("none", "pending", "processing", "done", "failed", "cancelled")
+EVENTS = ("enqueue", "take", "complete", "fail", "limit", "cancel", "retry", "remove", "recover")
+#: All states: a status and how often it was tried.
+STATES = tuple((s, r) for s in STATUSES for r in range(MAX_RETRIES + 1))
 
-    Events are enqueue, take, complete, fail and cancel.  A task is pending,
-    processing, done, failed or cancelled: enqueue revives what has ended; take
-    needs pending, complete and fail need processing; a failure goes back to
-    pending until the third, which fails; cancel ends what has not ended.  The
-    fold runs over one key's events in order, in the JVM.
-    """
-    log = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "event"))).alias("log"))
-    start = F.struct(F.lit(None).cast("string").alias("status"), F.lit(0).alias("retry"))
-    is_ = lambda s, *names: F.coalesce(s["status"].isin(*names), F.lit(False))
-
-    def to(status, retry):
-        return F.struct(F.lit(status).cast("string").alias("status"), retry.cast("int").alias("retry"))
 
-    def step(s, e):
-        failed = s["retry"] + 1
-        return (
-            F.when((e["event"] == "enqueue") & ~is_(s, "pending", "processing"), to("pending", F.lit(0)))
-            .when((e["event"] == "take") & is_(s, "pending"), to("processing", s["retry"]))
-            .when((e["event"] == "complete") & is_(s, "processing"), to("done", s["retry"]))
-            .when((e["event"] == "fail") & is_(s, "processing") & (failed >= MAX_RETRIES), to("failed", failed))
-            .when((e["event"] == "fail") & is_(s, "processing"), to("pending", failed))
-            .when((e["event"] == "cancel") & is_(s, "pending", "processing"), to("cancelled", s["retry"]))
-            .otherwise(s)
-        )
+def next_state(status: str, retry: int, event: str) -> tuple[str, int]:
+    """The state machine of a task.
 
-    out = log.select(key, F.size("log").cast("long").alias("n_events"), F.aggregate("log", start, step).alias("s"))
-    return out.select(key, F.coalesce("s.status", F.lit("none")).alias("status"), F.col("s.retry").cast("long").alias("retry_count"), "n_events")
+    Enqueue revives what is not pending or in work; take needs pending; complete
+    and fail need work.  A failure goes back to pending until the third, which
+    fails; one by a usage limit goes back and does not count.  Cancel ends what
+    has not ended, retry revives what failed or was cancelled, remove forgets a
+    task that is not in work, and recover, after a crash, puts work back.
+    """
+    waiting, working = status == "pending", status == "processing"
+    if event == "enqueue" and not waiting and not working or event == "retry" and status in ("failed", "cancelled"):
+        return "pending", 0
+    if event == "take" and waiting:
+        return "processing", retry
+    if event == "complete" and working:
+        return "done", retry
+    if event == "fail" and working:
+        return ("failed" if retry + 1 >= MAX_RETRIES else "pending"), min(retry + 1, MAX_RETRIES)
+    if event in ("limit", "recover") and working:
+        return "pending", retry
+    if event == "cancel" and (waiting or working):
+        return "cancelled", retry
+    if event == "remove" and not working:
+        return "none", 0
+    return status, retry
+
+
+def task_states(events: DataFrame, key: str = "source_path", order: str = "seq", parts: int = 64) -> DataFrame:
+    """(``key``, ``status``, ``retry_count``, ``n_events``) after all events; see ``next_state``.
+
+    States are few, so a stretch of a log is a function on them, and functions
+    can be put one after the other.  A key's log is cut into ``parts`` ranges of
+    ``order``; each becomes a function, and a key's are then composed.  So no task
+    holds a whole log, however many events a key has.
+    """
+    known = F.array(*(F.array(*(F.lit(STATES.index(next_state(*s, e))) for s in STATES)) for e in EVENTS))
+    number = F.array_position(F.array(*map(F.lit, EVENTS)), F.col("event")).cast("int")
+    same = F.array(*(F.lit(i) for i in range(len(STATES))))
+    span = events.agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
+    at = F.when(F.col("lo") == F.col("hi"), F.lit(0)).otherwise(F.width_bucket(F.col(order), F.col("lo"), F.col("hi"), F.lit(parts)))
+    cut = events.crossJoin(F.broadcast(span)).select(key, at.alias("part"), F.struct(F.col(order).alias("o"), number.alias("e")).alias("x"))
+    # An event that is none of these changes nothing, but counts.
+    apply = lambda f, x: F.when(x["e"] > 0, F.transform(f, lambda s: F.element_at(F.element_at(known, x["e"]), s + 1))).otherwise(f)
+    pieces = cut.groupBy(key, "part").agg(F.array_sort(F.collect_list("x")).alias("log"))
+    pieces = pieces.select(key, F.size("log").cast("long").alias("n"), F.struct("part", F.aggregate("log", same, apply).alias("f")).alias("p"))
+    whole = pieces.groupBy(key).agg(F.sum("n").alias("n_events"), F.array_sort(F.collect_list("p")).alias("ps"))
+    end = F.aggregate("ps", F.lit(STATES.index(("none", 0))), lambda s, p: F.element_at(p["f"], s + 1))
+    status, retry = F.array(*(F.lit(s) for s, _ in STATES)), F.array(*(F.lit(r) for _, r in STATES))
+    return whole.select(key, F.element_at(status, end + 1).alias("status"), F.element_at(retry, end + 1).cast("long").alias("retry_count"), "n_events")
+
+
+def pauses(limits: DataFrame, at: str = "at", minutes: int = PAUSE_MINUTES) -> DataFrame:
+    """(``start``, ``end``) of the times in which nothing is taken: after each usage limit, joined.
+
+    Limits are reduced to one row per window of that length before they are put
+    in order, so what one task orders is the time that is covered, not the limits.
+    """
+    width = F.expr(f"interval {minutes} minutes")
+    few = limits.groupBy(F.window(at, f"{minutes} minutes").alias("w")).agg(F.min(at).alias("a"), F.max(at).alias("b"))
+    w = W.orderBy("a")
+    new = F.coalesce(F.col("a") > F.lag("b").over(w) + width, F.lit(True)).cast("long")
+    islands = few.withColumn("new", new).withColumn("island", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return islands.groupBy("island").agg(F.min("a").alias("start"), (F.max("b") + width).alias("end")).drop("island")
 
 
 def queue_summary(tasks: DataFrame) -> DataFrame:
@@ -122,3 +163,38 @@ def repair_blocks(blocks: DataFrame, asked: DataFrame, order: str = "seq") -> Da
     met = blocks.join(asked.select("path", F.lit(True).alias("__asked")).distinct(), "path", "left")
     first = F.row_number().over(W.partitionBy("path").orderBy(order)) == 1
     return met.withColumn("verdict", F.when(F.col("__asked").isNull(), F.lit("dropped")).when(first, F.lit("kept")).otherwise(F.lit("duplicate"))).drop("__asked")
+
+
+def cache_put(cache: DataFrame, new: DataFrame) -> DataFrame:
+    """The cache with the rows of ``new`` in place of those of their sources."""
+    return without(cache, new, "source_path").unionByName(new)
+
+
+def review_of(blocks: DataFrame, created: str) -> DataFrame:
+    """Review items of parsed blocks (``source_path``, ``type``, ``title``, ...), open, known by type and title."""
+    return blocks.withColumn("id", X.review_id(F.col("type"), F.col("title"))).withColumn("status", F.lit("open")).withColumn("created", F.lit(created))
+
+
+def resolved(reviews: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Reviews with those that ``answers`` (``id``, ``note``) name resolved, and the answers with ``hit``."""
+    one = answers.groupBy("id").agg(F.min("note").alias("note"))
+    met = reviews.join(one.withColumn("named", F.lit(True)), "id", "left")
+    out = met.withColumn("status", F.when(F.col("named"), F.lit("resolved")).otherwise(F.col("status"))).withColumn("resolved_note", F.when(F.col("named"), F.col("note")))
+    hit = one.join(reviews.select("id", F.lit(True).alias("hit")).distinct(), "id", "left")
+    return out.drop("named", "note"), hit.select("id", F.coalesce("hit", F.lit(False)).alias("hit"))
+
+
+def status(tasks: DataFrame, materials: DataFrame, reviews: DataFrame) -> DataFrame:
+    """One row: the queue's counts, materials that are not compiled, open reviews."""
+    waiting = materials.agg(F.count_if(~F.col("compiled")).alias("uncompiled"))
+    asked = reviews.agg(F.count_if(F.col("status") != "resolved").alias("open_reviews"))
+    return queue_summary(tasks).crossJoin(waiting).crossJoin(asked)
+
+
+def checkpoints_that_fit(checkpoints: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """Checkpoints whose parameters are all those wanted now; nulls are equal."""
+    on = None
+    for k in keys:
+        same = checkpoints[k].eqNullSafe(wanted[k])
+        on = same if on is None else on & same
+    return checkpoints.join(wanted, on, "left_semi")

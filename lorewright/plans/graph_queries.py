@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -82,10 +81,14 @@ def graph_export(spark, sf_dir):
     return graph.export(*typed_graph(spark, sf_dir))[1]
 
 
-@query(_SIMPLE + "select (select count(*) from nodes) as n_nodes, (select count(*) from g) as n_edges")
+_KEY = "bit_xor(cast('0x' || left(md5({}), 15) as bigint))"
+
+
+@query(_SIMPLE + f"""select * from (select count(*) as n_nodes, {_KEY.format('id')} as node_key from (select distinct id from nodes)),
+(select count(*) as n_edges, {_KEY.format("least(source, target) || '|' || greatest(source, target)")} as edge_key from g)""")
 def topology_key(spark, sf_dir):
     nodes, edges = _simple(spark, sf_dir)
-    return graph.topology_key(nodes, edges).select("n_nodes", "n_edges")
+    return graph.topology_key(nodes, edges)
 
 
 @query("""select c_custkey, case when c_custkey % 2 = 0 then 'd' || c_nationkey || ',e' else 'd' || c_nationkey end as sources from customer""")
@@ -176,6 +179,26 @@ def search_hybrid(spark, sf_dir):
     return retrieval.fused(*ranked).withColumn("score", F.round("score", 9))
 
 
+@query(_ENT + _LOCAL.replace("lower(label) in ('nation_3', 'nation_7')", "id in ('n:3', 'n:7')") + _GLOBAL + """,
+v as (select 'nation:' || vec_id as chunk, row_number() over (order by vec_id) as rank from embeddings qualify rank <= 25),
+a as (select chunk, row_number() over (order by score desc, chunk) as rank from loc qualify rank <= 60), b as (select chunk, row_number() over (order by score desc, chunk) as rank from glo qualify rank <= 60)
+select chunk, round(sum(1.0::double / (60 + rank)), 9) as score from (select * from v union all select * from a union all select * from b) group by chunk order by sum(1.0::double / (60 + rank)) desc, chunk limit 30""")
+def search_mix(spark, sf_dir):
+    """Vector, entity and relation hits fused; the vector list stands in by number."""
+    entities, edges = _entities(spark, sf_dir)
+    first = table(spark, sf_dir, "embeddings").select("vec_id").orderBy("vec_id").limit(25)
+    near = first.select(F.concat(F.lit("nation:"), F.col("vec_id").cast("string")).alias("chunk"), F.row_number().over(W.orderBy("vec_id")).alias("rank"))
+    words = [r["label"] for r in table(spark, sf_dir, "nation").where("n_nationkey in (3, 7)").select(F.col("n_name").alias("label")).collect()] + ["has"]
+    return retrieval.by_mode("mix", near, entities, edges, words, 30).withColumn("score", F.round("score", 9))
+
+
+@query(_SIMPLE + "select type, count(*) as n from (select *, row_number() over (partition by type order by seq, id) as r from nodes) where r <= 500 group by type")
+def graph_view(spark, sf_dir):
+    """How many nodes of each type are shown."""
+    nodes, edges = _simple(spark, sf_dir)
+    return graph.view(nodes, edges)[0].groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def cited_answer(spark, sf_dir):
     """An extractive answer with numbered contexts."""
@@ -188,23 +211,19 @@ def cited_answer(spark, sf_dir):
 # --- streams, each compared with its batch result
 
 
-def _name() -> str:
-    return "stream_" + uuid.uuid4().hex
-
-
 def _events(spark, sf_dir):
     return jobs.event_stream(spark, sf_dir + "/events.parquet" if os.path.isdir(f"{sf_dir}/events.parquet") else f"{sf_dir}/events.parquet*")
 
 
 @query("select user_id, event_type, count(*) as copies from (select distinct user_id, event_type from events) group by all")
 def stream_dedup(spark, sf_dir):
-    out = jobs.run_to_end(jobs.deduplicated(_events(spark, sf_dir), ["user_id", "event_type"]), _name())
+    out = jobs.run_to_end(jobs.deduplicated(_events(spark, sf_dir), ["user_id", "event_type"]))
     return out.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("copies"))
 
 
 @query("select time_bucket(interval '1 day', ts) as start, time_bucket(interval '1 day', ts) + interval '1 day' as end, count(*) as n from events group by all")
 def stream_tumbling(spark, sf_dir):
-    return _ntz(jobs.run_to_end(jobs.tumbling(_events(spark, sf_dir), "1 day"), _name(), "complete"))
+    return _ntz(jobs.run_to_end(jobs.tumbling(_events(spark, sf_dir), "1 day"), "complete"))
 
 
 def _ntz(df):
@@ -213,27 +232,27 @@ def _ntz(df):
 
 @query("""select start, start + interval '12 hours' as end, count(*) as n from (select unnest([time_bucket(interval '6 hours', ts), time_bucket(interval '6 hours', ts) - interval '6 hours']) as start from events) group by all""")
 def stream_sliding(spark, sf_dir):
-    return _ntz(jobs.run_to_end(jobs.sliding(_events(spark, sf_dir), "12 hours", "6 hours"), _name(), "complete"))
+    return _ntz(jobs.run_to_end(jobs.sliding(_events(spark, sf_dir), "12 hours", "6 hours"), "complete"))
 
 
 @query("""with g as (select *, case when ts - lag(ts) over (partition by user_id order by ts) < interval '8 hours' then 0 else 1 end as new from events),
 s as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as k from g)
 select min(ts) as start, max(ts) + interval '8 hours' as end, user_id, count(*) as n from s group by user_id, k""")
 def stream_session(spark, sf_dir):
-    return _ntz(jobs.run_to_end(jobs.sessions(_events(spark, sf_dir), "8 hours"), _name(), "complete"))
+    return _ntz(jobs.run_to_end(jobs.sessions(_events(spark, sf_dir), "8 hours"), "complete"))
 
 
 @query(state_queries._FOLD + "select * from t")
 def stream_task_state(spark, sf_dir):
     """The last state that the stream gave of each task."""
     events = _events(spark, sf_dir).select(F.concat(F.lit("doc-"), F.col("user_id").cast("string")).alias("source_path"), F.col("event_id").alias("seq"), F.expr(state_queries._EVENT).alias("event"))
-    out = jobs.run_to_end(jobs.task_states(events), _name(), "update")
+    out = jobs.run_to_end(jobs.task_states(events), "update")
     return out.groupBy("source_path").agg(F.max_by(F.struct("status", "retry_count"), "n_events").alias("s"), F.max("n_events").alias("n_events")).select("source_path", "s.status", "s.retry_count", "n_events")
 
 
 @query("select user_id, event_id, event_type from (select *, lag(event_type) over (partition by user_id order by event_id) as p from events) where p is not null and p <> event_type")
 def stream_changes(spark, sf_dir):
-    return jobs.run_to_end(jobs.value_changes(_events(spark, sf_dir)), _name())
+    return jobs.run_to_end(jobs.value_changes(_events(spark, sf_dir)))
 
 
 # --- built-in analytics beside the operators

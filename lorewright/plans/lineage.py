@@ -3,25 +3,38 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder that the session names.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
 
-    Where ``spark.checkpoint.dir`` is unset, as in local tests, a temporary
-    folder is used and removed at exit.
+    Where it is unset and all runs on this machine, as in tests, a temporary one
+    is made and removed at exit; on a cluster an unset one is an error.
     """
-    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
     context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isDefined():
+        return context._jsc.sc().getCheckpointDir().get()
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    folder = tempfile.mkdtemp(prefix="lorewright-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
+    folder = shared_dir(df.sparkSession)
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            folder = tempfile.mkdtemp(prefix="lorewright-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 

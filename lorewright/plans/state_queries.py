@@ -9,7 +9,7 @@ from ..session import table
 from .registry import query
 
 # Which queue event an event type of the table stands for.
-_EVENT = "case event_type when 'click' then 'enqueue' when 'view' then 'take' when 'purchase' then 'complete' when 'error' then 'fail' else case when event_id % 3 = 0 then 'cancel' else 'enqueue' end end"
+_EVENT = "case event_type when 'click' then 'enqueue' when 'view' then 'take' when 'purchase' then 'complete' when 'error' then case when event_id % 4 = 0 then 'limit' else 'fail' end else case when event_id % 3 = 0 then 'cancel' when event_id % 20 = 7 then 'retry' when event_id % 20 = 13 then 'remove' when event_id % 20 = 17 then 'recover' else 'enqueue' end end"
 
 
 def task_events(spark, sf_dir):
@@ -23,8 +23,9 @@ s as (select distinct source_path, 'none' as status, cast(0 as bigint) as retry_
   select s.source_path,
     case when event = 'enqueue' and status not in ('pending', 'processing') then 'pending' when event = 'take' and status = 'pending' then 'processing'
       when event = 'complete' and status = 'processing' then 'done' when event = 'fail' and status = 'processing' then case when retry_count + 1 >= 3 then 'failed' else 'pending' end
-      when event = 'cancel' and status in ('pending', 'processing') then 'cancelled' else status end,
-    case when event = 'enqueue' and status not in ('pending', 'processing') then 0 when event = 'fail' and status = 'processing' then retry_count + 1 else retry_count end, e.n
+      when event = 'cancel' and status in ('pending', 'processing') then 'cancelled' when event = 'retry' and status in ('failed', 'cancelled') then 'pending'
+      when event = 'remove' and status <> 'processing' then 'none' when event in ('limit', 'recover') and status = 'processing' then 'pending' else status end,
+    case when event = 'enqueue' and status not in ('pending', 'processing') or event = 'retry' and status in ('failed', 'cancelled') or event = 'remove' and status <> 'processing' then 0 when event = 'fail' and status = 'processing' then retry_count + 1 else retry_count end, e.n
   from s join e on e.source_path = s.source_path and e.n = s.n + 1),
 t as (select source_path, status, retry_count, n as n_events from s qualify n = max(n) over (partition by source_path))
 """
@@ -168,3 +169,45 @@ def hit_source_path(spark, sf_dir):
     doc = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("doc/"), F.col("user_id").cast("string")))
     chunk = F.when(F.col("event_id") % 3 == 1, F.concat(F.lit("rel/"), F.col("event_type"), F.lit(".md-chunk-"), F.col("event_id").cast("string"))).otherwise(F.lit(" "))
     return table(spark, sf_dir, "events").select("event_id", retrieval.source_path(doc, chunk, F.lit("file")).alias("path"))
+
+
+@query("""with e as (select ts as t0 from events where event_type = 'error'), g as (select t0, t0 > lag(t0) over (order by t0) + interval 15 minutes as new from e),
+i as (select t0, sum(case when coalesce(new, true) then 1 else 0 end) over (order by t0 rows unbounded preceding) as island from g)
+select epoch_us(min(t0)) as start, epoch_us(max(t0) + interval 15 minutes) as end_ from i group by island""")
+def queue_pauses(spark, sf_dir):
+    """When nothing was taken, after usage limits."""
+    rows = table(spark, sf_dir, "events").where("event_type = 'error'").select(F.col("ts").cast("timestamp").alias("at"))
+    return state.pauses(rows).select(F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end_"))
+
+
+@query("""select doc_id, case when doc_id % 4 = 0 then 'new' else sha256(text) end as hash from documents where doc_id % 3 = 0 or doc_id % 4 = 0""")
+def cache_upsert(spark, sf_dir):
+    """New entries take the place of old ones of their source."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_path"), F.sha2("text", 256).alias("hash"))
+    out = state.cache_put(docs.where("source_path % 3 = 0"), docs.where("source_path % 4 = 0").withColumn("hash", F.lit("new")))
+    return out.select(F.col("source_path").alias("doc_id"), "hash")
+
+
+@query("""select event_type || '::t' || event_id as id, case when event_id % 3 = 0 then 'resolved' else 'open' end as status, case when event_id % 3 = 0 then 'n' end as resolved_note from events""")
+def review_resolve(spark, sf_dir):
+    items = state.review_of(table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("type"), F.concat(F.lit(" Missing page: T"), F.col("event_id").cast("string")).alias("title")), "2030-01-02")
+    answers = items.where("event_id % 3 = 0").select("id", F.lit("n").alias("note")).unionAll(spark.createDataFrame([("gone", "x")], "id string, note string"))
+    return state.resolved(items, answers)[0].select("id", "status", "resolved_note")
+
+
+@query(_FOLD + """select count(*) filter (status = 'pending') as pending, count(*) filter (status = 'processing') as processing, count(*) filter (status = 'done') as done, count(*) filter (status = 'failed') as failed,
+count(*) filter (status = 'cancelled') as cancelled, count(*) as total, (select count(*) from documents where doc_id not in (select doc_id from labels)) as uncompiled, (select count(*) from events where event_id % 3 <> 0) as open_reviews from t""")
+def manager_status(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("l"))
+    materials = table(spark, sf_dir, "documents").select("doc_id").join(labels, "doc_id", "left").select(F.coalesce("l", F.lit(False)).alias("compiled"))
+    reviews = table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 3 == 0, F.lit("resolved")).otherwise(F.lit("open")).alias("status"))
+    return state.status(state.task_states(task_events(spark, sf_dir)), materials, reviews)
+
+
+@query("select doc_id from documents where doc_id % 2 = 0 and doc_id % 5 <> 0")
+def checkpoint_match(spark, sf_dir):
+    """Checkpoints count only with the parameters that are wanted now."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
+    kept = docs.where("doc_id % 2 = 0").select("doc_id", "hash", F.when(F.col("doc_id") % 5 == 0, F.lit(900)).otherwise(F.lit(1200)).alias("target"), F.lit(None).cast("int").alias("total"))
+    wanted = docs.select("doc_id", "hash", F.lit(1200).alias("target"), F.lit(None).cast("int").alias("total"))
+    return state.checkpoints_that_fit(kept, wanted, ["doc_id", "hash", "target", "total"]).select("doc_id")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,16 +11,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text as X
+from ..operators.state import next_state
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def event_stream(spark: SparkSession, path: str, delay: str = "31 days") -> DataFrame:
+def event_stream(spark: SparkSession, path: str, delay: str = "31 days", files_each: int | None = None) -> DataFrame:
     """Events with ``at``, a timestamp that the watermark is on.
 
-    The delay covers the whole span of a replay, so no row comes late.
+    By default the delay covers the whole span of a replay, so no row comes late;
+    with a shorter one rows that come later than it are dropped by stateful
+    operators.  ``files_each`` is how many files a batch takes.
     """
-    rows = spark.readStream.schema(EVENTS).parquet(path)
+    reader = spark.readStream.schema(EVENTS)
+    rows = (reader if files_each is None else reader.option("maxFilesPerTrigger", files_each)).parquet(path)
     return rows.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", delay)
 
 
@@ -64,21 +69,12 @@ def value_changes(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(_changed, "user_id long, event_id long, event_type string", "last string", "append", GroupStateTimeout.NoTimeout)
 
 
-_NEXT = {("pending", "take"): "processing", ("processing", "complete"): "done", ("pending", "cancel"): "cancelled", ("processing", "cancel"): "cancelled"}
-
-
 def _task(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(batches)).sort_values("seq")
     status, retry, n = state.get if state.exists else ("none", 0, 0)
+    rows = pd.concat(list(batches)).sort_values("seq")
     for event in rows["event"]:
-        n += 1
-        if event == "enqueue" and status not in ("pending", "processing"):
-            status, retry = "pending", 0
-        elif event == "fail" and status == "processing":
-            retry += 1
-            status = "failed" if retry >= 3 else "pending"
-        else:
-            status = _NEXT.get((status, event), status)
+        status, retry = next_state(status, retry, event)
+    n += len(rows)
     state.update((status, retry, n))
     yield pd.DataFrame([(key[0], status, retry, n)], columns=["source_path", "status", "retry_count", "n_events"])
 
@@ -93,21 +89,50 @@ def new_contents(stream: DataFrame, text: str = "value") -> DataFrame:
     return stream.withColumn("hash", X.content_hash(X.strip(F.col(text)))).dropDuplicates(["hash"])
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def once(sink: Callable[[DataFrame, int], None], done: str) -> Callable[[DataFrame, int], None]:
+    """A sink that takes each batch once, also if it comes again after a failure.
+
+    The numbers of batches that were taken are files in the folder ``done``.
+    """
+
+    def take(batch: DataFrame, number: int) -> None:
+        mark = batch.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{done}/{number}")
+        system = mark.getFileSystem(batch.sparkSession._jsc.hadoopConfiguration())
+        if not system.exists(mark):
+            sink(batch, number)
+            system.create(mark, True).close()
+
+    return take
+
+
+def table_sink(folder: str) -> Callable[[DataFrame, int], None]:
+    """Write each batch to a folder of its number, which a batch that comes again replaces."""
+    return lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+
+def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Process all that is there now, and give the sink's rows.
 
-    The sink is a memory table: for replays that are compared with batch results.
+    Rows and checkpoint are in the shared folder.  In mode ``complete`` the last
+    batch is the result, else all batches are; with ``update`` a row may have come
+    in several versions.
     """
-    from ..plans.lineage import cut
+    from ..plans.lineage import shared_dir
 
     spark = stream.sparkSession
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    folder = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    query = stream.writeStream.foreachBatch(table_sink(f"{folder}/rows")).option("checkpointLocation", f"{folder}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
     try:
         query.awaitTermination()
         if query.exception():
             raise query.exception()
+        last = query.lastProgress
     finally:
         query.stop()
-    out = cut(spark.table(name))
-    spark.catalog.dropTempView(name)
-    return out
+    if last is None:
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(stream.schema).option("basePath", f"{folder}/rows").option("recursiveFileLookup", True)
+    if mode != "complete":
+        return rows.parquet(f"{folder}/rows")
+    batches = spark.read.option("basePath", f"{folder}/rows").parquet(f"{folder}/rows").select(F.max("batch").alias("b")).first()["b"]
+    return rows.parquet(f"{folder}/rows/batch={batches or 0}")
