@@ -10,8 +10,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .functions import parsers
 from .functions import text as X
-from .operators import compiling, links, merge, retrieval, state
+from .operators import compiling, graph, merge, procedures, retrieval, state
+from .plans.lineage import cut
 from .sources import readers, sinks
+from .streaming import jobs
+
+_CACHE = "source_path string, hash string, files_written array<string>"
 
 
 class Config:
@@ -63,10 +67,24 @@ class Engine:
     def materials(self) -> DataFrame:
         return sinks.read_state(self.spark, self._at("materials"), "hash string, id string, source string, seq long, content string")
 
+    def import_bytes(self, name: str, data: bytes, seq: int) -> DataFrame:
+        """Ingest a file's bytes, in UTF-8, GBK or Latin-1, under its name."""
+        row = self.spark.createDataFrame([("file", seq, parsers.decode(data))], "source string, seq long, content string")
+        return self.ingest(row.withColumn("name", F.lit(name)).select("source", "seq", "content"))
+
+    def mark_compiled(self, ids: DataFrame) -> None:
+        """Note that the materials (``id``) are compiled."""
+        known = sinks.read_state(self.spark, self._at("compiled"), "id string")
+        sinks.replace_state(known.unionByName(ids.select("id")).distinct(), self._at("compiled"))
+
+    def uncompiled(self) -> DataFrame:
+        return self.materials().join(sinks.read_state(self.spark, self._at("compiled"), "id string"), "id", "left_anti")
+
     # streams
     def start(self, name: str, stream: DataFrame, sink: Callable[[DataFrame, int], None], interval: str = "5 seconds") -> StreamingQuery:
-        """Start a stream; one that fails does not touch the others."""
-        self.streams[name] = stream.writeStream.queryName(name).option("checkpointLocation", self._at(f"streams/{name}")).trigger(processingTime=interval).foreachBatch(sink).start()
+        """Start a stream whose batches are taken once each; one that fails does not touch the others."""
+        once = jobs.once(sink, self._at(f"streams/{name}-batches"))
+        self.streams[name] = stream.writeStream.queryName(name).option("checkpointLocation", self._at(f"streams/{name}")).trigger(processingTime=interval).foreachBatch(once).start()
         return self.streams[name]
 
     def stop(self, name: str | None = None) -> None:
@@ -76,24 +94,85 @@ class Engine:
     def status(self) -> dict[str, str]:
         return {k: "error" if q.exception() else "running" if q.isActive else "stopped" for k, q in self.streams.items()}
 
+    # queue
+    def enqueue(self, events: DataFrame) -> None:
+        """Add events (``source_path``, ``seq``, ``event``) to the queue's log."""
+        events.select("source_path", F.col("seq").cast("long").alias("seq"), "event").write.mode("append").parquet(self._at("queue"))
+
+    def tasks(self) -> DataFrame:
+        return state.task_states(sinks.read_state(self.spark, self._at("queue"), "source_path string, seq long, event string"))
+
+    def manager_status(self) -> DataFrame:
+        """One row: counts of the queue, uncompiled materials, open reviews."""
+        compiled = sinks.read_state(self.spark, self._at("compiled"), "id string").withColumn("compiled", F.lit(True))
+        materials = self.materials().join(compiled, "id", "left").select(F.coalesce("compiled", F.lit(False)).alias("compiled"))
+        return state.status(self.tasks(), materials, self.reviews())
+
     # compiling
-    def compile(self) -> DataFrame:
-        rows = self.materials().select(F.col("id").alias("source_path"), "content")
-        return compiling.compiled(rows, self.generate)
+    def entries(self) -> DataFrame:
+        """All pages: ``path`` (below the root) and ``content``."""
+        return sinks.read_state(self.spark, self._at("entries"), "path string, content string")
+
+    def compile(self, today: str, repair: Callable[[str], str] | None = None, **options) -> procedures.Compiled:
+        """Compile what is not compiled yet, and keep pages, reviews, cache, log and flags."""
+        todo = self.uncompiled()
+        known = procedures.summaries(self.entries()).select("path", "slug", "title", "category")
+        cache = sinks.read_state(self.spark, self._at("cache"), _CACHE)
+        out = procedures.compile_materials(todo.select(F.col("id").alias("source_path"), "content"), known, cache, today, self.generate, repair, **options)
+        sinks.replace_state(self.entries().unionByName(out.entries.select("path", "content")), self._at("entries"))
+        sinks.replace_state(state.cache_put(cache, out.cache.select("source_path", "hash", "files_written")), self._at("cache"))
+        kept = self.reviews()
+        new = out.reviews.withColumn("resolved_note", F.lit(None).cast("string")).select(*kept.columns).join(kept.select("id"), "id", "left_anti").dropDuplicates(["id"])
+        sinks.replace_state(kept.unionByName(new.select(*kept.columns)), self._at("reviews"))
+        sinks.append_lines(out.log, self._at("log"))
+        self.mark_compiled(out.entries.select(F.col("source_path").alias("id")).distinct())
+        return out
+
+    def reviews(self) -> DataFrame:
+        return sinks.read_state(self.spark, self._at("reviews"), "id string, source_path string, type string, title string, detail string, status string, created string, resolved_note string")
+
+    def resolve(self, answers: DataFrame) -> DataFrame:
+        """Resolve reviews (``id``, ``note``); which of them there were."""
+        after, hit = state.resolved(self.reviews(), answers)
+        hit = cut(hit)
+        sinks.replace_state(after.select(*self.reviews().columns), self._at("reviews"))
+        return hit
+
+    # pages
+    def read(self, path: str) -> DataFrame:
+        return self.entries().where(F.col("path") == path)
+
+    def save(self, pages: DataFrame) -> None:
+        """Add or replace pages (``path``, ``content``); a path that is not safe is an error."""
+        safe = F.when(X.safe_path(F.col("path")), F.col("path")).otherwise(F.raise_error(F.concat(F.lit("no safe path: "), "path")))
+        new = pages.select(safe.alias("path"), "content")
+        sinks.replace_state(state.without(self.entries(), new, "path").unionByName(new), self._at("entries"))
+
+    def delete(self, paths: DataFrame) -> None:
+        """Drop pages (``path``) and what the index has of them."""
+        sinks.replace_state(state.without(self.entries(), paths, "path"), self._at("entries"))
+        self.remove(paths.select(F.col("path").alias("rel_path")))
+
+    def _with_slugs(self) -> DataFrame:
+        return self.entries().select("path", X.base_name(X.strip_suffix(F.col("path"))).alias("slug"), "content")
+
+    def enrich(self) -> DataFrame:
+        """Put valid proposed links into the pages; (``path``, ``added``) of those that changed."""
+        out = cut(procedures.enrich(self._with_slugs(), self.generate))
+        self.save(out)
+        return out.select("path", "added")
+
+    def merge(self, groups: DataFrame, whitelist: DataFrame, combine: Callable[[str, str], str] | None = None) -> DataFrame:
+        """Make one page of each group (``seq``, ``slugs``); the redirects.  The pages before are kept as backup."""
+        pages, redirects = procedures.merge_pages(self._with_slugs(), groups, whitelist, combine)
+        redirects = cut(redirects)
+        sinks.replace_state(pages.select("path", "content"), self._at("entries"))
+        return redirects
 
     # checks
-    def lint(self, pages: DataFrame) -> DataFrame:
+    def lint(self, pages: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
         """(``kind``, ``file``, ``detail``, ``suggestion``) of all that is amiss."""
-        found = links.links_of(pages)
-        names = pages.select(F.col("idx").alias("src"), "name")
-        broken = links.broken_links(found, pages)
-        hints = links.suggest_for_broken(broken, pages)
-        bad = broken.join(hints, "target", "left").join(names, "src").select(F.lit("broken-link").alias("kind"), F.col("name").alias("file"), F.col("target").alias("detail"), "suggestion")
-        empty = F.lit(None).cast("string")
-        alone = links.orphans(found, pages).select(F.lit("orphan"), "name", empty, empty)
-        mute = links.without_links(found, pages).select(F.lit("no-outlinks"), "name", empty, empty)
-        twice = links.duplicate_names(pages).join(names.withColumnRenamed("src", "idx"), "idx").select(F.concat(F.lit("duplicate-"), F.col("kind")), "name", F.col("first_idx").cast("string"), empty)
-        return bad.unionAll(alone).unionAll(mute).unionAll(twice)
+        return procedures.lint(pages, tokens)
 
     # index and search
     def index(self, entries: DataFrame, rebuild: bool = False) -> DataFrame:
@@ -116,13 +195,30 @@ class Engine:
         for name, schema in (("chunks", "chunk_id string, rel_path string, content string, embedding array<double>"), ("ledger", "rel_path string, sha256 string")):
             sinks.replace_state(state.without(sinks.read_state(self.spark, self._at(name), schema), paths, "rel_path"), self._at(name))
 
-    def search(self, text: str, k: int = 10) -> DataFrame:
-        query = self.spark.range(1).select(retrieval.embed(F.lit(text)).alias("v")).first()["v"]
+    def search(self, text: str, k: int = 10, mode: str = "naive", entities: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
+        """The k best chunks in a mode; all but ``naive`` need entities (``id``, ``label``, ``sources``) and edges."""
+        if mode not in retrieval.MODES:
+            raise ValueError(f"no such mode: {mode}")
         chunks = sinks.read_state(self.spark, self._at("chunks"), "chunk_id string, rel_path string, content string, embedding array<double>")
-        return retrieval.search(chunks, list(query), k, key="chunk_id").select("rank", F.left("content", F.lit(retrieval.SNIPPET)).alias("content"), F.col("rel_path").alias("file_path"), "score")
-
-    def ask(self, text: str, k: int = 6, mode: str = "naive") -> DataFrame:
-        return retrieval.answer(self.search(text, k), mode)
+        query = self.spark.range(1).select(retrieval.embed(F.lit(text)).alias("v")).first()["v"]
+        if mode == "naive":
+            hits = retrieval.search(chunks, list(query), k, key="chunk_id")
+        else:
+            if entities is None or edges is None:
+                raise ValueError(f"{mode} needs entities and edges")
+            near = retrieval.search(chunks, list(query), max(k, 60), key="chunk_id").select(F.col("chunk_id").alias("chunk"), "rank")
+            best = retrieval.by_mode(mode, near, entities, edges, text.split(), k)
+            ranked = retrieval.ranked(best).withColumnRenamed("chunk", "chunk_id")
+            hits = chunks.join(ranked, "chunk_id").join(best.withColumnRenamed("chunk", "chunk_id"), "chunk_id")
+        return hits.select("rank", F.left("content", F.lit(retrieval.SNIPPET)).alias("content"), F.col("rel_path").alias("file_path"), "score").orderBy("rank")
+
+    def ask(self, text: str, k: int = 6, mode: str = "naive", entities: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
+        return retrieval.answer(self.search(text, k, mode, entities, edges), mode)
+
+    def graph(self, nodes: DataFrame, edges: DataFrame, most: int = 500) -> tuple[DataFrame, DataFrame]:
+        """The part of a graph that is shown: exported nodes and edges, simple and capped."""
+        kept, first = graph.export(nodes, edges)
+        return graph.view(kept, first, most=most)
 
     def deduplicate(self, pages: DataFrame, groups: DataFrame, whitelist: DataFrame) -> DataFrame:
         """Redirects (``slug``, ``canonical``) of the groups that are left to merge."""

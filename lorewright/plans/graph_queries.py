@@ -276,8 +276,3 @@ def revenue_by_nation(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") >= F.lit("1994-01-01").cast("timestamp_ntz"))
     joined = line.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return joined.groupBy("n_name", "l_returnflag").agg(F.count_distinct("o_custkey").alias("customers"), F.sum((F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)")).cast("double").alias("revenue"))
-
-
-@query()
-def approx_distinct(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("parts"), F.percentile_approx("l_quantity", 0.5).alias("median"))

@@ -42,6 +42,51 @@ def uncompiled(rows: DataFrame) -> DataFrame:
     return rows.where(~F.col("compiled") & ~F.col("name").startswith("."))
 
 
+def read_materials(rows: DataFrame) -> DataFrame:
+    """Listed materials with ``meta`` (header fields), ``body`` and ``id``; a missing source is the folder's name."""
+    met = rows.withColumn("meta", parsers.header_map(F.col("text"))).withColumn("body", F.regexp_replace("text", r"\A---\s*\n[\s\S]*?\n---[^\n]*\n?", ""))
+    field = lambda name: X.nonempty(F.try_element_at("meta", F.lit(name)))
+    return met.withColumn("source", F.coalesce(field("source"), "source")).withColumn("id", F.coalesce(field("id"), X.content_id(X.strip(F.col("body")))))
+
+
+def tree(spark: SparkSession, folder: str) -> DataFrame:
+    """(``name``, ``raw``) of all pages below a folder, at any depth; names are paths below it."""
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder, wholetext=True)
+    root = folder.rstrip("/").rsplit("/", 1)[-1]
+    return rows.select(F.regexp_extract("_metadata.file_path", f"/{re.escape(root)}/(.*)$", 1).alias("name"), F.col("value").alias("raw"))
+
+
+def settled(rows: DataFrame, now: float, still: float = 0.5) -> DataFrame:
+    """Files (``modified``, a timestamp) that have not changed for so many seconds."""
+    return rows.where(F.unix_micros("modified") / 1e6 <= F.lit(now - still))
+
+
+def transcribed(spark: SparkSession, folder: str, transcribe, done: DataFrame | None = None) -> DataFrame:
+    """(``path``, ``text``, ``error``) of audio files that are not among ``done`` (``path``); a failure is a row's error.
+
+    ``transcribe(path) -> str`` is plugged in, such as ``functions.service.transcriber``.
+    """
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(AUDIO_SUFFIXES) + "}").load(folder).select("path")
+    todo = found if done is None else found.join(done.select("path"), "path", "left_anti")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path in b["path"].tolist():
+                try:
+                    rows.append((path, transcribe(path.removeprefix("file:")).strip(), None))
+                except Exception as failure:  # noqa: BLE001  a plugged-in program may fail in any way
+                    rows.append((path, None, str(failure)))
+            yield pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype=object) for i, c in enumerate(("path", "text", "error"))})
+
+    return todo.mapInPandas(run, "path string, text string, error string")
+
+
+def watched_dirs(*lists: list[str]) -> list[str]:
+    """All folders of the lists once, in order; blank ones left out."""
+    return list(dict.fromkeys(d.strip() for dirs in lists for d in dirs if d.strip()))
+
+
 def decoded_files(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = ("md", "markdown", "txt")) -> DataFrame:
     """(path, text) of files in UTF-8, GBK or Latin-1."""
 

@@ -39,21 +39,66 @@ def append_log(log: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def read_state(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """A state table; an empty one where there is none yet."""
+    """A state table, its newest version if it has versions; an empty one where there is none yet."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(folder)
+    return spark.read.schema(schema).parquet(_newest(spark, folder) or folder)
+
+
+def append_lines(new: DataFrame, folder: str) -> None:
+    """Append to the log at ``folder`` the lines that it has not."""
+    log = read_state(new.sparkSession, folder, "line string")
+    cut(append_log(log, new)).write.mode("append").parquet(folder)
+
+
+def write_index(index: DataFrame, folder: str) -> bool:
+    """Replace the index at ``folder`` if any category's text changed; whether it did."""
+    old = read_state(index.sparkSession, folder, "category string, n long, text string")
+    new = cut(index.select("category", F.col("n").cast("long").alias("n"), "text"))
+    same = lambda a, b: a.join(b, [a["category"] == b["category"], a["text"] == b["text"]], "left_anti").isEmpty()
+    if same(new, old) and same(old, new):
+        return False
+    replace_state(new, folder)
+    return True
 
 
 def replace_state(rows: DataFrame, folder: str) -> None:
-    """Write a new version beside the old one and swap; the old one is kept as backup."""
+    """Write a new version of a table; readers see the old one or the new one whole.
+
+    Versions are folders below ``folder``, and a version counts once its mark is
+    there, which is made after its rows are written.  The version before stays as
+    backup; older ones go.
+    """
     spark = rows.sparkSession
     Path = spark._jvm.org.apache.hadoop.fs.Path
-    new, old, backup = Path(f"{folder}.{uuid.uuid4().hex}"), Path(folder), Path(f"{folder}.backup")
-    rows.write.parquet(new.toString())
-    system = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    if system.exists(old):
-        system.delete(backup, True)
-        system.rename(old, backup)
-    system.rename(new, old)
+    top = Path(folder)
+    system = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = _versions(spark, folder)
+    n = old[-1] + 1 if old else 1
+    name = f"{folder}/v{n:08d}-{uuid.uuid4().hex}"
+    rows.write.parquet(name)
+    system.create(Path(f"{folder}/_current-{n:08d}-{name.rpartition('-')[2]}"), True).close()
+    for k in old[:-1]:
+        for found in system.globStatus(Path(f"{folder}/_current-{k:08d}-*")):
+            system.delete(found.getPath(), True)
+        for found in system.globStatus(Path(f"{folder}/v{k:08d}-*")):
+            system.delete(found.getPath(), True)
+
+
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    marks = Path(f"{folder}/_current-*")
+    found = marks.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(marks)
+    return sorted({int(f.getPath().getName().split("-")[1]) for f in found or ()})
+
+
+def _newest(spark: SparkSession, folder: str) -> str | None:
+    """Where the newest version's rows are; None if the table has no versions."""
+    versions = _versions(spark, folder)
+    if not versions:
+        return None
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    marks = Path(f"{folder}/_current-{versions[-1]:08d}-*")
+    mark = max(f.getPath().getName() for f in marks.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(marks))
+    return f"{folder}/v{versions[-1]:08d}-{mark.rpartition('-')[2]}"

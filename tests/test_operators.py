@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from lorewright.engine import Config, Engine
@@ -36,15 +37,27 @@ def test_samples(spark):
 
 
 def test_material_sink_and_state(spark, tmp_path):
-    rows = spark.createDataFrame([(1, "web", " a "), (2, "web", "a"), (3, "nope", "b"), (4, "file", " "), (5, "file", "c")], "seq long, source string, content string")
+    rows = spark.createDataFrame([(1, "web", " a "), (2, "web", "a"), (4, "file", " "), (5, "file", "c"), (5, "web", "c")], "seq long, source string, content string")
     folder = str(tmp_path / "m")
     assert sorted(r["seq"] for r in sinks.append_materials(rows, folder).collect()) == [1, 5]
     assert sorted(r["seq"] for r in spark.read.parquet(folder).collect()) == [1, 5]
     assert sinks.append_materials(rows, folder).count() == 0
     assert spark.read.parquet(folder).count() == 2
-    sinks.replace_state(spark.range(3).select("id"), str(tmp_path / "s"))
-    sinks.replace_state(spark.range(2).select("id"), str(tmp_path / "s"))
-    assert spark.read.parquet(str(tmp_path / "s")).count() == 2 and spark.read.parquet(str(tmp_path / "s.backup")).count() == 3
+    with pytest.raises(Exception, match="no source: nope"):
+        sinks.append_materials(spark.createDataFrame([(3, "nope", "b")], "seq long, source string, content string"), folder)
+    at, schema = str(tmp_path / "s"), "id long"
+    assert sinks.read_state(spark, at, schema).count() == 0
+    for n in (3, 2, 5):
+        sinks.replace_state(sinks.read_state(spark, at, schema).where("id < 0").unionByName(spark.range(n)), at)
+        assert sinks.read_state(spark, at, schema).count() == n
+    assert len([x for x in (tmp_path / "s").iterdir() if x.name.startswith("v")]) == 2
+    (tmp_path / "s" / "v00000009-half").mkdir()
+    assert sinks.read_state(spark, at, schema).count() == 5
+    index = spark.createDataFrame([("concepts", 1, "a")], "category string, n long, text string")
+    assert [sinks.write_index(index, str(tmp_path / "i")), sinks.write_index(index, str(tmp_path / "i")), sinks.write_index(index.withColumn("text", F.lit("b")), str(tmp_path / "i"))] == [True, False, True]
+    for _ in range(2):
+        sinks.append_lines(spark.createDataFrame([("x",), ("y",), ("x",)], "line string"), str(tmp_path / "l"))
+    assert sinks.read_state(spark, str(tmp_path / "l"), "line string").count() == 2
 
 
 def test_listing_and_decoding(spark, tmp_path):
