@@ -16,7 +16,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lorewright.llm import bpe, chunks, components, decontaminate, quality, runtime, sharding, simhash, sstable, substring, textops
+from lorewright.llm import bpe, chunks, components, decontaminate, quality, runtime, sharding, simhash, sstable, substring, textops, wide_simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -648,6 +648,71 @@ def test_quality_odd_labels(spark):
     assert quality.train(docs, only_open) is None
 
 
+# --- very long texts and clashing names
+
+
+def test_long_texts(spark):
+    """A text of some MB goes through every operator that reads texts."""
+    long = " ".join(f"w{i * 7919 % 5000}" for i in range(300_000))
+    rows = [(1, long), (2, long), (3, "short text here"), (4, "x" * 2_000_000), (5, long[: len(long) // 2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(df).collect()}
+    assert got[1] == got[2] and got[1][1] == 1 and got[3][1] == 3
+    prints = {r["doc_id"]: r["fingerprint"] for r in chunks.fingerprints(df).collect()}
+    assert prints[1] == prints[2] and chunks.containment(prints[5], prints[1]) > 0.99
+    assert {r["doc_id"] for r in wide_simhash.drop_similar(df).collect()} == {1, 3, 4}  # 5 repeats the shingles of 1
+    path = public_tokenizers.path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    for r in bpe.encode_texts(df.where("doc_id in (1, 4)"), path).collect():
+        assert np.frombuffer(r["ids"], "<u4").tolist() == library.encode(r["text"], add_special_tokens=False).ids
+    hits = {r["doc_id"]: r["n_hit"] for r in decontaminate.find_contamination(df, df.where("doc_id = 5").select(F.col("doc_id").alias("item_id"), "text")).collect()}
+    assert hits[1] >= 149_000 and hits[3] == hits[4] == 0
+    shards = sharding.assign_shards(df, "doc_id", 3).collect()
+    assert len(shards) == 5
+
+
+def test_names_that_clash(spark, docs):
+    """Columns named as inner or made ones are not looked at, or are dropped as the docstrings say."""
+    inner = ("id", "fp", "key", "node", "set", "print", "keys", "a", "b", "of", "kept_id", "goes", "stays", "hash", "size", "part", "share", "ids", "host", "path", "evidence", "text_hash")
+    more = docs.withColumns({c: F.lit("clash") for c in inner})
+    same = lambda f: sorted(map(str, f(docs).collect())) == sorted(map(str, f(more).collect()))
+    assert same(simhash.near_duplicates) and same(wide_simhash.similar_documents) and same(chunks.edited_and_next)
+    known = spark.createDataFrame([(r["doc_id"], k % 2, 0) for k, r in enumerate(docs.collect())], "doc_id long, quality int, toxic int")
+    assert same(lambda d: quality.classify(d, known).select("doc_id", "p_bad"))
+    for keep in (simhash.drop_near_duplicates, wide_simhash.drop_similar, lambda d: quality.reject_bad(d, known)):
+        assert sorted(map(str, keep(more).select(*docs.columns).collect())) == sorted(map(str, keep(docs).collect())) and keep(more).columns == more.columns
+
+
+def test_cut_when_tasks_come_again(spark, tmp_path):
+    """A task that fails once and is run again leaves its rows once; empty tables keep their columns."""
+    mark = str(tmp_path / "failed")
+
+    def once(batches):
+        import os
+
+        from pyspark import TaskContext
+
+        yield from batches
+        if TaskContext.get().partitionId() == 1 and not os.path.exists(mark):
+            open(mark, "w").close()
+            raise RuntimeError("lost")
+
+    from pyspark.sql import SparkSession
+
+    df = spark.range(100, numPartitions=4)
+    try:
+        kept = runtime.cut(df, once, "id long")
+    except Exception:  # noqa: BLE001  a local master does not run a task again, so the whole cut is
+        kept = runtime.cut(df, once, "id long")
+    assert sorted(r["id"] for r in kept.collect()) == list(range(100))
+    none = runtime.cut(df.where("id < 0"))
+    assert none.columns == ["id"] and none.count() == 0
+    runtime.release(none)
+    assert SparkSession.getActiveSession() is not None
+
+
 # --- shared helpers
 
 
