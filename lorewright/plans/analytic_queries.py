@@ -54,11 +54,11 @@ def grouping_sets_orders(spark, sf_dir):
 
 @query("select l_returnflag, true as parts_near, true as orders_near, quantile_disc(l_quantity, 0.5) as median from lineitem group by 1")
 def approx_distinct(spark, sf_dir):
-    """Approximate counts within a twentieth of the exact ones, and an exact median."""
-    near = lambda a, b: F.abs(a - b) <= F.greatest(F.lit(2), b * 0.05)
+    """Approximate counts within three standard errors of the exact ones, and an exact median."""
+    near = lambda a, b, error: F.abs(a - b) <= F.greatest(F.lit(2), b * 3 * error)
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
-        near(F.approx_count_distinct("l_partkey", 0.01), F.count_distinct("l_partkey")).alias("parts_near"),
-        near(F.hll_sketch_estimate(F.hll_sketch_agg("l_orderkey", 14)), F.count_distinct("l_orderkey")).alias("orders_near"),
+        near(F.approx_count_distinct("l_partkey"), F.count_distinct("l_partkey"), 0.05).alias("parts_near"),
+        near(F.hll_sketch_estimate(F.hll_sketch_agg("l_orderkey", 14)), F.count_distinct("l_orderkey"), 0.01).alias("orders_near"),
         F.expr("percentile_disc(0.5) within group (order by l_quantity)").alias("median"),
     )
 
