@@ -99,6 +99,10 @@ class Engine:
         """Add events (``source_path``, ``seq``, ``event``) to the queue's log."""
         events.select("source_path", F.col("seq").cast("long").alias("seq"), "event").write.mode("append").parquet(self._at("queue"))
 
+    def trigger(self, path: str, seq: int) -> None:
+        """Put one material back into the queue."""
+        self.enqueue(self.spark.createDataFrame([(path.replace("\\", "/"), seq, "enqueue")], "source_path string, seq long, event string"))
+
     def tasks(self) -> DataFrame:
         return state.task_states(sinks.read_state(self.spark, self._at("queue"), "source_path string, seq long, event string"))
 
@@ -153,6 +157,13 @@ class Engine:
         sinks.replace_state(state.without(self.entries(), paths, "path"), self._at("entries"))
         self.remove(paths.select(F.col("path").alias("rel_path")))
 
+    def forget(self, ids: DataFrame) -> DataFrame:
+        """Delete the pages that come from any of the materials (``id``); their paths."""
+        sourced = self.entries().select("path", parsers.header_list("sources")(F.col("content")).alias("sources"))
+        gone = cut(state.entries_of(sourced, ids.select(F.col("id").alias("source"))).select("path"))
+        self.delete(gone)
+        return gone
+
     def _with_slugs(self) -> DataFrame:
         return self.entries().select("path", X.base_name(X.strip_suffix(F.col("path"))).alias("slug"), "content")
 

@@ -92,3 +92,12 @@ def chunks(text: str, target: int = 1200, overlap_chars: int = 100) -> list[dict
         {"id": f"chunk-{n}", "index": n, "total": len(mains), "heading_path": blocks[group[0]][0], "overlap_before": before[n - 1], "main": main}
         for n, (group, main) in enumerate(zip(groups, mains, strict=True), 1)
     ]
+
+
+def token_windows(text: str, size: int = 1200, overlap_tokens: int = 100) -> list[dict]:
+    """Windows of so many tokens (words and other marks), each with the last ones of the one before it."""
+    if not 0 <= overlap_tokens < size:
+        raise ValueError("the overlap must be smaller than the window")
+    spans = [m.span() for m in re.finditer(r"\w+|[^\w\s]", text)]
+    starts = range(0, max(1, len(spans) - overlap_tokens), size - overlap_tokens) if spans else ()
+    return [{"index": n, "tokens": len(spans[at : at + size]), "main": text[spans[at][0] : spans[min(at + size, len(spans)) - 1][1]]} for n, at in enumerate(starts, 1)]

@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from ..functions import text as X
 
 DIMENSIONS, SNIPPET = 64, 800
+# Characters that are shown of a context, in a list and of an error.
+SNIPPETS = {"context": SNIPPET, "list": 140, "error": 500}
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -135,6 +137,10 @@ def fused(*ranked: DataFrame, k: int = 60) -> DataFrame:
     return out.groupBy("chunk").agg(F.sum("s").alias("score"))
 
 
+def snippet(c: Column, kind: str = "context") -> Column:
+    return F.left(c, F.lit(SNIPPETS[kind]))
+
+
 MODES = ("naive", "local", "global", "hybrid", "mix")
 
 

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text as X
@@ -89,6 +90,26 @@ def new_contents(stream: DataFrame, text: str = "value") -> DataFrame:
     return stream.withColumn("hash", X.content_hash(X.strip(F.col(text)))).dropDuplicates(["hash"])
 
 
+class Progress(StreamingQueryListener):
+    """Tells ``report(name, batch, rows)`` of each batch, and ``failed(name, error)`` of a stream that ends by one."""
+
+    def __init__(self, report: Callable[[str, int, int], None], failed: Callable[[str, str], None] = lambda name, error: None):
+        self.report, self.failed, self.names = report, failed, {}
+
+    def onQueryStarted(self, event) -> None:
+        self.names[str(event.id)] = event.name or str(event.id)
+
+    def onQueryProgress(self, event) -> None:
+        self.report(event.progress.name or str(event.progress.id), event.progress.batchId, event.progress.numInputRows)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if event.exception:
+            self.failed(self.names.get(str(event.id), str(event.id)), event.exception)
+
+
 def once(sink: Callable[[DataFrame, int], None], done: str) -> Callable[[DataFrame, int], None]:
     """A sink that takes each batch once, also if it comes again after a failure.
 

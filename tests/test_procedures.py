@@ -90,6 +90,10 @@ def test_engine_from_materials_to_answers(spark, tmp_path):
         assert first in hit["contexts"][0]["file_path"] and hit["mode"] == mode
     with pytest.raises(ValueError):
         engine.search("x", mode="odd")
+    engine.trigger("in\\m9", 9)
+    assert engine.tasks().where("source_path = 'in/m9' and status = 'pending'").count() == 1
+    cafe = engine.read("knowledge/concepts/café.md").select(F.explode(parsers.header_list("sources")(F.col("content"))).alias("id"))
+    assert [r["path"] for r in engine.forget(cafe).collect()] == ["knowledge/concepts/café.md"] and engine.read("knowledge/concepts/café.md").count() == 0
     engine.delete(spark.createDataFrame([("knowledge/concepts/lake.md",)], "path string"))
     assert engine.read("knowledge/concepts/lake.md").count() == 0
 
@@ -193,6 +197,28 @@ def test_files_and_sources(spark, tmp_path):
     assert [r["path"] for r in readers.settled(files, 100.0).collect()] == ["b"]
 
 
+def test_token_windows_and_progress(spark):
+    text = " ".join(f"w{i}," for i in range(50))
+    made = chunking.token_windows(text, 30, 5)
+    assert [c["tokens"] for c in made] == [30, 30, 30, 25] and made[0]["main"].startswith("w0,") and made[-1]["main"].endswith("w49,")
+    assert chunking.token_windows("", 30, 5) == [] and len(chunking.token_windows("one", 30, 5)) == 1
+    with pytest.raises(ValueError):
+        chunking.token_windows("a", 5, 5)
+    assert spark.range(1).select(F.length(retrieval.snippet(F.lit("x" * 900), "list")).alias("n")).first()["n"] == 140
+    seen = []
+    listener = jobs.Progress(lambda name, batch, rows: seen.append((batch, rows)))
+    spark.streams.addListener(listener)
+    try:
+        jobs.run_to_end(spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 7).option("numPartitions", 1).load().limit(7))
+        for _ in range(50):
+            if seen:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert seen and seen[0][0] == 0
+
+
 def test_services():
     assert service.endpoint("https://h/v1/") == service.endpoint("https://h/v1/chat/completions") == "https://h/v1/chat/completions"
     assert service.text_of(["a", {"text": "b"}, {"x": 1}]) == "ab" and service.text_of(None) == ""
