@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunks, decontaminate, quality, runtime, sharding, simhash, sstable, substring, toolcalls, warc
+from . import bpe, chunks, decontaminate, quality, ranked, runtime, sharding, simhash, sstable, substring, toolcalls, warc
 
 END_ID = 2
 SHARDS = 40
@@ -155,6 +155,12 @@ def op10_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(runtime.documents(spark, sf_dir), words_each=3, bits=3)
 
 
+def op11_max_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 documents with the highest scores for every benchmark item."""
+    index = ranked.build_index(runtime.documents(spark, sf_dir).select("doc_id", "text"))
+    return ranked.search(index, runtime.documents(spark, sf_dir, "benchmark"), k=20)
+
+
 OP4_SQL = r"""
 with w as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
 win as (select doc_id, i, array_to_string(ws[i:i + 12], ' ') as k from w, unnest(range(1, len(ws) - 11)) as t(i)),
@@ -178,5 +184,20 @@ select doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit,
 from d left join hit using (doc_id) left join its using (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_warc_capture_index, op2_content_chunks, op3_tool_call_linking, op4_substring_dedup, op5_benchmark_decontamination, op6_sorted_string_tables, op7_prefix_bpe, op8_hierarchical_quality, op9_jump_sharding, op10_simhash_pigeonring)}
-ORACLES: dict[str, str] = {op3_tool_call_linking.__name__: OP3_SQL, op4_substring_dedup.__name__: OP4_SQL, op5_benchmark_decontamination.__name__: OP5_SQL}
+_TERMS_SQL = f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{ranked.TERM_PATTERN}')"
+OP11_SQL = f"""
+with d as (select doc_id, {_TERMS_SQL} as ts from documents),
+s as (select cast(count(*) as bigint) as docs, cast(sum(len(ts)) as bigint) as terms from d where len(ts) > 0),
+i as (select item_id, term, count(*) as repeats from (select item_id, unnest({_TERMS_SQL}) as term from benchmark) group by all),
+p as (select doc_id, n, term, count(*) as tf from (select doc_id, len(ts) as n, unnest(ts) as term from d) where term in (select term from i) group by all),
+w as (select term, cast(floor(1000 * ln((2.0::double * docs + 2) / (2 * df + 1))) as bigint) as w from (select term, count(*) as df from p group by term), s),
+r as (
+  select item_id, doc_id, cast(sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms)))) as bigint) as score
+  from p join w using (term) join i using (term), s group by item_id, doc_id
+)
+select item_id, cast(rank as integer) as rank, doc_id, score
+from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from r where score > 0) where rank <= 20
+"""
+
+QUERIES = {f.__name__: f for f in (op1_warc_capture_index, op2_content_chunks, op3_tool_call_linking, op4_substring_dedup, op5_benchmark_decontamination, op6_sorted_string_tables, op7_prefix_bpe, op8_hierarchical_quality, op9_jump_sharding, op10_simhash_pigeonring, op11_max_tree_search)}
+ORACLES: dict[str, str] = {op3_tool_call_linking.__name__: OP3_SQL, op4_substring_dedup.__name__: OP4_SQL, op5_benchmark_decontamination.__name__: OP5_SQL, op11_max_tree_search.__name__: OP11_SQL}
