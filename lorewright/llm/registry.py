@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunks, decontaminate, quality, ranked, runtime, sharding, simhash, sstable, substring, toolcalls, warc
+from . import bpe, chunks, decontaminate, packing, quality, ranked, runtime, sharding, simhash, sstable, substring, toolcalls, warc
 
-END_ID = 2
+END_ID, PACK_END_ID = 2, 1
 SHARDS = 40
 WINDOW = 13
 
@@ -161,6 +161,12 @@ def op11_max_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(index, runtime.documents(spark, sf_dir, "benchmark"), k=20)
 
 
+def op12_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the ids of every text lie in sequences of 2048."""
+    out = packing.pack(runtime.documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), PACK_END_ID, packing.SEQUENCE)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 OP4_SQL = r"""
 with w as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
 win as (select doc_id, i, array_to_string(ws[i:i + 12], ' ') as k from w, unnest(range(1, len(ws) - 11)) as t(i)),
@@ -199,5 +205,5 @@ select item_id, cast(rank as integer) as rank, doc_id, score
 from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from r where score > 0) where rank <= 20
 """
 
-QUERIES = {f.__name__: f for f in (op1_warc_capture_index, op2_content_chunks, op3_tool_call_linking, op4_substring_dedup, op5_benchmark_decontamination, op6_sorted_string_tables, op7_prefix_bpe, op8_hierarchical_quality, op9_jump_sharding, op10_simhash_pigeonring, op11_max_tree_search)}
+QUERIES = {f.__name__: f for f in (op1_warc_capture_index, op2_content_chunks, op3_tool_call_linking, op4_substring_dedup, op5_benchmark_decontamination, op6_sorted_string_tables, op7_prefix_bpe, op8_hierarchical_quality, op9_jump_sharding, op10_simhash_pigeonring, op11_max_tree_search, op12_cutting_stock)}
 ORACLES: dict[str, str] = {op3_tool_call_linking.__name__: OP3_SQL, op4_substring_dedup.__name__: OP4_SQL, op5_benchmark_decontamination.__name__: OP5_SQL, op11_max_tree_search.__name__: OP11_SQL}
