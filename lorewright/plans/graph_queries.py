@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -212,7 +210,8 @@ def cited_answer(spark, sf_dir):
 
 
 def _events(spark, sf_dir):
-    return jobs.event_stream(spark, sf_dir + "/events.parquet" if os.path.isdir(f"{sf_dir}/events.parquet") else f"{sf_dir}/events.parquet*")
+    # A pattern, as a stream takes a folder or one, and the table may be either a folder or a file.
+    return jobs.event_stream(spark, f"{sf_dir}/events.parquet*")
 
 
 @query("select user_id, event_type, count(*) as copies from (select distinct user_id, event_type from events) group by all")

@@ -6,6 +6,7 @@ import atexit
 import re
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,12 +41,22 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def cut_loop(df: DataFrame) -> DataFrame:
-    """As ``cut``, for tables that loops join again and again.
+    """As ``cut``, for tables that loops join again and again: written to the shared folder and read.
 
     A checkpoint keeps its plan's size estimate, and joins multiply estimates, so
-    after some rounds the numbers would overflow.  The rows are given to a new
-    frame, which has none.
+    after some rounds the numbers would overflow.  Of a written table its files'
+    sizes are known.  Tables go when the driver ends.
     """
-    kept = cut(df)
     spark = df.sparkSession
-    return DataFrame(spark._jsparkSession.createDataFrame(kept._jdf.javaRDD(), kept._jdf.schema()), spark)
+    folder = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    atexit.register(_removed, spark, folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def _removed(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001  the session is gone, and with it who could remove it
+        pass
