@@ -251,7 +251,7 @@ def place(tokens: DataFrame, room: int = SEQUENCE, classes: int = CLASSES) -> Da
 
     rests = docs.where("length > 0").select("row", "whole", "length", F.get(runtime.literal_array(kind_of), F.col("length")).cast("int").alias("class"))
     ranked = runtime.cut(_before(rests, ["class"], F.lit(1), groups))
-    first = np.append(0, np.cumsum(plan.times)).tolist()
+    first = [0, *np.cumsum(plan.times, dtype=np.int64).tolist()]
     taken, spans = [0] * max(1, len(plan.edges)), []
     for pattern, k, each in plan.uses:
         until = taken[k] + each * plan.times[pattern]
