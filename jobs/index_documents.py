@@ -67,7 +67,8 @@ def run(spark: SparkSession, documents: str, index: str, options: dict | None =
         rows = made.select("doc_id", "sha256", "n_chunks", F.col("w.index").alias("chunk"), F.col("w.tokens").alias("tokens"), F.col("w.main").alias("content"), "bucket")
         kept = state.without(known.where(F.col("bucket").isin(touched)), todo, "doc_id")
         marks = spark.createDataFrame([(b,) for b in touched], "bucket int").select(*(F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in SCHEMA.split(", ")[:-1])), "bucket")
-        out = kept.unionByName(rows).unionByName(marks).repartition(len(touched), "bucket")
+        # Of like sizes: a large bucket becomes several files, small ones share a task.
+        out = kept.unionByName(rows).unionByName(marks).hint("rebalance", F.col("bucket"))
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(index)
         wrote = output(spark, index).where(F.col("bucket").isin(touched)).agg(F.count("chunk")).first()[0]
         counts |= {"chunks": wrote, "buckets": len(touched)}
