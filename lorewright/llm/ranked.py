@@ -119,8 +119,18 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Ind
     """
     runtime.integer_key(docs, key)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    each = rows.select(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(TERM_PATTERN)).cast("long").alias("n"))
-    said = each.agg(F.count_if(F.col("n") > 0).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
+    in_term = textops.byte_class(bytes(b for b in range(256) if _TERM.match(bytes([b]))))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = found = 0
+        for batch in batches:
+            for piece in textops.split_chunks(batch, "text"):
+                each = np.diff(textops.word_spans(*textops.utf8(piece.column("text")), in_term)[2])
+                held, found = held + int(np.count_nonzero(each)), found + int(each.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([held], pa.int64()), pa.array([found], pa.int64())], names=["docs", "terms"])
+
+    totals = runtime.spread(rows).select("text").mapInArrow(textops.lean(counted), "docs long, terms long")
+    said = totals.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("docs", "terms"))).first()
     n_docs, n_terms = said["docs"], said["terms"]
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
