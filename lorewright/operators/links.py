@@ -6,17 +6,14 @@ A page row has ``idx`` (its order), ``slug``, ``name`` (path below the root) and
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .overlaps import top_overlaps
 
 CANDIDATES = 64
-#: Rows of each side that meet in one task.
-BLOCK_ROWS = 8192
 BROKEN_SCORE, RELATED_SCORE, FOLDER_BONUS, SHORT_TOKEN = 0.74, 0.08, 0.08, 0.35
 
 
@@ -62,55 +59,6 @@ def _best(scored: DataFrame, by: str, order: list[Column]) -> DataFrame:
     return scored.withColumn("__r", F.row_number().over(W.partitionBy(by).orderBy(*order))).where("__r = 1").drop("__r")
 
 
-def top_overlaps(left: DataFrame, right: DataFrame, k: int = CANDIDATES, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(``id``, ``idx``, ``weight``, ``rank``): the k rows of ``right`` that share most with each of ``left``.
-
-    ``left`` has ``id`` and ``keys``, ``right`` has ``idx`` and ``keys``: arrays of
-    (``key`` long, ``w`` int), in which a key may come again.  A shared key weighs
-    what it does on the right, as often as it stands there; equal weights rank by
-    ``idx``.  Nothing in common is no candidate.
-
-    Both sides are dealt to groups of about ``block_rows``; each two groups meet
-    once and give k rows for each of ``left``.  So what moves is each side once a
-    group of the other and the kept rows; pairs are never rows.
-    """
-    n_l, n_r = (max(1, -(-x.count() // block_rows)) for x in (left, right))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    group = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    a = left.select("id", F.lit(None).cast("long").alias("idx"), F.col("keys.key").alias("key"), F.col("keys.w").alias("w"), group("id", n_l).alias("i"), every(n_r).alias("j"))
-    b = right.select(F.lit(None).cast(left.schema["id"].dataType).alias("id"), "idx", F.col("keys.key").alias("key"), F.col("keys.w").alias("w"), every(n_l).alias("i"), group("idx", n_r).alias("j"))
-
-    def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        mine, theirs = rows[rows["idx"].isna()], rows[rows["idx"].notna()].sort_values("idx")
-        names, found, weights = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        if not len(theirs):
-            mine = mine[:0]
-            theirs = pd.DataFrame({"idx": [0], "key": [[]], "w": [[]]})
-        idx = theirs["idx"].to_numpy(np.int64)
-        key, weight = (np.concatenate([np.asarray(x, np.int64) for x in theirs[c]]) for c in ("key", "w"))
-        order = np.argsort(key, kind="stable")
-        key, weight, at = key[order], weight[order], np.repeat(np.arange(len(idx)), [len(x) for x in theirs["key"]])[order]
-        for name, keys in zip(mine["id"].tolist(), mine["key"], strict=True):
-            keys = np.asarray(keys, np.int64)
-            spans = [np.arange(x, y) for x, y in zip(np.searchsorted(key, keys), np.searchsorted(key, keys, side="right"), strict=True) if x < y]
-            if not spans:
-                continue
-            met = np.concatenate(spans)
-            total = np.bincount(at[met], weight[met], len(idx)).astype(np.int64)
-            least = max(1, np.partition(total, -k)[-k] if len(total) > k else 1)
-            some = np.flatnonzero(total >= least)
-            best = some[np.argsort(-total[some], kind="stable")][:k]
-            names += [name] * len(best)
-            found.append(idx[best])
-            weights.append(total[best])
-        # As objects: a column of strings in several pieces cannot be sent.
-        return pd.DataFrame({"id": pd.Series(names, dtype=object), "idx": np.concatenate(found), "weight": np.concatenate(weights)})
-
-    kind = left.schema["id"].dataType.simpleString()
-    best = a.unionByName(b).groupBy("i", "j").applyInPandas(meet, f"id {kind}, idx long, weight long")
-    return best.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("weight"), "idx"))).where(F.col("rank") <= k)
-
-
 def _weighed(keys: Column, weight=None) -> Column:
     return F.transform(keys, lambda x: F.struct(F.xxhash64(x).alias("key"), (F.lit(1) if weight is None else weight(x)).cast("int").alias("w")))
 
@@ -124,7 +72,7 @@ def suggest_for_broken(broken: DataFrame, pages: DataFrame, least: float = BROKE
     """
     left = broken.select("target").distinct().select(F.col("target").alias("id"), _weighed(X.bigrams(F.col("target"))).alias("keys"))
     right = pages.select("idx", _weighed(F.concat(*(X.bigrams(F.coalesce(c, F.lit(""))) for c in (F.col("slug"), F.col("name"), F.col("title"))))).alias("keys"))
-    top = top_overlaps(left, right).select(F.col("id").alias("target"), "idx", "rank")
+    top = top_overlaps(left, right, CANDIDATES).select(F.col("id").alias("target"), "idx", "rank")
     met = top.join(pages, "idx")
     scored = met.withColumn("score", F.greatest(*(X.similarity(F.col("target"), F.col(c)) for c in ("slug", "name", "title"))))
     best = _best(scored, "target", [F.desc("score"), F.col("rank")])

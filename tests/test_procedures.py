@@ -98,22 +98,6 @@ def test_engine_from_materials_to_answers(spark, tmp_path):
     assert engine.read("knowledge/concepts/lake.md").count() == 0
 
 
-def test_top_overlaps(spark):
-    pick = random.Random(4)
-    left = {i: [pick.randrange(60) for _ in range(pick.randint(0, 9))] for i in range(40)}
-    right = {i: [pick.randrange(60) for _ in range(pick.randint(0, 12))] for i in range(200)}
-    keyed = lambda d, name: spark.createDataFrame([(k, [(x, 1 + x % 3) for x in (set(v) if name == "id" else v)]) for k, v in d.items()], f"{name} long, keys array<struct<key:long,w:int>>")
-    want = []
-    for a, xs in left.items():
-        total = {b: sum(1 + y % 3 for y in ys if y in set(xs)) for b, ys in right.items()}
-        best = sorted((-n, b) for b, n in total.items() if n)[:5]
-        want += [(a, b, -n, r + 1) for r, (n, b) in enumerate(best)]
-    for block in (7, 1000):
-        got = links.top_overlaps(keyed(left, "id"), keyed(right, "idx"), 5, block)
-        assert sorted(map(tuple, got.collect())) == sorted(want)
-    assert links.top_overlaps(keyed({}, "id"), keyed(right, "idx"), 5).count() == 0 == links.top_overlaps(keyed(left, "id"), keyed({}, "idx"), 5).count()
-
-
 def test_titles_of_one_character(spark):
     q = spark.createDataFrame([("ab",), ("b",), ("zz",), (None,)], "query string")
     t = spark.createDataFrame([("b",), ("B",), ("xyz b",), ("q",), (None,)], "title string")
