@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import similar
 from .overlaps import top_overlaps
 
 CANDIDATES = 64
@@ -109,26 +110,8 @@ def suggest_related(pages: DataFrame, tokens: DataFrame, linked: DataFrame | Non
 
 
 def similar_titles(queries: DataFrame, titles: DataFrame, least: float = BROKEN_SCORE, limit: int = CANDIDATES) -> DataFrame:
-    """(``query``, ``title``, ``score``, ``rank``): the titles most like a query.
-
-    Two strings with a score this high share a character pair, or one of them is
-    a single character that the other contains; both are keys, so nothing is
-    missed and no cross join is needed.
-    """
-    distinct = titles.select("title").distinct()
-
-    def keyed(c: Column, own: str, other: str) -> Column:
-        chars = F.array_distinct(F.filter(F.split(X.normal_target(c), ""), lambda x: x != ""))
-        mark = lambda name, xs: F.transform(xs, lambda x: F.concat(F.lit(name), x))
-        alone = F.when(F.size(chars) == 1, mark(own, chars)).otherwise(F.array().cast("array<string>"))
-        return F.explode(F.concat(mark("2", X.bigrams(c)), alone, mark(other, chars)))
-
-    left = queries.select("query").distinct().select("query", keyed(F.col("query"), "q", "t").alias("g"))
-    right = distinct.select("title", keyed(F.col("title"), "t", "q").alias("g"))
-    pairs = left.join(right, "g").select("query", "title").distinct()
-    scored = pairs.withColumn("score", X.similarity(F.col("query"), F.col("title"))).where(F.col("score") >= least)
-    ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "title")))
-    return ranked.where(F.col("rank") <= limit)
+    """The titles most like a query; see ``similar``."""
+    return similar.similar_titles(queries, titles, least, limit)
 
 
 def canonical_keys(slugs: DataFrame) -> DataFrame:
