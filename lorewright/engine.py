@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from .plans.lineage import cut
 from .sources import readers, sinks
 from .streaming import jobs
 
+_QUEUE = "source_path string, seq long, event string, at timestamp"
 _CACHE = "source_path string, hash string, files_written array<string>"
 
 
@@ -96,15 +98,16 @@ class Engine:
 
     # queue
     def enqueue(self, events: DataFrame) -> None:
-        """Add events (``source_path``, ``seq``, ``event``) to the queue's log."""
-        events.select("source_path", F.col("seq").cast("long").alias("seq"), "event").write.mode("append").parquet(self._at("queue"))
+        """Add events (``source_path``, ``seq``, ``event``, and ``at`` if known) to the queue's log."""
+        at = (F.col("at") if "at" in events.columns else F.lit(None)).cast("timestamp").alias("at")
+        events.select("source_path", F.col("seq").cast("long").alias("seq"), "event", at).write.mode("append").parquet(self._at("queue"))
 
     def trigger(self, path: str, seq: int) -> None:
         """Put one material back into the queue."""
         self.enqueue(self.spark.createDataFrame([(path.replace("\\", "/"), seq, "enqueue")], "source_path string, seq long, event string"))
 
     def tasks(self) -> DataFrame:
-        return state.task_states(sinks.read_state(self.spark, self._at("queue"), "source_path string, seq long, event string"))
+        return state.task_states(sinks.read_state(self.spark, self._at("queue"), _QUEUE))
 
     def manager_status(self) -> DataFrame:
         """One row: counts of the queue, uncompiled materials, open reviews."""
@@ -117,9 +120,45 @@ class Engine:
         """All pages: ``path`` (below the root) and ``content``."""
         return sinks.read_state(self.spark, self._at("entries"), "path string, content string")
 
+    def work(self, today: str, now: datetime, limit: int = 100, **options) -> dict[str, int]:
+        """Take the oldest pending tasks from the queue, compile their materials, and tell the queue what became of each.
+
+        Tasks are materials by ``id``.  One that gave a page is complete, others
+        failed; an error that speaks of a usage limit is one, and for 15 minutes of
+        ``now`` after it nothing is taken.  What an earlier run that did not end has
+        taken is taken back first.  Gives how many tasks had which event.
+        """
+        log = sinks.read_state(self.spark, self._at("queue"), _QUEUE)
+        limits = log.where("event = 'limit' and at is not null").select("at")
+        if not state.pauses(limits).where((F.lit(now) >= F.col("start")) & (F.lit(now) < F.col("end"))).isEmpty():
+            return {"paused": 1}
+        seq = (log.agg(F.max("seq")).first()[0] or 0) + 1
+
+        def tell(tasks: DataFrame, step: int) -> None:
+            self.enqueue(tasks.withColumn("seq", F.lit(seq + step)).withColumn("at", F.lit(now)))
+
+        tasks = self.tasks()
+        tell(cut(tasks.where("status = 'processing'").select("source_path", F.lit("recover").alias("event"))), 0)
+        first = log.where("event = 'enqueue'").groupBy(F.col("source_path").alias("id")).agg(F.min("seq").alias("added_at"))
+        waiting = self.tasks().join(first, F.col("source_path") == F.col("id"))
+        # As many as one run takes, at most.
+        taken = cut(state.next_tasks(waiting, self.tasks().where("status = 'processing'"), limit).select("source_path"))
+        tell(taken.withColumn("event", F.lit("take")), 1)
+        todo = self.materials().join(taken.select(F.col("source_path").alias("id")), "id", "left_semi")
+        out = self._compiled(todo, today, **options)
+        wrote = out.entries.select("source_path", F.lit(True).alias("wrote")).distinct()
+        errors = out.rejected.where(F.col("path").isNull()).groupBy("source_path").agg(F.max(X.usage_limited(F.col("reason"))).alias("limited"))
+        cached = sinks.read_state(self.spark, self._at("cache"), _CACHE).select("source_path", F.lit(True).alias("known")).distinct()
+        met = taken.join(wrote, "source_path", "left").join(errors, "source_path", "left").join(cached, "source_path", "left")
+        ended = cut(met.select("source_path", F.when(F.coalesce("wrote", "known", F.lit(False)), F.lit("complete")).when(F.col("limited"), F.lit("limit")).otherwise(F.lit("fail")).alias("event")))
+        tell(ended, 2)
+        return {r["event"]: r["count"] for r in ended.groupBy("event").count().collect()}
+
     def compile(self, today: str, repair: Callable[[str], str] | None = None, **options) -> procedures.Compiled:
         """Compile what is not compiled yet, and keep pages, reviews, cache, log and flags."""
-        todo = self.uncompiled()
+        return self._compiled(self.uncompiled(), today, repair, **options)
+
+    def _compiled(self, todo: DataFrame, today: str, repair: Callable[[str], str] | None = None, **options) -> procedures.Compiled:
         known = procedures.summaries(self.entries()).select("path", "slug", "title", "category")
         cache = sinks.read_state(self.spark, self._at("cache"), _CACHE)
         out = procedures.compile_materials(todo.select(F.col("id").alias("source_path"), "content"), known, cache, today, self.generate, repair, **options)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import retrieval, state
 from ..session import table
+from ..streaming import jobs, queue
 from .registry import query
 
 # Which queue event an event type of the table stands for.
@@ -31,6 +32,37 @@ t as (select source_path, status, retry_count, n as n_events from s qualify n =
 """
 
 
+#: Queues of five tasks each, all states in two lists; a usage limit puts all work back and nothing is taken for 15 minutes.
+_QUEUE = f"""with recursive e as (select 'q' || user_id as queue, 1 + json_extract_string(props, '$.k')::int % 5 as p, {_EVENT} as event, epoch_us(ts) // 1000 as ms, row_number() over (partition by user_id order by epoch_us(ts) // 1000, event_id) as n from events),
+s as (select distinct queue, ['none', 'none', 'none', 'none', 'none'] as st, [0, 0, 0, 0, 0] as rt, [false, false, false, false, false] as seen, cast(null as bigint) as until, cast(0 as bigint) as n from e
+  union all
+  select queue,
+    case when event = 'take' and paused then st when event = 'limit' and st[p] = 'processing' then list_transform(st, lambda x: case when x = 'processing' then 'pending' else x end)
+      else list_transform(st, lambda x, i: case when i <> p then x
+        when event = 'enqueue' and x not in ('pending', 'processing') then 'pending' when event = 'take' and x = 'pending' then 'processing' when event = 'complete' and x = 'processing' then 'done'
+        when event = 'fail' and x = 'processing' then case when rt[p] + 1 >= 3 then 'failed' else 'pending' end when event = 'cancel' and x in ('pending', 'processing') then 'cancelled'
+        when event = 'retry' and x in ('failed', 'cancelled') then 'pending' when event = 'remove' and x <> 'processing' then 'none' when event = 'recover' and x = 'processing' then 'pending' else x end) end,
+    list_transform(rt, lambda x, i: case when i <> p then x when event = 'enqueue' and st[p] not in ('pending', 'processing') or event = 'retry' and st[p] in ('failed', 'cancelled') or event = 'remove' and st[p] <> 'processing' then 0 when event = 'fail' and st[p] = 'processing' then x + 1 else x end),
+    list_transform(seen, lambda x, i: x or i = p and not (event = 'take' and paused)),
+    case when event = 'limit' and st[p] = 'processing' then ms + 900000 when paused then until end, m
+  from (select s.queue, s.st, s.rt, s.seen, s.until, e.p, e.event, e.ms, e.n as m, coalesce(e.ms < s.until, false) as paused from s join e on e.queue = s.queue and e.n = s.n + 1)),
+z as (select * from s qualify n = max(n) over (partition by queue))
+select queue, 'doc-' || i as source_path, st[i] as status, cast(rt[i] as bigint) as retry_count from (select queue, st, rt, seen, unnest([1, 2, 3, 4, 5]) as i from z) where seen[i]
+"""
+
+
+@query(_QUEUE)
+def stream_queue_runner(spark, sf_dir):
+    """Final states of tasks in queues that usage limits pause and timers resume."""
+    events = jobs.event_stream(spark, f"{sf_dir}/events.parquet*")
+    rows = events.select(
+        F.concat(F.lit("q"), F.col("user_id").cast("string")).alias("queue"), F.col("event_id").alias("seq"), "at",
+        F.concat(F.lit("doc-"), (F.get_json_object("props", "$.k").cast("int") % 5 + 1).cast("string")).alias("source_path"), F.expr(_EVENT).alias("event"),
+    )
+    with queue.rocksdb_state(spark):
+        return queue.final_states(jobs.run_to_end(queue.run(rows), "update"))
+
+
 @query(_FOLD + "select * from t")
 def task_latest_state(spark, sf_dir):
     return state.task_states(task_events(spark, sf_dir))
