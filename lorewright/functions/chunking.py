@@ -36,12 +36,21 @@ def sentences(text: str) -> list[str]:
 
 
 def split_long(block: str, target: int) -> list[str]:
-    """A block that is much longer than the target, by sentences; longer sentences by length."""
+    """A block that is much longer than the target, by sentences.
+
+    Sentences are gathered to the target; one that is longer by itself is cut by
+    length, and what is left of it stands alone.
+    """
     if len(block) <= SLACK * target:
         return [block]
-    pieces = [s[i : i + target] for s in sentences(block) for i in range(0, len(s), target)]
-    made = ("".join(pieces[n] for n in group).strip() for group in packed(map(len, pieces), target))
-    return [x for x in made if x]
+    made: list[str] = []
+    for is_long, group in groupby(sentences(block), lambda s: len(s) > target):
+        run = list(group)
+        if is_long:
+            made += [s[i : i + target] for s in run for i in range(0, len(s), target)]
+        else:
+            made += ["".join(run[n] for n in part) for part in packed(map(len, run), target)]
+    return [x for x in map(str.strip, made) if x]
 
 
 def semantic_blocks(text: str, target: int) -> list[tuple[str, str]]:
@@ -93,11 +102,3 @@ def chunks(text: str, target: int = 1200, overlap_chars: int = 100) -> list[dict
         for n, (group, main) in enumerate(zip(groups, mains, strict=True), 1)
     ]
 
-
-def token_windows(text: str, size: int = 1200, overlap_tokens: int = 100) -> list[dict]:
-    """Windows of so many tokens (words and other marks), each with the last ones of the one before it."""
-    if not 0 <= overlap_tokens < size:
-        raise ValueError("the overlap must be smaller than the window")
-    spans = [m.span() for m in re.finditer(r"\w+|[^\w\s]", text)]
-    starts = range(0, max(1, len(spans) - overlap_tokens), size - overlap_tokens) if spans else ()
-    return [{"index": n, "tokens": len(spans[at : at + size]), "main": text[spans[at][0] : spans[min(at + size, len(spans)) - 1][1]]} for n, at in enumerate(starts, 1)]

@@ -109,23 +109,19 @@ def unquoted(value: str) -> str:
     return value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'" else value
 
 
+#: What an inline list is made of: runs in double or single quotes, which the end may close, commas, and other runs.
+_PART = re.compile(r"""(?s)"((?:\\.?|[^"\\])*)"?|'([^']*)'?|(,)|([^,"']+)""")
+
+
 def inline_items(body: str) -> list[str]:
     """Items between commas; quotes hold commas, in double ones a backslash its next character."""
-    items, held, quote = [], "", ""
-    letters = iter(body)
-    for c in letters:
-        if quote and c == quote:
-            quote = ""
-        elif quote == '"' and c == "\\":
-            held += next(letters, "")
-        elif not quote and c in "\"'":
-            quote = c
-        elif not quote and c == ",":
-            items.append(held)
-            held = ""
+    items = [""]
+    for double, single, comma, bare in _PART.findall(body):
+        if comma:
+            items.append("")
         else:
-            held += c
-    return [x for x in (i.strip() for i in [*items, held]) if x]
+            items[-1] += re.sub(r"(?s)\\(.?)", r"\1", double) + single + bare
+    return [x for x in map(str.strip, items) if x]
 
 
 def header_and_body(text: str) -> tuple[str | None, str]:

@@ -52,36 +52,26 @@ def safe_path(path: str) -> bool:
     return all(p and p != ".." and not re.search(r'[<>:"|?*]|[ .]$', p) and p.split(".")[0].upper() not in RESERVED_NAMES for p in parts)
 
 
+_FILE = re.compile(r"(?im)^---[^\S\n]*FILE:[^\S\n]*(.+?)[^\S\n]*---[^\S\n]*$")
+#: In a block: a code fence up to the one that closes it, or to the end; else the line that ends the block.
+_FENCE_OR_END = re.compile(r"(?ims)^[^\S\n]{0,3}(?P<fence>`{3,}|~{3,})(?:.*?^[^\S\n]{0,3}(?P=fence)[^\n]*$|.*\Z)|^---[^\S\n]*END[^\S\n]+FILE[^\S\n]*---[^\S\n]*$")
+
+
 def file_blocks(text: str) -> dict:
     """``blocks`` (path, content), ``warnings`` and ``truncated`` paths of the
     ``---FILE: path---`` blocks; a closing line inside a code fence closes nothing."""
-    blocks, warnings, truncated = [], [], []
-    path = content = fence = None
-    for line in [*text.replace("\r\n", "\n").split("\n"), None]:
-        if path is None:
-            if line is not None and (m := re.match(r"---\s*FILE:\s*(.+?)\s*---\s*$", line, re.I)):
-                path, content, fence = m[1].strip().replace("\\", "/"), [], None
-            continue
-        mark = re.match(r"\s{0,3}(`{3,}|~{3,})", line or "")
-        if line is None:
-            warnings.append(f"unclosed: {path}")
-            if safe_path(path):
-                truncated.append(path)
-        elif fence is None and re.match(r"---\s*END\s+FILE\s*---\s*$", line, re.I):
-            if not path:
-                warnings.append("empty path")
-            elif not safe_path(path):
-                warnings.append(f"unsafe: {path}")
-            else:
-                blocks.append({"path": path, "content": "\n".join(content)})
-            path = None
-        else:
-            if mark and fence is None:
-                fence = mark[1]
-            elif mark and mark[1][0] == fence[0] and len(mark[1]) >= len(fence):
-                fence = None
-            content.append(line)
-    return {"blocks": blocks, "warnings": warnings, "truncated": truncated}
+    text, at = text.replace("\r\n", "\n"), 0
+    found: list[tuple[str, str | None]] = []
+    while start := _FILE.search(text, at):
+        end = next((m for m in _FENCE_OR_END.finditer(text, start.end()) if m["fence"] is None), None)
+        found.append((start[1].strip().replace("\\", "/"), text[start.end() + 1 : end.start() - 1] if end else None))
+        at = end.end() if end else len(text)
+    closed = [(p, c) for p, c in found if c is not None]
+    return {
+        "blocks": [{"path": p, "content": c} for p, c in closed if safe_path(p)],
+        "warnings": [f"unclosed: {p}" if c is None else f"unsafe: {p}" if p else "empty path" for p, c in found if c is None or not safe_path(p)],
+        "truncated": [p for p, c in found if c is None and safe_path(p)],
+    }
 
 
 #: How the lines of a review name its lists, and what parts their items.
@@ -156,27 +146,6 @@ def proposed_links(text: str) -> list[dict]:
     return [{"term": a, "target": b} for a, b in rows if isinstance(a, str) and isinstance(b, str) and a.strip() and b.strip()]
 
 
-def stream_line(line: str) -> dict:
-    """``delta``, ``done`` and ``error`` of a ``data:`` line of an event stream."""
-    out = {"delta": "", "done": False, "error": ""}
-    body = line.strip().removeprefix("data:").strip() if line.strip().startswith("data:") else ""
-    if body == "[DONE]":
-        return out | {"done": True}
-    try:
-        said = json.loads(body or "null")
-    except ValueError:
-        return out
-    if not isinstance(said, dict):
-        return out
-    if error := said.get("error"):
-        return out | {"error": error.get("message", "") if isinstance(error, dict) else str(error)}
-    choice = (said.get("choices") or [{}])[0]
-    content = (choice.get("delta") or {}).get("content") if isinstance(choice, dict) else None
-    if isinstance(content, list):
-        content = "".join(x.get("text", "") for x in content if isinstance(x, dict))
-    return out | {"delta": content or ""}
-
-
 # --- links in text ----------------------------------------------------------
 
 _LINK = re.compile(r"\[\[([^\]|]+?)(\|[^\]]+?)?\]\]")
@@ -261,7 +230,6 @@ def _rows(fields: dict[str, T.DataType]) -> T.StructType:
 ANSWER = _rows({"blocks": T.ArrayType(FILE_BLOCK), "warnings": _STRINGS, "truncated": _STRINGS})
 GROUP = _rows({"slugs": _STRINGS, "reason": T.StringType(), "confidence": T.StringType()})
 LINK = _rows({"term": T.StringType(), "target": T.StringType()})
-LINE = _rows({"delta": T.StringType(), "done": T.BooleanType(), "error": T.StringType()})
 LINKED = _rows({"text": T.StringType(), "done": _STRINGS})
 
 answer_blocks = column(file_blocks, ANSWER)
@@ -270,13 +238,29 @@ review_blocks_of = column(review_blocks, T.ArrayType(REVIEW_BLOCK))
 groups_of = column(duplicate_groups, T.ArrayType(GROUP))
 links_of = column(proposed_links, T.ArrayType(LINK))
 object_of = column(first_object, T.StringType())
-stream_line_of = column(stream_line, LINE)
 sanitized = column(sanitize, T.StringType())
 as_markdown = column(markdown_links, T.StringType())
 decoded = column(lambda b: decode(bytes(b)), T.StringType())
 header_map = column(lambda t: {k: ",".join(v) if isinstance(v, list) else v for k, v in light_front_matter(t).items()}, T.MapType(T.StringType(), T.StringType()))
 
 
+def stream_line_of(line: Column) -> Column:
+    """``delta``, ``done``, ``error``, ``finish`` and ``tokens`` of a ``data:`` line of an event stream.
+
+    ``finish`` says why the answer ends, ``tokens`` how many it all took; both are
+    null in lines that do not say so.  Lines of another kind give nothing.
+    """
+    body = F.nullif(F.trim(F.regexp_extract(line, r"(?s)^\s*data:(.*)$", 1)), F.lit(""))
+    said = F.try_parse_json(body)
+    at = lambda path, kind: F.try_variant_get(said, path, kind)
+    content = "$.choices[0].delta.content"
+    parts = F.array_join(F.transform(at(content, "array<struct<text: string>>"), lambda x: x["text"]), "")
+    text = F.when(F.schema_of_variant(F.try_variant_get(said, content, "variant")) == "STRING", at(content, "string"))
+    error = F.coalesce(at("$.error.message", "string"), at("$.error", "string"), F.lit(""))
+    delta = F.when(error == "", F.coalesce(parts, text, F.lit(""))).otherwise(F.lit(""))
+    return F.struct(delta.alias("delta"), F.coalesce(body == "[DONE]", F.lit(False)).alias("done"), error.alias("error"), at("$.choices[0].finish_reason", "string").alias("finish"), at("$.usage.total_tokens", "bigint").alias("tokens"))
+
+
 def nfkc_of(c: Column) -> Column:
     """The text in compatible form; only texts with other than ASCII characters leave the JVM."""
     return F.coalesce(_NFKC(F.when(c.rlike(r"[^\x00-\x7f]"), c)), c)

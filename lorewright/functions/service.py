@@ -8,10 +8,9 @@ import re
 import subprocess
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from itertools import takewhile
 from pathlib import Path
 
-from . import parsers
-
 # Where chat completions are asked for, and which ports a service may have.
 COMPLETIONS = "/chat/completions"
 PORTS = range(1, 65536)
@@ -60,15 +59,29 @@ class Provider:
 
     def __call__(self, text: str) -> str:
         """The whole answer; an error in the stream is raised."""
-        out = []
-        for line in self.send(*self.request(text)):
-            said = parsers.stream_line(line)
-            if said["error"]:
-                raise RuntimeError(said["error"])
-            if said["done"]:
-                break
-            out.append(said["delta"])
-        return "".join(out)
+        bodies = (line.strip()[5:].strip() for line in self.send(*self.request(text)) if line.strip().startswith("data:"))
+        said = [_loaded(body) for body in takewhile(lambda body: body != "[DONE]", bodies)]
+        if wrong := next((e for e in (at(x, "error") for x in said) if e), None):
+            raise RuntimeError(at(wrong, "message") or str(wrong))
+        contents = (at(x, "choices", 0, "delta", "content") or "" for x in said)
+        return "".join(c if isinstance(c, str) else "".join(at(part, "text") or "" for part in c) for c in contents)
+
+
+def _loaded(body: str) -> object:
+    try:
+        return json.loads(body)
+    except ValueError:
+        return None
+
+
+def at(value: object, *path: str | int) -> object:
+    """What stands at a path of names and places; None where there is nothing."""
+    for step in path:
+        try:
+            value = value[step]
+        except (KeyError, IndexError, TypeError):
+            return None
+    return value
 
 
 def transcriber(command: list[str], suffix: str = ".txt", timeout: float = 3600) -> Callable[[str], str]:

@@ -129,19 +129,19 @@ def answer_objects(spark, sf_dir):
     return rows.select("p_partkey", parsers.object_of(F.col("t")).alias("object"), F.array_join(group["slugs"], "+").alias("slugs"), group["confidence"].alias("confidence"), F.concat(link["term"], F.lit(">"), link["target"]).alias("links"))
 
 
-_STREAM = """case p_partkey % 4 when 0 then 'data: {"choices": [{"delta": {"content": "' || p_name || '"}}]}' when 1 then 'data: [DONE]' when 2 then 'data: {"error": {"message": "' || p_brand || '"}}' else ': ping' end"""
+_STREAM = """case p_partkey % 4 when 0 then 'data: {"choices": [{"delta": {"content": "' || p_name || '"}, "finish_reason": "stop"}], "usage": {"total_tokens": ' || p_size || '}}' when 1 then 'data: [DONE]' when 2 then 'data: {"error": {"message": "' || p_brand || '"}}' else ': ping' end"""
 
 
-@query("select p_partkey, case when p_partkey % 4 = 0 then p_name else '' end as delta, p_partkey % 4 = 1 as done, case when p_partkey % 4 = 2 then p_brand else '' end as error from part")
+@query("select p_partkey, case when p_partkey % 4 = 0 then p_name else '' end as delta, p_partkey % 4 = 1 as done, case when p_partkey % 4 = 2 then p_brand else '' end as error, case when p_partkey % 4 = 0 then 'stop' end as finish, case when p_partkey % 4 = 0 then cast(p_size as bigint) end as tokens from part")
 def stream_line_texts(spark, sf_dir):
-    return _parts(spark, sf_dir, _STREAM).select("p_partkey", parsers.stream_line_of(F.col("t")).alias("s")).select("p_partkey", "s.delta", "s.done", "s.error")
+    return _parts(spark, sf_dir, _STREAM).select("p_partkey", parsers.stream_line_of(F.col("t")).alias("s")).select("p_partkey", "s.delta", "s.done", "s.error", "s.finish", "s.tokens")
 
 
-@query("""select p_partkey, case when p_partkey % 2 = 0 then cast(40 as bigint) else 1 end as n, case when p_partkey % 2 = 0 then repeat('x', 24) || '. ' || p_name || '.' else p_name end as first,
-cast(case when p_partkey % 2 = 0 then 40 * (length(p_name) + 28) - 40 else length(p_name) end as bigint) as letters from part""")
+@query("""select p_partkey, case when p_partkey % 2 = 0 then cast(40 as bigint) when p_partkey % 3 = 0 then 4 else 1 end as n, case when p_partkey % 2 = 0 then repeat('x', 24) || '. ' || p_name || '.' when p_partkey % 3 = 0 then repeat('y', 44) else p_name end as first,
+cast(case when p_partkey % 2 = 0 then 40 * (length(p_name) + 28) - 40 when p_partkey % 3 = 0 then 101 + length(p_name) + 4 else length(p_name) end as bigint) as letters from part""")
 def split_sentences(spark, sf_dir):
-    """Long blocks by sentences: two to a piece here."""
-    rows = _parts(spark, sf_dir, "case when p_partkey % 2 = 0 then repeat(repeat('x', 24) || '. ' || p_name || '. ', 40) else p_name end")
+    """Long blocks by sentences: two to a piece here; a longer sentence by length, its rest alone."""
+    rows = _parts(spark, sf_dir, "case when p_partkey % 2 <> 0 and p_partkey % 3 = 0 then repeat('y', 100) || '. ' || p_name || '. z.' when p_partkey % 2 = 0 then repeat(repeat('x', 24) || '. ' || p_name || '. ', 40) else p_name end")
     pieces = parsers.pieces_of(44)(F.col("t"))
     return rows.select("p_partkey", F.size(pieces).cast("long").alias("n"), F.get(pieces, 0).alias("first"), F.aggregate(pieces, F.lit(0).cast("long"), lambda s, x: s + F.length(x)).alias("letters"))
 

@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lorewright.functions import parsers as P
+from lorewright.functions import service
 
 PAGE = "---\ntype: lesson\ntitle: \"A: b\"\ntags: [x, \"y, z\"]\nrelated:\n  - one\n  - \"two\"\n---\n# A\n\nbody"
 
@@ -63,9 +66,39 @@ def test_json_answers():
     assert P.duplicate_groups('ok {"groups": [{"slugs": ["a", "b"], "confidence": "high"}, {"slugs": ["c"]}, 3]}') == [{"slugs": ["a", "b"], "reason": "", "confidence": "high"}]
     assert P.duplicate_groups("{bad") == []
     assert P.proposed_links('{"links": [{"term": "t", "target": "x"}, {"term": "t"}]}') == [{"term": "t", "target": "x"}]
-    assert P.stream_line('data: {"choices": [{"delta": {"content": [{"text": "a"}, {"text": "b"}]}}]}')["delta"] == "ab"
-    assert P.stream_line("data: [DONE]")["done"] and P.stream_line('data: {"error": {"message": "m"}}')["error"] == "m"
-    assert P.stream_line("junk") == {"delta": "", "done": False, "error": ""}
+
+
+def test_stream_lines(spark):
+    lines = {
+        'data: {"choices": [{"delta": {"content": [{"text": "a"}, {"text": "b"}]}}]}': ("ab", False, "", None, None),
+        ' data:{"choices": [{"delta": {"content": "[x] "}, "finish_reason": "stop"}], "usage": {"total_tokens": 7}}': ("[x] ", False, "", "stop", 7),
+        "data: [DONE]": ("", True, "", None, None),
+        'data: {"error": {"message": "m"}}': ("", False, "m", None, None),
+        'data: {"error": "e", "choices": [{"delta": {"content": "no"}}]}': ("", False, "e", None, None),
+        "junk": ("", False, "", None, None), "data: {bad": ("", False, "", None, None), "data: 3": ("", False, "", None, None), 'data: {"choices": []}': ("", False, "", None, None),
+    }
+    got = spark.createDataFrame([(x,) for x in lines], "t string").select("t", P.stream_line_of(F.col("t")).alias("s")).collect()
+    assert {r["t"]: tuple(r["s"]) for r in got} == lines
+
+
+def test_provider_reads_a_stream():
+    said = ["", ": ping", 'data: {"choices": [{"delta": {"content": "a"}}]}', "data: {bad", 'data: {"choices": [{"delta": {"content": [{"text": "b"}]}}]}', 'data: {"choices": [{"delta": {}}]}', "data: [DONE]", 'data: {"error": "after"}']
+    assert service.Provider("http://x", "m", lambda url, body: said)("q") == "ab"
+    for line, why in (('data: {"error": {"message": "429"}}', "429"), ('data: {"error": "quota"}', "quota")):
+        with pytest.raises(RuntimeError, match=why):
+            service.Provider("http://x", "m", lambda url, body, line=line: [line])("q")
+
+
+def test_long_blocks():
+    """What is left of a sentence that is cut by length stands alone."""
+    assert [len(x) for x in P.split_long("x" * 250 + ". aa. bb.", 100)] == [100, 100, 51, 7]
+    assert P.split_long("aa. " + "x" * 150 + ". bb. cc.", 100) == ["aa.", " ".join(["", "x" * 99]).strip(), "x" * 51 + ".", "bb. cc."]
+    assert P.split_long("short", 100) == ["short"]
+
+
+def test_inline_items():
+    cases = {"a, b": ["a", "b"], "'a, b', c": ["a, b", "c"], r'"a \"q\", "x, c': ['a "q", x', "c"], '"open, a': ["open, a"], ", ,": [], "it's, b": ["its, b"], '"a\\': ["a"], '""': [], 'a"b,c"d, e': ["ab,cd", "e"]}
+    assert {body: P.inline_items(body) for body in cases} == cases
 
 
 def test_links():

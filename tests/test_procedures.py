@@ -181,13 +181,7 @@ def test_files_and_sources(spark, tmp_path):
     assert [r["path"] for r in readers.settled(files, 100.0).collect()] == ["b"]
 
 
-def test_token_windows_and_progress(spark):
-    text = " ".join(f"w{i}," for i in range(50))
-    made = chunking.token_windows(text, 30, 5)
-    assert [c["tokens"] for c in made] == [30, 30, 30, 25] and made[0]["main"].startswith("w0,") and made[-1]["main"].endswith("w49,")
-    assert chunking.token_windows("", 30, 5) == [] and len(chunking.token_windows("one", 30, 5)) == 1
-    with pytest.raises(ValueError):
-        chunking.token_windows("a", 5, 5)
+def test_snippets_and_progress(spark):
     assert spark.range(1).select(F.length(retrieval.snippet(F.lit("x" * 900), "list")).alias("n")).first()["n"] == 140
     seen = []
     listener = jobs.Progress(lambda name, batch, rows: seen.append((batch, rows)))
