@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import graph, retrieval
+from ..operators import communities, graph, retrieval
 from ..session import table
 from ..streaming import jobs
 from . import state_queries
@@ -113,6 +113,21 @@ def community_sizes(spark, sf_dir):
     return graph.community_sizes(graph.communities(edges, nodes))
 
 
+@query("""select n_nationkey, n_nationkey as community_nation, cast(1 + (select count(*) from customer where c_nationkey = n_nationkey) + (select count(*) from supplier where s_nationkey = n_nationkey) as bigint) as n from nation""")
+def louvain_communities(spark, sf_dir):
+    """Nations with all that trade there, and a ring of nations: each nation is a community of its own."""
+    nation = table(spark, sf_dir, "nation").select("n_nationkey")
+    name = lambda kind, key: F.concat(F.lit(kind), F.lpad(key.cast("string"), 10, "0"))
+    stars = table(spark, sf_dir, "customer").select(name("c", F.col("c_custkey")).alias("source"), name("a", F.col("c_nationkey")).alias("target"))
+    stars = stars.unionByName(table(spark, sf_dir, "supplier").select(name("s", F.col("s_suppkey")).alias("source"), name("a", F.col("s_nationkey")).alias("target")))
+    ring = nation.select(name("a", F.col("n_nationkey")).alias("source"), name("a", (F.col("n_nationkey") + 1) % 25).alias("target"))
+    nodes = stars.select(F.col("source").alias("id")).unionByName(nation.select(name("a", F.col("n_nationkey")).alias("id")))
+    labels = communities.louvain(stars.unionByName(ring), nodes)
+    sizes = labels.groupBy("community").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("id").startswith("a"), F.substring("id", 2, 10))).alias("least"))
+    own = labels.where("id like 'a%'").select("community", F.substring("id", 2, 10).cast("int").alias("n_nationkey"))
+    return own.join(sizes, "community").select(F.col("n_nationkey"), F.col("least").cast("int").alias("community_nation"), "n")
+
+
 # --- vectors
 
 _COS = "list_cosine_similarity(a.embedding::double[], b.embedding::double[])"
