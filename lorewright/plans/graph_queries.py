@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import communities, graph, retrieval
+from ..operators import communities, graph, neighbours, retrieval
 from ..session import table
 from ..streaming import jobs
 from . import state_queries
@@ -138,6 +138,13 @@ def cosine_pairs(spark, sf_dir):
     return retrieval.similar_pairs(table(spark, sf_dir, "embeddings"), 0.35).withColumn("score", F.round("score", 6))
 
 
+@query()
+def neighbours_by_hyperplanes(spark, sf_dir):
+    """Up to eight neighbours of every vector; tests measure the recall."""
+    out = neighbours.nearest_by_hyperplanes(table(spark, sf_dir, "embeddings"), 8, 0.35)
+    return out.select("query", "neighbour", F.round("score", 6).alias("score"), "rank")
+
+
 @query(f"select a.vec_id as query, b.vec_id as neighbour, round({_COS}, 6) as score, row_number() over (partition by a.vec_id order by {_COS} desc, b.vec_id) as rank from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 10 = 0 qualify rank <= 5")
 def knn_topk(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
