@@ -8,10 +8,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import parsers
-from ..operators import joins
+from ..operators import joins, sketches
 from ..session import table
 from ..streaming import jobs
-from .lineage import shared_dir
+from .lineage import cut_loop, shared_dir
 from .registry import query
 
 
@@ -52,15 +52,33 @@ def grouping_sets_orders(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupingSets([[status], [priority], []], status, priority).agg(F.count(F.lit(1)).alias("n")).where("n > 10")
 
 
-@query("select l_returnflag, true as parts_near, true as orders_near, quantile_disc(l_quantity, 0.5) as median from lineitem group by 1")
+@query("select l_returnflag, count(distinct l_partkey) as parts, count(distinct l_orderkey) as orders, true as parts_near, true as orders_near, quantile_disc(l_quantity, 0.5) as median from lineitem group by 1")
 def approx_distinct(spark, sf_dir):
-    """Approximate counts within three standard errors of the exact ones, and an exact median."""
-    near = lambda a, b, error: F.abs(a - b) <= F.greatest(F.lit(2), b * 3 * error)
+    """Exact counts, whether sketches of 1 % come within three standard errors of them, and an exact median."""
+    parts, orders = F.count_distinct("l_partkey"), F.count_distinct("l_orderkey")
+    near = lambda a, b: F.abs(a - b) <= F.greatest(F.lit(2), b * 0.03)
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
-        near(F.approx_count_distinct("l_partkey"), F.count_distinct("l_partkey"), 0.05).alias("parts_near"),
-        near(F.hll_sketch_estimate(F.hll_sketch_agg("l_orderkey", 14)), F.count_distinct("l_orderkey"), 0.01).alias("orders_near"),
-        F.expr("percentile_disc(0.5) within group (order by l_quantity)").alias("median"),
-    )
+        parts.alias("parts"), orders.alias("orders"), near(F.approx_count_distinct("l_partkey", 0.01), parts).alias("parts_near"),
+        near(F.hll_sketch_estimate(F.hll_sketch_agg("l_orderkey", 14)), orders).alias("orders_near"), F.expr("percentile_disc(0.5) within group (order by l_quantity)").alias("median"),
+    )
+
+
+def _monthly(spark, sf_dir):
+    """Sketches of each month, written and read, as a later run would find them."""
+    rows = table(spark, sf_dir, "lineitem").select(F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"), "l_extendedprice", "l_linenumber")
+    return cut_loop(sketches.sketched(rows, ["year", "month"], "l_extendedprice", "l_linenumber"))
+
+
+@query()
+def sketch_quantiles(spark, sf_dir):
+    """Quantiles of prices by year, from sketches of months."""
+    return sketches.quantiles(sketches.merged(_monthly(spark, sf_dir), ["year"]), ["year"], [0.1, 0.5, 0.9, 0.99])
+
+
+@query("select cast(year(l_shipdate) as integer) as year, l_linenumber as item, count(*) as count from lineitem group by all")
+def sketch_frequent_items(spark, sf_dir):
+    """Line numbers and how often they come by year, from sketches of months that follow more items than there are."""
+    return sketches.frequent_items(sketches.merged(_monthly(spark, sf_dir), ["year"]), ["year"], 50)
 
 
 @query("select o_orderkey, count(*) over w as near, cast(sum(cast(o_totalprice as decimal(18, 2))) over w as double) as total from orders window w as (partition by o_custkey order by o_orderdate range between interval 30 days preceding and current row)")

@@ -200,14 +200,15 @@ def search_hybrid(spark, sf_dir):
 
 
 @query(_ENT + _LOCAL.replace("lower(label) in ('nation_3', 'nation_7')", "id in ('n:3', 'n:7')") + _GLOBAL + """,
-v as (select 'nation:' || vec_id as chunk, row_number() over (order by vec_id) as rank from embeddings qualify rank <= 25),
+v as (select 'nation:' || vec_id as chunk, row_number() over (order by round(list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = 7)), 9) desc, vec_id) as rank from embeddings qualify rank <= 25),
 a as (select chunk, row_number() over (order by score desc, chunk) as rank from loc qualify rank <= 60), b as (select chunk, row_number() over (order by score desc, chunk) as rank from glo qualify rank <= 60)
 select chunk, round(sum(1.0::double / (60 + rank)), 9) as score from (select * from v union all select * from a union all select * from b) group by chunk order by sum(1.0::double / (60 + rank)) desc, chunk limit 30""")
 def search_mix(spark, sf_dir):
-    """Vector, entity and relation hits fused; the vector list stands in by number."""
+    """Vector, entity and relation hits fused; the query's vector is that of a row."""
     entities, edges = _entities(spark, sf_dir)
-    first = table(spark, sf_dir, "embeddings").select("vec_id").orderBy("vec_id").limit(25)
-    near = first.select(F.concat(F.lit("nation:"), F.col("vec_id").cast("string")).alias("chunk"), F.row_number().over(W.orderBy("vec_id")).alias("rank"))
+    vectors = table(spark, sf_dir, "embeddings")
+    wanted = vectors.where("vec_id = 7").first()["embedding"]
+    near = retrieval.search(vectors, list(wanted), 25, key="vec_id", vector="embedding").select(F.concat(F.lit("nation:"), F.col("vec_id").cast("string")).alias("chunk"), "rank")
     words = [r["label"] for r in table(spark, sf_dir, "nation").where("n_nationkey in (3, 7)").select(F.col("n_name").alias("label")).collect()] + ["has"]
     return retrieval.by_mode("mix", near, entities, edges, words, 30).withColumn("score", F.round("score", 9))
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import retrieval, state
+from ..operators import folding, retrieval, state
 from ..session import table
-from ..streaming import jobs, queue
-from .registry import query
+from ..streaming import bounded, jobs, queue
+from .registry import ORACLES, query
 
 # Which queue event an event type of the table stands for.
 _EVENT = "case event_type when 'click' then 'enqueue' when 'view' then 'take' when 'purchase' then 'complete' when 'error' then case when event_id % 4 = 0 then 'limit' else 'fail' end else case when event_id % 3 = 0 then 'cancel' when event_id % 20 = 7 then 'retry' when event_id % 20 = 13 then 'remove' when event_id % 20 = 17 then 'recover' else 'enqueue' end end"
@@ -90,15 +90,37 @@ def queue_take(spark, sf_dir):
 @query("""select 'x' || json_extract_string(props, '$.k') as title, event_type || '::x' || json_extract_string(props, '$.k') as id, case when bool_or(value > 200) then 'resolved' else 'open' end as status,
 coalesce(min_by('d' || event_id, event_id) filter (event_id % 3 = 0), '') as detail, count(*) as n_items, string_agg(distinct 'p' || event_id % 4, ',' order by 'p' || event_id % 4) as pages from events group by all""")
 def review_fold(spark, sf_dir):
+    out = state.fold_reviews(_review_items(spark, sf_dir))
+    return out.select(F.substring_index("id", "::", -1).alias("title"), "id", "status", "detail", "n_items", F.array_join(F.array_sort("pages"), ",").alias("pages"))
+
+
+def _review_items(spark, sf_dir):
     k = F.get_json_object("props", "$.k")
-    items = table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("seq"), F.col("event_type").alias("type"), F.concat(F.lit(" X"), k).alias("title"), F.when(F.col("value") > 200, F.lit("resolved")).otherwise(F.lit("open")).alias("status"),
         F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("d"), F.col("event_id").cast("string"))).otherwise(F.lit("")).alias("detail"), F.lit("").alias("created"), F.array(F.concat(F.lit("p"), (F.col("event_id") % 4).cast("string"))).alias("pages"),
     )
-    out = state.fold_reviews(items)
+
+
+@query(ORACLES["review_fold"])
+def review_fold_function(spark, sf_dir):
+    """The same fold by an aggregate function of its own."""
+    out = folding.fold_reviews(_review_items(spark, sf_dir))
     return out.select(F.substring_index("id", "::", -1).alias("title"), "id", "status", "detail", "n_items", F.array_join(F.array_sort("pages"), ",").alias("pages"))
 
 
+@query("""with recursive e as (select 'u' || user_id as channel, event_id, json_extract_string(props, '$.k') as m, row_number() over (partition by user_id order by event_id) as n from events),
+s as (select distinct channel, cast([] as varchar[]) as ids, cast(null as bigint) as event_id, false as fresh, cast(0 as bigint) as n from e
+  union all select s.channel, case when list_contains(ids, m) then ids when len(ids) >= 8 then list_append(ids[2:], m) else list_append(ids, m) end, e.event_id, not list_contains(ids, m), e.n from s join e on e.channel = s.channel and e.n = s.n + 1)
+select channel, event_id from s where fresh""")
+def stream_bounded_dedup(spark, sf_dir):
+    """Messages of each channel that are none of its last eight ids."""
+    events = jobs.event_stream(spark, f"{sf_dir}/events.parquet*")
+    rows = events.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("channel"), F.col("event_id").alias("seq"), F.get_json_object("props", "$.k").alias("message_id"))
+    with queue.rocksdb_state(spark):
+        return jobs.run_to_end(bounded.first_of_ids(rows, 8)).select("channel", F.col("seq").alias("event_id"))
+
+
 @query("""select doc_id from documents where doc_id % 4 <> 0 and doc_id % 9 <> 0 and doc_id % 6 <> 0""")
 def cache_hit(spark, sf_dir):
     """Sources whose cache entry has their hash and whose files are all there."""

@@ -49,7 +49,11 @@ def material_listing(spark, sf_dir):
 
 @query("select doc_id, source from documents where doc_id not in (select doc_id from labels)")
 def uncompiled_scan(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+    """Materials whose flag is not set and that are no hidden files."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("l"))
+    name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".md"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", name.alias("name")).join(labels, "doc_id", "left")
+    return readers.uncompiled(rows.withColumn("compiled", F.coalesce("l", F.lit(False)))).select("doc_id", "source")
 
 
 @query("select source, count(*) as total, count(l.doc_id) as done from documents d left join labels l using (doc_id) group by source")
