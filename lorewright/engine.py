@@ -5,18 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .functions import parsers
 from .functions import text as X
+from .functions.windows import token_windows
 from .operators import compiling, graph, merge, procedures, retrieval, state
 from .plans.lineage import cut
 from .sources import readers, sinks
 from .streaming import jobs
 
+#: Buckets of the index.
+BUCKETS = 64
 _QUEUE = "source_path string, seq long, event string, at timestamp"
+_ENTRY = "path string, content string"
+_CHUNK = "chunk_id string, rel_path string, sha256 string, content string, embedding array<double>"
 _CACHE = "source_path string, hash string, files_written array<string>"
 
 
@@ -49,10 +54,10 @@ class Config:
 
 
 class Engine:
-    """Tables below ``root``; streams by name; a model that can be plugged in."""
+    """Tables below ``root``; streams by name; a model and an embedding of text columns that can be plugged in."""
 
-    def __init__(self, spark: SparkSession, root: str, generate: Callable[[str], str] = compiling.stub):
-        self.spark, self.root, self.generate = spark, root.rstrip("/"), generate
+    def __init__(self, spark: SparkSession, root: str, generate: Callable[[str], str] = compiling.stub, embed: Callable[[Column], Column] = retrieval.embed):
+        self.spark, self.root, self.generate, self.embed = spark, root.rstrip("/"), generate, embed
         self.streams: dict[str, StreamingQuery] = {}
 
     def _at(self, name: str) -> str:
@@ -76,8 +81,8 @@ class Engine:
 
     def mark_compiled(self, ids: DataFrame) -> None:
         """Note that the materials (``id``) are compiled."""
-        known = sinks.read_state(self.spark, self._at("compiled"), "id string")
-        sinks.replace_state(known.unionByName(ids.select("id")).distinct(), self._at("compiled"))
+        new = cut(ids.select("id"))
+        sinks.update_state(self.spark, self._at("compiled"), "id string", lambda known: known.unionByName(new).distinct())
 
     def uncompiled(self) -> DataFrame:
         return self.materials().join(sinks.read_state(self.spark, self._at("compiled"), "id string"), "id", "left_anti")
@@ -118,7 +123,7 @@ class Engine:
     # compiling
     def entries(self) -> DataFrame:
         """All pages: ``path`` (below the root) and ``content``."""
-        return sinks.read_state(self.spark, self._at("entries"), "path string, content string")
+        return sinks.read_state(self.spark, self._at("entries"), _ENTRY)
 
     def work(self, today: str, now: datetime, limit: int = 100, **options) -> dict[str, int]:
         """Take the oldest pending tasks from the queue, compile their materials, and tell the queue what became of each.
@@ -162,8 +167,8 @@ class Engine:
         known = procedures.summaries(self.entries()).select("path", "slug", "title", "category")
         cache = sinks.read_state(self.spark, self._at("cache"), _CACHE)
         out = procedures.compile_materials(todo.select(F.col("id").alias("source_path"), "content"), known, cache, today, self.generate, repair, **options)
-        sinks.replace_state(self.entries().unionByName(out.entries.select("path", "content")), self._at("entries"))
-        sinks.replace_state(state.cache_put(cache, out.cache.select("source_path", "hash", "files_written")), self._at("cache"))
+        sinks.update_state(self.spark, self._at("entries"), _ENTRY, lambda old: state.without(old, out.entries, "path").unionByName(out.entries.select("path", "content")))
+        sinks.update_state(self.spark, self._at("cache"), _CACHE, lambda old: state.cache_put(old, out.cache.select("source_path", "hash", "files_written")))
         kept = self.reviews()
         new = out.reviews.withColumn("resolved_note", F.lit(None).cast("string")).select(*kept.columns).join(kept.select("id"), "id", "left_anti").dropDuplicates(["id"])
         sinks.replace_state(kept.unionByName(new.select(*kept.columns)), self._at("reviews"))
@@ -189,11 +194,11 @@ class Engine:
         """Add or replace pages (``path``, ``content``); a path that is not safe is an error."""
         safe = F.when(X.safe_path(F.col("path")), F.col("path")).otherwise(F.raise_error(F.concat(F.lit("no safe path: "), "path")))
         new = pages.select(safe.alias("path"), "content")
-        sinks.replace_state(state.without(self.entries(), new, "path").unionByName(new), self._at("entries"))
+        sinks.update_state(self.spark, self._at("entries"), _ENTRY, lambda old: state.without(old, new, "path").unionByName(new))
 
     def delete(self, paths: DataFrame) -> None:
         """Drop pages (``path``) and what the index has of them."""
-        sinks.replace_state(state.without(self.entries(), paths, "path"), self._at("entries"))
+        sinks.update_state(self.spark, self._at("entries"), _ENTRY, lambda old: state.without(old, paths, "path"))
         self.remove(paths.select(F.col("path").alias("rel_path")))
 
     def forget(self, ids: DataFrame) -> DataFrame:
@@ -226,31 +231,34 @@ class Engine:
 
     # index and search
     def index(self, entries: DataFrame, rebuild: bool = False) -> DataFrame:
-        """Chunk and embed what is new or changed; returns (scanned, inserted, skipped)."""
+        """Cut what is new or changed into windows of tokens and embed them; returns (scanned, inserted, skipped).
+
+        Each chunk has the digest of its entry's text, so the chunks are the ledger
+        too, and a run that did not end is made good by the next.  Only buckets of
+        paths that changed are written.
+        """
         current = entries.select("rel_path", X.content_hash(F.col("raw")).alias("sha256"))
-        ledger = sinks.read_state(self.spark, self._at("ledger"), "rel_path string, sha256 string")
-        delta = state.ledger_delta(current, ledger.where(F.lit(not rebuild)))
-        todo = delta.where("change <> 'same'")
-        pieces = entries.join(todo.select("rel_path"), "rel_path", "left_semi").select("rel_path", F.explode(parsers.chunks_of(F.col("raw"))).alias("c"))
-        rows = pieces.select(F.concat("rel_path", F.lit("-"), F.col("c.id")).alias("chunk_id"), "rel_path", F.col("c.main").alias("content"), retrieval.embed(F.col("c.main")).alias("embedding"))
-        schema = "chunk_id string, rel_path string, content string, embedding array<double>"
-        kept = state.without(sinks.read_state(self.spark, self._at("chunks"), schema), todo, "rel_path")
-        stats = self.spark.createDataFrame(state.index_stats(delta).collect(), "scanned long, inserted long, skipped long")
-        sinks.replace_state(kept.unionByName(rows), self._at("chunks"))
-        sinks.replace_state(state.next_ledger(ledger.where(F.lit(not rebuild)), todo.select("rel_path", "sha256")), self._at("ledger"))
-        return stats
+        ledger = self._chunks().select("rel_path", "sha256").distinct()
+        delta = cut(state.ledger_delta(current, ledger.where(F.lit(not rebuild))))
+        todo = delta.where("change <> 'same'").select("rel_path", "sha256")
+        pieces = entries.join(todo, "rel_path").select("rel_path", "sha256", F.explode_outer(token_windows(F.col("raw"))).alias("c"))
+        rows = pieces.select(F.concat("rel_path", F.lit("-chunk-"), F.col("c.index").cast("string")).alias("chunk_id"), "rel_path", "sha256", F.col("c.main").alias("content"), self.embed(F.coalesce("c.main", F.lit(""))).alias("embedding"))
+        sinks.replace_rows(rows, todo, self._at("chunks"), "rel_path", _CHUNK, BUCKETS)
+        return self.spark.createDataFrame(state.index_stats(delta).collect(), "scanned long, inserted long, skipped long")
+
+    def _chunks(self) -> DataFrame:
+        return sinks.read_rows(self.spark, self._at("chunks"), "rel_path", _CHUNK)
 
     def remove(self, paths: DataFrame) -> None:
-        """Drop documents from chunks and ledger."""
-        for name, schema in (("chunks", "chunk_id string, rel_path string, content string, embedding array<double>"), ("ledger", "rel_path string, sha256 string")):
-            sinks.replace_state(state.without(sinks.read_state(self.spark, self._at(name), schema), paths, "rel_path"), self._at(name))
+        """Drop documents from the index."""
+        sinks.replace_rows(self._chunks().drop("bucket").limit(0), cut(paths.select("rel_path")), self._at("chunks"), "rel_path", _CHUNK, BUCKETS)
 
     def search(self, text: str, k: int = 10, mode: str = "naive", entities: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
         """The k best chunks in a mode; all but ``naive`` need entities (``id``, ``label``, ``sources``) and edges."""
         if mode not in retrieval.MODES:
             raise ValueError(f"no such mode: {mode}")
-        chunks = sinks.read_state(self.spark, self._at("chunks"), "chunk_id string, rel_path string, content string, embedding array<double>")
-        query = self.spark.range(1).select(retrieval.embed(F.lit(text)).alias("v")).first()["v"]
+        chunks = self._chunks().where("chunk_id is not null")
+        query = self.spark.range(1).select(self.embed(F.lit(text)).alias("v")).first()["v"]
         if mode == "naive":
             hits = retrieval.search(chunks, list(query), k, key="chunk_id")
         else:

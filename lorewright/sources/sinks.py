@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -63,42 +64,94 @@ def write_index(index: DataFrame, folder: str) -> bool:
     return True
 
 
-def replace_state(rows: DataFrame, folder: str) -> None:
+class Conflict(RuntimeError):
+    """Another writer has made the next version of a table."""
+
+
+def replace_state(rows: DataFrame, folder: str, base: int | None = None) -> None:
     """Write a new version of a table; readers see the old one or the new one whole.
 
     Versions are folders below ``folder``, and a version counts once its mark is
-    there, which is made after its rows are written.  The version before stays as
-    backup; older ones go.
+    there, which is made after its rows are written and names them.  No mark is
+    made twice, so of two writers that both follow version ``base`` (as it is now,
+    if not given) one fails with ``Conflict``.  The version before stays as backup;
+    older ones go.
     """
     spark = rows.sparkSession
-    Path = spark._jvm.org.apache.hadoop.fs.Path
-    top = Path(folder)
-    system = top.getFileSystem(spark._jsc.hadoopConfiguration())
     old = _versions(spark, folder)
-    n = old[-1] + 1 if old else 1
-    name = f"{folder}/v{n:08d}-{uuid.uuid4().hex}"
-    rows.write.parquet(name)
-    system.create(Path(f"{folder}/_current-{n:08d}-{name.rpartition('-')[2]}"), True).close()
-    for k in old[:-1]:
-        for found in system.globStatus(Path(f"{folder}/_current-{k:08d}-*")):
-            system.delete(found.getPath(), True)
-        for found in system.globStatus(Path(f"{folder}/v{k:08d}-*")):
-            system.delete(found.getPath(), True)
-
-
-def _versions(spark: SparkSession, folder: str) -> list[int]:
-    Path = spark._jvm.org.apache.hadoop.fs.Path
-    marks = Path(f"{folder}/_current-*")
-    found = marks.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(marks)
-    return sorted({int(f.getPath().getName().split("-")[1]) for f in found or ()})
+    n = (max(old, default=0) if base is None else base) + 1
+    name = f"v{n:08d}-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{folder}/{name}")
+    system, mark = _opened(spark, f"{folder}/_current-{n:08d}")
+    try:
+        out = system.create(mark, False)
+    except Exception as wrong:
+        if system.exists(mark):
+            raise Conflict(f"version {n} of {folder} is there already") from wrong
+        raise
+    out.writeBytes(name)
+    out.close()
+    for k, rows_of in old.items():
+        if k < n - 1:
+            for gone in (f"{folder}/_current-{k:08d}", f"{folder}/{rows_of}"):
+                system.delete(_opened(spark, gone)[1], True)
+
+
+def update_state(spark: SparkSession, folder: str, schema: str, change: Callable[[DataFrame], DataFrame], tries: int = 5) -> None:
+    """Write the version that ``change`` makes of the newest one; again from the newest if another writer was faster."""
+    for k in range(tries):
+        versions = _versions(spark, folder)
+        try:
+            return replace_state(change(read_state(spark, folder, schema)), folder, max(versions, default=0))
+        except Conflict:
+            if k == tries - 1:
+                raise
+
+
+def _opened(spark: SparkSession, at: str) -> tuple:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _versions(spark: SparkSession, folder: str) -> dict[int, str]:
+    """The folder of each version; a mark without a name is of a writer that did not end."""
+    system, marks = _opened(spark, f"{folder}/_current-*")
+    out = {}
+    for found in system.globStatus(marks) or ():
+        stream = system.open(found.getPath())
+        out[int(found.getPath().getName().split("-")[1])] = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+    return out
 
 
 def _newest(spark: SparkSession, folder: str) -> str | None:
     """Where the newest version's rows are; None if the table has no versions."""
-    versions = _versions(spark, folder)
-    if not versions:
-        return None
-    Path = spark._jvm.org.apache.hadoop.fs.Path
-    marks = Path(f"{folder}/_current-{versions[-1]:08d}-*")
-    mark = max(f.getPath().getName() for f in marks.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(marks))
-    return f"{folder}/v{versions[-1]:08d}-{mark.rpartition('-')[2]}"
+    named = {n: name for n, name in _versions(spark, folder).items() if name}
+    return f"{folder}/{named[max(named)]}" if named else None
+
+
+def bucket_of(key: Column, buckets: int) -> Column:
+    return F.pmod(F.conv(F.left(F.md5(key), F.lit(8)), 16, 10).cast("long"), F.lit(buckets)).cast("int")
+
+
+def replace_rows(rows: DataFrame, changed: DataFrame, folder: str, key: str, schema: str, buckets: int) -> list[int]:
+    """Put ``rows`` in the place of those of the keys in ``changed``; gives the buckets that were written.
+
+    The table is partitioned by ``bucket`` of its key, and only buckets of changed
+    keys are read and replaced, by dynamic partition overwrite.  A bucket without
+    rows keeps one without a key, which ``read_rows`` leaves out.
+    """
+    spark = rows.sparkSession
+    # As many numbers as there are buckets, at most.
+    touched = sorted(r["b"] for r in changed.select(bucket_of(F.col(key), buckets).alias("b")).distinct().collect())
+    if touched:
+        kept = read_rows(spark, folder, key, schema).where(F.col("bucket").isin(touched)).join(changed.select(key), key, "left_anti")
+        marks = spark.createDataFrame([(b,) for b in touched], "bucket int")
+        out = kept.unionByName(rows.withColumn("bucket", bucket_of(F.col(key), buckets))).unionByName(marks, allowMissingColumns=True)
+        out.hint("rebalance", F.col("bucket")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(folder)
+    return touched
+
+
+def read_rows(spark: SparkSession, folder: str, key: str, schema: str) -> DataFrame:
+    """The rows of a table that ``replace_rows`` keeps, with ``bucket``."""
+    return read_state(spark, folder, f"{schema}, bucket int").where(F.col(key).isNotNull())
