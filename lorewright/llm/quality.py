@@ -6,7 +6,8 @@ is a host and a path within it.  The expected share of bad documents of every
 host and path comes from grouped sums of the documents' probabilities; hosts
 are shrunk toward the global share and paths toward their host, by as much as
 the spread between them, estimated by moments, warrants.  A sparse site so
-says little.  The posterior adds the site's log odds to the evidence.
+says little.  The posterior adds the site's log odds, taken without the document
+itself, to the evidence.
 """
 
 from __future__ import annotations
@@ -280,11 +281,13 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     hosts = runtime.cut(hosts.select(F.col("host").alias("of_host"), ((F.col("s") + F.col("strength") * F.col("prior")) / (F.col("n") + F.col("strength"))).alias("host_rate")))
     within = paths.join(hosts, F.col("host").eqNullSafe(F.col("of_host"))).withColumn("share", F.col("s") / F.col("n"))
     within = _shrink(within, "share", F.col("host_rate"))
-    rate = (F.col("s") + F.col("strength") * F.col("host_rate")) / (F.col("n") + F.col("strength"))
-    sites = runtime.cut(within.select(F.col("host").alias("site_host"), F.col("path").alias("site_path"), "host_rate", rate.alias("site_rate")))
+    sites = runtime.cut(within.select(F.col("host").alias("site_host"), F.col("path").alias("site_path"), "host_rate", "s", "n", "strength"))
     if sites.count() <= MAX_BROADCAST_SITES:
         sites = F.broadcast(sites)
     met = scored.join(sites, F.col("host").eqNullSafe(F.col("site_host")) & F.col("path").eqNullSafe(F.col("site_path")))
+    # A document's own probability is in its evidence, so its site speaks without it.
+    rate = (F.col("s") - odds / (1 + odds) + F.col("strength") * F.col("host_rate")) / (F.col("n") - 1 + F.col("strength"))
+    met = met.withColumn("site_rate", F.greatest(F.lit(0.0), rate))
     safe = F.least(F.lit(0.999), F.greatest(F.lit(0.001), F.col("site_rate")))
     posterior = 1 / (1 + F.exp(-(F.col("evidence") + F.log(safe / (1 - safe)))))
     return met.withColumn("p_bad", posterior).select(F.col("id").alias(key), "text_hash", "evidence", "host_rate", "site_rate", "p_bad", (F.col("p_bad") <= threshold).alias("keep"))

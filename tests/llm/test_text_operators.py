@@ -609,10 +609,11 @@ def test_quality_by_formula(spark):
     k = strength([(len(g), np.mean(g), prior) for g in hosts.values()])
     host_rate = {h: (sum(g) + k * prior) / (len(g) + k) for h, g in hosts.items()}
     k = strength([(len(g), np.mean(g), host_rate[h]) for (h, _), g in groups.items()])
-    site_rate = {s: (sum(g) + k * host_rate[s[0]]) / (len(g) + k) for s, g in groups.items()}
     for d, _, lang, source, _ in rows:
-        assert got[d]["host_rate"] == pytest.approx(host_rate[source], rel=1e-6) and got[d]["site_rate"] == pytest.approx(site_rate[source, lang], rel=1e-6)
-        p = 1 / (1 + np.exp(-(got[d]["evidence"] + logit(np.clip(site_rate[source, lang], 0.001, 0.999)))))
+        own, g = 1 / (1 + np.exp(-np.clip(got[d]["evidence"] + logit(model.base), -30, 30))), groups[source, lang]
+        site_rate = (sum(g) - own + k * host_rate[source]) / (len(g) - 1 + k)
+        assert got[d]["host_rate"] == pytest.approx(host_rate[source], rel=1e-6) and got[d]["site_rate"] == pytest.approx(site_rate, rel=1e-6, abs=1e-9)
+        p = 1 / (1 + np.exp(-(got[d]["evidence"] + logit(np.clip(site_rate, 0.001, 0.999)))))
         assert got[d]["p_bad"] == pytest.approx(p, rel=1e-6) and got[d]["keep"] == (p <= quality.THRESHOLD)
 
 
