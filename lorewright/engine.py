@@ -14,7 +14,7 @@ from .functions import text as X
 from .functions.windows import token_windows
 from .operators import compiling, graph, merge, procedures, retrieval, state
 from .plans.lineage import cut
-from .sources import readers, sinks
+from .sources import readers, settled, sinks
 from .streaming import jobs
 
 #: Buckets of the index.
@@ -94,6 +94,12 @@ class Engine:
         self.streams[name] = stream.writeStream.queryName(name).option("checkpointLocation", self._at(f"streams/{name}")).trigger(processingTime=interval).foreachBatch(once).start()
         return self.streams[name]
 
+    def watch(self, name: str, folder: str, **options) -> StreamingQuery:
+        """Take the texts that settle in a folder, each path once; see ``settled.watched``."""
+        files = settled.watched(self.spark, folder, **options)
+        texts = files.select(F.lit("file").alias("source"), F.unix_micros("modified").alias("seq"), parsers.decoded(F.col("content")).alias("content"))
+        return self.start(name, texts, lambda batch, number: self.ingest(batch))
+
     def stop(self, name: str | None = None) -> None:
         for key in [name] if name else list(self.streams):
             self.streams.pop(key).stop()
