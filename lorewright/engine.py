@@ -12,7 +12,8 @@ from pyspark.sql.streaming import StreamingQuery
 from .functions import parsers
 from .functions import text as X
 from .functions.windows import token_windows
-from .operators import compiling, graph, merge, procedures, retrieval, state
+from .operators import communities, compiling, graph, merge, procedures, retrieval, state
+from .operators.entities import entity_graph
 from .plans.lineage import cut
 from .sources import readers, settled, sinks
 from .streaming import jobs
@@ -259,8 +260,24 @@ class Engine:
         """Drop documents from the index."""
         sinks.replace_rows(self._chunks().drop("bucket").limit(0), cut(paths.select("rel_path")), self._at("chunks"), "rel_path", _CHUNK, BUCKETS)
 
+    def build_graph(self) -> None:
+        """Entities, edges and communities of all chunks, as tables that the search modes use."""
+        nodes, edges = entity_graph(self._chunks())
+        nodes, edges = cut(nodes), cut(edges)
+        for name, rows in (("graph-entities", nodes), ("graph-edges", edges), ("graph-communities", communities.louvain(edges, nodes))):
+            sinks.replace_state(rows, self._at(name))
+
+    def entity_graph(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """What ``build_graph`` made last."""
+        kinds = {"entities": "id string, label string, n long, sources array<string>", "edges": "source string, target string, relation string, weight long, sources array<string>", "communities": "id string, community string"}
+        return tuple(sinks.read_state(self.spark, self._at(f"graph-{name}"), kind) for name, kind in kinds.items())
+
     def search(self, text: str, k: int = 10, mode: str = "naive", entities: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
-        """The k best chunks in a mode; all but ``naive`` need entities (``id``, ``label``, ``sources``) and edges."""
+        """The k best chunks in a mode.
+
+        All but ``naive`` use entities (``id``, ``label``, ``sources``) and edges:
+        those that are given, or else the graph that ``build_graph`` made.
+        """
         if mode not in retrieval.MODES:
             raise ValueError(f"no such mode: {mode}")
         chunks = self._chunks().where("chunk_id is not null")
@@ -268,10 +285,11 @@ class Engine:
         if mode == "naive":
             hits = retrieval.search(chunks, list(query), k, key="chunk_id")
         else:
+            groups = None
             if entities is None or edges is None:
-                raise ValueError(f"{mode} needs entities and edges")
+                entities, edges, groups = self.entity_graph()
             near = retrieval.search(chunks, list(query), max(k, 60), key="chunk_id").select(F.col("chunk_id").alias("chunk"), "rank")
-            best = retrieval.by_mode(mode, near, entities, edges, text.split(), k)
+            best = retrieval.by_mode(mode, near, entities, edges, text.split(), k, groups)
             ranked = retrieval.ranked(best).withColumnRenamed("chunk", "chunk_id")
             hits = chunks.join(ranked, "chunk_id").join(best.withColumnRenamed("chunk", "chunk_id"), "chunk_id")
         return hits.select("rank", F.left("content", F.lit(retrieval.SNIPPET)).alias("content"), F.col("rel_path").alias("file_path"), "score").orderBy("rank")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from .entities import community_hits, personal_rank
 
 DIMENSIONS, SNIPPET = 64, 800
 # Characters that are shown of a context, in a list and of an error.
@@ -128,6 +129,12 @@ def global_hits(entities: DataFrame, edges: DataFrame, words: list[str]) -> Data
     return ends.join(entities, "id").select("w", F.explode("sources").alias("chunk")).groupBy("chunk").agg(F.sum("w").cast("double").alias("score"))
 
 
+def graph_hits(entities: DataFrame, edges: DataFrame, words: list[str], communities: DataFrame) -> DataFrame:
+    """Chunks of the communities that a walk from the entities that the query names comes to: (``chunk``, ``score``)."""
+    named = entities.where(F.lower("label").isin(*[w.lower() for w in words]) | F.col("id").isin(*[w.lower() for w in words])).select("id")
+    return community_hits(personal_rank(edges, named), communities, entities)
+
+
 def fused(*ranked: DataFrame, k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of (``chunk``, ``rank``) lists."""
     out = None
@@ -149,13 +156,15 @@ def ranked(hits: DataFrame) -> DataFrame:
     return hits.select("chunk", F.row_number().over(W.orderBy(F.desc("score"), "chunk")).alias("rank"))
 
 
-def by_mode(mode: str, nearest_chunks: DataFrame, entities: DataFrame, edges: DataFrame, words: list[str], k: int) -> DataFrame:
+def by_mode(mode: str, nearest_chunks: DataFrame, entities: DataFrame, edges: DataFrame, words: list[str], k: int, communities: DataFrame | None = None) -> DataFrame:
     """The k best (``chunk``, ``score``) in a mode.
 
     ``naive`` are the chunks nearest to the query (``chunk``, ``rank``); ``local``
     those of entities that it names and their neighbours; ``global`` those at the
     ends of relations that it names; ``hybrid`` the fusion of both, ``mix`` that of
-    all three.  Each list is cut to its best before they are fused.
+    all three.  Each list is cut to its best before they are fused.  With
+    ``communities`` (``id``, ``community``), ``global`` are the chunks of those
+    that a walk from the named entities comes to most.
     """
     if mode not in MODES:
         raise ValueError(f"no such mode: {mode}")
@@ -163,7 +172,7 @@ def by_mode(mode: str, nearest_chunks: DataFrame, entities: DataFrame, edges: Da
     lists = {
         "naive": lambda: nearest_chunks.select("chunk", "rank"),
         "local": lambda: best(local_hits(entities, edges, words)),
-        "global": lambda: best(global_hits(entities, edges, words)),
+        "global": lambda: best(global_hits(entities, edges, words) if communities is None else graph_hits(entities, edges, words, communities)),
     }
     use = {"hybrid": ("local", "global"), "mix": ("naive", "local", "global")}.get(mode, (mode,))
     return fused(*(lists[name]() for name in use)).orderBy(F.desc("score"), "chunk").limit(k)

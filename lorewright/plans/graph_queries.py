@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import communities, graph, neighbours, retrieval
+from ..operators import communities, entities, graph, neighbours, retrieval
 from ..session import table
 from ..streaming import jobs
 from . import state_queries
@@ -113,16 +113,37 @@ def community_sizes(spark, sf_dir):
     return graph.community_sizes(graph.communities(edges, nodes))
 
 
-@query("""select n_nationkey, n_nationkey as community_nation, cast(1 + (select count(*) from customer where c_nationkey = n_nationkey) + (select count(*) from supplier where s_nationkey = n_nationkey) as bigint) as n from nation""")
-def louvain_communities(spark, sf_dir):
-    """Nations with all that trade there, and a ring of nations: each nation is a community of its own."""
+def _trade(spark, sf_dir):
+    """Nations with all that trade there, and a ring of nations."""
     nation = table(spark, sf_dir, "nation").select("n_nationkey")
     name = lambda kind, key: F.concat(F.lit(kind), F.lpad(key.cast("string"), 10, "0"))
     stars = table(spark, sf_dir, "customer").select(name("c", F.col("c_custkey")).alias("source"), name("a", F.col("c_nationkey")).alias("target"))
     stars = stars.unionByName(table(spark, sf_dir, "supplier").select(name("s", F.col("s_suppkey")).alias("source"), name("a", F.col("s_nationkey")).alias("target")))
     ring = nation.select(name("a", F.col("n_nationkey")).alias("source"), name("a", (F.col("n_nationkey") + 1) % 25).alias("target"))
     nodes = stars.select(F.col("source").alias("id")).unionByName(nation.select(name("a", F.col("n_nationkey")).alias("id")))
-    labels = communities.louvain(stars.unionByName(ring), nodes)
+    return nodes, stars.unionByName(ring)
+
+
+_TRADE = """with e as (select 'c' || lpad(c_custkey::varchar, 10, '0') as a, 'a' || lpad(c_nationkey::varchar, 10, '0') as b from customer union all select 's' || lpad(s_suppkey::varchar, 10, '0'), 'a' || lpad(s_nationkey::varchar, 10, '0') from supplier
+  union all select 'a' || lpad(n_nationkey::varchar, 10, '0'), 'a' || lpad(((n_nationkey + 1) % 25)::varchar, 10, '0') from nation),
+l as (select x, y, 1.0::double / count(*) over (partition by x) as p from (select a as x, b as y from e union all select b, a from e)),
+st as (select * from (values ('a0000000003', 0.5::double), ('a0000000007', 0.5::double)) t(id, s)), r0 as (select id, s as rank from st)"""
+_ROUND = """, w{n} as (select y as id, 0.85::double * sum(rank * p) as rank from r{m} join l on id = x group by y),
+r{n} as (select id, sum(rank) as rank from (select * from w{n} union all select id, s * (1 - (select sum(rank) from w{n})) from st) group by id)"""
+
+
+@query(_TRADE + "".join(_ROUND.format(n=n, m=n - 1) for n in range(1, 6)) + " select id, round(rank, 9) as rank from r5")
+def personal_rank(spark, sf_dir):
+    """Five rounds of a walk from two nations."""
+    seeds = spark.createDataFrame([("a0000000003",), ("a0000000007",)], "id string")
+    return entities.personal_rank(_trade(spark, sf_dir)[1], seeds, 5).select("id", F.round("rank", 9).alias("rank"))
+
+
+@query("""select n_nationkey, n_nationkey as community_nation, cast(1 + (select count(*) from customer where c_nationkey = n_nationkey) + (select count(*) from supplier where s_nationkey = n_nationkey) as bigint) as n from nation""")
+def louvain_communities(spark, sf_dir):
+    """Nations with all that trade there, and a ring of nations: each nation is a community of its own."""
+    nodes, edges = _trade(spark, sf_dir)
+    labels = communities.louvain(edges, nodes)
     sizes = labels.groupBy("community").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("id").startswith("a"), F.substring("id", 2, 10))).alias("least"))
     own = labels.where("id like 'a%'").select("community", F.substring("id", 2, 10).cast("int").alias("n_nationkey"))
     return own.join(sizes, "community").select(F.col("n_nationkey"), F.col("least").cast("int").alias("community_nation"), "n")

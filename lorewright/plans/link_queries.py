@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import links, merge
+from ..operators import entities, links, merge
 from ..session import table
 from .corpora import wiki, wiki_sql
 from .registry import query
@@ -88,6 +88,26 @@ def related_suggest(spark, sf_dir):
     return links.suggest_related(pages, tokens).withColumn("score", F.round("score", 6))
 
 
+_MENTIONS = """, m0 as (select src as c, target as label from l union all select idx, own from w), k0 as (select c, label, regexp_replace(regexp_replace(lower(regexp_extract(label, '[^/]*$')), '[^\\p{L}\\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g') as id from m0),
+m as (select c, id, min(label) as label from k0 where id <> '' group by all)"""
+
+
+@query(wiki_sql(_MENTIONS + """, nl as (select id, label, count(*) as n from m group by all),
+e as (select a.id as source, b.id as target, count(*) as weight from m a join m b on a.c = b.c and a.id < b.id group by all),
+d as (select id, count(*) as degree, cast(sum(weight) as bigint) as weight from (select source as id, weight from e union all select target, weight from e) group by id)
+select x.id, x.label, cast(x.total as bigint) as n, coalesce(degree, 0) as degree, coalesce(weight, 0) as weight
+from (select id, label, sum(n) over (partition by id) as total, row_number() over (partition by id order by n desc, label) as r from nl) x left join d using (id) where r = 1"""))
+def entity_graph(spark, sf_dir):
+    """Entities of the wiki's pages by links and own names, with their edges' number and weight."""
+    pages, found = wiki(spark, sf_dir)
+    linked = found.groupBy("src").agg(F.concat_ws(" ", F.collect_list(F.concat(F.lit("[["), F.col("target"), F.lit("]]")))).alias("content"))
+    own = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("idx"), F.concat(F.lower(F.replace("p_name", F.lit(" "), F.lit("-"))), F.lit("-"), F.col("p_partkey").cast("string")).alias("own_name"))
+    chunks = pages.select("idx").join(own, "idx").join(linked, F.col("idx") == F.col("src"), "left").select(F.col("idx").cast("string").alias("chunk_id"), F.col("own_name").alias("rel_path"), "content")
+    nodes, edges = entities.entity_graph(chunks)
+    ends = edges.select(F.col("source").alias("id"), "weight").unionByName(edges.select(F.col("target").alias("id"), "weight")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"), F.sum("weight").alias("weight"))
+    return nodes.join(ends, "id", "left").select("id", "label", "n", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"), F.coalesce("weight", F.lit(0)).cast("long").alias("weight"))
+
+
 _TITLES = "(select distinct p_name as title from part)"
 
 
