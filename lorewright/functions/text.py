@@ -21,6 +21,8 @@ USAGE_LIMIT = r"(?i)\b429\b|rate[_\s-]*limit|usage\s+limit|quota|too many reques
 REVIEW_PREFIX = "(?i)^(missing[\\s-]?page[:：]\\s*|duplicate[\\s-]?page[:：]\\s*|possible[\\s-]?duplicate[:：]\\s*|缺失页面[:：]\\s*|缺少页面[:：]\\s*|重复页面[:：]\\s*|疑似重复[:：]\\s*)"
 CJK = "[\\x{4e00}-\\x{9fff}]"
 CJK_TOKEN = "[\\x{3400}-\\x{9fff}]"
+#: Fixed value: the fields in which services tell of reasoning, and their text as it is written.
+REASONING = r'"(?:reasoning_content|reasoning)"\s*:\s*"((?:[^"\\]|\\.)*)"'
 TRIM_MARK = "\n\n[...trimmed for prompt budget...]"
 
 
@@ -218,6 +220,12 @@ def message_text(content: Column) -> Column:
     return F.when(parsed.isNull() | ~is_object, content).otherwise(F.coalesce(F.try_variant_get(parsed, "$.text", "string"), F.lit("")))
 
 
+def reasoning_chars(line: Column) -> Column:
+    """Characters, as they are written, of the reasoning fields of a line of an event stream."""
+    found = F.regexp_extract_all(F.coalesce(line, F.lit("")), F.lit(REASONING), F.lit(1))
+    return F.aggregate(found, F.lit(0).cast("long"), lambda n, x: n + F.length(x))
+
+
 def human_bytes(n: Column) -> Column:
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, F.concat(F.format_string("%.1f", n / 1024), F.lit(" KB"))).otherwise(F.concat(F.format_string("%.1f", n / 1048576), F.lit(" MB")))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from . import merge
 from .entities import community_hits, personal_rank
 
 DIMENSIONS, SNIPPET = 64, 800
@@ -152,8 +153,12 @@ MODES = ("naive", "local", "global", "hybrid", "mix")
 
 
 def ranked(hits: DataFrame) -> DataFrame:
-    """Hits (``chunk``, ``score``) with ``rank``; equal scores by chunk."""
-    return hits.select("chunk", F.row_number().over(W.orderBy(F.desc("score"), "chunk")).alias("rank"))
+    """Hits (``chunk``, ``score``) with ``rank``; equal scores by chunk.
+
+    Ranks are counted over ordered ranges of hits, so there may be any number.
+    """
+    placed = merge.positions(hits.select((-F.col("score")).alias("worst"), "chunk"), ["worst", "chunk"])
+    return placed.select("chunk", (F.col("p") + 1).alias("rank"))
 
 
 def by_mode(mode: str, nearest_chunks: DataFrame, entities: DataFrame, edges: DataFrame, words: list[str], k: int, communities: DataFrame | None = None) -> DataFrame:
@@ -168,7 +173,8 @@ def by_mode(mode: str, nearest_chunks: DataFrame, entities: DataFrame, edges: Da
     """
     if mode not in MODES:
         raise ValueError(f"no such mode: {mode}")
-    best = lambda hits: ranked(hits.orderBy(F.desc("score"), "chunk").limit(max(k, 60)))
+    first = W.orderBy(F.desc("score"), "chunk")
+    best = lambda hits: hits.orderBy(F.desc("score"), "chunk").limit(max(k, 60)).select("chunk", F.row_number().over(first).alias("rank"))
     lists = {
         "naive": lambda: nearest_chunks.select("chunk", "rank"),
         "local": lambda: best(local_hits(entities, edges, words)),

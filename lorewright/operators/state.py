@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import merge
 
 MAX_RETRIES = 3
 #: How long nothing is taken after a usage limit.
@@ -20,10 +21,18 @@ def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def changes(rows: DataFrame, key: str | None, order: str, value: str, cut: int = 50_000) -> DataFrame:
-    """Rows whose value differs from the one before; the first is the baseline."""
-    w = W.partitionBy(*([key] if key else [])).orderBy(order)
-    before = F.lag(value).over(w)
-    return rows.withColumn("__before", before).where(f"__before is not null and {value} <> __before").withColumn(value, F.left(F.col(value).cast("string"), F.lit(cut))).drop("__before")
+    """Rows whose value differs from the one before; the first is the baseline.
+
+    With a key, rows are compared within it.  Without one all rows are one series:
+    they are numbered over ordered ranges, and each is joined with the one before it,
+    so no task holds them all.
+    """
+    if key:
+        met = rows.withColumn("__before", F.lag(value).over(W.partitionBy(key).orderBy(order)))
+    else:
+        placed = merge.positions(rows, [order])
+        met = placed.join(placed.select((F.col("p") + 1).alias("p"), F.col(value).alias("__before")), "p").drop("p")
+    return met.where(F.col("__before").isNotNull() & (F.col(value) != F.col("__before"))).withColumn(value, F.left(F.col(value).cast("string"), F.lit(cut))).drop("__before")
 
 
 STATUSES = ("none", "pending", "processing", "done", "failed", "cancelled")

@@ -216,8 +216,7 @@ def search_global(spark, sf_dir):
 a as (select chunk, row_number() over (order by score desc, chunk) as rank from loc), b as (select chunk, row_number() over (order by score desc, chunk) as rank from glo)
 select chunk, round(sum(1.0::double / (60 + rank)), 9) as score from (select * from a union all select * from b) group by chunk""")
 def search_hybrid(spark, sf_dir):
-    ranked = [h.select("chunk", F.row_number().over(W.orderBy(F.desc("score"), "chunk")).alias("rank")) for h in _hits(spark, sf_dir)]
-    return retrieval.fused(*ranked).withColumn("score", F.round("score", 9))
+    return retrieval.fused(*map(retrieval.ranked, _hits(spark, sf_dir))).withColumn("score", F.round("score", 9))
 
 
 @query(_ENT + _LOCAL.replace("lower(label) in ('nation_3', 'nation_7')", "id in ('n:3', 'n:7')") + _GLOBAL + """,

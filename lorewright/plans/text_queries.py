@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import budget, parsers
 from ..functions import text as X
-from ..operators import merge
+from ..operators import merge, retrieval
 from ..session import table
 from ..sources import readers, sinks
 from .registry import query
@@ -306,10 +306,32 @@ def summary_projection(spark, sf_dir):
     return rows.select("doc_id", F.coalesce(X.nonempty(F.lit("")), F.lit("unknown")).alias("type"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("title"), X.truncated(X.first_body_line(F.col("text")), 200).alias("description"))
 
 
-@query("select c_custkey, cast(coalesce(list_sum(list_transform(regexp_extract_all(c_name, '[0-9]+'), lambda x: length(x))), 0) as bigint) as chars from customer")
+_REASONING = """'data: {"choices": [{"delta": {"reasoning_content": "' || c_name || '\\"x", "content": "no"}}], "reasoning": "' || case when c_custkey % 2 = 0 then repeat('r', c_custkey % 7) else '' end || '"}'"""
+
+
+@query("select c_custkey, cast(length(c_name) + 3 + case when c_custkey % 2 = 0 then c_custkey % 7 else 0 end as bigint) as chars from customer")
 def reasoning_chars(spark, sf_dir):
-    found = F.regexp_extract_all("c_name", F.lit("([0-9]+)"), F.lit(1))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.aggregate(F.transform(found, F.length), F.lit(0).cast("long"), lambda s, x: s + x).alias("chars"))
+    """Characters of the reasoning fields of a stream's lines, as they are written."""
+    line = F.concat(
+        F.lit('data: {"choices": [{"delta": {"reasoning_content": "'), "c_name", F.lit('\\"x", "content": "no"}}], "reasoning": "'),
+        F.when(F.col("c_custkey") % 2 == 0, F.repeat(F.lit("r"), (F.col("c_custkey") % 7).cast("int"))).otherwise(F.lit("")), F.lit('"}'),
+    )
+    return table(spark, sf_dir, "customer").select("c_custkey", X.reasoning_chars(line).alias("chars"))
+
+
+@query("""select doc_id, left(text, 800) as context, left(text, 140) as list, left(text, 500) as error from documents""")
+def snippet_cuts(spark, sf_dir):
+    """What is shown of a text as a context, in a list and in an error."""
+    return table(spark, sf_dir, "documents").select("doc_id", *(retrieval.snippet(F.col("text"), kind).alias(kind) for kind in ("context", "list", "error")))
+
+
+@query("""select p_partkey, 'queries/' || case p_partkey % 3 when 2 then 'query' else regexp_replace(lower(replace(p_name, ' ', '-')), '[^a-z0-9-]', '', 'g') || '-' || p_partkey end || '.md' as path,
+case p_partkey % 3 when 0 then 'Notes/' || p_name || ' ' || p_partkey when 1 then p_name || ' ' || p_partkey else '' end as target from part""")
+def stub_paths(spark, sf_dir):
+    """Where the page of a missing target goes, and its target with case kept."""
+    name = F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string"))
+    raw = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Knowledge/Notes/"), name, F.lit(".MD"))).when(F.col("p_partkey") % 3 == 1, F.concat(name, F.lit(".md"))).otherwise(F.lit(""))
+    return table(spark, sf_dir, "part").select("p_partkey", X.stub_path(raw).alias("path"), X.clean_target(raw).alias("target"))
 
 
 @query()
