@@ -24,8 +24,6 @@ from . import runtime, textops
 
 #: Labelled rows that the classifier is fitted on, at most.
 MAX_LABELLED = 5000
-#: Distinct words and stems of a labelled text that it sees, at most.
-MAX_FEATURES = 20_000
 #: Words that it may use, at most; documents that a word must be in, and share
 #: of the bad ones.  Near copies count once (so many of so many minima equal).
 MAX_WORDS, WORD_SUPPORT, WORD_SHARE = 256, 8, 0.008
@@ -131,16 +129,23 @@ class Model:
         return self.design(shapes, row, hashes) @ self.weights - np.log(self.base / (1 - self.base))
 
 
-def _copies(n: int, row: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Rows whose distinct words are mostly those of an earlier row."""
+def _minima(row: np.ndarray, hashes: np.ndarray, n: int) -> list[list[int]]:
+    """The least of so many mixes of each row's hashes, as signed integers; none of a row without words."""
     first = np.searchsorted(row, np.arange(n))
     some = np.flatnonzero(np.diff(first, append=len(row)))
-    out = np.zeros(n, bool)
-    if not len(some):
-        return out
-    minima = np.stack([np.minimum.reduceat(textops.mix(hashes + np.uint64(k)), first[some]) for k in range(COPY_MINIMA)], axis=1).tolist()
+    out: list[list[int]] = [[] for _ in range(n)]
+    if len(some):
+        minima = np.stack([np.minimum.reduceat(textops.mix(hashes + np.uint64(k)), first[some]) for k in range(COPY_MINIMA)], axis=1)
+        for i, mine in zip(some.tolist(), minima.astype(np.int64).tolist(), strict=True):
+            out[i] = mine
+    return out
+
+
+def _copies(minima: list[list[int]]) -> np.ndarray:
+    """Rows whose distinct words are mostly those of an earlier row."""
+    out = np.zeros(len(minima), bool)
     seen: dict[tuple[int, int], list[int]] = {}
-    for i, mine in zip(some.tolist(), minima, strict=True):
+    for i, mine in enumerate(minima):
         equal: dict[int, int] = {}
         for k, m in enumerate(mine):
             for j in seen.get((k, m), ()):
@@ -153,31 +158,36 @@ def _copies(n: int, row: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _word_choice(bad: np.ndarray, row: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Words whose presence tells most (log likelihood ratio), sorted."""
-    once = ~_copies(len(bad), row, hashes)
-    kept = once[row]
-    row, hashes = (np.cumsum(once) - 1)[row[kept]], hashes[kept]
-    bad = bad[once]
-    if not len(row):
-        return np.zeros(0, np.uint64)
-    words, at, n = np.unique(hashes, return_inverse=True, return_counts=True)
-    in_bad = np.bincount(at, bad[row], len(words))
-    total, base = len(bad), bad.mean()
-    a, b = in_bad, n - in_bad
-    ea, eb = n * base, n * (1 - base)
-    c, d = bad.sum() - a, total - bad.sum() - b
-    ec, ed = (total - n) * base, (total - n) * (1 - base)
-    g = 2 * sum(x * np.log(np.maximum(x, 1e-9) / np.maximum(e, 1e-9)) for x, e in ((a, ea), (b, eb), (c, ec), (d, ed)))
-    g[(n < WORD_SUPPORT) | (a < WORD_SHARE * bad.sum()) | (a <= ea)] = 0
-    best = np.argsort(-g, kind="stable")[:MAX_WORDS]
-    return np.sort(words[best[g[best] > 25]])
-
-
-def fit(shapes: np.ndarray, row: np.ndarray, hashes: np.ndarray, bad: np.ndarray) -> Model:
-    """Logistic regression by Newton steps with a ridge penalty."""
+def _word_choice(measured: DataFrame, once: list[str], rows: int, bad: float) -> np.ndarray:
+    """Hashes of the words whose presence tells most (log likelihood ratio), sorted.
+
+    Words are counted in Spark, over all words of the texts ``once``, of which
+    ``rows`` there are and ``bad`` of them bad; the driver gets the chosen ones.
+    """
+    spark = measured.sparkSession
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [np.frombuffer(w, np.int64) for w in batch.column("words").to_pylist()]
+            words, at, n = np.unique(np.concatenate([*parts, np.zeros(0, np.int64)]), return_inverse=True, return_counts=True)
+            in_bad = np.bincount(at, np.repeat(batch.column("bad").to_numpy(), list(map(len, parts))), len(words))
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(n, pa.int64()), pa.array(in_bad)], names=["word", "n", "a"])
+
+    kept = measured.join(F.broadcast(spark.createDataFrame([(x,) for x in once], "of string")), "of").select("bad", "words")
+    counts = kept.mapInArrow(textops.lean(counted), "word long, n long, a double").groupBy("word").agg(F.sum("n").alias("n"), F.sum("a").alias("a"))
+    base = bad / rows
+    n, a = F.col("n").cast("double"), F.col("a")
+    cells = [(a, n * base), (n - a, n * (1 - base)), (bad - a, (rows - n) * base), (rows - bad - (n - a), (rows - n) * (1 - base))]
+    told = sum((x * F.log(F.greatest(x, F.lit(1e-9)) / F.greatest(e, F.lit(1e-9))) for x, e in cells), F.lit(0.0)) * 2
+    fit_ones = counts.where((n >= WORD_SUPPORT) & (a >= WORD_SHARE * bad) & (a > n * base)).withColumn("told", told).where("told > 25")
+    # Equal ones by the hash as it is without a sign.
+    chosen = fit_ones.orderBy(F.desc("told"), F.col("word") < 0, "word").limit(MAX_WORDS).select("word").collect()
+    return np.sort(np.array([r["word"] for r in chosen], np.int64).astype(np.uint64))
+
+
+def fit(shapes: np.ndarray, row: np.ndarray, hashes: np.ndarray, bad: np.ndarray, words: np.ndarray) -> Model:
+    """Logistic regression by Newton steps with a ridge penalty; ``row`` and ``hashes`` say which of the words a row has."""
     edges = [np.unique(np.quantile(shapes[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) for k in range(shapes.shape[1])]
-    words = _word_choice(bad, row, hashes)
     base = float(np.clip(bad.mean(), 0.01, 0.99))
     model = Model(edges, words, np.zeros(1 + sum(len(e) + 1 for e in edges) + len(words)), base)
     x = model.design(shapes, row, hashes).astype(float)
@@ -200,9 +210,12 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for chunk in textops.split_chunks(batch, "text"):
             shapes, row, hashes = measure(*textops.utf8(chunk.column("text")))
+            order = np.lexsort((hashes, row))
+            row, hashes = row[order], hashes[order]
             first = np.searchsorted(row, np.arange(len(chunk) + 1))
+            words = [hashes[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [chunk.column("bad"), pa.array(list(shapes), pa.list_(pa.float64())), pa.array([np.sort(hashes[a:b])[:MAX_FEATURES].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["bad", "shapes", "words"]
+                [chunk.column("of"), chunk.column("bad"), pa.array(list(shapes), pa.list_(pa.float64())), pa.array(_minima(row, hashes, len(chunk)), pa.list_(pa.int64())), pa.array(words, pa.binary())], names=["of", "bad", "shapes", "minima", "words"]
             )
 
 
@@ -212,9 +225,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     A key is bad if any of its labels says so, and good if all say so in both
     columns; labels that leave it open, by a null, are not used.  The sample is
     the keys with the least hash, so it is the same whenever it is drawn.  Of
-    rows of one key that with the least text counts, and of a text's words and
-    stems those of the ``MAX_FEATURES`` least hashes, so what reaches the driver
-    is bounded.  None if no label's document exists or all labels agree: nothing
+    rows of one key that with the least text counts.  All words and stems of a
+    text are counted, in Spark; what reaches the driver are shapes and minima of
+    the sample's texts, the chosen words and who has them.  None if no label's document exists or all labels agree: nothing
     can then be learned.
     """
     is_bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1.0).when(F.col("quality").isNotNull() & F.col("toxic").isNotNull(), 0.0)
@@ -222,13 +235,25 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     chosen = known.groupBy("of").agg(F.max("bad").alias("bad"), F.count_if(F.col("bad").isNull()).alias("open")).where("bad = 1 or (bad = 0 and open = 0)").drop("open")
     chosen = chosen.orderBy(F.xxhash64("of"), "of").limit(max_labelled)
     joined = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("of"))
-    joined = joined.groupBy("of").agg(F.max("bad").alias("bad"), F.min("text").alias("text"))
-    rows = sorted(map(tuple, joined.select("bad", "text").mapInArrow(textops.lean(_measured), "bad double, shapes array<double>, words binary").collect()))
-    bad = np.array([r[0] for r in rows])
+    joined = joined.groupBy("of").agg(F.max("bad").alias("bad"), F.min("text").alias("text")).withColumn("of", F.col("of").cast("string"))
+    measured = runtime.cut(joined, textops.lean(_measured), "of string, bad double, shapes array<double>, minima array<bigint>, words binary")
+    rows = sorted(map(tuple, measured.select("of", "bad", "shapes", "minima").collect()))
+    bad = np.array([r[1] for r in rows])
     if not len(rows) or bad.min() == bad.max():
         return None
-    hashes = [np.frombuffer(r[2], np.uint64) for r in rows]
-    return fit(np.array([r[1] for r in rows]), np.repeat(np.arange(len(rows)), list(map(len, hashes))), np.concatenate(hashes), bad)
+    once = ~_copies([r[3] for r in rows])
+    words = _word_choice(measured, [r[0] for r, is_one in zip(rows, once, strict=True) if is_one], int(once.sum()), float(bad[once].sum()))
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [np.frombuffer(w, np.uint64) for w in batch.column("words").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("of"), pa.array([np.flatnonzero(np.isin(words, x)) for x in parts], pa.list_(pa.int64()))], names=["of", "places"])
+
+    # Of each labelled text the numbers of the chosen words that it has.
+    places = dict(map(tuple, measured.select("of", "words").mapInArrow(textops.lean(held), "of string, places array<bigint>").collect()))
+    row = np.repeat(np.arange(len(rows)), [len(places[r[0]]) for r in rows])
+    hashes = words[np.array([p for r in rows for p in places[r[0]]], np.int64)]
+    return fit(np.array([r[2] for r in rows]), row, hashes, bad, words)
 
 
 def _evidence(model: Model, text: str, columns: list[str]):
