@@ -31,6 +31,8 @@ from . import components, runtime, textops
 SEGMENTS = 8
 CHAIN = 5
 BLOCK = 2048
+#: Keys with more fingerprints that are broadcast, at most.
+MAX_BROADCAST_KEYS = 100_000
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
@@ -152,48 +154,11 @@ class _Union:
 
 
 def _links(a: list[int], b: list[int]) -> pa.RecordBatch:
-    n = len(a)
-    none = pa.nulls(n, pa.int64())
-    return pa.RecordBatch.from_arrays([none, pa.nulls(n, pa.int32()), pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64))], names=["key", "block", "a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)], names=["a", "b"])
 
 
 def _find(tables: list[tuple[int, ...]], bits: int):
-    """Over rows sorted by key: links, or the blocks of a key that has too many."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        union = _Union()
-        key, block, held = None, 0, np.zeros(0, np.uint64)
-
-        def spilled(fps: np.ndarray) -> pa.RecordBatch:
-            n = len(fps)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), pa.array(np.full(n, block, np.int32)), pa.array(fps.view(np.int64)), pa.nulls(n, pa.int64())], names=["key", "block", "a", "b"])
-
-        def close() -> Iterator[pa.RecordBatch]:
-            if block:
-                yield spilled(held)
-            elif len(held) > 1:
-                for seed, members in group_links(held, tables[key >> 40][0], bits):
-                    union.add(seed, members.tolist())
-
-        for batch in batches:
-            keys, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-            edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))).tolist()
-            for a, b in zip(edge, [*edge[1:], len(keys)], strict=True):
-                if keys[a] != key:
-                    yield from close()
-                    key, block, held = int(keys[a]), 0, np.zeros(0, np.uint64)
-                held = np.concatenate((held, fps[a:b]))
-                while len(held) > BLOCK:
-                    yield spilled(held[:BLOCK])
-                    block, held = block + 1, held[BLOCK:]
-        yield from close()
-        yield from union.rows()
-
-    return run
-
-
-def _find_blocks(tables: list[tuple[int, ...]], bits: int):
-    """Links among rows sorted by key and two of its blocks."""
+    """Links among rows sorted by key and two of its blocks, which may be one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         union = _Union()
@@ -238,18 +203,26 @@ def link_fingerprints(distinct: DataFrame, bits: int) -> DataFrame:
         return out
 
     keyed = distinct.select(F.explode(F.array(*[key(t, x[1:]) for t, x in enumerate(tables)])).alias("key"), "fp")
-    dealt = keyed.repartition(n, "key").sortWithinPartitions("key")
-    found = runtime.cut(dealt, _find(tables, bits), "key long, block int, a long, b long")
-    links = found.where("b is not null").select("a", "b")
-    large = found.where("b is null").select("key", "block", F.col("a").alias("fp"))
-    if large.isEmpty():
-        return links
-    last = large.groupBy("key").agg(F.max("block").alias("last"))
-    spread = large.join(last, "key").select("key", "fp", "block", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other"))
-    pairs = spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp")
-    dealt = pairs.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = runtime.cut(dealt, _find_blocks(tables, bits), "key long, block int, a long, b long")
-    return links.unionByName(more.select("a", "b"))
+    dealt = _dealt(keyed).repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return runtime.cut(dealt, _find(tables, bits), "a long, b long")
+
+
+def _dealt(keyed: DataFrame) -> DataFrame:
+    """(``key``, ``i``, ``j``, ``fp``): what meets in one group.
+
+    Keys are counted first.  One with more than ``BLOCK`` fingerprints is dealt to
+    blocks by their hash, and every two of its blocks, or a block with itself, are a
+    group; so no task holds all of a key.  Keys that are so large are broadcast if
+    they are few.
+    """
+    large = runtime.cut(keyed.groupBy(F.col("key").alias("large")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1"))
+    few = large.count()
+    if not few:
+        return keyed.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp")
+    met = keyed.join(F.broadcast(large) if few <= MAX_BROADCAST_KEYS else large, F.col("key") == F.col("large"), "left")
+    blocks = F.coalesce("blocks", F.lit(1))
+    own = met.withColumn("own", F.pmod(F.xxhash64("fp"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return own.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
 
 
 def near_duplicates(docs: DataFrame, words_each: int = 3, bits: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
