@@ -114,14 +114,14 @@ def community_sizes(spark, sf_dir):
 
 
 def _trade(spark, sf_dir):
-    """Nations with all that trade there, and a ring of nations."""
+    """Nodes; edges of nations with all that trade there; edges of a ring of nations."""
     nation = table(spark, sf_dir, "nation").select("n_nationkey")
     name = lambda kind, key: F.concat(F.lit(kind), F.lpad(key.cast("string"), 10, "0"))
     stars = table(spark, sf_dir, "customer").select(name("c", F.col("c_custkey")).alias("source"), name("a", F.col("c_nationkey")).alias("target"))
     stars = stars.unionByName(table(spark, sf_dir, "supplier").select(name("s", F.col("s_suppkey")).alias("source"), name("a", F.col("s_nationkey")).alias("target")))
     ring = nation.select(name("a", F.col("n_nationkey")).alias("source"), name("a", (F.col("n_nationkey") + 1) % 25).alias("target"))
     nodes = stars.select(F.col("source").alias("id")).unionByName(nation.select(name("a", F.col("n_nationkey")).alias("id")))
-    return nodes, stars.unionByName(ring)
+    return nodes, stars, ring
 
 
 _TRADE = """with e as (select 'c' || lpad(c_custkey::varchar, 10, '0') as a, 'a' || lpad(c_nationkey::varchar, 10, '0') as b from customer union all select 's' || lpad(s_suppkey::varchar, 10, '0'), 'a' || lpad(s_nationkey::varchar, 10, '0') from supplier
@@ -136,14 +136,15 @@ r{n} as (select id, sum(rank) as rank from (select * from w{n} union all select
 def personal_rank(spark, sf_dir):
     """Five rounds of a walk from two nations."""
     seeds = spark.createDataFrame([("a0000000003",), ("a0000000007",)], "id string")
-    return entities.personal_rank(_trade(spark, sf_dir)[1], seeds, 5).select("id", F.round("rank", 9).alias("rank"))
+    _, stars, ring = _trade(spark, sf_dir)
+    return entities.personal_rank(stars.unionByName(ring), seeds, 5).select("id", F.round("rank", 9).alias("rank"))
 
 
 @query("""select n_nationkey, n_nationkey as community_nation, cast(1 + (select count(*) from customer where c_nationkey = n_nationkey) + (select count(*) from supplier where s_nationkey = n_nationkey) as bigint) as n from nation""")
 def louvain_communities(spark, sf_dir):
-    """Nations with all that trade there, and a ring of nations: each nation is a community of its own."""
-    nodes, edges = _trade(spark, sf_dir)
-    labels = communities.louvain(edges, nodes)
+    """Nations with all that trade there: each nation is a community of its own."""
+    nodes, stars, _ = _trade(spark, sf_dir)
+    labels = communities.louvain(stars, nodes)
     sizes = labels.groupBy("community").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("id").startswith("a"), F.substring("id", 2, 10))).alias("least"))
     own = labels.where("id like 'a%'").select("community", F.substring("id", 2, 10).cast("int").alias("n_nationkey"))
     return own.join(sizes, "community").select(F.col("n_nationkey"), F.col("least").cast("int").alias("community_nation"), "n")
