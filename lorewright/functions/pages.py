@@ -141,6 +141,29 @@ def front_matter(text: str) -> tuple[dict, str]:
     return (meta, page.body) if isinstance(meta, dict) else ({}, text)
 
 
+def full_header(text: str) -> dict[str, str]:
+    """A header's fields as they are written, in full YAML: lists of words joined by commas, what is deeper as JSON.
+
+    What is no valid header gives none.  Without a YAML library, plain lines are read.
+    """
+    try:
+        import yaml
+    except ImportError:
+        return {k: ",".join(v) if isinstance(v, list) else v for k, v in light_front_matter(text).items()}
+    page = Page.of(text)
+    try:
+        meta = yaml.load(page.header, Loader=yaml.BaseLoader) if page else None
+    except yaml.YAMLError:
+        meta = None
+
+    def said(value: object) -> str:
+        if isinstance(value, list) and all(isinstance(x, str) for x in value):
+            return ",".join(value)
+        return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, sort_keys=True)
+
+    return {str(k): said(v) for k, v in meta.items()} if isinstance(meta, dict) else {}
+
+
 def light_front_matter(text: str) -> dict:
     """A header of plain ``key: value``, ``[a, b]`` and ``- item`` lines."""
     page = Page.of(text)

@@ -241,6 +241,7 @@ object_of = column(first_object, T.StringType())
 sanitized = column(sanitize, T.StringType())
 as_markdown = column(markdown_links, T.StringType())
 decoded = column(lambda b: decode(bytes(b)), T.StringType())
+full_header = column(pages.full_header, T.MapType(T.StringType(), T.StringType()))
 header_map = column(lambda t: {k: ",".join(v) if isinstance(v, list) else v for k, v in light_front_matter(t).items()}, T.MapType(T.StringType(), T.StringType()))
 
 

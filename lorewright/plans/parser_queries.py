@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import parsers
 from ..functions import text as X
 from ..session import table
+from ..sources import readers
 from .registry import query
 
 _NL = "chr(10)"
@@ -163,6 +164,20 @@ def material_headers(spark, sf_dir):
     return rows.select("p_partkey", X.compiled_flag(F.col("t")).alias("compiled"), X.safe_relative(F.col("path")).alias("safe"), X.marked_compiled(F.col("t")).alias("marked"))
 
 
+_MATERIAL = """case p_partkey % 3 when 0 then '---' || chr(10) || 'id: m' || p_partkey || chr(10) || 'source: web' || chr(10) || 'title: >-' || chr(10) || '  ' || p_name || chr(10) || '  on two lines' || chr(10) || 'tags:' || chr(10) || '- a' || chr(10) || '- "b: c"' || chr(10) || 'more: {x: 01, y: [z]}' || chr(10) || '---' || chr(10) || p_brand
+when 1 then '---' || chr(10) || 'id: [' || chr(10) || '---' || chr(10) || p_name || ' ' || p_partkey else p_name || ' ' || p_partkey end"""
+
+
+@query("""select p_partkey, case p_partkey % 3 when 0 then 'web' else 'file' end as source, case p_partkey % 3 when 0 then 'm' || p_partkey else left(sha1(p_name || ' ' || p_partkey), 12) end as id,
+case p_partkey % 3 when 0 then p_name || ' on two lines' end as title, case p_partkey % 3 when 0 then 'a,b: c' end as tags, case p_partkey % 3 when 0 then '{"x": "01", "y": ["z"]}' end as more,
+case p_partkey % 3 when 0 then p_brand else p_name || ' ' || p_partkey end as body from part""")
+def material_read(spark, sf_dir):
+    """Materials read: fields of headers in full YAML, none of bad ones, bodies and ids."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.lit("file").alias("source"), F.expr(_MATERIAL).alias("text"))
+    field = lambda name: F.try_element_at("meta", F.lit(name)).alias(name)
+    return readers.read_materials(rows).select("p_partkey", "source", "id", field("title"), field("tags"), field("more"), "body")
+
+
 @query("""select p_partkey, p_name || 'fi12' as folded, 'link ' || lower(replace(p_brand, '#', '-')) as key from part""")
 def compatible_forms(spark, sf_dir):
     """Wide and joined letters count as plain ones in keys."""

@@ -43,8 +43,8 @@ def uncompiled(rows: DataFrame) -> DataFrame:
 
 
 def read_materials(rows: DataFrame) -> DataFrame:
-    """Listed materials with ``meta`` (header fields), ``body`` and ``id``; a missing source is the folder's name."""
-    met = rows.withColumn("meta", parsers.header_map(F.col("text"))).withColumn("body", F.regexp_replace("text", r"\A---\s*\n[\s\S]*?\n---[^\n]*\n?", ""))
+    """Listed materials with ``meta`` (fields of a header in YAML, none of a bad one), ``body`` and ``id``; a missing source is the folder's name."""
+    met = rows.withColumn("meta", parsers.full_header(F.col("text"))).withColumn("body", F.regexp_replace("text", r"\A---\s*\n[\s\S]*?\n---[^\n]*\n?", ""))
     field = lambda name: X.nonempty(F.try_element_at("meta", F.lit(name)))
     return met.withColumn("source", F.coalesce(field("source"), "source")).withColumn("id", F.coalesce(field("id"), X.content_id(X.strip(F.col("body")))))
 
