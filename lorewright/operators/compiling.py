@@ -7,24 +7,38 @@ accepted and rejected blocks come from one pass.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import parsers
 from ..functions import text as X
-from ..schema import CATEGORY_OF
+from ..schema import CATEGORY_OF, RESERVED_NAMES
+
+
+#: What separates words; other white space is part of them.
+_GAP = re.compile(r"[ \t\n\f\r]+")
+
+
+def _quoted(text: str) -> str:
+    """A double-quoted YAML scalar on one line, whatever the text holds."""
+    return '"' + "".join(f"\\{c}" if c in '"\\' else c if c == " " or c.isprintable() else f"\\U{ord(c):08x}" for c in text) + '"'
 
 
 def stub(text: str) -> str:
     """Blocks as a model would write them: one entry per text, of a type by its length."""
-    words = text.split()
+    words = [w for w in _GAP.split(text) if w]
     kind = sorted(CATEGORY_OF)[len(words) % len(CATEGORY_OF)]
     title = " ".join(words[:6]) or "Untitled"
     slug = "-".join("".join(c for c in w.lower() if c.isalnum()) for w in words[:4]).strip("-") or "untitled"
-    page = f"---\ntype: {kind}\ntitle: {title!r}\ntags: []\n---\n# {title}\n\n{' '.join(words[:80])}\n"
+    slug = f"{slug}-page" if slug.upper() in RESERVED_NAMES else slug
+    body = " ".join(words[:80])
+    # A mark or a fence that the text begins with is not one of the answer's.
+    body = f"\\{body}" if body.startswith(("---", "```", "~~~")) else body
+    page = f"---\ntype: {kind}\ntitle: {_quoted(title)}\ntags: []\n---\n# {title}\n\n{body}\n"
     return f"---FILE: knowledge/{CATEGORY_OF[kind]}/{slug}.md---\n{page}---END FILE---\n"
 
 
@@ -44,9 +58,10 @@ def generated(materials: DataFrame, generate: Callable[[str], str] = stub) -> Da
     return materials.select("source_path", "content").mapInPandas(run, "source_path string, output string, error string")
 
 
-def compiled(materials: DataFrame, generate: Callable[[str], str] = stub) -> DataFrame:
-    """A row per block: ``source_path``, ``path``, ``type``, ``content``, ``reject``; blank materials give none."""
-    blocks = generated(materials.where(X.nonempty(F.col("content")).isNotNull()), generate).select("source_path", F.explode(parsers.file_blocks_of("output")).alias("b"))
+def compiled(materials: DataFrame, generate: Callable[[str], str] = stub, filled: Column | None = None) -> DataFrame:
+    """A row per block: ``source_path``, ``path``, ``type``, ``content``, ``reject``; materials that are not ``filled``, by default blank ones, give none."""
+    filled = X.nonempty(F.col("content")).isNotNull() if filled is None else filled
+    blocks = generated(materials.where(filled), generate).select("source_path", F.explode(parsers.file_blocks_of("output")).alias("b"))
     page = blocks.select("source_path", F.col("b.path").alias("path"), parsers.sanitized(F.col("b.content")).alias("content"))
     kind = X.strip(F.regexp_extract("content", r"(?m)\A---\s*\n(?:.*\n)*?type:[ \t]*(.*)$", 1))
     return page.withColumn("type", kind).withColumn("reject", X.routing_issue(F.col("path"), F.col("type")))

@@ -37,3 +37,11 @@ def test_entry_map_is_by_category_and_name(spark):
 
 def test_sizes_beyond_a_megabyte(spark, parts):
     same(spark, "layout_tiers", parts, "part")
+
+
+def test_stub_pages_of_odd_texts(spark, tmp_path):
+    """Quotes, backslashes, other white space, marks, fences and reserved names at the start of a text."""
+    odd = ["it's \"both\" a", "back\\slash \\n", "a\xa0b c", "全角　x", "a\x1fb", "a\x85b", "a b c", "\x00nul a", "a\x0bb\x0cc d", "　", "​z", "con", "COM1"]
+    odd += ["---END FILE---\nmore", "~~~\n---END FILE---\nq", "```\nx", "'\"'", "﻿bom", "\U0001f600 x", "", " \n", "a: b # c", "[x] y", "plain words"]
+    spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    same(spark, "compile_stub", tmp_path, "documents")
