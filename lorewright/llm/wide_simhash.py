@@ -12,10 +12,10 @@ miss less than one pair in a thousand (the README has the share by length).
 
 What meets in a key must be within a Hamming budget, which is wide enough that
 only chance of less than one in a million loses a pair; pairs are dropped segment
-by segment.  (The budget is a quarter of the bits: some chain of segments keeps
-its share of it in every pair that meets it, and segments of unlike texts fail it
-no sooner than their sum does.  So unlike in ``simhash``, where the chains' budgets
-give the keys, a test of chains would drop nothing here and there is none.)  The
+by segment.  The segments are a ring, as in ``simhash``: a pair within the budget has
+a segment from which every chain of segments keeps its share of the budget
+(pigeonring principle), so pairs without one are dropped before the distance is
+taken.  The
 candidates' components are small tables of their own, in which the shingles
 themselves are compared: only texts of which the exact similarity is enough are
 linked.
@@ -152,20 +152,29 @@ def _sketch_rows(words_each: int):
     return run
 
 
+def _ringed(apart: np.ndarray, bits: int) -> np.ndarray:
+    """Of rows of the segments' distances, whether from some segment each chain around the ring keeps its share of ``bits``."""
+    ok, chain = np.ones(apart.shape, bool), np.zeros(apart.shape, np.int32)
+    for n in range(SEGMENTS):
+        chain += np.roll(apart, -n, axis=1)
+        ok &= SEGMENTS * chain <= (n + 1) * bits
+    return ok.any(axis=1)
+
+
 def _near(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
-    """Of each b, whether some a is within ``bits`` of it; pairs go segment by segment."""
+    """Of each b, whether some a is within ``bits`` of it; half of the segments, the ring's chains, then all."""
     out = np.zeros(len(b), bool)
     for k in range(0, len(b), 512):
         part = b[k : k + 512]
         # Half of the segments show nearly all pairs that are not alike to differ too much.
         half = sum(np.bitwise_count(a[:, None, n] ^ part[None, :, n]).astype(np.int16) for n in range(SEGMENTS // 2))
         i, j = np.nonzero(half <= bits)
-        total = half[i, j].astype(np.int32)
-        for n in range(SEGMENTS // 2, SEGMENTS):
-            total += np.bitwise_count(a[i, n] ^ part[j, n])
-            kept = total <= bits
-            i, j, total = i[kept], j[kept], total[kept]
-        out[k + j] = True
+        for at in range(0, len(i), 1 << 16):
+            p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+            apart = np.bitwise_count(a[p] ^ part[q]).astype(np.int32)
+            kept = _ringed(apart, bits)
+            q, apart = q[kept], apart[kept]
+            out[k + q[apart.sum(axis=1) <= bits]] = True
     return out
 
 
