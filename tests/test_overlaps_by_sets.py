@@ -33,3 +33,26 @@ def test_postings_are_not_moved_for_every_row(spark):
     before = written()
     assert overlaps.top_overlaps(left, right, 3).count() == 1800
     assert written() - before < 10_000_000
+
+
+def test_layout():
+    """The index moves once a block of sets, however many partitions a shuffle has; few ranges still give many cells."""
+    assert overlaps.layout(100_000, 19)[0] == 7 and overlaps.layout(600_000, 110) == (37, 8)
+    for sets, ranges in ((1, 1), (10_000, 2), (100_000, 19)):
+        blocks, size = overlaps.layout(sets, ranges)
+        assert blocks >= -(-sets // overlaps.BLOCK) and 1 <= size <= overlaps.PART
+    assert overlaps.layout(10_000, 2)[0] == 20
+
+
+def test_names_are_dealt_out_before_they_become_pairs(spark):
+    """However few files the pages are in, their keys are made and counted in as many tasks as a shuffle has."""
+    from lorewright.operators import links
+
+    pages = spark.range(0, 300, 1, 1).selectExpr("id as idx", "'p' || id as slug", "'c/p' || id as name", "'page ' || id as title")
+    seen = {}
+    held, links.top_overlaps = links.top_overlaps, lambda left, right, *a, **b: seen.update(left=left, right=right) or held(left, right, *a, **b)
+    try:
+        links.suggest_for_broken(pages.selectExpr("slug || 'x' as target"), pages)
+    finally:
+        links.top_overlaps = held
+    assert seen["right"].rdd.getNumPartitions() == seen["left"].rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
