@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lorewright.operators import neighbours
 
@@ -52,3 +53,15 @@ def test_plan():
     same = (1 - np.arccos(0.8) / np.pi) ** bits
     assert bits == 12 and 1 - (1 - same) ** tables >= 0.95 > 1 - (1 - same) ** (tables - 1)
     assert neighbours.plan(10, 0.35, 0.95)[0] == 1
+
+
+def test_some_rows_ask(spark):
+    """Queries meet all rows, in few tables; recall as of all rows."""
+    pick = np.random.default_rng(2)
+    centres = pick.standard_normal((40, 32))
+    data = {i: (centres[i % 37 + i % 4] + 1.5 * pick.standard_normal(32)).tolist() for i in range(3000)}
+    want = {(a, b) for a, b in exact(data, 8, 0.35) if a % 10 == 0}
+    got = neighbours.nearest_by_hyperplanes(spark.createDataFrame([(i, v, 0) for i, v in data.items()], KIND), 8, 0.35, asks=F.col("vec_id") % 10 == 0).collect()
+    pairs = {(r["query"], r["neighbour"]) for r in got}
+    assert {a for a, _ in pairs} <= set(range(0, 3000, 10)) and any(b % 10 for _, b in pairs)
+    assert len(want) > 300 and len(pairs & want) >= 0.9 * len(want)
