@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +17,8 @@ from . import merge
 from .entities import community_hits, personal_rank
 
 DIMENSIONS, SNIPPET = 64, 800
+#: Groups of rows that all pairs are made of, where rows are few.
+PAIR_GROUPS = 16
 # Characters that are shown of a context, in a list and of an error.
 SNIPPETS = {"context": SNIPPET, "list": 140, "error": 500}
 
@@ -86,32 +91,38 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def similar_pairs(vectors: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding", block_rows: int = 1024) -> DataFrame:
+def similar_pairs(vectors: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding", block_rows: int = 16384, strip: int = 1024) -> DataFrame:
     """(``a``, ``b``, ``score``), a < b: all pairs with a cosine of ``least`` or more.
 
     An exact join in blocks: rows are dealt to g groups, every pair of groups
-    meets once, each as one matrix product of bounded size.  Null vectors are
-    like none.
+    meets once, in strips of ``strip`` rows, each as one matrix product of bounded
+    size.  A row moves g times, so groups are large; they are many where there are
+    few rows, to have work for all tasks.  Null vectors are like none.
     """
     vectors = vectors.where(F.col(vector).isNotNull())
-    groups = max(1, -(-vectors.count() // block_rows))
+    n = vectors.count()
+    groups = max(1, -(-n // block_rows), min(-(-n // strip), PAIR_GROUPS))
     own = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(groups)).cast("int").alias("g"))
     other = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("h")
     spread = own.select("id", "v", "g", other).select("id", "v", "g", F.least("g", "h").alias("i"), F.greatest("g", "h").alias("j"))
 
-    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
-        i = int(pdf["i"].iloc[0])
-        unit = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell = pa.Table.from_batches(batches)
+        i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
+        size = len(cell.column("v")[0])
+        unit = cell.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
         unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-12)
-        ids, mine = pdf["id"].to_numpy(), pdf["g"].to_numpy() == i
-        theirs = mine if int(pdf["j"].iloc[0]) == i else ~mine
-        s = unit[mine] @ unit[theirs].T
-        x, y = np.nonzero(s >= least)
-        a, b, v = ids[mine][x], ids[theirs][y], s[x, y]
-        keep = a < b if theirs is mine else np.ones(len(a), bool)
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "score": v[keep]})
-
-    return spread.groupBy("i", "j").applyInPandas(multiply, "a long, b long, score double")
+        ids, mine = cell.column("id").to_numpy(), cell.column("g").to_numpy() == i
+        (x, of), (y, to) = ((unit[k], ids[k]) for k in (mine, mine if i == j else ~mine))
+        for p in range(0, len(x), strip):
+            for q in range(p if i == j else 0, len(y), strip):
+                s = x[p : p + strip] @ y[q : q + strip].T
+                m, n = np.nonzero(s >= least)
+                a, b, v = of[p + m], to[q + n], s[m, n]
+                keep = a < b if i == j and p == q else np.ones(len(a), bool)
+                yield pa.RecordBatch.from_arrays([pa.array(z[keep]) for z in (np.minimum(a, b), np.maximum(a, b), v)], names=["a", "b", "score"])
+
+    return spread.groupBy("i", "j").applyInArrow(multiply, "a long, b long, score double")
 
 
 def local_hits(entities: DataFrame, edges: DataFrame, words: list[str]) -> DataFrame:

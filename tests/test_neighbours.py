@@ -65,3 +65,16 @@ def test_some_rows_ask(spark):
     pairs = {(r["query"], r["neighbour"]) for r in got}
     assert {a for a, _ in pairs} <= set(range(0, 3000, 10)) and any(b % 10 for _, b in pairs)
     assert len(want) > 300 and len(pairs & want) >= 0.9 * len(want)
+
+
+def test_all_pairs_in_strips(spark):
+    """Groups of any size and strips of them give each pair once."""
+    from lorewright.operators import retrieval
+
+    data = np.random.default_rng(3).standard_normal((300, 6)).astype(np.float32)
+    unit = data / np.linalg.norm(data.astype(float), axis=1, keepdims=True)
+    want = {(int(a), int(b)) for a, b in np.argwhere(unit @ unit.T >= 0.5) if a < b}
+    rows = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(data)] + [(900, None, 0)], KIND)
+    for block, strip in ((300, 32), (100, 300), (64, 16)):
+        got = [(r["a"], r["b"]) for r in retrieval.similar_pairs(rows, 0.5, block_rows=block, strip=strip).collect()]
+        assert len(got) == len(want) and set(got) == want
