@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Stretches of time that a key's log is cut into.
 PARTS = 64
+#: Points of a bin that meet its ranges in one piece, and pairs that a task should have.
+PIECE, PAIRS = 1024, 1 << 23
 
 
 def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, values: list[str], parts: int = PARTS) -> DataFrame:
@@ -70,12 +72,23 @@ def in_range(points: DataFrame, ranges: DataFrame, point: str, low: str, high: s
     and so on.  A range is in the two bins, at most, that it touches of those as
     wide as it is long, and a point in one for each width that ranges have; so long
     ranges do not come again and again.  A width near the usual length of a range
-    keeps the misses in a bin few.
+    keeps the misses in a bin few.  Points of a bin are dealt to pieces, each of
+    which meets all ranges of the bin, in as many tasks as there are pairs for.
     """
     held = ranges.where(F.col(low) <= F.col(high)).withColumn("__level", _level(F.col(high) - F.col(low), width))
     spread = held.withColumn("__bin", F.explode(F.sequence(_bin(F.col(low), F.col("__level"), width), _bin(F.col(high), F.col("__level"), width))))
     at = points.withColumn("__level", F.explode(_levels(held))).withColumn("__bin", _bin(F.col(point), F.col("__level"), width))
-    return at.join(spread, ["__level", "__bin"]).where(F.col(point).between(F.col(low), F.col(high))).drop("__level", "__bin")
+    bins = ["__level", "__bin"]
+    counts = at.groupBy(*bins).agg(F.count(F.lit(1)).alias("__n")).join(spread.groupBy(*bins).agg(F.count(F.lit(1)).alias("__m")), bins)
+    pairs = counts.agg(F.sum(F.col("__n") * F.col("__m"))).first()[0] or 0
+    tasks = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs // PAIRS))
+    pieces = counts.select(*bins, F.ceil(F.col("__n") / PIECE).cast("int").alias("__pieces"))
+    key = F.xxhash64(*[F.col(c) for c, kind in points.dtypes if "map<" not in kind and "variant" not in kind])
+    a = at.join(pieces, bins).withColumn("__piece", F.pmod(key, F.col("__pieces")).cast("int"))
+    b = spread.join(pieces, bins).withColumn("__piece", F.explode(F.sequence(F.lit(0), F.col("__pieces") - 1)))
+    on = [*bins, "__piece"]
+    a, b = (x.drop("__pieces").repartition(tasks, *on) for x in (a, b))
+    return a.join(b, on).where(F.col(point).between(F.col(low), F.col(high))).drop(*on)
 
 
 def overlapping(a: DataFrame, b: DataFrame, by: list[str], start: str, end: str, width: float) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lorewright.operators import joins
 
@@ -55,3 +56,12 @@ def test_overlapping_is_brute_force(spark):
     for width in (0.5, 2.0, 1000.0):
         got = [(r["i"], r["b_i"]) for r in joins.overlapping(a, b, ["k"], "s", "e", width).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_points_of_one_bin_are_shared_out(spark):
+    """Twenty thousand points at one place: no task has half of their pairs."""
+    points = spark.range(0, 20_000, 1, 1).select("id", F.lit(3.5).alias("x"))
+    ranges = spark.range(0, 5, 1, 1).select(F.col("id").alias("r"), F.lit(3.0).alias("low"), F.lit(4.0).alias("high"))
+    got = joins.in_range(points, ranges, "x", "low", "high", 1.0)
+    by = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert got.distinct().count() == 100_000 == sum(by) and max(by) < 60_000
