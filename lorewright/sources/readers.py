@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -158,17 +159,21 @@ def page_text(html: str) -> tuple[str, str]:
 def page_texts(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, url, title, text, error) of pages; bad addresses and empty pages say so."""
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for k, url, html in zip(b[key], b["url"], b["html"], strict=True):
-                address = (url or "").strip().strip("`").strip()
-                title, body = page_text(html or "")
-                error = "address" if not re.match(r"https?://", address) else "script page" if not body and "<script" in (html or "") else "empty" if not body else None
-                rows.append((k, address, title, body, error))
-            yield pd.DataFrame(rows, columns=[key, "url", "title", "text", "error"])
-
-    return pages.select(key, "url", "html").mapInPandas(extract, f"{key} long, url string, title string, text string, error string")
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Few pages are Python objects at once, as each can be long.
+        for batch in batches:
+            for n in range(0, len(batch), parsers.SLICE):
+                part = batch.slice(n, parsers.SLICE)
+                rows = []
+                for url, html in zip(part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True):
+                    address = (url or "").strip().strip("`").strip()
+                    title, body = page_text(html or "")
+                    error = "address" if not re.match(r"https?://", address) else "script page" if not body and "<script" in (html or "") else "empty" if not body else None
+                    rows.append((address, title, body, error))
+                texts = [pa.array(c, pa.string()) for c in zip(*rows, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(key).cast(pa.int64()), *texts], names=[key, "url", "title", "text", "error"])
+
+    return pages.select(key, "url", "html").mapInArrow(extract, f"{key} long, url string, title string, text string, error string")
 
 
 def messages(events: DataFrame, content: str = "content") -> DataFrame:
