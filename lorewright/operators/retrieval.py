@@ -39,10 +39,14 @@ def cosine(a: Column, b: Column) -> Column:
 def embed(text: Column, dimensions: int = DIMENSIONS) -> Column:
     """A unit vector of hashed token counts: the stand-in where no model is plugged in."""
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def unit(places: pd.Series) -> pd.Series:
-        rows = [np.bincount(p, minlength=dimensions).astype(float) if p is not None else np.zeros(dimensions) for p in places]
-        return pd.Series([r / max(1e-12, float(np.linalg.norm(r))) for r in rows])
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def unit(places: pa.Array) -> pa.Array:
+        out = np.zeros((len(places), dimensions))
+        for n, row in enumerate(places):
+            if row.is_valid and len(row):
+                out[n] = np.bincount(row.values.to_numpy(zero_copy_only=False), minlength=dimensions)
+                out[n] /= max(1e-12, float(np.linalg.norm(out[n])))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(places) + 1, dtype=np.int32) * np.int32(dimensions)), pa.array(out.ravel()))
 
     return unit(F.transform(X.tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dimensions)).cast("int")))
 
