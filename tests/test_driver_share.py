@@ -41,3 +41,11 @@ def test_components_broadcast_nothing(spark, monkeypatch):
 def test_louvain_broadcasts_nothing(spark, no_broadcast):
     nodes, edges = cliques(spark)
     assert groups(communities.louvain(edges, nodes)) == [[0, 1, 2, 3, 4], [5, 6, 7, 8, 9]]
+
+
+def test_label_propagation_broadcasts_nothing(spark, no_broadcast):
+    nodes, edges = cliques(spark)
+    typed = edges.select("source", "target", F.lit("to").alias("relation"), F.col("source").alias("seq"))
+    simple = graph.simple_edges(typed, nodes)
+    assert simple.count() == 21
+    assert groups(graph.communities(simple, nodes)) == [[0, 1, 2, 3, 4], [5, 6, 7, 8, 9]]
