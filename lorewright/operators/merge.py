@@ -104,7 +104,7 @@ def conflict_names(names: DataFrame, existing: DataFrame, key: str = "seq") -> D
     """
     rank = names.withColumn("r", F.row_number().over(W.partitionBy("stem").orderBy(key)))
     taken = existing.groupBy("stem").agg(F.array_sort(F.collect_set("n")).alias("taken"))
-    met = rank.join(taken, "stem", "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<long>")))
+    met = rank.join(taken.hint("merge"), "stem", "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<long>")))
     # The r-th free number is r plus the taken ones at or below it.
     free = F.aggregate("taken", F.col("r").cast("long"), lambda n, t: F.when(t <= n, n + 1).otherwise(n))
     return met.select(key, "stem", F.when(free == 1, F.col("stem")).otherwise(F.concat("stem", F.lit("-"), free.cast("string"))).alias("name"))

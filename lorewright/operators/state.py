@@ -135,10 +135,10 @@ def fold_reviews(items: DataFrame, order: str = "seq") -> DataFrame:
 
 
 def cache_hits(sources: DataFrame, cache: DataFrame, existing: DataFrame) -> DataFrame:
-    """Sources with an entry of the same hash, all of whose files exist."""
-    met = sources.join(cache, ["source_path", "hash"])
-    missing = met.select("source_path", F.explode("files_written").alias("path")).join(existing, "path", "left_anti").select("source_path").distinct()
-    return met.join(missing, "source_path", "left_anti").select("source_path", "hash")
+    """Sources with an entry of the same hash, all of whose files exist; no side of a join passes the driver."""
+    met = sources.join(cache.hint("merge"), ["source_path", "hash"])
+    missing = met.select("source_path", F.explode("files_written").alias("path")).join(existing.hint("merge"), "path", "left_anti").select("source_path").distinct()
+    return met.join(missing.hint("merge"), "source_path", "left_anti").select("source_path", "hash")
 
 
 def ledger_delta(current: DataFrame, ledger: DataFrame) -> DataFrame:
